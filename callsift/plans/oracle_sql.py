@@ -183,3 +183,79 @@ classified AS (
 
 def with_classified(select_sql: str, **kw) -> str:
     return "WITH " + classified_ctes(**kw).strip() + "\n" + select_sql
+
+
+def parsed_proximity_rules(rows=None):
+    """(rule_ord, program, cat_no, terms, operators, max_distance, index_key)."""
+    out = []
+    for ordinal, r in enumerate(ruleset.PROXIMITY_RULES if rows is None else rows):
+        prog, cat, t1, o1, t2, o2, t3, prox, within, _sent = r
+        terms = [str(t).lower().strip() for t in (t1, t2, t3) if t is not None]
+        if not terms:
+            continue
+        ops = [str(o).upper() for o in (o1, o2) if o is not None]
+        p = int(float(prox)) if prox is not None else 0
+        w = int(float(within)) if within is not None else 0
+        d = w if w > 0 else p
+        d = 5 if d == 0 else d
+        key = terms[0].split()[0] if " " in terms[0] else terms[0]
+        out.append((ordinal, prog, cat, terms, ops, d, key))
+    return out
+
+
+def proximity_sql(text_sql: str, program: str | None = None) -> str:
+    """Best proximity match per text; ``text_sql`` yields (transcript_id, t)."""
+    rows = []
+    for o, prog, cat, terms, ops, d, key in parsed_proximity_rules():
+        if program and prog != program:
+            continue
+        ts = terms + [None] * (3 - len(terms))
+        os_ = ops + [None] * (2 - len(ops))
+        rows.append((o, prog, cat, len(terms), *ts, *os_, d, key, " | ".join(terms)))
+    cols = ["rule_ord", "program", "cat_no", "n_terms", "t1", "t2", "t3", "o1", "o2", "d",
+            "index_key", "matched_terms"]
+
+    def words(t):
+        return (f"(CASE WHEN {t} IS NULL OR trim(regexp_replace({t}, {q(P.WS + '+')}, ' ', 'g')) = '' "
+                f"THEN []::VARCHAR[] ELSE string_split(trim(regexp_replace({t}, {q(P.WS + '+')}, ' ', 'g')), ' ') END)")
+
+    def positions(t):
+        w = words(t)
+        return (f"(CASE WHEN len({w}) = 0 THEN range(0, len(tok) + 1) WHEN len(tok) >= len({w}) THEN "
+                f"list_filter(range(0, len(tok) - len({w}) + 1), lambda i: tok[i + 1 : i + len({w})] = {w}) "
+                f"ELSE []::BIGINT[] END)")
+
+    def step(t, o, anchors):
+        near = (f"coalesce(list_bool_or(list_transform({anchors}, lambda p: contains(array_to_string("
+                f"tok[p + 1 : p + greatest(least(p + d + len({words(t)}) + 5, len(tok)) - p, 0)], ' '), {t}))), FALSE)")
+        return (f"(CASE coalesce({o}, 'NEAR') WHEN 'NEAR' THEN {near} "
+                f"WHEN 'AND' THEN len({positions(t)}) > 0 WHEN 'OR' THEN TRUE "
+                f"WHEN 'NOT' THEN len({positions(t)}) = 0 ELSE FALSE END)")
+
+    return f"""
+prules AS (SELECT * FROM {values(rows, cols)}),
+ptext AS (SELECT transcript_id, CASE WHEN t = '' THEN []::VARCHAR[] ELSE string_split(t, ' ') END AS tok
+          FROM ({text_sql}) x),
+pkeys AS (SELECT DISTINCT transcript_id, unnest(tok) AS index_key FROM ptext),
+pcand AS (SELECT p.transcript_id, p.tok, r.* FROM pkeys k JOIN prules r ON k.index_key = r.index_key
+          JOIN ptext p ON p.transcript_id = k.transcript_id),
+pc1 AS (SELECT *, {positions('t1')} AS a1 FROM pcand),
+pc2 AS (SELECT *, CASE WHEN n_terms >= 2 THEN {step('t2', 'o1', 'a1')} ELSE TRUE END AS m2,
+               CASE WHEN n_terms >= 2 AND coalesce(o1, 'NEAR') = 'NEAR' THEN {positions('t2')} ELSE a1 END AS a2
+        FROM pc1),
+pc3 AS (SELECT *, CASE WHEN n_terms >= 3 THEN {step('t3', 'o2', 'a2')} ELSE TRUE END AS m3 FROM pc2),
+pmatch AS (SELECT transcript_id, rule_ord, cat_no, matched_terms,
+             CASE WHEN n_terms = 1 THEN CAST(0.95 AS DOUBLE)
+                  ELSE least(CAST(0.9 AS DOUBLE) + CASE WHEN n_terms >= 3 THEN CAST(0.05 AS DOUBLE)
+                             ELSE CAST(0.0 AS DOUBLE) END, CAST(0.98 AS DOUBLE)) END AS confidence
+           FROM pc3 WHERE len(a1) > 0 AND m2 AND m3),
+pbest AS (SELECT transcript_id, rule_ord AS rule_id, cat_no, confidence, matched_terms,
+                 'proximity' AS source FROM pmatch
+          QUALIFY row_number() OVER (PARTITION BY transcript_id ORDER BY (confidence >= CAST(0.95 AS DOUBLE)) DESC,
+                  CASE WHEN confidence >= CAST(0.95 AS DOUBLE) THEN CAST(0.0 AS DOUBLE) ELSE confidence END DESC,
+                  rule_ord) = 1)"""
+
+
+def prepared_docs_sql() -> str:
+    return (f"SELECT doc_id AS transcript_id, {normalize_sql(redact_sql(clean_sql('text')))} AS t "
+            "FROM documents")

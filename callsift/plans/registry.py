@@ -271,3 +271,113 @@ def q_map_columns(spark, sf):
     d = TR.table(spark, sf, "documents")
     return TR.map_columns(d, transcript=TR.detect_transcript_column(d.columns),
                           agent="source", transcript_id="doc_id")
+
+
+# --------------------------------------------------------------------------
+# Proximity rules
+# --------------------------------------------------------------------------
+
+from callsift.operators import proximity as PX  # noqa: E402
+from callsift.plans.classify import prepare  # noqa: E402
+from callsift.plans.dims import spread  # noqa: E402
+
+
+def _prepared_docs(spark, sf):
+    docs, _ = spread(TR.from_documents(spark, sf), "transcript_id")
+    return prepare(docs)
+
+
+@register("prox_classify", "WITH " + O.proximity_sql(O.prepared_docs_sql()).strip()
+          + "\nSELECT * FROM pbest")
+def q_prox(spark, sf):
+    return PX.proximity_classify(_prepared_docs(spark, sf), R.proximity_rules(spark))
+
+
+@register("prox_classify_program", "WITH " + O.proximity_sql(O.prepared_docs_sql(), "PNC").strip()
+          + "\nSELECT * FROM pbest")
+def q_prox_p(spark, sf):
+    return PX.proximity_classify(_prepared_docs(spark, sf), R.proximity_rules(spark), program="PNC")
+
+
+@register("prox_match_counts", "WITH " + O.proximity_sql(O.prepared_docs_sql()).strip()
+          + "\nSELECT rule_ord, count(*) AS matches FROM pmatch GROUP BY rule_ord")
+def q_prox_counts(spark, sf):
+    m = PX.proximity_matches(_prepared_docs(spark, sf), R.proximity_rules(spark))
+    return m.groupBy("rule_ord").agg(F.count(F.lit(1)).alias("matches"))
+
+
+# --------------------------------------------------------------------------
+# Review sampling and corrections
+# --------------------------------------------------------------------------
+
+from callsift.operators import feedback as FB  # noqa: E402
+
+_STRATUM_SQL = ("CASE WHEN confidence >= CAST(0.7 AS DOUBLE) THEN 'high' "
+                "WHEN confidence >= CAST(0.5 AS DOUBLE) THEN 'medium' ELSE 'low' END")
+_STRATIFIED_SQL = (
+    f", strat AS (SELECT *, {_STRATUM_SQL} AS stratum, md5(CAST(transcript_id AS VARCHAR) || '|42') AS k "
+    "FROM classified), "
+    "cnt AS (SELECT count(*) AS n, count(*) FILTER (WHERE stratum = 'high') AS h, "
+    "count(*) FILTER (WHERE stratum = 'medium') AS m FROM strat), "
+    "quota AS (SELECT n, CAST(trunc((h / n) * 50) AS BIGINT) AS qh, CAST(trunc((m / n) * 50) AS BIGINT) AS qm "
+    "FROM cnt), "
+    "sampled AS (SELECT s.* FROM strat s, quota q WHERE q.n <= 50 OR "
+    "(row_number() OVER (PARTITION BY s.stratum ORDER BY s.k)) <= CASE s.stratum WHEN 'high' THEN q.qh "
+    "WHEN 'medium' THEN q.qm ELSE 50 - q.qh - q.qm END) ")
+
+
+def _sample_cols(df):
+    return df.select("transcript_id", "agent_name", "category", "subcategory", "confidence", "stratum")
+
+
+@register("stratified_sample")
+def q_strat(spark, sf):
+    return _sample_cols(FB.stratified_sample(classified_docs(spark, sf)))
+
+
+ORACLE["stratified_sample"] = (
+    "WITH " + O.classified_ctes().strip() + _STRATIFIED_SQL.replace(
+        "sampled AS (SELECT s.* FROM strat s, quota q WHERE q.n <= 50 OR "
+        "(row_number() OVER (PARTITION BY s.stratum ORDER BY s.k)) <= ",
+        "ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s.stratum ORDER BY s.k) AS rn "
+        "FROM strat s), sampled AS (SELECT r.* FROM ranked r, quota q WHERE q.n <= 50 OR r.rn <= ").replace(
+        "CASE s.stratum", "CASE r.stratum")
+    + "SELECT transcript_id, agent_name, category, subcategory, confidence, stratum FROM sampled")
+
+
+@register("low_confidence_sample", W(
+    "SELECT transcript_id, agent_name, category, subcategory, confidence FROM classified "
+    "WHERE confidence < CAST(0.6 AS DOUBLE) ORDER BY confidence, transcript_id LIMIT 50"))
+def q_lowsample(spark, sf):
+    s = FB.low_confidence_sample(classified_docs(spark, sf))
+    return s.select("transcript_id", "agent_name", "category", "subcategory", "confidence")
+
+
+_CORR_SQL = ("SELECT doc_id AS transcript_id, 'low_quality' AS correct_category, "
+             "CASE WHEN toxic = 1 THEN 'toxic' END AS correct_subcategory, "
+             "CAST(NULL AS VARCHAR) AS correct_tertiary FROM labels WHERE quality = 0")
+
+
+@register("corrections_to_examples", (
+    f"WITH corr AS ({_CORR_SQL}), "
+    f"txt AS (SELECT doc_id AS transcript_id, {O.redact_sql(O.clean_sql('text'))} AS redacted_transcript "
+    "FROM documents) "
+    "SELECT c.transcript_id, substring(t.redacted_transcript, 1, 200) AS example_phrase, "
+    "c.correct_category AS category, c.correct_subcategory AS subcategory, "
+    "c.correct_tertiary AS tertiary_category, CAST(0.95 AS DOUBLE) AS confidence, 'feedback' AS source "
+    "FROM corr c JOIN txt t ON c.transcript_id = t.transcript_id"))
+def q_corr_examples(spark, sf):
+    corr = FB.corrections_from_labels(TR.table(spark, sf, "labels"))
+    return FB.corrections_to_examples(corr, prepare(TR.from_documents(spark, sf)))
+
+
+@register("correction_stats", (
+    f"WITH corr AS ({_CORR_SQL}), per AS (SELECT correct_category, count(*) AS n FROM corr "
+    "GROUP BY correct_category) "
+    "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_corrections, "
+    "coalesce(round(sum(n) / CAST(50 AS DOUBLE) * 100.0, 1), 0.0) AS correction_rate, "
+    "arg_min(correct_category, (-n, correct_category)) AS top_correction, "
+    "count(*) AS categories_corrected FROM per"))
+def q_corr_stats(spark, sf):
+    corr = FB.corrections_from_labels(TR.table(spark, sf, "labels"))
+    return FB.correction_stats(corr, 50)
