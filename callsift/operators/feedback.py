@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callsift.session import materialize
+
 HIGH, MEDIUM = 0.7, 0.5
 
 
@@ -40,7 +42,7 @@ def stratified_sample(df: DataFrame, size: int = 50, seed: int = 42) -> DataFram
 
     The three counts come from one global aggregate (a single small row on
     the driver); the draws are three bounded top-k's."""
-    s = df.withColumn("stratum", stratum()).withColumn("_k", sample_key(seed))
+    s = materialize(df.withColumn("stratum", stratum()).withColumn("_k", sample_key(seed)))
     c = s.agg(F.count(F.lit(1)).alias("n"),
               F.count_if(F.col("stratum") == "high").alias("h"),
               F.count_if(F.col("stratum") == "medium").alias("m")).first()

@@ -381,3 +381,47 @@ def q_corr_examples(spark, sf):
 def q_corr_stats(spark, sf):
     corr = FB.corrections_from_labels(TR.table(spark, sf, "labels"))
     return FB.correction_stats(corr, 50)
+
+
+# --------------------------------------------------------------------------
+# User examples
+# --------------------------------------------------------------------------
+
+from callsift.operators import examples as EX  # noqa: E402
+
+
+def _turn_texts(spark, sf):
+    t, _ = spread(TR.from_conversation_turns(spark, sf), "transcript_id")
+    return t.select("transcript_id", TX.clean_transcript("transcript").alias("transcript"))
+
+
+@register("example_classify")
+def q_examples(spark, sf):
+    return EX.example_classify(_turn_texts(spark, sf), R.user_examples(spark))
+
+
+_TURNS_SQL = (
+    "SELECT conv_id * 100000 + turn AS transcript_id, " + O.clean_sql(
+        "'[' || printf('%02d:%02d:%02d', CAST(trunc(turn / 3600) AS INTEGER), "
+        "CAST(trunc(turn / 60) AS INTEGER) % 60, turn % 60) || ' ' || "
+        "CASE WHEN role = 'assistant' THEN 'AGENT' ELSE 'CUSTOMER' END || ']: ' || text")
+    + " AS transcript FROM conversations WHERE role <> 'system'")
+
+
+def _examples_sql() -> str:
+    from callsift.sources import ruleset
+    rows = []
+    for i, (ph, cat, sub, ter, conf) in enumerate(ruleset.USER_EXAMPLES):
+        p = str(ph).lower().strip()
+        rows.append((i, " ".join(p.split()), conf if conf is not None else 0.95))
+    return O.values(rows, ["example_ord", "phrase_norm", "example_confidence"])
+
+
+@register("example_contains", (
+    f"WITH tx AS ({_TURNS_SQL}), ex AS (SELECT * FROM {_examples_sql()}) "
+    "SELECT ex.example_ord, count(*) AS n_texts FROM tx JOIN ex "
+    "ON contains(trim(regexp_replace(lower(tx.transcript), '\\s+', ' ', 'g')), ex.phrase_norm) "
+    "GROUP BY ex.example_ord"))
+def q_example_contains(spark, sf):
+    p = EX.example_pairs(_turn_texts(spark, sf), R.user_examples(spark), threshold=1.0)
+    return p.groupBy("example_ord").agg(F.count(F.lit(1)).alias("n_texts"))

@@ -106,6 +106,9 @@ USER_EXAMPLES = [
     ("Que la. Anéç équeellech.", "Language", "French", "Turn", 0.8),
     ("  Le   de  ", "Language", "French", "Articles", None),
     ("zzqx never appears", "None", None, None, None),
+    ("in nicht u einachie", "Language", "German", "Near Turn", 0.9),
+    ("que la anec equeellech", "Language", "French", "Near Turn", None),
+    ("Et laouèelleê pa", "Language", "French", "Opening", None),
 ]
 
 
