@@ -425,3 +425,123 @@ def _examples_sql() -> str:
 def q_example_contains(spark, sf):
     p = EX.example_pairs(_turn_texts(spark, sf), R.user_examples(spark), threshold=1.0)
     return p.groupBy("example_ord").agg(F.count(F.lit(1)).alias("n_texts"))
+
+
+# --------------------------------------------------------------------------
+# Result caches and upload history (K1-K5, A14-A15), rows derived from events
+# --------------------------------------------------------------------------
+
+from callsift.sources import tables as TB  # noqa: E402
+
+SPLIT_TS = "2024-01-10 00:00:00"
+NOW_TS = "2024-01-25 00:00:00"
+
+
+def _class_cache_rows(spark, sf):
+    e = TR.table(spark, sf, "events")
+    return e.select(
+        F.col("user_id").cast("string").alias("user_id"), F.md5("event_type").alias("transcript_hash"),
+        F.col("event_type").alias("category"),
+        F.concat(F.lit("v"), (F.floor("value").cast("long") % 5).cast("string")).alias("subcategory"),
+        (F.col("value") - F.floor("value")).alias("confidence"), F.col("props").alias("matched_keywords"),
+        F.lit("cached").alias("resolve_reason"), F.col("ts").alias("created_at"),
+        (F.col("ts") + F.expr(TB.TTL)).alias("expires_at"))
+
+
+_CLASS_ROWS_SQL = (
+    "SELECT CAST(user_id AS VARCHAR) AS user_id, md5(event_type) AS transcript_hash, event_type AS category, "
+    "'v' || CAST(CAST(floor(value) AS BIGINT) % 5 AS VARCHAR) AS subcategory, value - floor(value) AS confidence, "
+    "props AS matched_keywords, 'cached' AS resolve_reason, ts AS created_at, "
+    "ts + INTERVAL 7 DAYS AS expires_at FROM events")
+_CLASS_UPSERT_SQL = (
+    f"SELECT * FROM ({_CLASS_ROWS_SQL}) r QUALIFY row_number() OVER (PARTITION BY user_id, transcript_hash "
+    "ORDER BY created_at DESC, category DESC, subcategory DESC, confidence DESC, matched_keywords DESC, "
+    "resolve_reason DESC, expires_at DESC) = 1")
+
+
+def _class_cache(spark, sf):
+    rows = _class_cache_rows(spark, sf)
+    old = rows.filter(F.col("created_at") < F.lit(SPLIT_TS).cast("timestamp"))
+    new = rows.filter(F.col("created_at") >= F.lit(SPLIT_TS).cast("timestamp"))
+    return TB.upsert(old, new, TB.CLASSIFICATION_KEY)
+
+
+@register("cache_upsert", _CLASS_UPSERT_SQL)
+def q_cache_upsert(spark, sf):
+    return _class_cache(spark, sf)
+
+
+_PROBE_SQL = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id, md5(event_type) AS transcript_hash FROM events"
+
+
+@register("cache_hits", (
+    f"WITH c AS ({_CLASS_UPSERT_SQL}), p AS ({_PROBE_SQL}) SELECT p.user_id, p.transcript_hash, c.category, "
+    "c.confidence, c.expires_at FROM p JOIN c ON p.user_id = c.user_id AND p.transcript_hash = c.transcript_hash "
+    f"WHERE c.expires_at >= TIMESTAMP '{NOW_TS}'"))
+def q_cache_hits(spark, sf):
+    probe = _class_cache_rows(spark, sf).select(*TB.CLASSIFICATION_KEY).distinct()
+    hits, _ = TB.lookup(probe, _class_cache(spark, sf), TB.CLASSIFICATION_KEY, NOW_TS)
+    return hits.select("user_id", "transcript_hash", "category", "confidence", "expires_at")
+
+
+@register("cache_misses", (
+    f"WITH c AS ({_CLASS_UPSERT_SQL}), p AS ({_PROBE_SQL}) SELECT p.user_id, p.transcript_hash FROM p "
+    f"WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = p.user_id AND c.transcript_hash = p.transcript_hash "
+    f"AND c.expires_at >= TIMESTAMP '{NOW_TS}')"))
+def q_cache_misses(spark, sf):
+    probe = _class_cache_rows(spark, sf).select(*TB.CLASSIFICATION_KEY).distinct()
+    _, misses = TB.lookup(probe, _class_cache(spark, sf), TB.CLASSIFICATION_KEY, NOW_TS)
+    return misses
+
+
+def _coach_cache_rows(spark, sf):
+    e = TR.table(spark, sf, "events")
+    return e.select(
+        F.col("user_id").cast("string").alias("user_id"),
+        F.concat(F.lit("agent"), (F.col("user_id") % 7).cast("string")).alias("agent_name"),
+        F.md5(F.concat("event_type", "props")).alias("prompt_hash"), F.col("props").alias("coaching_json"),
+        F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")).alias("model_used"),
+        F.col("ts").alias("created_at"), (F.col("ts") + F.expr(TB.TTL)).alias("expires_at"))
+
+
+_COACH_UPSERT_SQL = (
+    "SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, 'agent' || CAST(user_id % 7 AS VARCHAR) AS "
+    "agent_name, md5(event_type || props) AS prompt_hash, props AS coaching_json, "
+    "'m' || CAST(event_id % 3 AS VARCHAR) AS model_used, ts AS created_at, ts + INTERVAL 7 DAYS AS expires_at "
+    "FROM events) r QUALIFY row_number() OVER (PARTITION BY user_id, agent_name, prompt_hash "
+    "ORDER BY created_at DESC, coaching_json DESC, model_used DESC, expires_at DESC) = 1")
+
+
+def _coach_cache(spark, sf):
+    rows = _coach_cache_rows(spark, sf)
+    old = rows.filter(F.col("created_at") < F.lit(SPLIT_TS).cast("timestamp"))
+    new = rows.filter(F.col("created_at") >= F.lit(SPLIT_TS).cast("timestamp"))
+    return TB.upsert(old, new, TB.COACHING_KEY)
+
+
+@register("coaching_cache_upsert", _COACH_UPSERT_SQL)
+def q_coach_upsert(spark, sf):
+    return _coach_cache(spark, sf)
+
+
+@register("cache_evict", (
+    f"SELECT (SELECT count(*) FROM ({_CLASS_UPSERT_SQL}) a WHERE expires_at < TIMESTAMP '{NOW_TS}') "
+    "AS classifications, "
+    f"(SELECT count(*) FROM ({_COACH_UPSERT_SQL}) b WHERE expires_at < TIMESTAMP '{NOW_TS}') AS coaching"))
+def q_cache_evict(spark, sf):
+    return TB.eviction_counts({"classifications": _class_cache(spark, sf),
+                               "coaching": _coach_cache(spark, sf)}, NOW_TS)
+
+
+@register("upload_history_topk", (
+    "SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type || '_' || CAST(event_id AS VARCHAR) "
+    "|| '.csv' AS filename, CAST(event_id % 1000 AS BIGINT) AS row_count, value AS processing_time_seconds, "
+    "ts AS created_at FROM events) h QUALIFY row_number() OVER (PARTITION BY user_id "
+    "ORDER BY created_at DESC, filename) <= 10"))
+def q_history(spark, sf):
+    e = TR.table(spark, sf, "events")
+    h = e.select(F.col("user_id").cast("string").alias("user_id"),
+                 F.concat("event_type", F.lit("_"), F.col("event_id").cast("string"), F.lit(".csv")).alias("filename"),
+                 (F.col("event_id") % 1000).cast("long").alias("row_count"),
+                 F.col("value").alias("processing_time_seconds"), F.col("ts").alias("created_at"))
+    return TB.upload_history(h)
