@@ -545,3 +545,138 @@ def q_history(spark, sf):
                  (F.col("event_id") % 1000).cast("long").alias("row_count"),
                  F.col("value").alias("processing_time_seconds"), F.col("ts").alias("created_at"))
     return TB.upload_history(h)
+
+
+# --------------------------------------------------------------------------
+# Coaching preparation
+# --------------------------------------------------------------------------
+
+from callsift.operators import coaching as CO  # noqa: E402
+
+
+def _bundle(spark, sf):
+    docs = TR.from_documents(spark, sf)
+    return CO.coaching_bundle(classified_docs(spark, sf), prepare(docs))
+
+
+@register("coaching_bundle", W(
+    ", m AS (SELECT agent_name, count(*) AS total_calls, round(avg(confidence), 3) AS avg_confidence, "
+    "count(DISTINCT category) AS unique_categories, count(DISTINCT subcategory) AS unique_subcategories "
+    "FROM classified WHERE agent_name IS NOT NULL GROUP BY agent_name), "
+    "ac AS (SELECT agent_name, category, count(*) AS count, min(transcript_id) AS sample_id, "
+    "arg_min(subcategory, transcript_id) AS sample_subcategory, arg_min(confidence, transcript_id) "
+    "AS sample_confidence FROM classified WHERE agent_name IS NOT NULL AND category IS NOT NULL "
+    "GROUP BY agent_name, category), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY agent_name ORDER BY count DESC, category) AS rank FROM ac) "
+    "SELECT r.agent_name, m.total_calls, m.avg_confidence, m.unique_categories, m.unique_subcategories, "
+    "r.rank, r.category, r.count, CASE WHEN r.rank <= 5 THEN r.sample_id END AS sample_id, "
+    "CASE WHEN r.rank <= 5 THEN r.sample_subcategory END AS sample_subcategory, "
+    "CASE WHEN r.rank <= 5 THEN r.sample_confidence END AS sample_confidence, "
+    "CASE WHEN r.rank <= 5 THEN substring(p.redacted_transcript, 1, 500) END AS sample_text "
+    "FROM r JOIN m ON r.agent_name = m.agent_name LEFT JOIN prep p ON p.transcript_id = r.sample_id "
+    "WHERE r.rank <= 10").replace("FROM classified\n, m AS", ", m AS"))
+def q_bundle(spark, sf):
+    return _bundle(spark, sf)
+
+
+@register("coaching_prompts")
+def q_prompts(spark, sf):
+    p = CO.coaching_prompts(CO.nest_bundle(_bundle(spark, sf)), context_limit=8000)
+    return p.select("agent_name", "was_truncated", "est_tokens", "prompt_hash")
+
+
+@register("parse_responses")
+def q_parse(spark, sf):
+    c = TR.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    r = c.select(F.concat(F.lit("agent"), (F.col("conv_id") % 7).cast("string")).alias("agent_name"),
+                 F.col("conv_id"), F.col("turn"), F.col("text").alias("content"))
+    return CO.parse_responses(r).select("conv_id", "turn", "parse_path", "root_cause",
+                                        F.size("coaching_points").alias("n_points"), "priority",
+                                        F.length("raw_response").alias("raw_len"))
+
+
+# --------------------------------------------------------------------------
+# Report aggregates (E16) and exports
+# --------------------------------------------------------------------------
+
+from callsift.operators import report as RP  # noqa: E402
+from callsift.sources import export as XP  # noqa: E402
+from callsift.session import scratch_path  # noqa: E402
+
+
+@register("report_summary", W(
+    f"SELECT count(*) AS total, ROUND(avg(confidence), {A.AVG_DIGITS}) AS avg_confidence, "
+    "count(DISTINCT category) AS unique_categories, count(DISTINCT subcategory) AS unique_subcategories "
+    "FROM classified"))
+def q_rep_summary(spark, sf):
+    return RP.report_summary(classified_docs(spark, sf))
+
+
+@register("report_top_agents", W(
+    f"SELECT agent_name, count(transcript_id) AS total_calls, ROUND(avg(confidence), {A.AVG_DIGITS}) "
+    "AS avg_confidence, count(DISTINCT category) AS unique_categories FROM classified "
+    "WHERE agent_name IS NOT NULL GROUP BY agent_name ORDER BY total_calls DESC, agent_name LIMIT 10"))
+def q_rep_agents(spark, sf):
+    return RP.report_top_agents(classified_docs(spark, sf))
+
+
+@register("report_top_issues", W(
+    "SELECT category, subcategory, count(*) AS count FROM classified "
+    "WHERE category IS NOT NULL AND subcategory IS NOT NULL GROUP BY category, subcategory "
+    "ORDER BY count DESC, category, subcategory LIMIT 10"))
+def q_rep_issues(spark, sf):
+    return RP.report_top_issues(classified_docs(spark, sf))
+
+
+@register("report_top_categories", W(
+    "SELECT category, count(*) AS count FROM classified WHERE category IS NOT NULL "
+    "GROUP BY category ORDER BY count DESC, category LIMIT 10"))
+def q_rep_cats(spark, sf):
+    return RP.report_top_categories(classified_docs(spark, sf))
+
+
+@register("export_parquet", W(
+    "SELECT transcript_id, agent_name, category, subcategory, tertiary, quaternary, cat_no, confidence, "
+    "matched_keywords, source FROM classified"))
+def q_export(spark, sf):
+    out = classified_docs(spark, sf).select(
+        "transcript_id", "agent_name", "category", "subcategory", "tertiary", "quaternary", "cat_no",
+        "confidence", "matched_keywords", "source")
+    path = XP.export_parquet(out, scratch_path(spark, "export"))
+    return spark.read.parquet(path)
+
+
+# --------------------------------------------------------------------------
+# Streaming (M1, M2)
+# --------------------------------------------------------------------------
+
+from callsift.streaming import classify_stream as ST  # noqa: E402
+
+
+def _stream(spark, sf):
+    schema = TR.table(spark, sf, "documents").schema
+    to_t = lambda b: TR.map_columns(b.select("doc_id", "text", "source"), transcript="text",
+                                    agent="source", transcript_id="doc_id")
+    return ST.run_classification_stream(spark, sf, schema, to_t, R.keyword_rules(spark), R.hierarchy(spark),
+                                        file_glob="documents.parquet")
+
+
+@register("stream_classify", W(
+    "SELECT transcript_id, category, subcategory, cat_no, confidence, num_rules_activated FROM classified"))
+def q_stream(spark, sf):
+    paths = _stream(spark, sf)
+    return spark.read.parquet(paths["classified"]).select(
+        "transcript_id", "category", "subcategory", "cat_no", "confidence", "num_rules_activated")
+
+
+@register("stream_running_stats", W(
+    "SELECT CAST(count(*) AS BIGINT) AS total_transcripts, "
+    "count(*) FILTER (WHERE category <> 'Unclassified') AS classified, "
+    "count(*) FILTER (WHERE confidence >= CAST(0.7 AS DOUBLE)) AS high_confidence, "
+    "count(*) FILTER (WHERE confidence >= CAST(0.5 AS DOUBLE) AND confidence < CAST(0.7 AS DOUBLE)) "
+    "AS medium_confidence, count(*) FILTER (WHERE confidence >= CAST(0.4 AS DOUBLE) AND "
+    "confidence < CAST(0.5 AS DOUBLE)) AS low_confidence FROM classified"))
+def q_stream_stats(spark, sf):
+    paths = _stream(spark, sf)
+    return ST.running_stats(spark.read.parquet(paths["stats"])).select(
+        "total_transcripts", "classified", "high_confidence", "medium_confidence", "low_confidence")
