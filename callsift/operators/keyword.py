@@ -88,10 +88,14 @@ def keyword_hits(docs: DataFrame, terms: DataFrame, carry: list[str] = ()) -> Da
 
 
 def rule_scores(hits: DataFrame, parsed_rules: DataFrame, slots: DataFrame,
-                n_slots: int, n_rules: int, carry: list[str] = ()) -> DataFrame:
+                n_slots: int, n_rules: int, carry: list[str] = (), kw_bits: int = 0) -> DataFrame:
     """Per (transcript, rule) kept scores -- confidence, matched groups, the
-    sorted (group_no, kw_no) pairs of the matched keywords -- plus each
-    text's sentinel row (null ``rule_ord``)."""
+    matched keyword of each group -- plus each text's sentinel row (null
+    ``rule_ord``).
+
+    With ``kw_bits > 0`` the matched keywords travel as one BIGINT
+    (``kw_no + 1`` in ``kw_bits`` bits per group), which keeps every
+    aggregate a fixed-width hash aggregate; otherwise as a sorted array."""
     s = checked_broadcast(slots.select("rule_ord", "group_no", "kw_no", "term"), n_slots)
     sentinel = F.col("term").isNull()
     rows = (hits.join(s, "term", "left")
@@ -104,14 +108,19 @@ def rule_scores(hits: DataFrame, parsed_rules: DataFrame, slots: DataFrame,
     kw = F.shiftright("packed", 40)
     gpos = F.shiftright("packed", 1).bitwiseAND(F.lit((1 << 39) - 1))
     gneg = F.col("packed").bitwiseAND(F.lit(1))
+    if kw_bits:
+        code = F.expr(f"shiftleft(shiftright(packed, 40) + 1, group_no * {kw_bits})")
+        kw_agg = F.sum(F.when(g, code)).alias("kw_code")
+    else:
+        kw_agg = F.array_sort(F.collect_list(F.when(g, F.struct(
+            F.col("group_no"), kw.cast("int").alias("kw_no"))))).alias("kw_code")
     per_rule = per_group.groupBy(*keys, "rule_ord").agg(
         F.count_if(g).alias("matched_groups"),
         F.bool_or(~g).alias("vetoed"),
         F.min(F.when(g, gpos)).alias("min_pos"),
         F.max(F.when(g, gpos)).alias("max_pos"),
         F.sum(F.when(g, gneg)).alias("n_neg"),
-        F.array_sort(F.collect_list(F.when(g, F.struct(F.col("group_no"), kw.cast("int").alias("kw_no")))))
-         .alias("kw_pairs"),
+        kw_agg,
     )
     is_sent = F.col("rule_ord").isNull()
     per_rule = per_rule.filter(is_sent | (~F.col("vetoed") & (F.col("matched_groups") > 0)))
@@ -127,27 +136,35 @@ def rule_scores(hits: DataFrame, parsed_rules: DataFrame, slots: DataFrame,
     penalty = F.least(F.col("n_neg").cast("double") * F.lit(P.NEGATION_STEP), F.lit(P.NEGATION_CAP))
     conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (base + bonus) - penalty))
     return (per_rule.join(rules, "rule_ord", "left")
-            .select(*keys, "rule_ord", "matched_groups", "kw_pairs", conf.alias("confidence"))
+            .select(*keys, "rule_ord", "matched_groups", "kw_code", conf.alias("confidence"))
             .filter(is_sent | (F.col("confidence") >= F.lit(P.MIN_RULE_CONFIDENCE))))
 
 
 def best_rule(scores: DataFrame, parsed_rules: DataFrame, n_rules: int,
-              carry: list[str] = ()) -> DataFrame:
+              carry: list[str] = (), kw_bits: int = 0) -> DataFrame:
     """One row per text: argmax (confidence desc, rule ordinal asc) and the
     number of kept rules; rule columns are null when no rule was kept."""
     real = F.col("rule_ord").isNotNull()
     cand = F.when(real, F.struct(F.col("confidence"), (-F.col("rule_ord")).alias("neg_ord"),
-                                 F.col("matched_groups"), F.col("kw_pairs")))
+                                 F.col("matched_groups"), F.col("kw_code")))
     best = scores.groupBy("transcript_id", *carry).agg(
         F.max(cand).alias("b"),
         F.count_if(real).cast("int").alias("num_rules_activated"),
     ).select("transcript_id", *carry, "num_rules_activated",
              (-F.col("b.neg_ord")).alias("rule_ord"), F.col("b.confidence").alias("confidence"),
-             F.col("b.matched_groups").alias("matched_groups"), F.col("b.kw_pairs").alias("kw_pairs"))
+             F.col("b.matched_groups").alias("matched_groups"), F.col("b.kw_code").alias("kw_code"))
     rules = checked_broadcast(
         parsed_rules.select("rule_ord", "rule_id", "category", "subcategory", "groups"), n_rules)
-    kws = F.expr("array_join(transform(kw_pairs, p -> "
-                 "element_at(element_at(groups, p.group_no + 1), p.kw_no + 1)), ' | ')")
+    if kw_bits:
+        mask = (1 << kw_bits) - 1
+        kws = F.expr(
+            f"array_join(transform(filter(sequence(0, size(groups) - 1), "
+            f"gi -> (shiftright(kw_code, gi * {kw_bits}) & {mask}) > 0), "
+            f"gi -> element_at(element_at(groups, gi + 1), "
+            f"cast(shiftright(kw_code, gi * {kw_bits}) & {mask} as int))), ' | ')")
+    else:
+        kws = F.expr("array_join(transform(kw_code, p -> "
+                     "element_at(element_at(groups, p.group_no + 1), p.kw_no + 1)), ' | ')")
     return best.join(rules, "rule_ord", "left").select(
         "transcript_id", *carry, "rule_ord", "rule_id", "category", "subcategory", "confidence",
         "matched_groups", kws.alias("matched_keywords"), "num_rules_activated")
@@ -163,6 +180,12 @@ class RuleBase:
         self.n_rules = bounded_count(parsed_rules)
         self.n_slots = bounded_count(self.slots)
         self.terms = term_table(self.slots)
+        # Width of the packed keyword code: kw_no + 1 per group must fit.
+        shape = self.slots.filter(F.col("group_no") >= 0).agg(
+            F.max("group_no").alias("g"), F.max("kw_no").alias("k")).first()
+        groups, kws = (shape["g"] or 0) + 1, (shape["k"] or 0) + 1
+        bits = max(1, (kws).bit_length())
+        self.kw_bits = bits if bits * groups <= 62 else 0
 
 
 def score_texts(prepared: DataFrame, rb: RuleBase, carry: list[str] = (),
@@ -186,5 +209,5 @@ def score_texts(prepared: DataFrame, rb: RuleBase, carry: list[str] = (),
     if not co_partitioned:
         n = num_partitions or int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         hits = hits.repartition(n, "transcript_id")
-    scores = rule_scores(hits, rb.parsed, rb.slots, rb.n_slots, rb.n_rules, carry)
-    return best_rule(scores, rb.parsed, rb.n_rules, carry)
+    scores = rule_scores(hits, rb.parsed, rb.slots, rb.n_slots, rb.n_rules, carry, rb.kw_bits)
+    return best_rule(scores, rb.parsed, rb.n_rules, carry, rb.kw_bits)
