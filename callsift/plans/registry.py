@@ -251,7 +251,9 @@ def _pii_stats_sql(table: str, col: str) -> str:
 
 @register("pii_stats", _pii_stats_sql("documents", "text"))
 def q_pii_stats(spark, sf):
-    return PII.pii_stats(TR.table(spark, sf, "documents"), "text")
+    from callsift.plans.dims import spread
+    docs, _ = spread(TR.table(spark, sf, "documents"), "doc_id")
+    return PII.pii_stats(docs, "text")
 
 
 @register("estimate_tokens", (
