@@ -682,3 +682,111 @@ def q_stream_stats(spark, sf):
     paths = _stream(spark, sf)
     return ST.running_stats(spark.read.parquet(paths["stats"])).select(
         "total_transcripts", "classified", "high_confidence", "medium_confidence", "low_confidence")
+
+
+# --------------------------------------------------------------------------
+# Hierarchy validation (C11), distinct agents (H5)
+# --------------------------------------------------------------------------
+
+from callsift.operators import hierarchy as HY  # noqa: E402
+
+
+@register("hierarchy_validate", W(
+    ", ccre_cat AS (SELECT c.transcript_id, CASE WHEN c.rule_ord IS NULL THEN 'Unclassified' "
+    "ELSE u.category END AS category, CASE WHEN c.rule_ord IS NOT NULL THEN u.subcategory "
+    "WHEN c.is_empty THEN 'Empty Transcript' ELSE 'No Match' END AS subcategory "
+    "FROM ccre c LEFT JOIN rules u ON c.rule_ord = u.rule_ord), "
+    "paths AS (SELECT DISTINCT L1, CAST(NULL AS VARCHAR) AS L2 FROM hier WHERE Program = 'CCRE' "
+    "UNION SELECT DISTINCT L1, L2 FROM hier WHERE Program = 'CCRE') "
+    "SELECT transcript_id, category, subcategory, EXISTS (SELECT 1 FROM paths p WHERE "
+    "p.L1 IS NOT DISTINCT FROM ccre_cat.category AND p.L2 IS NOT DISTINCT FROM ccre_cat.subcategory) "
+    "AS path_valid FROM ccre_cat"))
+def q_hier_validate(spark, sf):
+    c = classify_ccre(TR.from_documents(spark, sf), R.keyword_rules(spark))
+    return HY.validate_paths(c.select("transcript_id", "category", "subcategory"), R.hierarchy(spark),
+                             "CCRE", [("category", "L1"), ("subcategory", "L2")])
+
+
+@register("distinct_agents", W(
+    "SELECT DISTINCT agent_name FROM classified WHERE agent_name IS NOT NULL ORDER BY agent_name"))
+def q_agents_distinct(spark, sf):
+    return (classified_docs(spark, sf).filter(F.col("agent_name").isNotNull())
+            .select("agent_name").distinct().orderBy("agent_name"))
+
+
+# --------------------------------------------------------------------------
+# User-scoped hierarchy and examples tables (A9-A13), rows derived from
+# events (current table) and from the data (uploads)
+# --------------------------------------------------------------------------
+
+UPLOAD_USER = "7"
+
+
+def _user_hier_current(spark, sf):
+    e = TR.table(spark, sf, "events").filter(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp"))
+    return e.select(F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("category"),
+                    F.concat(F.lit("sub"), (F.col("event_id") % 3).cast("string")).alias("subcategory"),
+                    F.lit(None).cast("string").alias("tertiary_category"))
+
+
+def _user_hier_upload(spark, sf):
+    e = TR.table(spark, sf, "events").filter((F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp"))
+                                             & (F.col("user_id") == int(UPLOAD_USER)))
+    return e.select(F.concat(F.lit(" "), F.col("event_type"), F.lit("  ")).alias("category"),
+                    F.when(F.col("event_id") % 2 == 0, F.lit(None))
+                     .otherwise(F.concat(F.lit("\tx"), (F.col("event_id") % 5).cast("string"))).alias("subcategory"),
+                    F.concat(F.lit(" t"), (F.col("event_id") % 4).cast("string"), F.lit(" ")).alias("tertiary_category"))
+
+
+@register("hierarchy_replace", (
+    "SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS category, 'sub' || CAST(event_id % 3 AS VARCHAR) "
+    "AS subcategory, CAST(NULL AS VARCHAR) AS tertiary_category FROM events "
+    f"WHERE ts < TIMESTAMP '{SPLIT_TS}' AND CAST(user_id AS VARCHAR) <> '{UPLOAD_USER}' "
+    f"UNION ALL SELECT '{UPLOAD_USER}', event_type, CASE WHEN event_id % 2 = 0 THEN NULL ELSE "
+    "'x' || CAST(event_id % 5 AS VARCHAR) END, 't' || CAST(event_id % 4 AS VARCHAR) FROM events "
+    f"WHERE ts >= TIMESTAMP '{SPLIT_TS}' AND user_id = {UPLOAD_USER}"))
+def q_hier_replace(spark, sf):
+    return TB.replace_user_hierarchy(_user_hier_current(spark, sf), _user_hier_upload(spark, sf), UPLOAD_USER)
+
+
+def _examples_current(spark, sf):
+    e = TR.table(spark, sf, "events").filter(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp"))
+    return e.select(F.col("user_id").cast("string").alias("user_id"), F.col("props").alias("example_phrase"),
+                    F.col("event_type").alias("category"), F.lit(None).cast("string").alias("subcategory"),
+                    F.lit(None).cast("string").alias("tertiary_category"),
+                    (F.col("value") / 100.0).alias("confidence"), F.lit("manual").alias("source"))
+
+
+_EXAMPLES_CURRENT_SQL = (
+    "SELECT CAST(user_id AS VARCHAR) AS user_id, props AS example_phrase, event_type AS category, "
+    "CAST(NULL AS VARCHAR) AS subcategory, CAST(NULL AS VARCHAR) AS tertiary_category, "
+    f"value / 100.0 AS confidence, 'manual' AS source FROM events WHERE ts < TIMESTAMP '{SPLIT_TS}'")
+
+
+@register("examples_append", (
+    f"WITH corr AS ({_CORR_SQL}), "
+    f"txt AS (SELECT doc_id AS transcript_id, {O.redact_sql(O.clean_sql('text'))} AS redacted_transcript "
+    "FROM documents) "
+    f"{_EXAMPLES_CURRENT_SQL} UNION ALL SELECT '{UPLOAD_USER}', "
+    "trim(substring(t.redacted_transcript, 1, 200)), c.correct_category, c.correct_subcategory, "
+    "c.correct_tertiary, CAST(0.95 AS DOUBLE), 'feedback' "
+    "FROM corr c JOIN txt t ON c.transcript_id = t.transcript_id"))
+def q_examples_append(spark, sf):
+    corr = FB.corrections_from_labels(TR.table(spark, sf, "labels"))
+    upload = FB.corrections_to_examples(corr, prepare(TR.from_documents(spark, sf)))
+    return TB.append_user_examples(_examples_current(spark, sf), upload, UPLOAD_USER)
+
+
+@register("examples_delete", (
+    f"SELECT * FROM ({_EXAMPLES_CURRENT_SQL}) x WHERE NOT (user_id = '8' AND example_phrase = '{{\"k\": 69}}') "
+    "AND user_id <> '9'"))
+def q_examples_delete(spark, sf):
+    t = TB.delete_user_examples(_examples_current(spark, sf), "8", '{"k": 69}')
+    return TB.delete_user_examples(t, "9")
+
+
+@register("coaching_pending")
+def q_coaching_pending(spark, sf):
+    prompts = CO.coaching_prompts(CO.nest_bundle(_bundle(spark, sf)))
+    return CO.pending_prompts(prompts, _coach_cache(spark, sf), UPLOAD_USER, NOW_TS).select(
+        "agent_name", "was_truncated", "est_tokens", "prompt_hash")
