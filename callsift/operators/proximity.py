@@ -13,11 +13,21 @@ Semantics (tokens = lower-cased whitespace split of the text):
 Per text the winner is the lowest rule ordinal among matches >= 0.95, else
 the highest confidence with the lowest ordinal.
 
-Plan: candidate rules come from an inverted index -- distinct tokens of a
-text equi-joined with the broadcast rules on Term1's first word (a rule
-can only match when Term1 occurs); the chain is evaluated with array
-higher-order functions on each (text, candidate) row; one aggregate per
-text picks the winner.
+Plan (all JVM-side string functions, no per-token lambdas):
+  * the text is normalized once and padded, ``' ' + ' '.join(tokens) + ' '``;
+    tokens are separated by exactly one space there, so "phrase w1..wk
+    starts at a token" is ``contains(padded, ' w1 .. wk ')``;
+  * NEAR is one regular expression per rule, built on the (broadcast) rule
+    side: a space, a look-ahead for the anchor phrase, then at most
+    ``window - 1 - spaces(term)`` whole tokens and a token prefix before the
+    literal term -- i.e. the term lies inside the window of some anchor;
+  * candidates come from an inverted index: the distinct tokens of a text
+    equi-joined with the broadcast rules on each term's index key (first
+    word). When Term1's key is its own first word (the usual case) only that
+    key is indexed -- a rule can only match when Term1 occurs; otherwise every
+    term's key is indexed and a (text, rule) pair is kept once, on its first
+    present key;
+  * one aggregate per text picks the winner.
 """
 
 from __future__ import annotations
@@ -26,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsift.functions.patterns import WS
-from callsift.functions.text import collapse_ws, tokenize
+from callsift.functions.text import collapse_ws, normalize_text
 from callsift.plans.dims import bounded_count, checked_broadcast
 
 
@@ -41,10 +51,66 @@ def _words(term: Column) -> Column:
     return F.when(collapsed == "", F.array().cast("array<string>")).otherwise(F.split(collapsed, " "))
 
 
+def _key(term: Column) -> Column:
+    """Index key of a term: its first word when it holds a space, else the
+    whole term."""
+    return F.when(F.instr(term, " ") > 0, _words(term)[0]).otherwise(term)
+
+
+def _quote(s: Column) -> Column:
+    """Regex literal of a string (``\\Q..\\E`` with inner ``\\E`` escaped)."""
+    return F.concat(F.lit("\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+_MAX_REPEAT = 2_147_483_647
+
+
+def _near_regex(anchor_phrase: Column, anchor_k: Column, term: Column, term_k: Column,
+                d: Column) -> Column:
+    """Pattern that finds, in the padded text, an anchor-phrase occurrence
+    whose window ``tokens[p : p + d + k + 5]`` (joined by spaces) contains
+    ``term``; null when no non-empty term can fit the window."""
+    window = d.cast("long") + term_k + F.lit(5)
+    spaces = F.length(term) - F.length(F.replace(term, F.lit(" "), F.lit("")))
+    skip = F.least(window - 1 - spaces, F.lit(_MAX_REPEAT))
+    look = F.when(anchor_k == 0, F.lit("")).otherwise(
+        F.concat(F.lit("(?="), _quote(anchor_phrase), F.lit(" )")))
+    return F.when(skip >= 0, F.concat(
+        F.lit(" "), look, F.lit("(?:[^ ]+ ){0,"), skip.cast("string"), F.lit("}[^ ]*?"), _quote(term)))
+
+
+def _near_wrapped(padded: Column, anchor_words: Column, term: Column, win: Column) -> Column:
+    """NEAR for a negative window length (a negative distance). The window end
+    ``min(p + win, n)`` is then a Python slice end: below zero it counts from
+    the end of the token list, so anchors near the start see a window that
+    stops ``-(p + win)`` tokens before the end. Rare rules; evaluated on the
+    token array."""
+    tok = F.split(F.trim(padded), " ")
+    n = F.size(tok)
+    k = F.size(anchor_words)
+    first = F.try_element_at(anchor_words, F.lit(1))
+    anchors = F.when(k == 0, F.sequence(F.lit(0), n)).when(n >= k, F.filter(
+        F.sequence(F.lit(0), n - k),
+        lambda i: (F.element_at(tok, i + 1) == first) & (F.slice(tok, i + 1, k) == anchor_words)))
+
+    def window_has(p):
+        end = F.least(p + win, n.cast("long"))
+        end = F.when(end < 0, F.greatest(end + n, F.lit(0))).otherwise(end)
+        length = F.greatest(end - p, F.lit(0)).cast("int")
+        return F.array_join(F.slice(tok, p + 1, length), " ").contains(term)
+
+    return F.coalesce(F.exists(anchors, window_has), F.lit(False))
+
+
 def parse_proximity_rules(rules: DataFrame) -> DataFrame:
     """Terms lower-cased and stripped (missing ones skipped), operators
     upper-cased, distances truncated to int; rows without any term dropped.
-    Adds the index key (first word of the first term) and the NEAR distance."""
+
+    Adds everything the text side needs, computed once on the rule table:
+    ``index_keys``; per term ``i`` its exact-match needle ``needle_i``
+    (``' w1 .. wk '``, null for an empty term) and word count ``k_i``; the
+    NEAR patterns ``near2_re``/``near3_re`` and the operators ``op1``/``op2``
+    (missing -> NEAR)."""
     terms = F.filter(F.array(*[_norm_term(F.col(f"Term{i}")) for i in (1, 2, 3)]),
                      lambda x: x.isNotNull())
     ops = F.filter(F.array(*[F.upper(F.col(f"Operator{i}").cast("string")) for i in (1, 2)]),
@@ -56,30 +122,32 @@ def parse_proximity_rules(rules: DataFrame) -> DataFrame:
     p = rules.select("rule_ord", F.col("Program").alias("program"), F.col("CatNo").alias("cat_no"),
                      terms.alias("terms"), ops.alias("operators"), dist.alias("max_distance"))
     p = p.filter(F.size("terms") > 0)
-    t1 = F.col("terms")[0]
-    first = F.when(F.instr(t1, " ") > 0, _words(t1)[0]).otherwise(t1)
-    return p.withColumn("index_key", first)
-
-
-def _positions(tok: Column, n: Column, words: Column) -> Column:
-    k = F.size(words)
-    scan = F.filter(F.sequence(F.lit(0), n - k),
-                    lambda i: F.slice(tok, i + 1, k) == words)
-    return (F.when(k == 0, F.sequence(F.lit(0), n))
-            .when(n >= k, scan)
-            .otherwise(F.array().cast("array<int>")))
-
-
-def _present(tok: Column, n: Column, term: Column) -> Column:
-    w = _words(term)
-    return F.when(F.size(w) == 1, F.array_contains(tok, w[0])).otherwise(
-        F.size(_positions(tok, n, w)) > 0)
-
-
-def _near(tok: Column, n: Column, anchors: Column, term: Column, d: Column) -> Column:
-    k = F.size(_words(term))
-    return F.exists(anchors, lambda p: F.array_join(
-        F.slice(tok, p + 1, F.greatest(F.least(p + d + k + 5, n) - p, F.lit(0))), " ").contains(term))
+    n_terms = F.size("terms")
+    t = {i: F.try_element_at(F.col("terms"), F.lit(i)) for i in (1, 2, 3)}
+    w = {i: _words(t[i]) for i in (1, 2, 3)}
+    p = p.select(
+        "*", n_terms.alias("n_terms"), t[2].alias("t2"), t[3].alias("t3"),
+        *[F.size(w[i]).alias(f"k{i}") for i in (1, 2, 3)],
+        *[F.array_join(w[i], " ").alias(f"phrase{i}") for i in (1, 2, 3)],
+        *[F.coalesce(F.try_element_at(F.col("operators"), F.lit(i)), F.lit("NEAR")).alias(f"op{i}")
+          for i in (1, 2)],
+        F.when(_key(t[1]).eqNullSafe(F.try_element_at(w[1], F.lit(1))), F.array(_key(t[1])))
+         .otherwise(F.array_distinct(F.transform("terms", _key))).alias("index_keys"))
+    needle = {i: F.when(F.col(f"k{i}") > 0, F.concat(F.lit(" "), F.col(f"phrase{i}"), F.lit(" ")))
+              for i in (1, 2, 3)}
+    d = F.col("max_distance")
+    near2 = _near_regex(F.col("phrase1"), F.col("k1"), F.col("t2"), F.col("k2"), d)
+    a3_near = F.col("op1") == "NEAR"  # step-3 anchors: Term2 after a NEAR, else Term1
+    near3 = _near_regex(F.when(a3_near, F.col("phrase2")).otherwise(F.col("phrase1")),
+                        F.when(a3_near, F.col("k2")).otherwise(F.col("k1")),
+                        F.col("t3"), F.col("k3"), d)
+    win2 = d.cast("long") + F.col("k2") + F.lit(5)
+    win3 = d.cast("long") + F.col("k3") + F.lit(5)
+    anchor3 = F.when(a3_near, w[2]).otherwise(w[1])
+    return p.select("*", *[needle[i].alias(f"needle{i}") for i in (1, 2, 3)],
+                    near2.alias("near2_re"), near3.alias("near3_re"),
+                    win2.alias("win2"), win3.alias("win3"),
+                    w[1].alias("anchor2_words"), anchor3.alias("anchor3_words"))
 
 
 def proximity_matches(texts: DataFrame, rules: DataFrame, program: str | None = None,
@@ -88,38 +156,56 @@ def proximity_matches(texts: DataFrame, rules: DataFrame, program: str | None =
     parsed = parse_proximity_rules(rules)
     if program:
         parsed = parsed.filter(F.col("program") == F.lit(program))
+    parsed = parsed.select("*", F.posexplode("index_keys").alias("key_no", "index_key"))
     parsed = checked_broadcast(parsed, bounded_count(parsed))
-    docs = texts.select("transcript_id", tokenize(text_col).alias("tok"))
-    keys = docs.select("transcript_id", "tok", F.explode(F.array_distinct("tok")).alias("index_key"))
-    cand = keys.join(parsed, "index_key")
-    tok, n = F.col("tok"), F.size("tok")
-    terms, ops, d = F.col("terms"), F.col("operators"), F.col("max_distance")
-    nterms = F.size(terms)
-
-    def op(i):
-        return F.coalesce(F.try_element_at(ops, F.lit(i)), F.lit("NEAR"))
-
-    def step(term, operator, anchors):
-        return (F.when(operator == "NEAR", _near(tok, n, anchors, term, d))
-                .when(operator == "AND", _present(tok, n, term))
-                .when(operator == "OR", F.lit(True))
-                .when(operator == "NOT", ~_present(tok, n, term))
+    norm = normalize_text(F.col(text_col))
+    docs = texts.select("transcript_id", F.concat(F.lit(" "), norm, F.lit(" ")).alias("padded"))
+    # Distinct tokens of the padded text. An empty text splits into one ''
+    # that no token equals: dropping it leaves that text without candidates.
+    # (The test sits on the generated column, so it is not pushed below the
+    # text preparation, which would then run twice.)
+    tok = F.split(F.trim(F.col("padded")), " ")
+    keys = docs.select("transcript_id", "padded", F.explode(F.array_distinct(tok)).alias("index_key"))
+    keys = keys.filter(F.col("index_key") != "")
+    padded = F.col("padded")
+
+    def has(needle: Column) -> Column:
+        # Exact token-phrase occurrence; an empty term occurs everywhere.
+        return F.when(needle.isNull(), F.lit(True)).otherwise(padded.contains(needle))
+
+    # Keep a (text, rule) pair once: on its first index key that occurs.
+    first_key = (F.col("key_no") == 0) | ~F.exists(
+        F.slice("index_keys", 1, F.col("key_no")),
+        lambda k: padded.contains(F.concat(F.lit(" "), k, F.lit(" "))))
+    cand = keys.join(parsed, "index_key").filter(first_key)
+
+    def near(term: Column, regex: Column, anchors_exist: Column, win: Column,
+             anchor_words: Column) -> Column:
+        return (F.when(term == "", anchors_exist)
+                .when(win < 0, _near_wrapped(padded, anchor_words, term, win))
+                .when(regex.isNull(), F.lit(False))
+                .otherwise(F.regexp_like(padded, regex)))
+
+    def step(op: Column, term: Column, needle: Column, regex: Column, anchors_exist: Column,
+             win: Column, anchor_words: Column):
+        return (F.when(op == "NEAR", near(term, regex, anchors_exist, win, anchor_words))
+                .when(op == "AND", has(needle))
+                .when(op == "OR", F.lit(True))
+                .when(op == "NOT", ~has(needle))
                 .otherwise(F.lit(False)))
 
-    c = cand.withColumn("a1", _positions(tok, n, _words(terms[0])))
-    c = c.withColumn("ok", F.size("a1") > 0)
-    t2 = F.try_element_at(terms, F.lit(2))
-    c = c.withColumn("m2", F.when(nterms >= 2, step(t2, op(1), F.col("a1"))).otherwise(F.lit(True)))
-    c = c.withColumn("a2", F.when((nterms >= 2) & (op(1) == "NEAR"),
-                                  _positions(tok, n, _words(t2))).otherwise(F.col("a1")))
-    t3 = F.try_element_at(terms, F.lit(3))
-    c = c.withColumn("m3", F.when(nterms >= 3, step(t3, op(2), F.col("a2"))).otherwise(F.lit(True)))
-    matched = c.filter(F.col("ok") & F.col("m2") & F.col("m3"))
-    conf = (F.when(nterms == 1, F.lit(0.95))
-            .otherwise(F.least(F.lit(0.90) + F.when(nterms >= 3, F.lit(0.05)).otherwise(F.lit(0.0)),
+    n_terms = F.col("n_terms")
+    ok = (F.col("k1") == 1) | has(F.col("needle1"))
+    m2 = (n_terms < 2) | step(F.col("op1"), F.col("t2"), F.col("needle2"), F.col("near2_re"),
+                              F.lit(True), F.col("win2"), F.col("anchor2_words"))
+    anchors3 = F.when(F.col("op1") == "NEAR", has(F.col("needle2"))).otherwise(F.lit(True))
+    m3 = (n_terms < 3) | step(F.col("op2"), F.col("t3"), F.col("needle3"), F.col("near3_re"),
+                              anchors3, F.col("win3"), F.col("anchor3_words"))
+    conf = (F.when(n_terms == 1, F.lit(0.95))
+            .otherwise(F.least(F.lit(0.90) + F.when(n_terms >= 3, F.lit(0.05)).otherwise(F.lit(0.0)),
                                F.lit(0.98))))
-    return matched.select("transcript_id", "rule_ord", "program", "cat_no", "terms",
-                          conf.alias("confidence"))
+    return cand.filter(ok & m2 & m3).select(
+        "transcript_id", "rule_ord", "program", "cat_no", "terms", conf.alias("confidence"))
 
 
 def proximity_classify(texts: DataFrame, rules: DataFrame, program: str | None = None,

@@ -198,20 +198,25 @@ def parsed_proximity_rules(rows=None):
         w = int(float(within)) if within is not None else 0
         d = w if w > 0 else p
         d = 5 if d == 0 else d
-        key = terms[0].split()[0] if " " in terms[0] else terms[0]
-        out.append((ordinal, prog, cat, terms, ops, d, key))
+        keys = [t.split()[0] if " " in t else t for t in terms]
+        words1 = terms[0].split()
+        # Term1's key alone when it is Term1's first word (Term1 must occur);
+        # otherwise every term's key, as the index holds them all.
+        index = [keys[0]] if words1 and keys[0] == words1[0] else list(dict.fromkeys(keys))
+        out.append((ordinal, prog, cat, terms, ops, d, index))
     return out
 
 
-def proximity_sql(text_sql: str, program: str | None = None) -> str:
+def proximity_sql(text_sql: str, program: str | None = None, rule_rows=None) -> str:
     """Best proximity match per text; ``text_sql`` yields (transcript_id, t)."""
     rows = []
-    for o, prog, cat, terms, ops, d, key in parsed_proximity_rules():
+    for o, prog, cat, terms, ops, d, index in parsed_proximity_rules(rule_rows):
         if program and prog != program:
             continue
         ts = terms + [None] * (3 - len(terms))
         os_ = ops + [None] * (2 - len(ops))
-        rows.append((o, prog, cat, len(terms), *ts, *os_, d, key, " | ".join(terms)))
+        for key in index:
+            rows.append((o, prog, cat, len(terms), *ts, *os_, d, key, " | ".join(terms)))
     cols = ["rule_ord", "program", "cat_no", "n_terms", "t1", "t2", "t3", "o1", "o2", "d",
             "index_key", "matched_terms"]
 
@@ -226,8 +231,12 @@ def proximity_sql(text_sql: str, program: str | None = None) -> str:
                 f"ELSE []::BIGINT[] END)")
 
     def step(t, o, anchors):
+        # Window tokens[p : min(p + d + k + 5, n)] with Python slice ends: a
+        # negative end counts from the end of the list.
+        end = f"least(p + d + len({words(t)}) + 5, len(tok))"
+        end = f"(CASE WHEN {end} < 0 THEN greatest({end} + len(tok), 0) ELSE {end} END)"
         near = (f"coalesce(list_bool_or(list_transform({anchors}, lambda p: contains(array_to_string("
-                f"tok[p + 1 : p + greatest(least(p + d + len({words(t)}) + 5, len(tok)) - p, 0)], ' '), {t}))), FALSE)")
+                f"tok[p + 1 : greatest({end}, p)], ' '), {t}))), FALSE)")
         return (f"(CASE coalesce({o}, 'NEAR') WHEN 'NEAR' THEN {near} "
                 f"WHEN 'AND' THEN len({positions(t)}) > 0 WHEN 'OR' THEN TRUE "
                 f"WHEN 'NOT' THEN len({positions(t)}) = 0 ELSE FALSE END)")
@@ -237,8 +246,10 @@ prules AS (SELECT * FROM {values(rows, cols)}),
 ptext AS (SELECT transcript_id, CASE WHEN t = '' THEN []::VARCHAR[] ELSE string_split(t, ' ') END AS tok
           FROM ({text_sql}) x),
 pkeys AS (SELECT DISTINCT transcript_id, unnest(tok) AS index_key FROM ptext),
-pcand AS (SELECT p.transcript_id, p.tok, r.* FROM pkeys k JOIN prules r ON k.index_key = r.index_key
-          JOIN ptext p ON p.transcript_id = k.transcript_id),
+pcand AS (SELECT p.transcript_id, p.tok, r.* FROM
+          (SELECT DISTINCT k.transcript_id, r.rule_ord FROM pkeys k JOIN prules r ON k.index_key = r.index_key) c
+          JOIN (SELECT DISTINCT * EXCLUDE (index_key) FROM prules) r ON r.rule_ord = c.rule_ord
+          JOIN ptext p ON p.transcript_id = c.transcript_id),
 pc1 AS (SELECT *, {positions('t1')} AS a1 FROM pcand),
 pc2 AS (SELECT *, CASE WHEN n_terms >= 2 THEN {step('t2', 'o1', 'a1')} ELSE TRUE END AS m2,
                CASE WHEN n_terms >= 2 AND coalesce(o1, 'NEAR') = 'NEAR' THEN {positions('t2')} ELSE a1 END AS a2

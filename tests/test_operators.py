@@ -115,3 +115,55 @@ def test_rulebase(spark):
     assert not ok and "['9']" in msg
     look = {(r.Program, r.CatNo): r.L3 for r in R.hierarchy_lookup(R.hierarchy(spark)).collect()}
     assert look[("CCRE", "R05")] == "License Terms"
+
+
+def test_proximity_matches_model_random(spark):
+    """Random texts over a small vocabulary x random rules (phrases, empty and
+    whitespace terms, substrings, odd distances, unknown operators) against
+    the row-at-a-time model."""
+    import random
+
+    import model
+    rnd = random.Random(7)
+    vocab = ["a", "b", "ab", "ba", "c", "abc", "the", "he", "x.y", "q\\e", "(a"]
+    texts = []
+    for i in range(300):
+        n = rnd.choice([0, 1, 2, 5, 12, 30])
+        texts.append((i, " ".join(rnd.choice(vocab) for _ in range(n))))
+    term_pool = vocab + ["a b", "b a", "ab c", "a  b", "a\tb", "", "  ", "he a", "b ab", "c the"]
+
+    def term():
+        return rnd.choice(term_pool) if rnd.random() < 0.9 else None
+
+    def op():
+        return rnd.choice(["NEAR", "near", "AND", "OR", "NOT", "XOR", None])
+
+    rows = []
+    for j in range(120):
+        dist = rnd.choice([None, 0.0, 1.0, 2.7, -3.0, -8.0, 4.0])
+        within = rnd.choice([None, None, 1.0, 3.0, -1.0])
+        rows.append(("P" if j % 3 else "Q", f"C{j}", term(), op(), term(), op(), term(),
+                     dist, within, None))
+    rules = R.proximity_rules(spark, rows)
+    t = spark.createDataFrame(texts, "transcript_id long, norm_text string")
+    got = {(r.transcript_id, r.rule_ord): r.confidence
+           for r in proximity.proximity_matches(t, rules).collect()}
+    parsed = model.prox_parse(rows)
+    want = {}
+    for tid, txt in texts:
+        for o, c in model.prox_matches(txt, parsed).items():
+            want[(tid, o)] = c
+    assert got == want
+    got_p = {(r.transcript_id, r.rule_ord) for r in proximity.proximity_matches(t, rules, "Q").collect()}
+    want_p = {(tid, o) for tid, txt in texts for o in model.prox_matches(txt, parsed, "Q")}
+    assert got_p == want_p
+    # The DuckDB oracle statement on the same fixture.
+    import duckdb
+    import pandas as pd
+    from callsift.plans import oracle_sql as O
+    con = duckdb.connect()
+    con.register("rt", pd.DataFrame(texts, columns=["transcript_id", "t"]))
+    sql = "WITH " + O.proximity_sql("SELECT transcript_id, t FROM rt", rule_rows=rows).strip()
+    got_sql = {(int(a), int(b)): c for a, b, c in
+               con.execute(sql + "\nSELECT transcript_id, rule_ord, confidence FROM pmatch").fetchall()}
+    assert got_sql == want
