@@ -15,29 +15,44 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def may_hold_pii(c) -> Column:
+    """Exact pre-test: every pattern needs an '@' (EMAIL), 'http' (URL) or a
+    digit (all others). Replacements insert none of these and never join
+    text, so a text failing the test is left unchanged by the whole chain.
+    Most texts fail it, and three plain scans are far cheaper than seven
+    boundary-anchored regexes tried at every character."""
+    x = _col(c)
+    return (F.instr(x, "@") > 0) | (F.instr(x, "http") > 0) | x.rlike(r"\p{Nd}")
+
+
 def redact(c, enabled: bool = True) -> Column:
     """Apply the seven patterns in order; each match -> ``<REDACTED_TYPE>``.
 
     Later patterns see the output of earlier ones (a card written with
     spaces is first caught by the 12-digit pattern). Null stays null.
+    Pass a column reference (not a large expression): it is read by the
+    pre-test and by the chain.
     """
     x = _col(c)
     if not enabled:
         return x
+    chain = x
     for name, pat in _JAVA:
-        x = F.regexp_replace(x, pat, f"<REDACTED_{name}>")
-    return x
+        chain = F.regexp_replace(chain, pat, f"<REDACTED_{name}>")
+    return F.when(may_hold_pii(x), chain).otherwise(x)
 
 
 def pii_counts(c) -> Column:
     """Struct of per-type match counts, each counted on the text as redacted
     by the patterns before it (the order the redactor applies them)."""
-    x = F.coalesce(_col(c), F.lit(""))
+    x0 = F.coalesce(_col(c), F.lit(""))
+    x = x0
     fields = []
     for name, pat in _JAVA:
         fields.append(F.regexp_count(x, F.lit(pat)).cast("long").alias(name))
         x = F.regexp_replace(x, pat, f"<REDACTED_{name}>")
-    return F.struct(*fields)
+    zeros = F.struct(*[F.lit(0).cast("long").alias(name) for name in PII_TYPES])
+    return F.when(may_hold_pii(x0), F.struct(*fields)).otherwise(zeros)
 
 
 def pii_stats(df: DataFrame, text_col: str = "transcript") -> DataFrame:

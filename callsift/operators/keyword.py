@@ -29,6 +29,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callsift.functions import patterns as P
@@ -47,25 +48,33 @@ def _java_whole_word(term):
 
 
 def term_table(slots: DataFrame) -> DataFrame:
-    """Distinct searched terms with their roles and whole-word regex."""
+    """Distinct searched terms with their roles, whole-word regex and a dense
+    ``term_id`` (hit rows carry the id, not the string). The rule tables are
+    configuration whose size is checked before broadcasting, so numbering
+    them in one ordered window is bounded work."""
     roles = slots.groupBy("term").agg(
         F.bool_or(F.col("group_no") >= 0).alias("is_required"),
         F.bool_or(F.col("group_no") < 0).alias("is_forbidden"),
     )
-    return roles.withColumn(
-        "wb_regex", F.when(F.col("is_forbidden"), _java_whole_word(F.col("term"))))
+    return roles.select(
+        "term", F.row_number().over(Window.orderBy("term")).cast("int").alias("term_id"),
+        "is_required", "is_forbidden",
+        F.when(F.col("is_forbidden"), _java_whole_word(F.col("term"))).alias("wb_regex"))
 
 
 def _with_sentinel(terms: DataFrame) -> DataFrame:
     s = terms.sparkSession.createDataFrame(
-        [(None, False, False, None, True)],
-        "term string, is_required boolean, is_forbidden boolean, wb_regex string, is_sentinel boolean")
+        [(None, None, False, False, None, True)],
+        "term string, term_id int, is_required boolean, is_forbidden boolean, wb_regex string, "
+        "is_sentinel boolean")
     return terms.withColumn("is_sentinel", F.lit(False)).unionByName(s)
 
 
 def keyword_hits(docs: DataFrame, terms: DataFrame, carry: list[str] = ()) -> DataFrame:
-    """(transcript_id, *carry, term, pos, neg, wb): one row per rule term a
-    text contains, plus one sentinel row (null ``term``) per text.
+    """(transcript_id, *carry, term_id, pos, neg, wb): one row per rule term a
+    text contains, plus one sentinel row (null ``term_id``) per text. The
+    per-text ``carry`` attributes are set on the sentinel row only (null
+    elsewhere), so hit rows stay narrow.
 
     ``terms`` is a size-checked term table that already holds the sentinel.
     ``pos`` is the 0-based first occurrence; ``neg`` flags a negation word in
@@ -81,49 +90,79 @@ def keyword_hits(docs: DataFrame, terms: DataFrame, carry: list[str] = ()) -> Da
     neg = (at > 1) & ctx.rlike(P.negation_regex())
     wb = F.col("is_forbidden") & F.expr("norm_text rlike wb_regex")
     return j.select(
-        "transcript_id", *carry, "term",
+        "transcript_id", *[F.when(F.col("is_sentinel"), F.col(c)).alias(c) for c in carry],
+        "term_id",
         (at - 1).cast("long").alias("pos"),
         F.coalesce(neg.cast("int"), F.lit(0)).alias("neg"),
         F.coalesce(wb, F.lit(False)).alias("wb"))
 
 
+# Rules with at most this many groups are scored with one aggregate per
+# (text, rule) holding one ``min`` per group; wider rule bases use two levels.
+MAX_GROUPS_ONE_LEVEL = 8
+
+
 def rule_scores(hits: DataFrame, parsed_rules: DataFrame, slots: DataFrame,
-                n_slots: int, n_rules: int, carry: list[str] = (), kw_bits: int = 0) -> DataFrame:
-    """Per (transcript, rule) kept scores -- confidence, matched groups, the
-    matched keyword of each group -- plus each text's sentinel row (null
-    ``rule_ord``).
+                n_slots: int, n_rules: int, kw_bits: int = 0, max_groups: int = 0) -> DataFrame:
+    """Per (transcript, rule) kept scores: confidence, matched groups and the
+    matched keyword of each group. ``hits`` are term rows (no sentinel).
 
     With ``kw_bits > 0`` the matched keywords travel as one BIGINT
     (``kw_no + 1`` in ``kw_bits`` bits per group), which keeps every
-    aggregate a fixed-width hash aggregate; otherwise as a sorted array."""
-    s = checked_broadcast(slots.select("rule_ord", "group_no", "kw_no", "term"), n_slots)
-    sentinel = F.col("term").isNull()
-    rows = (hits.join(s, "term", "left")
-            .filter(sentinel | (F.col("group_no") >= 0) | F.col("wb")))
-    keys = ["transcript_id", *carry]
-    per_group = rows.groupBy(*keys, "rule_ord", "group_no").agg(
-        F.min(F.col("kw_no").cast("long") * F.lit(_PACK) + F.col("pos") * 2 + F.col("neg"))
-         .alias("packed"))
+    aggregate a fixed-width hash aggregate; otherwise as a sorted array.
+    Grouping keys are the fixed-width ids only."""
+    s = checked_broadcast(slots.select("rule_ord", "group_no", "kw_no", "term_id"), n_slots)
+    rows = (hits.join(s, "term_id")
+            .filter((F.col("group_no") >= 0) | F.col("wb")))
+    packed = F.col("kw_no").cast("long") * F.lit(_PACK) + F.col("pos") * 2 + F.col("neg")
     g = F.col("group_no") >= 0
-    kw = F.shiftright("packed", 40)
-    gpos = F.shiftright("packed", 1).bitwiseAND(F.lit((1 << 39) - 1))
-    gneg = F.col("packed").bitwiseAND(F.lit(1))
-    if kw_bits:
-        code = F.expr(f"shiftleft(shiftright(packed, 40) + 1, group_no * {kw_bits})")
-        kw_agg = F.sum(F.when(g, code)).alias("kw_code")
+
+    def kw(p):
+        return F.shiftright(p, 40)
+
+    def gpos(p):
+        return F.shiftright(p, 1).bitwiseAND(F.lit((1 << 39) - 1))
+
+    def gneg(p):
+        return p.bitwiseAND(F.lit(1))
+
+    if kw_bits and 0 < max_groups <= MAX_GROUPS_ONE_LEVEL:
+        # One level: the first keyword of group i is min(packed) over its rows.
+        per_rule = rows.groupBy("transcript_id", "rule_ord").agg(
+            F.bool_or(~g).alias("vetoed"),
+            *[F.min(F.when(F.col("group_no") == i, packed)).alias(f"m{i}")
+              for i in range(max_groups)])
+        ms = [F.col(f"m{i}") for i in range(max_groups)]
+        zero = F.lit(0).cast("long")
+        per_rule = per_rule.select(
+            "transcript_id", "rule_ord", "vetoed",
+            sum((m.isNotNull().cast("long") for m in ms), zero).alias("matched_groups"),
+            F.least(*[gpos(m) for m in ms]).alias("min_pos") if max_groups > 1
+            else gpos(ms[0]).alias("min_pos"),
+            F.greatest(*[gpos(m) for m in ms]).alias("max_pos") if max_groups > 1
+            else gpos(ms[0]).alias("max_pos"),
+            sum((F.coalesce(gneg(m), zero) for m in ms), zero).alias("n_neg"),
+            sum((F.coalesce(F.shiftleft(kw(m) + 1, i * kw_bits), zero) for i, m in enumerate(ms)),
+                zero).alias("kw_code"))
     else:
-        kw_agg = F.array_sort(F.collect_list(F.when(g, F.struct(
-            F.col("group_no"), kw.cast("int").alias("kw_no"))))).alias("kw_code")
-    per_rule = per_group.groupBy(*keys, "rule_ord").agg(
-        F.count_if(g).alias("matched_groups"),
-        F.bool_or(~g).alias("vetoed"),
-        F.min(F.when(g, gpos)).alias("min_pos"),
-        F.max(F.when(g, gpos)).alias("max_pos"),
-        F.sum(F.when(g, gneg)).alias("n_neg"),
-        kw_agg,
-    )
-    is_sent = F.col("rule_ord").isNull()
-    per_rule = per_rule.filter(is_sent | (~F.col("vetoed") & (F.col("matched_groups") > 0)))
+        per_group = rows.groupBy("transcript_id", "rule_ord", "group_no").agg(
+            F.min(packed).alias("packed"))
+        p = F.col("packed")
+        if kw_bits:
+            code = F.expr(f"shiftleft(shiftright(packed, 40) + 1, group_no * {kw_bits})")
+            kw_agg = F.sum(F.when(g, code)).alias("kw_code")
+        else:
+            kw_agg = F.array_sort(F.collect_list(F.when(g, F.struct(
+                F.col("group_no"), kw(p).cast("int").alias("kw_no"))))).alias("kw_code")
+        per_rule = per_group.groupBy("transcript_id", "rule_ord").agg(
+            F.count_if(g).alias("matched_groups"),
+            F.bool_or(~g).alias("vetoed"),
+            F.min(F.when(g, gpos(p))).alias("min_pos"),
+            F.max(F.when(g, gpos(p))).alias("max_pos"),
+            F.sum(F.when(g, gneg(p))).alias("n_neg"),
+            kw_agg,
+        )
+    per_rule = per_rule.filter(~F.col("vetoed") & (F.col("matched_groups") > 0))
 
     rules = checked_broadcast(parsed_rules.select("rule_ord", "n_groups"), n_rules)
     n = F.col("matched_groups")
@@ -135,22 +174,20 @@ def rule_scores(hits: DataFrame, parsed_rules: DataFrame, slots: DataFrame,
     bonus = F.when(n >= 2, bonus).otherwise(F.lit(0.0))
     penalty = F.least(F.col("n_neg").cast("double") * F.lit(P.NEGATION_STEP), F.lit(P.NEGATION_CAP))
     conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (base + bonus) - penalty))
-    return (per_rule.join(rules, "rule_ord", "left")
-            .select(*keys, "rule_ord", "matched_groups", "kw_code", conf.alias("confidence"))
-            .filter(is_sent | (F.col("confidence") >= F.lit(P.MIN_RULE_CONFIDENCE))))
-
-
-def best_rule(scores: DataFrame, parsed_rules: DataFrame, n_rules: int,
-              carry: list[str] = (), kw_bits: int = 0) -> DataFrame:
-    """One row per text: argmax (confidence desc, rule ordinal asc) and the
-    number of kept rules; rule columns are null when no rule was kept."""
-    real = F.col("rule_ord").isNotNull()
-    cand = F.when(real, F.struct(F.col("confidence"), (-F.col("rule_ord")).alias("neg_ord"),
-                                 F.col("matched_groups"), F.col("kw_code")))
-    best = scores.groupBy("transcript_id", *carry).agg(
+    return (per_rule.join(rules, "rule_ord")
+            .select("transcript_id", "rule_ord", "matched_groups", "kw_code", conf.alias("confidence"))
+            .filter(F.col("confidence") >= F.lit(P.MIN_RULE_CONFIDENCE)))
+
+
+def best_rule(scores: DataFrame, parsed_rules: DataFrame, n_rules: int, kw_bits: int = 0) -> DataFrame:
+    """One row per text with at least one kept rule: argmax (confidence desc,
+    rule ordinal asc) and the number of kept rules."""
+    cand = F.struct(F.col("confidence"), (-F.col("rule_ord")).alias("neg_ord"),
+                    F.col("matched_groups"), F.col("kw_code"))
+    best = scores.groupBy("transcript_id").agg(
         F.max(cand).alias("b"),
-        F.count_if(real).cast("int").alias("num_rules_activated"),
-    ).select("transcript_id", *carry, "num_rules_activated",
+        F.count(F.lit(1)).cast("int").alias("num_rules_activated"),
+    ).select("transcript_id", "num_rules_activated",
              (-F.col("b.neg_ord")).alias("rule_ord"), F.col("b.confidence").alias("confidence"),
              F.col("b.matched_groups").alias("matched_groups"), F.col("b.kw_code").alias("kw_code"))
     rules = checked_broadcast(
@@ -166,7 +203,7 @@ def best_rule(scores: DataFrame, parsed_rules: DataFrame, n_rules: int,
         kws = F.expr("array_join(transform(kw_code, p -> "
                      "element_at(element_at(groups, p.group_no + 1), p.kw_no + 1)), ' | ')")
     return best.join(rules, "rule_ord", "left").select(
-        "transcript_id", *carry, "rule_ord", "rule_id", "category", "subcategory", "confidence",
+        "transcript_id", "rule_ord", "rule_id", "category", "subcategory", "confidence",
         "matched_groups", kws.alias("matched_keywords"), "num_rules_activated")
 
 
@@ -180,12 +217,14 @@ class RuleBase:
         self.n_rules = bounded_count(parsed_rules)
         self.n_slots = bounded_count(self.slots)
         self.terms = term_table(self.slots)
+        self.slots_with_ids = self.slots.join(self.terms.select("term", "term_id"), "term")
         # Width of the packed keyword code: kw_no + 1 per group must fit.
         shape = self.slots.filter(F.col("group_no") >= 0).agg(
             F.max("group_no").alias("g"), F.max("kw_no").alias("k")).first()
         groups, kws = (shape["g"] or 0) + 1, (shape["k"] or 0) + 1
         bits = max(1, (kws).bit_length())
         self.kw_bits = bits if bits * groups <= 62 else 0
+        self.max_groups = groups
 
 
 def score_texts(prepared: DataFrame, rb: RuleBase, carry: list[str] = (),
@@ -197,15 +236,16 @@ def score_texts(prepared: DataFrame, rb: RuleBase, carry: list[str] = (),
     if rb.n_slots <= MAX_TERMS_PER_SCAN:
         hits = keyword_hits(prepared, F.broadcast(_with_sentinel(rb.terms)), carry)
     else:
-        # Exact beyond the bound: bounded term chunks, one text scan each.
-        # Every chunk adds a sentinel per text; extra sentinels only repeat a
-        # null candidate, so the per-text result is unchanged.
+        # Exact beyond the bound: bounded term chunks, one text scan each;
+        # only the first chunk brings the per-text sentinel row.
         k = -(-rb.n_slots // MAX_TERMS_PER_SCAN)
         chunked = rb.terms.withColumn("chunk", F.pmod(F.hash("term"), F.lit(k)))
+
+        def chunk_terms(i):
+            t = chunked.filter(F.col("chunk") == i).drop("chunk")
+            return _with_sentinel(t) if i == 0 else t.withColumn("is_sentinel", F.lit(False))
         hits = reduce(DataFrame.unionByName, [
-            keyword_hits(prepared, F.broadcast(_with_sentinel(
-                chunked.filter(F.col("chunk") == i).drop("chunk"))), carry)
-            for i in range(k)])
+            keyword_hits(prepared, F.broadcast(chunk_terms(i)), carry) for i in range(k)])
     # Cut the lineage after the text stage: the hit rows (no text) are
     # written once to the shared checkpoint folder, then hash-partitioned
     # by text for the partition-local scoring aggregates. Measured 4-5x
@@ -214,5 +254,12 @@ def score_texts(prepared: DataFrame, rb: RuleBase, carry: list[str] = (),
     n = num_partitions or int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hits = materialize(hits).repartition(n, "transcript_id")
     del co_partitioned
-    scores = rule_scores(hits, rb.parsed, rb.slots, rb.n_slots, rb.n_rules, carry, rb.kw_bits)
-    return best_rule(scores, rb.parsed, rb.n_rules, carry, rb.kw_bits)
+    # Both branches read the same exchange: term rows are scored on
+    # fixed-width keys; the sentinel rows bring each text's attributes and
+    # are joined to its winner on the shared hash partitioning (no exchange).
+    term_rows = hits.filter(F.col("term_id").isNotNull()).select(
+        "transcript_id", "term_id", "pos", "neg", "wb")
+    texts = hits.filter(F.col("term_id").isNull()).select("transcript_id", *carry)
+    scores = rule_scores(term_rows, rb.parsed, rb.slots_with_ids, rb.n_slots, rb.n_rules,
+                         rb.kw_bits, rb.max_groups)
+    return texts.join(best_rule(scores, rb.parsed, rb.n_rules, rb.kw_bits), "transcript_id", "left")

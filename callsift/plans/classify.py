@@ -23,8 +23,10 @@ CLASSIFIED_COLUMNS = [
 def prepare(transcripts: DataFrame, pii: bool = True) -> DataFrame:
     """Adds ``redacted_transcript`` (cleaned, then PII-redacted) and
     ``norm_text`` (lower-cased, whitespace collapsed). Map-only."""
-    red = redact(clean_transcript("transcript"), enabled=pii)
-    return (transcripts.withColumn("redacted_transcript", red)
+    # Cleaned text as its own column first: the redaction reads it twice
+    # (pre-test and chain), and a column reference is not recomputed.
+    cleaned = transcripts.withColumn("redacted_transcript", clean_transcript("transcript"))
+    return (cleaned.withColumn("redacted_transcript", redact("redacted_transcript", enabled=pii))
             .withColumn("norm_text", normalize_text("redacted_transcript")))
 
 

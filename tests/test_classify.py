@@ -103,3 +103,39 @@ def test_plan_shape(spark):
     assert "CartesianProduct" not in plan
     assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
     assert plan.count("Scan parquet") <= 1
+
+
+def test_scoring_paths_match_model(spark, monkeypatch):
+    """A generated 300-rule base (up to 4 groups, forbidden words) scored by
+    the one-level aggregate, the two-level aggregate, the unpacked keyword
+    lists and chunked term scans: every path equals the row-at-a-time model."""
+    from callsift.operators import keyword as K
+    rows = ruleset.large_keyword_rules(300)
+    rules = R.keyword_rules(spark, rows)
+    docs = TR.from_documents(spark, SF)
+    texts = {r.transcript_id: r.transcript for r in docs.select("transcript_id", "transcript").collect()}
+    parsed = model.parse_rules(rows)
+    want = {}
+    for tid, txt in texts.items():
+        cat, sub, conf, kws, n, rid, _ = model.ccre(model.redact(model.clean(txt)), parsed)
+        want[tid] = (rid, conf, kws, n)
+
+    def run():
+        out = classify_ccre(docs, rules).collect()
+        return {r.transcript_id: (r.rule_id, r.confidence, r.matched_keywords, r.num_rules_activated)
+                for r in out}
+
+    assert run() == want
+    monkeypatch.setattr(K, "MAX_GROUPS_ONE_LEVEL", 0)
+    assert run() == want
+    monkeypatch.setattr(K, "MAX_TERMS_PER_SCAN", 40)
+    assert run() == want
+    monkeypatch.setattr(K.RuleBase, "__init__", _unpacked_init(K.RuleBase.__init__))
+    assert run() == want
+
+
+def _unpacked_init(init):
+    def wrapped(self, parsed):
+        init(self, parsed)
+        self.kw_bits = 0
+    return wrapped

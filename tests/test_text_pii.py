@@ -53,3 +53,28 @@ def test_redaction_idempotent(spark):
     from conftest import SF
     d = spark.read.parquet(f"{SF}/documents.parquet").select(pii.redact("text").alias("r"))
     assert d.filter(pii.redact("r") != F.col("r")).count() == 0
+
+
+def test_pii_pretest_is_exact():
+    """A text any pattern matches (at any stage of the chain) holds an '@',
+    'http' or a decimal digit, so skipping texts without them is exact."""
+    import random
+    import re
+
+    from callsift.functions.patterns import PII_PATTERNS
+    rnd = random.Random(3)
+    alphabet = list("ab@.-:/#() +") + ["http", "https://", "acct", "Account", "1", "9", "٣", "x.com"]
+    pats = [re.compile(p) for _, p in PII_PATTERNS]
+    hits = 0
+    for _ in range(20000):
+        s = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40)))
+        guard = "@" in s or "http" in s or any(ch.isdecimal() for ch in s)
+        x = s
+        for (name, _), p in zip(PII_PATTERNS, pats):
+            if p.search(x):
+                hits += 1
+                assert guard, (name, s)
+            x = p.sub(f"<REDACTED_{name}>", x)
+        if not guard:
+            assert x == s
+    assert hits > 1000
