@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from callsift.functions.text import content_hash, estimate_tokens
 from callsift.plans.dims import bounded_count, checked_broadcast
+from callsift.session import materialize
 
 DEFAULT_CONTEXT = 8000
 MAX_SAMPLES = 5
@@ -31,30 +32,46 @@ def agent_metrics(df: DataFrame) -> DataFrame:
 
 
 def agent_categories(df: DataFrame) -> DataFrame:
-    """(agent, category, count, rank, first transcript of the category)."""
+    """(agent, category, count, rank, first transcript id of the category).
+
+    Fixed-width hash aggregate (count, min id); the sample's own columns are
+    fetched afterwards for the few ranked ids only."""
     g = (df.filter(F.col("agent_name").isNotNull() & F.col("category").isNotNull())
          .groupBy("agent_name", "category").agg(
              F.count(F.lit(1)).alias("count"),
-             F.min_by(F.struct("transcript_id", "subcategory", "confidence"), "transcript_id").alias("s")))
+             F.min("transcript_id").alias("sample_id")))
     w = Window.partitionBy("agent_name").orderBy(F.desc("count"), F.asc("category"))
     return (g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= TOP_CATEGORIES)
-            .select("agent_name", "category", "count", "rank",
-                    F.col("s.transcript_id").alias("sample_id"),
-                    F.col("s.subcategory").alias("sample_subcategory"),
-                    F.col("s.confidence").alias("sample_confidence")))
+            .select("agent_name", "category", "count", "rank", "sample_id"))
 
 
-def coaching_bundle(df: DataFrame, texts: DataFrame, max_samples: int = MAX_SAMPLES) -> DataFrame:
+def coaching_bundle(df: DataFrame, texts: DataFrame, max_samples: int = MAX_SAMPLES,
+                    prepare_fn=None) -> DataFrame:
     """Flat bundle rows: per agent its metrics and top-10 categories; the
     first ``max_samples`` ranks carry a sample (first 500 characters of the
-    redacted text of the category's first transcript)."""
+    redacted text of the category's first transcript).
+
+    ``texts`` holds ``redacted_transcript``, or raw transcripts together with
+    ``prepare_fn`` (clean + redact), which then runs only on the sample rows."""
+    # Three branches read the classified rows (sample-size check, category
+    # ranks, metrics): write the five needed columns once to the shared
+    # folder instead of scoring the transcripts three times.
+    df = materialize(df.select("transcript_id", "agent_name", "category", "subcategory", "confidence"))
     cats = agent_categories(df)
     samples = cats.filter(F.col("rank") <= max_samples).select("sample_id")
     samples = checked_broadcast(samples, bounded_count(samples))
-    t = texts.select(F.col("transcript_id").alias("sample_id"),
-                     F.substring("redacted_transcript", 1, 500).alias("sample_text"))
-    t = t.join(samples, "sample_id", "left_semi")
+    t = texts.withColumnRenamed("transcript_id", "sample_id").join(samples, "sample_id", "left_semi")
+    if prepare_fn is not None:
+        t = prepare_fn(t.withColumnRenamed("sample_id", "transcript_id")).withColumnRenamed(
+            "transcript_id", "sample_id")
+    t = t.select("sample_id", F.substring("redacted_transcript", 1, 500).alias("sample_text"))
+    # Transcript ids are unique in the classified rows, so the sample row is
+    # the row with the category's smallest id.
+    rows = df.select(F.col("transcript_id").alias("sample_id"),
+                     F.col("subcategory").alias("sample_subcategory"),
+                     F.col("confidence").alias("sample_confidence")).join(samples, "sample_id", "left_semi")
     out = (cats.join(agent_metrics(df), "agent_name")
+           .join(rows, "sample_id", "left")
            .join(t, "sample_id", "left"))
     keep = F.col("rank") <= max_samples
     return out.select(

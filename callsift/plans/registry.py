@@ -558,7 +558,7 @@ from callsift.operators import coaching as CO  # noqa: E402
 
 def _bundle(spark, sf):
     docs = TR.from_documents(spark, sf)
-    return CO.coaching_bundle(classified_docs(spark, sf), prepare(docs))
+    return CO.coaching_bundle(classified_docs(spark, sf), docs, prepare_fn=prepare)
 
 
 @register("coaching_bundle", W(
