@@ -33,7 +33,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callsift.functions import patterns as P
-from callsift.plans.dims import bounded_count, checked_broadcast
+from callsift.plans.dims import checked_broadcast
 from callsift.session import materialize
 from callsift.sources.rules import rule_terms
 
@@ -214,14 +214,23 @@ class RuleBase:
     def __init__(self, parsed_rules: DataFrame):
         self.parsed = parsed_rules
         self.slots = rule_terms(parsed_rules)
-        self.n_rules = bounded_count(parsed_rules)
-        self.n_slots = bounded_count(self.slots)
+        # One small job for every figure: rule count, keyword-slot count
+        # (these decide what is broadcast) and the widest rule (groups,
+        # keywords per group), which sizes the packed keyword code.
+        def n_kw(a):
+            return F.coalesce(F.size(F.filter(a, lambda x: x.isNotNull())), F.lit(0))
+        shape = parsed_rules.agg(
+            F.count(F.lit(1)).alias("rules"),
+            F.sum(F.aggregate("groups", F.lit(0), lambda acc, g: acc + n_kw(g))
+                  + n_kw(F.col("forbidden"))).alias("slots"),
+            F.max(F.size("groups")).alias("g"),
+            F.max(F.array_max(F.transform("groups", lambda g: F.size(g)))).alias("k")).first()
+        self.n_rules = shape["rules"]
+        self.n_slots = shape["slots"] or 0
         self.terms = term_table(self.slots)
         self.slots_with_ids = self.slots.join(self.terms.select("term", "term_id"), "term")
         # Width of the packed keyword code: kw_no + 1 per group must fit.
-        shape = self.slots.filter(F.col("group_no") >= 0).agg(
-            F.max("group_no").alias("g"), F.max("kw_no").alias("k")).first()
-        groups, kws = (shape["g"] or 0) + 1, (shape["k"] or 0) + 1
+        groups, kws = max(shape["g"] or 0, 1), max(shape["k"] or 0, 1)
         bits = max(1, (kws).bit_length())
         self.kw_bits = bits if bits * groups <= 62 else 0
         self.max_groups = groups

@@ -79,7 +79,9 @@ def enrich(ccre: DataFrame, hierarchy: DataFrame, program: str = "CCRE",
     hierarchy with a level-1 name other than 'Unclassified'; otherwise the
     standard unclassified record."""
     look = hierarchy_lookup(hierarchy).filter(F.col("Program") == F.lit(program))
-    look = checked_broadcast(look.withColumn("_found", F.lit(True)), bounded_count(look))
+    # Rows of the program bound its distinct keys; counting them needs no shuffle.
+    n_look = bounded_count(hierarchy.filter(F.col("Program") == F.lit(program)))
+    look = checked_broadcast(look.withColumn("_found", F.lit(True)), n_look)
     j = ccre.join(look, ccre["rule_id"] == look["CatNo"], "left")
     ok = (F.col("rule_id").isNotNull() & (F.col("confidence") >= F.lit(float(threshold)))
           & F.coalesce(F.col("_found"), F.lit(False))
