@@ -18,7 +18,28 @@ from callsift.functions.text import content_hash, estimate_tokens
 from callsift.plans.dims import bounded_count, checked_broadcast
 from callsift.session import materialize
 
+# FIXED VALUES: context window (tokens) per hosted model name; any other
+# model gets DEFAULT_CONTEXT.
+MODEL_CONTEXT = {
+    "deepseek/deepseek-chat-v3.1:free": 64000,
+    "deepseek/deepseek-r1-distill-llama-70b:free": 32000,
+    "meta-llama/llama-3.3-70b-instruct:free": 8000,
+    "qwen/qwen2.5-vl-32b-instruct:free": 32000,
+    "qwen/qwen3-235b-a22b:free": 32000,
+    "mistralai/mistral-7b-instruct:free": 8000,
+    "openchat/openchat-7b:free": 8000,
+    "gryphe/mythomax-l2-13b:free": 8000,
+    "openai/gpt-oss-20b:free": 8000,
+    "meta-llama/llama-4-maverick:free": 16000,
+    "moonshotai/kimi-vl-a3b-thinking:free": 32000,
+    "moonshotai/kimi-k2:free": 16000,
+}
 DEFAULT_CONTEXT = 8000
+
+
+def context_for_model(model: str | None) -> int:
+    """Context window of a model name (unknown or missing -> 8000)."""
+    return MODEL_CONTEXT.get(model, DEFAULT_CONTEXT) if model else DEFAULT_CONTEXT
 MAX_SAMPLES = 5
 TOP_CATEGORIES = 10
 
@@ -105,11 +126,15 @@ def _distribution_json(c):
     return F.concat(F.lit("{\n"), F.array_join(entries, ",\n"), F.lit("\n}"))
 
 
-def coaching_prompts(bundles: DataFrame, context_limit: int = DEFAULT_CONTEXT) -> DataFrame:
+def coaching_prompts(bundles: DataFrame, context_limit: int | None = None,
+                     model: str | None = None) -> DataFrame:
     """Prompt per agent with a token budget of ``int(context * 0.7)`` at four
     characters per token; over budget, the first three samples are cut to
-    200 characters and the prompt is marked truncated. Returns
+    200 characters and the prompt is marked truncated. The context comes
+    from ``context_limit``, else from the ``model`` name. Returns
     (agent_name, prompt, was_truncated, est_tokens, prompt_hash)."""
+    if context_limit is None:
+        context_limit = context_for_model(model)
     budget = int(context_limit * 0.7)
     m = F.col("metrics")
     head = F.concat(

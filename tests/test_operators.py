@@ -167,3 +167,29 @@ def test_proximity_matches_model_random(spark):
     got_sql = {(int(a), int(b)): c for a, b, c in
                con.execute(sql + "\nSELECT transcript_id, rule_ord, confidence FROM pmatch").fetchall()}
     assert got_sql == want
+
+
+def test_coaching_prompt_budget_by_model(spark):
+    """Prompt truncation follows int(context * 0.7) tokens at 4 characters,
+    with the context looked up from the model name (unknown -> 8000)."""
+    assert coaching.context_for_model("deepseek/deepseek-chat-v3.1:free") == 64000
+    assert coaching.context_for_model("no/such-model") == 8000 == coaching.context_for_model(None)
+    long_text = "x" * 500
+    flat = spark.createDataFrame(
+        [("a1", 9, 0.8, 3, 4, r, f"cat{r}", 10 - r, r, "sub", 0.8, long_text) for r in range(1, 6)]
+        + [("a1", 9, 0.8, 3, 4, r, f"cat{r}", 10 - r, None, None, None, None) for r in range(6, 9)]
+        + [("a2", 1, 0.5, 1, 1, 1, "c", 1, 99, "s", 0.5, "short")],
+        "agent_name string, total_calls long, avg_confidence double, unique_categories long, "
+        "unique_subcategories long, rank int, category string, count long, sample_id long, "
+        "sample_subcategory string, sample_confidence double, sample_text string")
+    bundles = coaching.nest_bundle(flat)
+    small = {r.agent_name: r for r in coaching.coaching_prompts(bundles, context_limit=800).collect()}
+    big = {r.agent_name: r for r in coaching.coaching_prompts(
+        bundles, model="deepseek/deepseek-chat-v3.1:free").collect()}
+    assert small["a1"].was_truncated and not big["a1"].was_truncated
+    assert not small["a2"].was_truncated
+    import re
+    assert len(re.findall(r"\nSample \d+:", small["a1"].prompt)) == 3
+    assert len(re.findall(r"\nSample \d+:", big["a1"].prompt)) == 5
+    for r in list(small.values()) + list(big.values()):
+        assert r.est_tokens == len(r.prompt) // 4
