@@ -39,7 +39,9 @@ def prepare_examples(examples: DataFrame) -> DataFrame:
     strip = lambda c: F.regexp_replace(F.col(c).cast("string"), f"^{WS}+|{WS}+$", "")
     return examples.select(
         "example_ord", phrase.alias("phrase"), collapse_ws(phrase).alias("phrase_norm"),
-        strip("category").alias("category"), strip("subcategory").alias("subcategory"),
+        # The category is always rendered as text: a missing one reads "None".
+        F.coalesce(strip("category"), F.lit("None")).alias("category"),
+        strip("subcategory").alias("subcategory"),
         strip("tertiary_category").alias("tertiary_category"),
         F.coalesce(F.col("confidence"), F.lit(DEFAULT_CONFIDENCE)).alias("example_confidence"))
 
@@ -82,7 +84,10 @@ def example_classify(texts: DataFrame, examples: DataFrame, text_col: str = "tra
 def example_stats(examples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Count, distinct categories, mean phrase length in words (1 place)."""
     ex = prepare_examples(examples)
-    words = F.when(F.col("phrase_norm") == "", F.lit(0)).otherwise(F.size(F.split("phrase_norm", " ")))
+    # A missing phrase renders as one word (str() of a missing value).
+    words = (F.when(F.col("phrase_norm").isNull(), F.lit(1))
+             .when(F.col("phrase_norm") == "", F.lit(0))
+             .otherwise(F.size(F.split("phrase_norm", " "))))
     return ex.agg(F.count(F.lit(1)).alias("total_examples"),
                   F.countDistinct("category").alias("unique_categories"),
                   F.coalesce(F.round(F.avg(words), 1), F.lit(0.0)).alias("avg_phrase_length"),

@@ -236,6 +236,8 @@ def proximity_stats(rules: DataFrame, program: str | None = None) -> DataFrame:
                      F.countDistinct("w").alias("unique_keywords")).withColumn("program", F.lit(program))
     first = F.transform("terms", lambda t: F.when(F.instr(t, " ") > 0, _words(t)[0]).otherwise(t))
     k = parsed.select("rule_ord", "program", F.explode(first).alias("k"))
+    # A missing program is one more distinct value (a Python set holds None).
     return k.agg(F.countDistinct("rule_ord").alias("total_rules"),
-                 F.countDistinct("program").alias("programs"),
+                 F.coalesce(F.countDistinct("program") + F.max(F.col("program").isNull().cast("int")),
+                            F.lit(0)).cast("long").alias("programs"),
                  F.countDistinct("k").alias("unique_keywords"))
