@@ -111,6 +111,11 @@ def negation_regex() -> str:
     return f"(^|{NOT_WORD})({words})($|{NOT_WORD})"
 
 
+def negation_regex_python() -> str:
+    """Negation words as whole words, Python ``re`` (use with IGNORECASE)."""
+    return r"\b(" + "|".join(NEGATION_WORDS) + r")\b"
+
+
 def whole_word_regex_java(term: str) -> str:
     """Python ``\\b<escaped term>\\b`` for one literal term, in Java syntax."""
     quoted = "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"

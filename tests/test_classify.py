@@ -94,10 +94,14 @@ def test_plan_shape(spark):
     from callsift.plans.classify import prepare
     parsed, _ = R.parse_keyword_rules(R.keyword_rules(spark))
     rb = K.RuleBase(parsed)
-    hits = K.keyword_hits(prepare(TR.from_documents(spark, SF)), F.broadcast(K._with_sentinel(rb.terms)))
+    terms = [(r.term, r.term_id, r.is_forbidden) for r in rb.terms.collect()]
+    hits = K.keyword_hits(prepare(TR.from_documents(spark, SF)), spark.sparkContext.broadcast(terms))
     hplan = hits._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" in hplan and "BroadcastExchange" in hplan
-    assert "CartesianProduct" not in hplan
+    assert "MapInPandas" in hplan  # one pass per text, whatever the number of terms
+    assert "CartesianProduct" not in hplan and "NestedLoopJoin" not in hplan
+    scan = K.keyword_hits_scan(prepare(TR.from_documents(spark, SF)), F.broadcast(K._with_sentinel(rb.terms)))
+    splan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in splan and "CartesianProduct" not in splan
     out = classify(TR.from_documents(spark, SF), R.keyword_rules(spark), R.hierarchy(spark))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
@@ -128,10 +132,15 @@ def test_scoring_paths_match_model(spark, monkeypatch):
     assert run() == want
     monkeypatch.setattr(K, "MAX_GROUPS_ONE_LEVEL", 0)
     assert run() == want
-    monkeypatch.setattr(K, "MAX_TERMS_PER_SCAN", 40)
+    monkeypatch.setattr(K, "MAX_TERMS_PER_AUTOMATON", 40)
     assert run() == want
     monkeypatch.setattr(K.RuleBase, "__init__", _unpacked_init(K.RuleBase.__init__))
     assert run() == want
+    # the substring theta-join used when the matcher is not installed
+    monkeypatch.setattr(K, "_HAVE_AUTOMATON", False)
+    assert run() == want
+    monkeypatch.setattr(K, "MAX_TERMS_PER_SCAN", 40)
+    assert run() == want
 
 
 def _unpacked_init(init):
