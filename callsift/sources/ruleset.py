@@ -150,3 +150,25 @@ def large_hierarchy(rules: list[tuple]) -> list[tuple]:
         (PROGRAM, r[0], r[1], r[2], f"T{i % 7}", f"Q{i % 3}")
         for i, r in enumerate(rules)
     ]
+
+
+def wide_keyword_rules(n: int, seed: int = 7) -> list[tuple]:
+    """A rule base of ``n`` rules over thousands of distinct keywords, as a
+    real rule base has: keywords are two or three consonant-vowel syllables
+    drawn by a seeded generator (frequent to rare in the corpus), 1-4 groups
+    of 1-3 keywords, an occasional forbidden keyword."""
+    import random
+
+    rnd = random.Random(seed)
+    syl = [c + v for c in "bcdfghlmnprstv" for v in "aeiou"]
+
+    def word():
+        return "".join(rnd.choice(syl) for _ in range(rnd.choice((2, 2, 3))))
+
+    out = []
+    for i in range(n):
+        groups = [[word() for _ in range(rnd.randint(1, 3))] for _ in range(rnd.randint(1, 4))]
+        forb = [word()] if rnd.random() < 0.2 else None
+        out.append((f"W{i:05d}", f"Cat{i % 37:02d}", f"Sub{i % 101:03d}",
+                    json.dumps(groups), json.dumps(forb) if forb else None))
+    return out
