@@ -1,11 +1,15 @@
 """User examples: phrase match by substring, else by Ratcliff-Obershelp
 similarity (``difflib.SequenceMatcher.ratio``), threshold 0.85.
 
-Plan: texts x broadcast(examples) as a nested-loop join whose condition is
-``contains`` OR the exact length bound ``2*min(la, lb) / (la + lb) >= t``
-(the ratio can never exceed it), so only pairs that can still qualify
-reach the Arrow-batched pandas UDF; one aggregate per text picks the best
-example (highest similarity, first example on ties).
+Plan: one ``mapInPandas`` pass per text over the broadcast example list
+(configuration, size-checked): an Aho-Corasick automaton over the phrases
+finds every contained phrase (similarity 1.0); the ratio can never exceed
+``2*min(la, lb) / (la + lb)``, so only examples whose length lies in that
+band around the text's length (found by bisection on the length-sorted
+list) reach difflib. No (text, example) pair outside the band is ever
+formed. One aggregate per text picks the best example (highest
+similarity, first example on ties). Without the automaton library, a
+nested-loop join on ``contains`` OR the length bound is used instead.
 """
 
 from __future__ import annotations
@@ -23,6 +27,14 @@ from callsift.plans.dims import bounded_count, checked_broadcast
 
 THRESHOLD = 0.85
 DEFAULT_CONFIDENCE = 0.95
+# Examples per broadcast list (a user's examples are configuration).
+MAX_EXAMPLES_PER_PASS = 1_000_000
+
+try:  # the single-pass phrase matcher; without it the nested-loop join is used
+    import ahocorasick  # noqa: F401
+    _HAVE_AUTOMATON = True
+except ImportError:  # pragma: no cover
+    _HAVE_AUTOMATON = False
 
 
 @F.pandas_udf(T.DoubleType())
@@ -46,10 +58,77 @@ def prepare_examples(examples: DataFrame) -> DataFrame:
         F.coalesce(F.col("confidence"), F.lit(DEFAULT_CONFIDENCE)).alias("example_confidence"))
 
 
+def _example_matches(phrases, threshold: float):
+    """Per-partition function: (transcript_id, example_ord, similarity) for
+    every example scoring >= ``threshold`` against each text."""
+    def run(batches):
+        import bisect
+        import difflib
+
+        import ahocorasick
+        import pandas as pd
+
+        t = float(threshold)
+        auto = ahocorasick.Automaton()
+        empty = []  # '' is contained in every text
+        for o, p in phrases.value:
+            if p is None:
+                continue
+            if p == "":
+                empty.append(o)
+            elif p in auto:
+                auto.get(p).append(o)
+            else:
+                auto.add_word(p, [o])
+        if len(auto):
+            auto.make_automaton()
+        by_len = sorted((len(p), o, p) for o, p in phrases.value if p)
+        lens = [x[0] for x in by_len]
+        for pdf in batches:
+            ids, ords, sims = [], [], []
+            for doc, text in zip(pdf["transcript_id"].tolist(), pdf["tn"].tolist()):
+                contained = set(empty)
+                if len(auto):
+                    for _, os_ in auto.iter(text):
+                        contained.update(os_)
+                if t <= 1.0:
+                    for o in contained:
+                        ids.append(doc), ords.append(o), sims.append(1.0)
+                la = len(text)
+                if t > 1.0:
+                    continue
+                if t > 0.0:  # 2*min/(la+lb) >= t  =>  lb in [la*t/(2-t), la*(2-t)/t]
+                    lo = bisect.bisect_left(lens, int(la * t / (2.0 - t)) - 1)
+                    hi = bisect.bisect_right(lens, int(la * (2.0 - t) / t) + 1)
+                else:
+                    lo, hi = 0, len(by_len)
+                low = text.lower()
+                for lb, o, p in by_len[lo:hi]:
+                    if o in contained or (2.0 * min(la, lb)) / (la + lb) < t:
+                        continue
+                    r = difflib.SequenceMatcher(None, low, p.lower()).ratio()
+                    if r >= t:
+                        ids.append(doc), ords.append(o), sims.append(r)
+            yield pd.DataFrame({"transcript_id": pd.array(ids, dtype="Int64"),
+                                "example_ord": pd.array(ords, dtype="Int64"),
+                                "similarity": pd.array(sims, dtype="float64")})
+    return run
+
+
 def example_pairs(texts: DataFrame, examples: DataFrame, text_col: str = "transcript",
                   threshold: float = THRESHOLD) -> DataFrame:
     """(transcript_id, example, similarity) for every pair scoring >= threshold."""
     ex = prepare_examples(examples)
+    if _HAVE_AUTOMATON:
+        n = bounded_count(ex)
+        if n <= MAX_EXAMPLES_PER_PASS:
+            phrases = [(r.example_ord, r.phrase_norm) for r in ex.select("example_ord", "phrase_norm").collect()]
+            t = texts.select("transcript_id", collapse_ws(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+                             .alias("tn"))
+            m = t.mapInPandas(_example_matches(texts.sparkSession.sparkContext.broadcast(phrases), threshold),
+                              "transcript_id long, example_ord long, similarity double")
+            return m.join(checked_broadcast(ex, n), "example_ord")
+    ex = prepare_examples(examples)
     ex = checked_broadcast(ex, bounded_count(ex))
     t = texts.select("transcript_id", collapse_ws(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
                      .alias("tn"))

@@ -193,3 +193,32 @@ def test_coaching_prompt_budget_by_model(spark):
     assert len(re.findall(r"\nSample \d+:", big["a1"].prompt)) == 5
     for r in list(small.values()) + list(big.values()):
         assert r.est_tokens == len(r.prompt) // 4
+
+
+def test_example_pairs_random(spark, monkeypatch):
+    """Every (text, example) pair at several thresholds against brute force
+    over all pairs (substring -> 1.0, else difflib ratio), including empty
+    and duplicate phrases and lengths far apart."""
+    import random
+    rnd = random.Random(11)
+    vocab = ["ab", "abc", "b", "cab", "ba", "zz", "a"]
+    texts = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.choice([0, 1, 2, 3, 6, 15]))))
+             for i in range(150)]
+    phrases = [" ".join(rnd.choice(vocab) for _ in range(rnd.choice([0, 1, 2, 3, 4]))) for _ in range(25)]
+    phrases += [phrases[3], "  AB  Cab "]
+    ex = R.user_examples(spark, [(p, "C", None, None, None) for p in phrases])
+    t = spark.createDataFrame(texts, "transcript_id long, transcript string")
+    norm = [" ".join(str(p).lower().strip().split()) for p in phrases]
+    for thr, single_pass in ((0.85, True), (0.5, True), (1.0, True), (0.0, True),
+                             (0.85, False), (0.0, False)):
+        monkeypatch.setattr(examples, "_HAVE_AUTOMATON", single_pass)
+        got = {(r.transcript_id, r.example_ord, round(r.similarity, 12))
+               for r in examples.example_pairs(t, ex, threshold=thr).collect()}
+        want = set()
+        for tid, txt in texts:
+            tn = " ".join(txt.lower().strip().split())
+            for o, pn in enumerate(norm):
+                s = 1.0 if pn in tn else difflib.SequenceMatcher(None, tn, pn).ratio()
+                if s >= thr:
+                    want.add((tid, o, round(s, 12)))
+        assert got == want, (thr, single_pass)
