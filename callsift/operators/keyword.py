@@ -334,12 +334,9 @@ class RuleBase:
         self.max_groups = groups
 
 
-def score_texts(prepared: DataFrame, rb: RuleBase, carry: list[str] = (),
-                num_partitions: int | None = None, co_partitioned: bool = False) -> DataFrame:
-    """Per text (every text of ``prepared``): carried attributes and the
-    winning rule (null when none is kept) with the kept-rule count.
-
-    ``prepared`` needs ``transcript_id`` and ``norm_text``."""
+def hit_stream(prepared: DataFrame, rb: RuleBase, carry: list[str] = ()) -> DataFrame:
+    """Keyword hits of every text (see ``keyword_hits``), one sentinel row per
+    text: the single-pass matcher when installed, else the substring join."""
     if _HAVE_AUTOMATON:
         # The term table is configuration of checked size (RuleBase); its
         # rows go to the executors as one broadcast list, in bounded chunks.
@@ -364,6 +361,16 @@ def score_texts(prepared: DataFrame, rb: RuleBase, carry: list[str] = (),
             return _with_sentinel(t) if i == 0 else t.withColumn("is_sentinel", F.lit(False))
         hits = reduce(DataFrame.unionByName, [
             keyword_hits_scan(prepared, F.broadcast(chunk_terms(i)), carry) for i in range(k)])
+    return hits
+
+
+def score_texts(prepared: DataFrame, rb: RuleBase, carry: list[str] = (),
+                num_partitions: int | None = None, co_partitioned: bool = False) -> DataFrame:
+    """Per text (every text of ``prepared``): carried attributes and the
+    winning rule (null when none is kept) with the kept-rule count.
+
+    ``prepared`` needs ``transcript_id`` and ``norm_text``."""
+    hits = hit_stream(prepared, rb, carry)
     # Cut the lineage after the text stage: the hit rows (no text) are
     # written once to the shared checkpoint folder, then hash-partitioned
     # by text for the partition-local scoring aggregates. Measured 4-5x

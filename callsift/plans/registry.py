@@ -289,6 +289,49 @@ def _prepared_docs(spark, sf):
     return prepare(docs)
 
 
+# --------------------------------------------------------------------------
+# Stages of the keyword engine, each checked on its own
+# --------------------------------------------------------------------------
+
+from callsift.operators import keyword as K  # noqa: E402
+from callsift.plans.dims import checked_broadcast  # noqa: E402
+
+
+def _ccre_parts(spark, sf):
+    """Rule base and the term hits (no sentinel rows) of every document."""
+    prepared = _prepared_docs(spark, sf)
+    parsed, _ = R.parse_keyword_rules(R.keyword_rules(spark))
+    rb = K.RuleBase(parsed)
+    return rb, K.hit_stream(prepared, rb).filter(F.col("term_id").isNotNull())
+
+
+@register("ccre_keyword_hits", W("SELECT transcript_id, term, pos, neg, wb FROM hits"))
+def q_kw_hits(spark, sf):
+    rb, hits = _ccre_parts(spark, sf)
+    terms = checked_broadcast(rb.terms.select("term_id", "term"), rb.n_slots)
+    return hits.join(terms, "term_id").select("transcript_id", "term", "pos", "neg", "wb")
+
+
+@register("ccre_forbidden", W(
+    "SELECT DISTINCT transcript_id, CAST(rule_ord AS BIGINT) AS rule_ord FROM slot_hits WHERE group_no < 0"))
+def q_forbidden(spark, sf):
+    rb, hits = _ccre_parts(spark, sf)
+    forb = checked_broadcast(rb.slots_with_ids.filter(F.col("group_no") < 0)
+                             .select("term_id", "rule_ord"), rb.n_slots)
+    return (hits.filter("wb").join(forb, "term_id")
+            .select("transcript_id", F.col("rule_ord").cast("long").alias("rule_ord")).distinct())
+
+
+@register("ccre_scores", W(
+    "SELECT transcript_id, CAST(rule_ord AS BIGINT) AS rule_ord, matched_groups, confidence FROM kept"))
+def q_scores(spark, sf):
+    rb, hits = _ccre_parts(spark, sf)
+    sc = K.rule_scores(hits.select("transcript_id", "term_id", "pos", "neg", "wb"), rb.parsed,
+                       rb.slots_with_ids, rb.n_slots, rb.n_rules, rb.kw_bits, rb.max_groups)
+    return sc.select("transcript_id", F.col("rule_ord").cast("long").alias("rule_ord"),
+                     F.col("matched_groups").cast("long").alias("matched_groups"), "confidence")
+
+
 @register("prox_classify", "WITH " + O.proximity_sql(O.prepared_docs_sql()).strip()
           + "\nSELECT * FROM pbest")
 def q_prox(spark, sf):
