@@ -150,9 +150,10 @@ def parse_proximity_rules(rules: DataFrame) -> DataFrame:
                     w[1].alias("anchor2_words"), anchor3.alias("anchor3_words"))
 
 
-def proximity_matches(texts: DataFrame, rules: DataFrame, program: str | None = None,
-                      text_col: str = "norm_text") -> DataFrame:
-    """Every (transcript_id, rule) that matches, with its confidence."""
+def proximity_candidates(texts: DataFrame, rules: DataFrame, program: str | None = None,
+                         text_col: str = "norm_text") -> DataFrame:
+    """(transcript_id, padded text, rule columns): each rule an index key of
+    which occurs among the text's tokens, once per (text, rule)."""
     parsed = parse_proximity_rules(rules)
     if program:
         parsed = parsed.filter(F.col("program") == F.lit(program))
@@ -168,16 +169,22 @@ def proximity_matches(texts: DataFrame, rules: DataFrame, program: str | None =
     keys = docs.select("transcript_id", "padded", F.explode(F.array_distinct(tok)).alias("index_key"))
     keys = keys.filter(F.col("index_key") != "")
     padded = F.col("padded")
-
-    def has(needle: Column) -> Column:
-        # Exact token-phrase occurrence; an empty term occurs everywhere.
-        return F.when(needle.isNull(), F.lit(True)).otherwise(padded.contains(needle))
-
     # Keep a (text, rule) pair once: on its first index key that occurs.
     first_key = (F.col("key_no") == 0) | ~F.exists(
         F.slice("index_keys", 1, F.col("key_no")),
         lambda k: padded.contains(F.concat(F.lit(" "), k, F.lit(" "))))
-    cand = keys.join(parsed, "index_key").filter(first_key)
+    return keys.join(parsed, "index_key").filter(first_key)
+
+
+def proximity_matches(texts: DataFrame, rules: DataFrame, program: str | None = None,
+                      text_col: str = "norm_text") -> DataFrame:
+    """Every (transcript_id, rule) that matches, with its confidence."""
+    cand = proximity_candidates(texts, rules, program, text_col)
+    padded = F.col("padded")
+
+    def has(needle: Column) -> Column:
+        # Exact token-phrase occurrence; an empty term occurs everywhere.
+        return F.when(needle.isNull(), F.lit(True)).otherwise(padded.contains(needle))
 
     def near(term: Column, regex: Column, anchors_exist: Column, win: Column,
              anchor_words: Column) -> Column:

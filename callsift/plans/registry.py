@@ -351,6 +351,20 @@ def q_prox_counts(spark, sf):
     return m.groupBy("rule_ord").agg(F.count(F.lit(1)).alias("matches"))
 
 
+@register("prox_candidates", "WITH " + O.proximity_sql(O.prepared_docs_sql()).strip()
+          + "\nSELECT DISTINCT transcript_id, CAST(rule_ord AS BIGINT) AS rule_ord FROM pcand")
+def q_prox_cand(spark, sf):
+    c = PX.proximity_candidates(_prepared_docs(spark, sf), R.proximity_rules(spark))
+    return c.select("transcript_id", F.col("rule_ord").cast("long").alias("rule_ord"))
+
+
+@register("prox_matches", "WITH " + O.proximity_sql(O.prepared_docs_sql()).strip()
+          + "\nSELECT transcript_id, CAST(rule_ord AS BIGINT) AS rule_ord, confidence FROM pmatch")
+def q_prox_matches(spark, sf):
+    m = PX.proximity_matches(_prepared_docs(spark, sf), R.proximity_rules(spark))
+    return m.select("transcript_id", F.col("rule_ord").cast("long").alias("rule_ord"), "confidence")
+
+
 # --------------------------------------------------------------------------
 # Review sampling and corrections
 # --------------------------------------------------------------------------
