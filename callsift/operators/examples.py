@@ -47,7 +47,9 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def prepare_examples(examples: DataFrame) -> DataFrame:
     """Lower-cased, stripped phrase; whitespace-collapsed match form;
     stripped labels; missing confidence -> 0.95."""
-    phrase = F.regexp_replace(F.lower(F.col("example_phrase").cast("string")), f"^{WS}+|{WS}+$", "")
+    # str() of a missing phrase is "None", as the original renders it.
+    phrase = F.regexp_replace(F.lower(F.coalesce(F.col("example_phrase").cast("string"), F.lit("None"))),
+                              f"^{WS}+|{WS}+$", "")
     strip = lambda c: F.regexp_replace(F.col(c).cast("string"), f"^{WS}+|{WS}+$", "")
     return examples.select(
         "example_ord", phrase.alias("phrase"), collapse_ws(phrase).alias("phrase_norm"),
@@ -163,9 +165,7 @@ def example_classify(texts: DataFrame, examples: DataFrame, text_col: str = "tra
 def example_stats(examples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Count, distinct categories, mean phrase length in words (1 place)."""
     ex = prepare_examples(examples)
-    # A missing phrase renders as one word (str() of a missing value).
-    words = (F.when(F.col("phrase_norm").isNull(), F.lit(1))
-             .when(F.col("phrase_norm") == "", F.lit(0))
+    words = (F.when(F.col("phrase_norm") == "", F.lit(0))
              .otherwise(F.size(F.split("phrase_norm", " "))))
     return ex.agg(F.count(F.lit(1)).alias("total_examples"),
                   F.countDistinct("category").alias("unique_categories"),

@@ -205,7 +205,8 @@ def test_example_pairs_random(spark, monkeypatch):
     texts = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.choice([0, 1, 2, 3, 6, 15]))))
              for i in range(150)]
     phrases = [" ".join(rnd.choice(vocab) for _ in range(rnd.choice([0, 1, 2, 3, 4]))) for _ in range(25)]
-    phrases += [phrases[3], "  AB  Cab "]
+    phrases += [phrases[3], "  AB  Cab ", None]
+    texts.append((150, "it was none of mine"))
     ex = R.user_examples(spark, [(p, "C", None, None, None) for p in phrases])
     t = spark.createDataFrame(texts, "transcript_id long, transcript string")
     norm = [" ".join(str(p).lower().strip().split()) for p in phrases]
