@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callsift.functions import patterns as P
-from callsift.plans.dims import checked_broadcast
+from callsift.plans.dims import MAX_BROADCAST_ROWS, checked_broadcast
 from callsift.session import materialize
 from callsift.sources.rules import rule_terms
 
@@ -332,16 +332,24 @@ class RuleBase:
         bits = max(1, (kws).bit_length())
         self.kw_bits = bits if bits * groups <= 62 else 0
         self.max_groups = groups
+        self._term_list = None
+
+    def term_list(self) -> list[tuple]:
+        """(term, term_id, is_forbidden) rows, read once; only called when
+        the slot count is within the broadcast limit (``hit_stream``)."""
+        if self._term_list is None:
+            self._term_list = [(r.term, r.term_id, r.is_forbidden) for r in self.terms.select(
+                "term", "term_id", "is_forbidden").orderBy("term_id").collect()]
+        return self._term_list
 
 
 def hit_stream(prepared: DataFrame, rb: RuleBase, carry: list[str] = ()) -> DataFrame:
     """Keyword hits of every text (see ``keyword_hits``), one sentinel row per
     text: the single-pass matcher when installed, else the substring join."""
-    if _HAVE_AUTOMATON:
+    if _HAVE_AUTOMATON and rb.n_slots <= MAX_BROADCAST_ROWS:
         # The term table is configuration of checked size (RuleBase); its
         # rows go to the executors as one broadcast list, in bounded chunks.
-        terms = [(r.term, r.term_id, r.is_forbidden) for r in
-                 rb.terms.select("term", "term_id", "is_forbidden").orderBy("term_id").collect()]
+        terms = rb.term_list()
         sc = prepared.sparkSession.sparkContext
         chunks = [terms[i:i + MAX_TERMS_PER_AUTOMATON]
                   for i in range(0, max(len(terms), 1), MAX_TERMS_PER_AUTOMATON)]

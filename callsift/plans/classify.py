@@ -55,16 +55,22 @@ def ccre_result(j: DataFrame) -> DataFrame:
     )
 
 
-def classify_ccre(transcripts: DataFrame, rules: DataFrame, pii: bool = True,
+def rule_base(rules: DataFrame) -> RuleBase:
+    """Parsed rules with their measured tables; build once and pass it to
+    ``classify`` when the same rules serve many inputs (stream batches)."""
+    parsed, _ = parse_keyword_rules(rules)
+    return RuleBase(parsed)
+
+
+def classify_ccre(transcripts: DataFrame, rules: DataFrame | RuleBase, pii: bool = True,
                   carry: list[str] = ("agent_name", "call_id", "ts"),
                   num_partitions: int | None = None) -> DataFrame:
     """Keyword-engine result for every transcript, with ``carry`` columns.
 
-    One pass over the text: preparation and the term theta-join run in the
-    scan stage, and the small per-text attributes ride along the hit rows
-    (see ``callsift.operators.keyword``)."""
-    parsed, _ = parse_keyword_rules(rules)
-    rb = RuleBase(parsed)
+    One pass over the text: preparation and the term matcher run in the
+    scan stage, and the small per-text attributes ride on one sentinel row
+    per text (see ``callsift.operators.keyword``)."""
+    rb = rules if isinstance(rules, RuleBase) else rule_base(rules)
     transcripts, co = spread(transcripts, "transcript_id", num_partitions)
     prepared = prepare(transcripts, pii).withColumn("is_empty", F.col("norm_text") == "")
     carry = [c for c in carry if c in prepared.columns] + ["is_empty"]
@@ -105,7 +111,7 @@ def enrich(ccre: DataFrame, hierarchy: DataFrame, program: str = "CCRE",
     )
 
 
-def classify(transcripts: DataFrame, rules: DataFrame, hierarchy: DataFrame,
+def classify(transcripts: DataFrame, rules: DataFrame | RuleBase, hierarchy: DataFrame,
              program: str = "CCRE", threshold: float = 0.40, pii: bool = True,
              with_text: bool = False, num_partitions: int | None = None) -> DataFrame:
     """Transcripts (role columns) -> classified table (``CLASSIFIED_COLUMNS``).

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsift.plans.classify import classify
+from callsift.plans.classify import classify, rule_base
 from callsift.session import scratch_path
 
 
@@ -52,9 +52,10 @@ def run_classification_stream(spark: SparkSession, source_dir: str, schema, to_t
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
     stream = reader.parquet(source_dir)
+    rb = rule_base(rules)  # parsed and measured once for all micro-batches
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        out = classify(to_transcripts(batch), rules, hierarchy).drop("transcript", "redacted_transcript")
+        out = classify(to_transcripts(batch), rb, hierarchy).drop("transcript", "redacted_transcript")
         # One directory per batch, overwritten on a retry: idempotent sink.
         part = f"{result_path}/batch_id={batch_id}"
         out.write.mode("overwrite").parquet(part)
