@@ -60,10 +60,13 @@ def low_confidence_sample(df: DataFrame, threshold: float = 0.6, size: int = 50,
                           seed: int = 42) -> DataFrame:
     """Worst first: confidence < threshold ascending (ties by id), first
     ``size``; the stratified sample when no row is below the threshold."""
+    # The bounded top-k is computed once (at most ``size`` rows are kept)
+    # and tested for emptiness on its written copy, not by a second pass.
     low = df.filter(F.col("confidence") < F.lit(float(threshold)))
-    if low.isEmpty():
+    top = materialize(low.orderBy(F.asc("confidence"), F.asc("transcript_id")).limit(size))
+    if top.isEmpty():
         return stratified_sample(df, size, seed)
-    return low.orderBy(F.asc("confidence"), F.asc("transcript_id")).limit(size)
+    return top
 
 
 def corrections_from_labels(labels: DataFrame) -> DataFrame:

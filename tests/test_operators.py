@@ -223,3 +223,15 @@ def test_example_pairs_random(spark, monkeypatch):
                 if s >= thr:
                     want.add((tid, o, round(s, 12)))
         assert got == want, (thr, single_pass)
+
+
+def test_low_confidence_sample_worst_first_and_fallback(spark):
+    rows = [(i, 0.3 + (i % 7) / 10.0) for i in range(120)]
+    df = spark.createDataFrame(rows, "transcript_id long, confidence double")
+    got = [(r.transcript_id, r.confidence) for r in feedback.low_confidence_sample(df, size=10).collect()]
+    assert got == sorted([r for r in rows if r[1] < 0.6], key=lambda r: (r[1], r[0]))[:10]
+    high = spark.createDataFrame([(i, 0.65 + (i % 3) / 10.0) for i in range(120)],
+                                 "transcript_id long, confidence double")
+    s = feedback.low_confidence_sample(high, size=10).collect()
+    # quotas int(80/120*10)=6 high, int(40/120*10)=3 medium, remainder 1 on the empty low stratum
+    assert sorted(r.stratum for r in s) == ["high"] * 6 + ["medium"] * 3
