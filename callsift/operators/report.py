@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsift.operators.analytics import AVG_DIGITS
+from callsift.session import materialize
 
 
 def report_summary(df: DataFrame) -> DataFrame:
@@ -46,7 +47,12 @@ def _table(df: DataFrame) -> str:
 
 
 def export_html(df: DataFrame, title: str = "Classification report") -> str:
-    """A plain HTML page of the four report aggregates."""
+    """A plain HTML page of the four report aggregates. The four read the
+    same rows, so the needed columns are written once to the shared folder
+    rather than computed four times."""
+    cols = [c for c in ("transcript_id", "agent_name", "category", "subcategory", "confidence")
+            if c in df.columns]
+    df = materialize(df.select(*cols))
     s = report_summary(df).first()
     parts = [f"<h1>{html.escape(title)}</h1>",
              f"<p>Transcripts: {s['total']} &middot; mean confidence: {s['avg_confidence']} &middot; "
