@@ -12,16 +12,20 @@ Per transcript the highest confidence wins (ties: lowest rule ordinal) and
 the number of kept rules is reported.
 
 Plan: one linear chain, so the text is scanned and prepared once.
-  texts x broadcast(terms + one sentinel) ON sentinel OR contains(text, term)
-        -- BroadcastNestedLoopJoin; every text yields its sentinel row plus one
-           row per rule term it contains; the text is dropped right here
+  texts -> mapInPandas: one Aho-Corasick pass per text over the broadcast
+        term list -- one row per rule term it contains (first occurrence,
+        negation and whole-word flags) plus one sentinel row per text that
+        alone carries the text's attributes; the text is dropped right here
   checkpoint (shared folder) + repartition(transcript_id) -- small rows only
-  LEFT JOIN broadcast(rule slots) ON term
-  agg (text, rule, group) -> agg (text, rule) -> agg (text)   -- all local
+  JOIN broadcast(rule slots) ON term_id
+  agg (text, rule) [or (text, rule, group) -> (text, rule)] -> argmax per text
+  sentinel rows JOIN winners ON transcript_id -- same partitioning, local
 The sentinel keeps every text (and its carried attributes) alive through
 the chain, so no second branch over the same scan is needed.
-Broadcast sides are the rule tables, size-checked; a term set over the
-per-scan bound is split into bounded chunks, each its own scan.
+Broadcast sides are the rule tables, size-checked. Without the matcher
+library the hits come from a broadcast substring theta-join instead
+(texts x terms; a term set over the per-scan bound is split into bounded
+chunks, each its own scan).
 """
 
 from __future__ import annotations
