@@ -122,3 +122,22 @@ def test_upload_log_and_history(spark):
     allu = tables.upload_history(h, limit=2).collect()
     assert sorted((r.user_id, r.filename) for r in allu) == \
         [("u1", "f13.csv"), ("u1", "f14.csv"), ("u2", "f12.csv"), ("u2", "f9.csv")]
+
+
+def test_custom_sql_errors_and_shares(spark):
+    from callsift.operators import analytics as A
+    df = spark.createDataFrame([(i, f"c{i % 13}", f"s{i % 29}", (i % 10) / 10.0) for i in range(500)],
+                               "transcript_id long, category string, subcategory string, confidence double")
+    ok = A.run_custom_query(spark, df, "SELECT category, count(*) AS n FROM transcripts GROUP BY category")
+    assert ok.count() == 13
+    for bad in ("SELEC 1", "SELECT nope FROM transcripts"):
+        try:
+            A.run_custom_query(spark, df, bad)
+            raise AssertionError(bad)
+        except ValueError as e:
+            assert str(e).startswith("Query execution failed")
+    # shares of all groups sum to 100 (up to rounding to 2 places)
+    cats = A.category_distribution(df, limit=100).collect()
+    assert len(cats) == 13 and abs(sum(r.percentage for r in cats) - 100.0) < 13 * 0.005 + 1e-9
+    subs = A.subcategory_distribution(df, "c3", limit=100).collect()
+    assert {r.category for r in subs} == {"c3"} and abs(sum(r.percentage for r in subs) - 100.0) < 0.2
