@@ -705,6 +705,17 @@ def q_export(spark, sf):
     return spark.read.parquet(path)
 
 
+@register("export_csv", W(
+    "SELECT transcript_id, agent_name, category, subcategory, tertiary, quaternary, cat_no, confidence, "
+    "matched_keywords, source FROM classified"))
+def q_export_csv(spark, sf):
+    out = classified_docs(spark, sf).select(
+        "transcript_id", "agent_name", "category", "subcategory", "tertiary", "quaternary", "cat_no",
+        "confidence", "matched_keywords", "source")
+    path = XP.export_csv(out, scratch_path(spark, "export-csv"))
+    return XP.read_export_csv(spark, path, out.schema)
+
+
 # --------------------------------------------------------------------------
 # Streaming (M1, M2)
 # --------------------------------------------------------------------------
