@@ -123,9 +123,9 @@ def whole_word_regex_java(term: str) -> str:
 
 
 def whole_word_regex_re2(term: str) -> str:
-    """Same test in RE2 syntax; exact for terms that start and end with a word
-    character (the rule loader flags other forbidden terms)."""
+    """Same test in RE2 syntax (case-insensitive, as the original's
+    IGNORECASE); exact for terms that start and end with a word character."""
     import re
 
     escaped = re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", term)
-    return f"(^|{NOT_WORD}){escaped}($|{NOT_WORD})"
+    return f"(?i)(^|{NOT_WORD}){escaped}($|{NOT_WORD})"

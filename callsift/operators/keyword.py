@@ -56,8 +56,10 @@ except ImportError:  # pragma: no cover
 
 
 def _java_whole_word(term):
+    """Whole-word, case-insensitive (Unicode) search of a literal term, as the
+    original's forbidden-term pattern (IGNORECASE)."""
     quoted = F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return F.concat(F.lit(P.JAVA_BOUNDARY), quoted, F.lit(P.JAVA_BOUNDARY))
+    return F.concat(F.lit("(?iu)" + P.JAVA_BOUNDARY), quoted, F.lit(P.JAVA_BOUNDARY))
 
 
 def term_table(slots: DataFrame) -> DataFrame:
