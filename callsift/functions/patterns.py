@@ -117,9 +117,10 @@ def negation_regex_python() -> str:
 
 
 def whole_word_regex_java(term: str) -> str:
-    """Python ``\\b<escaped term>\\b`` for one literal term, in Java syntax."""
+    """Python ``\\b<escaped term>\\b`` with IGNORECASE for one literal term,
+    in Java syntax."""
     quoted = "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    return JAVA_BOUNDARY + quoted + JAVA_BOUNDARY
+    return "(?iu)" + JAVA_BOUNDARY + quoted + JAVA_BOUNDARY
 
 
 def whole_word_regex_re2(term: str) -> str:

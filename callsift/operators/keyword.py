@@ -47,6 +47,9 @@ _PACK = 1 << 40  # kw_no above bit 40, position in bits 1..39, negation in bit 0
 MAX_TERMS_PER_SCAN = 200_000
 # Terms per automaton (one pass over the texts per chunk).
 MAX_TERMS_PER_AUTOMATON = 2_000_000
+# Rule bases up to this many keyword slots keep their slot and term tables
+# as driver-local relations (read once; larger ones stay distributed).
+MAX_LOCAL_SLOTS = 200_000
 
 try:  # the single-pass matcher; without it the substring theta-join is used
     import ahocorasick  # noqa: F401
@@ -331,14 +334,41 @@ class RuleBase:
             F.max(F.array_max(F.transform("groups", lambda g: F.size(g)))).alias("k")).first()
         self.n_rules = shape["rules"]
         self.n_slots = shape["slots"] or 0
-        self.terms = term_table(self.slots)
-        self.slots_with_ids = self.slots.join(self.terms.select("term", "term_id"), "term")
+        if self.n_slots <= MAX_LOCAL_SLOTS:
+            self._local_tables()
+        else:
+            self.terms = term_table(self.slots)
+            self.slots_with_ids = self.slots.join(self.terms.select("term", "term_id"), "term")
         # Width of the packed keyword code: kw_no + 1 per group must fit.
         groups, kws = max(shape["g"] or 0, 1), max(shape["k"] or 0, 1)
         bits = max(1, (kws).bit_length())
         self.kw_bits = bits if bits * groups <= 62 else 0
         self.max_groups = groups
-        self._term_list = None
+        if self.n_slots > MAX_LOCAL_SLOTS:
+            self._term_list = None
+
+    def _local_tables(self) -> None:
+        """Slot and term tables as driver-local relations, from one bounded
+        read of the slots: they are small configuration that every text
+        task receives anyway, and broadcasting a local relation needs no
+        Spark job of its own."""
+        spark = self.slots.sparkSession
+        cols = ["rule_ord", "group_no", "kw_no", "keyword", "term"]
+        slots = self.slots.select(*cols)
+        rows = slots.collect()
+        roles = {}
+        for r in rows:
+            req, forb = roles.get(r.term, (False, False))
+            roles[r.term] = (req or r.group_no >= 0, forb or r.group_no < 0)
+        ids = {t: i + 1 for i, t in enumerate(sorted(roles))}
+        self.terms = spark.createDataFrame(
+            [(t, ids[t], req, forb, P.whole_word_regex_java(t) if forb else None)
+             for t, (req, forb) in sorted(roles.items())],
+            "term string, term_id int, is_required boolean, is_forbidden boolean, wb_regex string")
+        with_ids = T.StructType(list(slots.schema.fields) + [T.StructField("term_id", T.IntegerType())])
+        self.slots_with_ids = spark.createDataFrame(
+            [(*r, ids[r.term]) for r in rows], with_ids)
+        self._term_list = [(t, ids[t], forb) for t, (_, forb) in sorted(roles.items())]
 
     def term_list(self) -> list[tuple]:
         """(term, term_id, is_forbidden) rows, read once; only called when

@@ -129,6 +129,8 @@ def test_scoring_paths_match_model(spark, monkeypatch):
         return {r.transcript_id: (r.rule_id, r.confidence, r.matched_keywords, r.num_rules_activated)
                 for r in out}
 
+    assert run() == want
+    monkeypatch.setattr(K, "MAX_LOCAL_SLOTS", 0)  # distributed slot / term tables
     assert run() == want
     monkeypatch.setattr(K, "MAX_GROUPS_ONE_LEVEL", 0)
     assert run() == want
