@@ -150,3 +150,18 @@ def _unpacked_init(init):
         init(self, parsed)
         self.kw_bits = 0
     return wrapped
+
+
+def test_text_prepared_once_in_plans(spark):
+    """Clean + redact appear once in the optimized plans of the text stages
+    (a filter pushed below the preparation would inline it a second time)."""
+    from callsift.operators import keyword as K
+    from callsift.plans import registry
+    plans = [registry.QUERIES["prox_classify"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()]
+    parsed, _ = R.parse_keyword_rules(R.keyword_rules(spark))
+    rb = K.RuleBase(parsed)
+    from callsift.plans.classify import prepare
+    hits = K.hit_stream(prepare(TR.from_documents(spark, SF)), rb)
+    plans.append(hits._jdf.queryExecution().optimizedPlan().toString())
+    for p in plans:
+        assert p.count("<REDACTED_EMAIL>") == 1 and p.count("AGENT|CUSTOMER") == 1
