@@ -40,6 +40,10 @@ from callsift.functions.text import collapse_ws, normalize_text
 from callsift.plans.dims import bounded_count, checked_broadcast
 
 
+# Index rows (rule x key) kept as a driver-local relation up to this size.
+MAX_LOCAL_RULES = 100_000
+
+
 def _norm_term(c: Column) -> Column:
     """``str(x).lower().strip()``."""
     return F.regexp_replace(F.lower(c.cast("string")), f"^{WS}+|{WS}+$", "")
@@ -158,7 +162,14 @@ def proximity_candidates(texts: DataFrame, rules: DataFrame, program: str | None
     if program:
         parsed = parsed.filter(F.col("program") == F.lit(program))
     parsed = parsed.select("*", F.posexplode("index_keys").alias("key_no", "index_key"))
-    parsed = checked_broadcast(parsed, bounded_count(parsed))
+    # The rule table is configuration: read it once (bounded) into a local
+    # relation, whose broadcast needs no Spark job; a larger one is counted
+    # and broadcast only within the limit.
+    rows = parsed.limit(MAX_LOCAL_RULES + 1).collect()
+    if len(rows) <= MAX_LOCAL_RULES:
+        parsed = F.broadcast(texts.sparkSession.createDataFrame(rows, parsed.schema))
+    else:
+        parsed = checked_broadcast(parsed, bounded_count(parsed))
     norm = normalize_text(F.col(text_col))
     docs = texts.select("transcript_id", F.concat(F.lit(" "), norm, F.lit(" ")).alias("padded"))
     # Distinct tokens of the padded text. An empty text splits into one ''

@@ -117,7 +117,7 @@ def test_rulebase(spark):
     assert look[("CCRE", "R05")] == "License Terms"
 
 
-def test_proximity_matches_model_random(spark):
+def test_proximity_matches_model_random(spark, monkeypatch):
     """Random texts over a small vocabulary x random rules (phrases, empty and
     whitespace terms, substrings, odd distances, unknown operators) against
     the row-at-a-time model."""
@@ -154,6 +154,10 @@ def test_proximity_matches_model_random(spark):
         for o, c in model.prox_matches(txt, parsed).items():
             want[(tid, o)] = c
     assert got == want
+    monkeypatch.setattr(proximity, "MAX_LOCAL_RULES", 0)  # distributed rule table
+    assert {(r.transcript_id, r.rule_ord): r.confidence
+            for r in proximity.proximity_matches(t, rules).collect()} == want
+    monkeypatch.undo()
     got_p = {(r.transcript_id, r.rule_ord) for r in proximity.proximity_matches(t, rules, "Q").collect()}
     want_p = {(tid, o) for tid, txt in texts for o in model.prox_matches(txt, parsed, "Q")}
     assert got_p == want_p
