@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callsift.llm import block_topk, poisson_mix, spherical_dedup, swap_pack
+from callsift.llm import block_topk, phrase_dedup, poisson_mix, prob_minhash, spherical_dedup, swap_pack
 from callsift.llm.work import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@register("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return phrase_dedup.remove_repeats(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @register("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swap_pack.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -98,3 +104,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     return poisson_mix.replicate(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
+
+
+@register("op10_minhash_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "component_id", "n_copies", "kept")
