@@ -33,7 +33,7 @@ END_ID = 1
 # Pieces packed together in one task: bounds its memory and time.
 GROUP_PIECES = 32_768
 # Words (and their parts) whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 class WordTokenizer:
