@@ -21,7 +21,6 @@ import string
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -276,10 +275,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     # dealt by the row's place in the written table, so repeated rows spread too
     dealt = rest.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        bins, offset = pack_lengths(p["length"].to_numpy(), capacity)
-        return p.assign(sequence_id=p["g"] * (1 << 32) + bins, offset=offset).drop(columns="g")
+    def run(p: pa.Table) -> pa.Table:
+        bins, offset = pack_lengths(p.column("length").to_numpy(), capacity)
+        seq = p.column("g").to_numpy() * (1 << 32) + bins
+        return (p.drop_columns("g").append_column("sequence_id", pa.array(seq, pa.int64()))
+                .append_column("offset", pa.array(offset, pa.int64())))
 
-    packed = dealt.groupBy("g").applyInPandas(
+    packed = dealt.groupBy("g").applyInArrow(
         run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return whole.unionByName(packed)

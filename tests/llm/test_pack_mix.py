@@ -20,7 +20,8 @@ def plain_ids(text):
 
 
 def test_pieces_equal_the_tokenizer_and_sequences_are_gapless(frame):
-    rows = [(i, t, None, None, None) for i, t in enumerate(TEXTS)] + [(1, "", "x", "y", 0), (None, "null id", None, None, 1)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(TEXTS)] + [(1, "", "x", "y", 0), (None, "null id", None, None, 1),
+        (2 ** 53 + 1, "large id", None, None, 1)]
     got = swap_pack.pack(frame(rows, DOCS), tokenizer_path()).collect()
     by_doc = defaultdict(list)
     for r in got:
@@ -34,7 +35,7 @@ def test_pieces_equal_the_tokenizer_and_sequences_are_gapless(frame):
             own = own[:1]
         assert [(r.start, r.length, r.ids_crc32) for r in own] == [
             (4096 * k, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for k, p in enumerate(parts)]
-    assert len(by_doc[None]) == 1
+    assert len(by_doc[None]) == len(by_doc[2 ** 53 + 1]) == 1
     seqs = defaultdict(list)
     for r in got:
         seqs[r.sequence_id].append((r.offset, r.length))
