@@ -1,13 +1,13 @@
 import hashlib
 import random
-import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from callsift.llm import phrase_dedup, prob_minhash
 from callsift.llm.textops import gram_hashes, shingles, window_argmin, word_hashes, word_spans
+from tests_llm_brute import brute_repeats, words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -16,10 +16,6 @@ def row(i, text):
     return (i, text, "en", "s", 0)
 
 
-def words_of(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
-
-
 def passage(rng, n, vocabulary=4000):
     return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
 
@@ -46,21 +42,6 @@ def repeat_corpus(seed):
     return rows + [row(3, "one"), row(None, texts[8]), rows[9], rows[9], row(9, texts[10])]
 
 
-def brute_repeats(rows, size):
-    seen = defaultdict(list)
-    texts = [words_of(r[1]) for r in rows]
-    for d, ws in enumerate(texts):
-        for p in range(len(ws) - size + 1):
-            seen[tuple(ws[p:p + size])].append((d, p))
-    gone = [np.zeros(len(ws), bool) for ws in texts]
-    for places in seen.values():
-        if len(places) > 1:
-            for d, p in places:
-                gone[d][p:p + size] = True
-    return [(r[0], len(ws), int(g.sum()), hashlib.sha256(" ".join(w for w, x in zip(ws, g) if not x).encode()).hexdigest())
-            for r, ws, g in zip(rows, texts, gone)]
-
-
 @pytest.mark.parametrize("seed,shard_words", [(1, 1_000_000), (2, 700)])
 def test_removed_words_equal_brute_force(frame, seed, shard_words):
     rows = repeat_corpus(seed)

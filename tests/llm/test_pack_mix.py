@@ -7,18 +7,13 @@ import pytest
 
 from callsift.llm import poisson_mix, swap_pack
 from callsift.llm.queries import tokenizer_path
+from tests_llm_brute import brute_poisson, plain_ids
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TEXTS = ["Hello, world's BEST... (really)", "", None, "don't I'll x'ss 'tis", "é ü ß İstanbul ΣΑΣ, á b\x1cc",
          "<|endoftext|> inside <|x", "\t\n ", "123abc,, --..!! a.b,c's", "word " * 9000, "x" * 5000, "日本語、テスト。"]
 
 
-def plain_ids(text):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(tokenizer_path()).encode(text or "", add_special_tokens=False).ids + [1]
-
-
 def test_pieces_equal_the_tokenizer_and_sequences_are_gapless(frame):
     rows = [(i, t, None, None, None) for i, t in enumerate(TEXTS)] + [(1, "", "x", "y", 0), (None, "null id", None, None, 1),
         (2 ** 53 + 1, "large id", None, None, 1)]
@@ -81,16 +76,6 @@ def test_search_empties_a_bin_that_best_fit_leaves():
     assert (first.fill ** 2).sum() > squares and first.fill.max() <= 100
 
 
-def brute_poisson(rate, u):
-    n, p = 0, math.exp(-rate)
-    c = p
-    while c <= u:
-        n += 1
-        p *= rate / n
-        c += p
-    return n
-
-
 def test_replication_counts_and_order(frame):
     import hashlib
 
