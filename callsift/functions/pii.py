@@ -42,17 +42,22 @@ def redact(c, enabled: bool = True) -> Column:
     return F.when(may_hold_pii(x), chain).otherwise(x)
 
 
-def pii_counts(c) -> Column:
-    """Struct of per-type match counts, each counted on the text as redacted
-    by the patterns before it (the order the redactor applies them)."""
-    x0 = F.coalesce(_col(c), F.lit(""))
-    x = x0
-    fields = []
+def pii_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """One ``bigint`` column per type: its matches, each counted on the text as
+    redacted by the patterns before it (the order the redactor applies them).
+
+    Each step is a column of its own, so the text is redacted once: the
+    projections are kept apart by reading the step twice."""
+    out = df.select(F.coalesce(_col(text_col), F.lit("")).alias("_t"))
+    out = out.select("_t", may_hold_pii("_t").alias("_may"))
     for name, pat in _JAVA:
-        fields.append(F.regexp_count(x, F.lit(pat)).cast("long").alias(name))
-        x = F.regexp_replace(x, pat, f"<REDACTED_{name}>")
-    zeros = F.struct(*[F.lit(0).cast("long").alias(name) for name in PII_TYPES])
-    return F.when(may_hold_pii(x0), F.struct(*fields)).otherwise(zeros)
+        found = F.when(F.col("_may"), F.regexp_count("_t", F.lit(pat))).otherwise(0).cast("long")
+        rest = [c for c in out.columns if c not in ("_t", "_may")]
+        # the array holds count and rest of this step; reading both keeps one evaluation
+        out = out.select(*rest, "_may", F.struct(found.alias("n"), F.when(
+            F.col("_may"), F.regexp_replace("_t", pat, f"<REDACTED_{name}>")).otherwise(F.col("_t")).alias("t")).alias("_s"))
+        out = out.select(*rest, "_may", F.col("_s.n").alias(name), F.col("_s.t").alias("_t"))
+    return out.select(*PII_TYPES)
 
 
 def pii_stats(df: DataFrame, text_col: str = "transcript") -> DataFrame:
@@ -60,8 +65,7 @@ def pii_stats(df: DataFrame, text_col: str = "transcript") -> DataFrame:
 
     One global aggregate (partial sums per task, one tiny final merge),
     unpivoted with ``stack``. Every run starts from zero, so no reset."""
-    counts = df.select(pii_counts(text_col).alias("c"))
-    sums = counts.agg(*[F.sum(f"c.{t}").cast("long").alias(t) for t in PII_TYPES])
+    sums = pii_counts(df, text_col).agg(*[F.sum(t).cast("long").alias(t) for t in PII_TYPES])
     stack = ", ".join(f"'{t}', `{t}`" for t in PII_TYPES)
     return sums.select(
         F.expr(f"stack({len(PII_TYPES)}, {stack}) as (pii_type, hits)")

@@ -1,47 +1,30 @@
 """User examples: phrase match by substring, else by Ratcliff-Obershelp
 similarity (``difflib.SequenceMatcher.ratio``), threshold 0.85.
 
-Plan: one ``mapInPandas`` pass per text over the broadcast example list
-(configuration, size-checked): an Aho-Corasick automaton over the phrases
-finds every contained phrase (similarity 1.0); the ratio can never exceed
-``2*min(la, lb) / (la + lb)``, so only examples whose length lies in that
-band around the text's length (found by bisection on the length-sorted
-list) reach difflib. No (text, example) pair outside the band is ever
-formed. One aggregate per text picks the best example (highest
-similarity, first example on ties). Without the automaton library, a
-nested-loop join on ``contains`` OR the length bound is used instead.
+Plan: the examples are configuration (read once). One Arrow pass appends
+each text's scoring examples as an array of structs: an automaton over the
+phrases finds every contained one (similarity 1.0); the ratio never exceeds
+``2*min(la, lb) / (la + lb)``, so only examples whose length lies in that band
+around the text's (found by bisection) reach difflib. The best example of a
+text is an array maximum, so no row is regrouped.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callsift.functions.patterns import WS
 from callsift.functions.text import collapse_ws
-from callsift.plans.dims import bounded_count, checked_broadcast
+from callsift.operators.matching import Phrases, append_structs
 
 THRESHOLD = 0.85
 DEFAULT_CONFIDENCE = 0.95
-# Examples per broadcast list (a user's examples are configuration).
-MAX_EXAMPLES_PER_PASS = 1_000_000
-
-try:  # the single-pass phrase matcher; without it the nested-loop join is used
-    import ahocorasick  # noqa: F401
-    _HAVE_AUTOMATON = True
-except ImportError:  # pragma: no cover
-    _HAVE_AUTOMATON = False
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """``SequenceMatcher(None, a, b).ratio()`` per row (stdlib difflib)."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)],
-                     dtype="float64")
+FIELDS = [("example_ord", T.LongType()), ("similarity", T.DoubleType())]
 
 
 def prepare_examples(examples: DataFrame) -> DataFrame:
@@ -60,106 +43,68 @@ def prepare_examples(examples: DataFrame) -> DataFrame:
         F.coalesce(F.col("confidence"), F.lit(DEFAULT_CONFIDENCE)).alias("example_confidence"))
 
 
-def _example_matches(phrases, threshold: float):
-    """Per-partition function: (transcript_id, example_ord, similarity) for
-    every example scoring >= ``threshold`` against each text."""
-    def run(batches):
-        import bisect
-        import difflib
-
-        import ahocorasick
-        import pandas as pd
-
-        t = float(threshold)
-        auto = ahocorasick.Automaton()
-        empty = []  # '' is contained in every text
-        for o, p in phrases.value:
-            if p is None:
-                continue
-            if p == "":
-                empty.append(o)
-            elif p in auto:
-                auto.get(p).append(o)
-            else:
-                auto.add_word(p, [o])
-        if len(auto):
-            auto.make_automaton()
-        by_len = sorted((len(p), o, p) for o, p in phrases.value if p)
-        lens = [x[0] for x in by_len]
-        for pdf in batches:
-            ids, ords, sims = [], [], []
-            for doc, text in zip(pdf["transcript_id"].tolist(), pdf["tn"].tolist()):
-                contained = set(empty)
-                if len(auto):
-                    for _, os_ in auto.iter(text):
-                        contained.update(os_)
-                if t <= 1.0:
-                    for o in contained:
-                        ids.append(doc), ords.append(o), sims.append(1.0)
-                la = len(text)
-                if t > 1.0:
-                    continue
-                if t > 0.0:  # 2*min/(la+lb) >= t  =>  lb in [la*t/(2-t), la*(2-t)/t]
-                    lo = bisect.bisect_left(lens, int(la * t / (2.0 - t)) - 1)
-                    hi = bisect.bisect_right(lens, int(la * (2.0 - t) / t) + 1)
-                else:
-                    lo, hi = 0, len(by_len)
-                low = text.lower()
-                for lb, o, p in by_len[lo:hi]:
-                    if o in contained or (2.0 * min(la, lb)) / (la + lb) < t:
-                        continue
-                    r = difflib.SequenceMatcher(None, low, p.lower()).ratio()
-                    if r >= t:
-                        ids.append(doc), ords.append(o), sims.append(r)
-            yield pd.DataFrame({"transcript_id": pd.array(ids, dtype="Int64"),
-                                "example_ord": pd.array(ords, dtype="Int64"),
-                                "similarity": pd.array(sims, dtype="float64")})
-    return run
+class ExampleMatcher:
+    """(example, similarity) of each example that scores ``threshold`` or more."""
+
+    def __init__(self, examples: list[tuple[int, str]], threshold: float):
+        self.threshold = float(threshold)
+        self.phrases = Phrases([p for _, p in examples])
+        self.of: dict[str, list[int]] = {}
+        for o, p in examples:
+            self.of.setdefault(p, []).append(o)
+        self.by_length = sorted((len(p), p) for p in self.of if p)
+        self.lengths = [n for n, _ in self.by_length]
+
+    def __call__(self, text: str) -> list[tuple]:
+        t, n = self.threshold, len(text)
+        if t > 1.0:
+            return []
+        contained = {self.phrases.phrases[i] for i in self.phrases.find(text)}
+        score = dict.fromkeys(contained, 1.0)
+        low, high = 0, len(self.lengths)
+        if t > 0.0:  # 2 min / (n + m) >= t holds for m from n t / (2 - t) to n (2 - t) / t
+            low = bisect.bisect_left(self.lengths, int(n * t / (2.0 - t)) - 1)
+            high = bisect.bisect_right(self.lengths, int(n * (2.0 - t) / t) + 1)
+        for m, p in self.by_length[low:high]:
+            if p not in contained and 2.0 * min(n, m) / (n + m) >= t:
+                r = difflib.SequenceMatcher(None, text.lower(), p.lower()).ratio()
+                if r >= t:
+                    score[p] = r
+        return [(o, s) for p, s in score.items() for o in self.of[p]]
+
+
+def _scored(texts: DataFrame, examples: DataFrame, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows with an array ``_found`` of (example_ord, similarity), examples as
+    a driver-local relation)."""
+    prepared = prepare_examples(examples)
+    rows = prepared.collect()
+    matcher = ExampleMatcher([(r.example_ord, r.phrase_norm) for r in rows], threshold)
+    own = texts.select("transcript_id", collapse_ws(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("_norm"))
+    found = append_structs(own, "_norm", "_found", FIELDS, matcher).drop("_norm")
+    return found, F.broadcast(texts.sparkSession.createDataFrame(rows, prepared.schema))
 
 
 def example_pairs(texts: DataFrame, examples: DataFrame, text_col: str = "transcript",
                   threshold: float = THRESHOLD) -> DataFrame:
     """(transcript_id, example, similarity) for every pair scoring >= threshold."""
-    ex = prepare_examples(examples)
-    if _HAVE_AUTOMATON:
-        n = bounded_count(ex)
-        if n <= MAX_EXAMPLES_PER_PASS:
-            phrases = [(r.example_ord, r.phrase_norm) for r in ex.select("example_ord", "phrase_norm").collect()]
-            t = texts.select("transcript_id", collapse_ws(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-                             .alias("tn"))
-            m = t.mapInPandas(_example_matches(texts.sparkSession.sparkContext.broadcast(phrases), threshold),
-                              "transcript_id long, example_ord long, similarity double")
-            return m.join(checked_broadcast(ex, n), "example_ord")
-    ex = prepare_examples(examples)
-    ex = checked_broadcast(ex, bounded_count(ex))
-    t = texts.select("transcript_id", collapse_ws(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-                     .alias("tn"))
-    la, lb = F.length("tn"), F.length("phrase_norm")
-    bound = (F.lit(2.0) * F.least(la, lb)) / (la + lb) >= F.lit(threshold)
-    hit = F.col("tn").contains(F.col("phrase_norm"))
-    pairs = t.join(ex, hit | bound).withColumn("_hit", hit)
-    exact = pairs.filter("_hit").withColumn("similarity", F.lit(1.0))
-    fuzzy = (pairs.filter(~F.col("_hit"))
-             .withColumn("similarity", sequence_ratio(F.col("tn"), F.col("phrase_norm"))))
-    return (exact.unionByName(fuzzy).filter(F.col("similarity") >= F.lit(threshold))
-            .drop("_hit", "tn"))
+    found, local = _scored(texts, examples, text_col, threshold)
+    return (found.select("transcript_id", F.explode("_found").alias("_f")).select("transcript_id", "_f.*")
+            .join(local, "example_ord"))
 
 
 def example_classify(texts: DataFrame, examples: DataFrame, text_col: str = "transcript",
                      threshold: float = THRESHOLD) -> DataFrame:
-    """Best example per text: confidence = example confidence x similarity."""
-    p = example_pairs(texts, examples, text_col, threshold)
-    best = p.groupBy("transcript_id").agg(F.max_by(
-        F.struct("example_ord", "phrase", "category", "subcategory", "tertiary_category",
-                 "example_confidence", "similarity"),
-        F.struct(F.col("similarity"), -F.col("example_ord"))).alias("b"))
-    return best.select(
-        "transcript_id", F.col("b.category").alias("category"),
-        F.col("b.subcategory").alias("subcategory"),
-        F.col("b.tertiary_category").alias("tertiary_category"),
-        (F.col("b.example_confidence") * F.col("b.similarity")).alias("confidence"),
-        F.col("b.phrase").alias("matched_phrase"), F.col("b.similarity").alias("similarity"),
-        F.lit("user_example").alias("source"))
+    """Best example per text row (most similar, first on ties): confidence =
+    example confidence x similarity. Rows without one are left out."""
+    found, local = _scored(texts, examples, text_col, threshold)
+    best = F.array_max(F.transform("_found", lambda m: F.struct(
+        m["similarity"].alias("similarity"), (-m["example_ord"]).alias("neg_ord"))))
+    won = found.select("transcript_id", best.alias("b")).filter("b IS NOT NULL").select(
+        "transcript_id", (-F.col("b.neg_ord")).alias("example_ord"), "b.similarity")
+    return won.join(local, "example_ord").select(
+        "transcript_id", "category", "subcategory", "tertiary_category",
+        (F.col("example_confidence") * F.col("similarity")).alias("confidence"),
+        F.col("phrase").alias("matched_phrase"), "similarity", F.lit("user_example").alias("source"))
 
 
 def example_stats(examples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

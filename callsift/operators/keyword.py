@@ -1,4 +1,4 @@
-"""Keyword-rule classification (the core theta-join, scoring and argmax).
+"""Keyword-rule classification (term matching, scoring and argmax).
 
 Semantics per (transcript, rule):
   * veto if any forbidden term occurs as a whole word;
@@ -11,424 +11,173 @@ Semantics per (transcript, rule):
 Per transcript the highest confidence wins (ties: lowest rule ordinal) and
 the number of kept rules is reported.
 
-Plan: one linear chain, so the text is scanned and prepared once.
-  texts -> mapInPandas: one Aho-Corasick pass per text over the broadcast
-        term list -- one row per rule term it contains (first occurrence,
-        negation and whole-word flags) plus one sentinel row per text that
-        alone carries the text's attributes; the text is dropped right here
-  checkpoint (shared folder) + repartition(transcript_id) -- small rows only
-  JOIN broadcast(rule slots) ON term_id
-  agg (text, rule) [or (text, rule, group) -> (text, rule)] -> argmax per text
-  sentinel rows JOIN winners ON transcript_id -- same partitioning, local
-The sentinel keeps every text (and its carried attributes) alive through
-the chain, so no second branch over the same scan is needed.
-Broadcast sides are the rule tables, size-checked. Without the matcher
-library the hits come from a broadcast substring theta-join instead
-(texts x terms; a term set over the per-scan bound is split into bounded
-chunks, each its own scan).
+Plan: the whole chain is map-side, without any exchange or written table.
+  texts -> mapInArrow: one Aho-Corasick pass per text appends the rules that
+        have a matched group, as an array of fixed-width structs
+  -> array expressions: confidence, threshold, argmax, number of kept rules
+  -> broadcast join of the winner's rule row (rule configuration)
+Rows are never regrouped, so duplicate or null transcript ids do no harm.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callsift.functions import patterns as P
-from callsift.plans.dims import MAX_BROADCAST_ROWS, checked_broadcast
-from callsift.session import write_table
-from callsift.sources.rules import rule_terms
-
-_PACK = 1 << 40  # kw_no above bit 40, position in bits 1..39, negation in bit 0
-# Terms per broadcast chunk of the text x term theta-join (fallback path).
-MAX_TERMS_PER_SCAN = 200_000
-# Terms per automaton (one pass over the texts per chunk).
-MAX_TERMS_PER_AUTOMATON = 2_000_000
-# Rule bases up to this many keyword slots keep their slot and term tables
-# as driver-local relations (read once; larger ones stay distributed).
-MAX_LOCAL_SLOTS = 200_000
-
-try:  # the single-pass matcher; without it the substring theta-join is used
-    import ahocorasick  # noqa: F401
-    _HAVE_AUTOMATON = True
-except ImportError:  # pragma: no cover
-    _HAVE_AUTOMATON = False
-
-
-def _java_whole_word(term):
-    """Whole-word, case-insensitive (Unicode) search of a literal term, as the
-    original's forbidden-term pattern (IGNORECASE)."""
-    quoted = F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    return F.concat(F.lit("(?iu)" + P.JAVA_BOUNDARY), quoted, F.lit(P.JAVA_BOUNDARY))
-
-
-def term_table(slots: DataFrame) -> DataFrame:
-    """Distinct searched terms with their roles, whole-word regex and a dense
-    ``term_id`` (hit rows carry the id, not the string). The rule tables are
-    configuration whose size is checked before broadcasting, so numbering
-    them in one ordered window is bounded work."""
-    roles = slots.groupBy("term").agg(
-        F.bool_or(F.col("group_no") >= 0).alias("is_required"),
-        F.bool_or(F.col("group_no") < 0).alias("is_forbidden"),
-    )
-    return roles.select(
-        "term", F.row_number().over(Window.orderBy("term")).cast("int").alias("term_id"),
-        "is_required", "is_forbidden",
-        F.when(F.col("is_forbidden"), _java_whole_word(F.col("term"))).alias("wb_regex"))
-
-
-def _with_sentinel(terms: DataFrame) -> DataFrame:
-    s = terms.sparkSession.createDataFrame(
-        [(None, None, False, False, None, True)],
-        "term string, term_id int, is_required boolean, is_forbidden boolean, wb_regex string, "
-        "is_sentinel boolean")
-    return terms.withColumn("is_sentinel", F.lit(False)).unionByName(s)
-
-
-def keyword_hits_scan(docs: DataFrame, terms: DataFrame, carry: list[str] = ()) -> DataFrame:
-    """(transcript_id, *carry, term_id, pos, neg, wb): one row per rule term a
-    text contains, plus one sentinel row (null ``term_id``) per text. The
-    per-text ``carry`` attributes are set on the sentinel row only (null
-    elsewhere), so hit rows stay narrow.
-
-    ``terms`` is a size-checked term table that already holds the sentinel.
-    ``pos`` is the 0-based first occurrence; ``neg`` flags a negation word in
-    the 50 characters before it; ``wb`` flags a whole-word occurrence
-    (evaluated for forbidden terms only, after ``contains`` succeeded)."""
-    text = F.col("norm_text")
-    cond = F.col("is_sentinel") | ((text != "") & text.contains(F.col("term")))
-    j = docs.select("transcript_id", "norm_text", *carry).join(terms, cond)
-    at = F.expr("instr(norm_text, term)")  # 1-based
-    w = P.NEGATION_WINDOW_CHARS
-    ctx = F.substring(text, F.greatest(at - w, F.lit(1)),
-                      (at - 1) - F.greatest(at - (w + 1), F.lit(0)))
-    neg = (at > 1) & ctx.rlike(P.negation_regex())
-    wb = F.col("is_forbidden") & F.expr("norm_text rlike wb_regex")
-    return j.select(
-        "transcript_id", *[F.when(F.col("is_sentinel"), F.col(c)).alias(c) for c in carry],
-        "term_id",
-        (at - 1).cast("long").alias("pos"),
-        F.coalesce(neg.cast("int"), F.lit(0)).alias("neg"),
-        F.coalesce(wb, F.lit(False)).alias("wb"))
-
-
-def _automaton_hits(term_list, carry: list[str], neg_pattern: str, window: int, sentinel: bool):
-    """Per-partition function for ``mapInPandas``: one Aho-Corasick pass per
-    text finds every rule term it contains (first occurrence = first match
-    reported for that term); negation context and whole-word tests use
-    Python ``re`` with the original's flags. The automaton is built once per
-    task from the broadcast term list."""
-    def run(batches):
-        import re
-
-        import ahocorasick
-        import pandas as pd
-
-        terms = term_list.value
-        auto = ahocorasick.Automaton()
-        empty = []  # '' is contained in every text, at position 0
-        for term, term_id, forbidden in terms:
-            if term == "":
-                empty.append((term_id, forbidden))
-            else:
-                auto.add_word(term, (term_id, len(term), forbidden, term))
-        if len(auto):
-            auto.make_automaton()
-        neg_re = re.compile(neg_pattern, re.IGNORECASE)
-        wb_re = {}
-
-        def whole_word(term, text):
-            r = wb_re.get(term)
-            if r is None:
-                r = wb_re[term] = re.compile(r"\b" + re.escape(term) + r"\b", re.IGNORECASE)
-            return r.search(text) is not None
-
-        for pdf in batches:
-            ids, tids, poss, negs, wbs = [], [], [], [], []
-            for doc, text in zip(pdf["transcript_id"].tolist(), pdf["norm_text"].tolist()):
-                if not text:
-                    continue
-                found = [(tid, 0, forb, "") for tid, forb in empty]
-                if len(auto):
-                    seen = set()
-                    for end, (tid, n, forb, term) in auto.iter(text):
-                        if tid not in seen:
-                            seen.add(tid)
-                            found.append((tid, end - n + 1, forb, term))
-                for tid, pos, forb, term in found:
-                    ids.append(doc)
-                    tids.append(tid)
-                    poss.append(pos)
-                    negs.append(1 if pos > 0 and neg_re.search(text[max(0, pos - window):pos]) else 0)
-                    wbs.append(bool(forb) and whole_word(term, text))
-            hits = pd.DataFrame({
-                "transcript_id": pd.array(ids, dtype="Int64"),
-                **{c: pd.Series([None] * len(ids), dtype=object) for c in carry},
-                "term_id": pd.array(tids, dtype="Int32"),
-                "pos": pd.array(poss, dtype="Int64"),
-                "neg": pd.array(negs, dtype="Int32"),
-                "wb": pd.array(wbs, dtype="boolean")})
-            if sentinel:
-                s = pdf[["transcript_id", *carry]].copy()
-                s["term_id"] = pd.array([None] * len(s), dtype="Int32")
-                s["pos"] = pd.array([None] * len(s), dtype="Int64")
-                s["neg"] = pd.array([0] * len(s), dtype="Int32")
-                s["wb"] = pd.array([False] * len(s), dtype="boolean")
-                hits = pd.concat([s, hits], ignore_index=True) if len(hits) else s
-            yield hits
-    return run
-
-
-def keyword_hits(docs: DataFrame, term_list, carry: list[str] = (), sentinel: bool = True) -> DataFrame:
-    """(transcript_id, *carry, term_id, pos, neg, wb): one row per rule term a
-    text contains, plus (with ``sentinel``) one row per text with a null
-    ``term_id`` that alone carries the text's ``carry`` attributes.
-
-    ``term_list`` is a broadcast list of (term, term_id, is_forbidden).
-    ``pos`` is the 0-based first occurrence; ``neg`` flags a negation word in
-    the 50 characters before it; ``wb`` flags a whole-word occurrence of a
-    forbidden term. One pass over each text whatever the number of terms
-    (a per-term substring scan costs texts x terms)."""
-    src = docs.select("transcript_id", "norm_text", *carry)
-    fields = {f.name: f for f in src.schema.fields}
-    schema = T.StructType(
-        [T.StructField("transcript_id", T.LongType())]
-        + [T.StructField(c, fields[c].dataType) for c in carry]
-        + [T.StructField("term_id", T.IntegerType()), T.StructField("pos", T.LongType()),
-           T.StructField("neg", T.IntegerType()), T.StructField("wb", T.BooleanType())])
-    fn = _automaton_hits(term_list, list(carry), P.negation_regex_python(),
-                         P.NEGATION_WINDOW_CHARS, sentinel)
-    return src.mapInPandas(fn, schema)
-
-
-# Rules with at most this many groups are scored with one aggregate per
-# (text, rule) holding one ``min`` per group; wider rule bases use two levels.
-MAX_GROUPS_ONE_LEVEL = 8
-
-
-def rule_scores(hits: DataFrame, parsed_rules: DataFrame, slots: DataFrame,
-                n_slots: int, n_rules: int, kw_bits: int = 0, max_groups: int = 0) -> DataFrame:
-    """Per (transcript, rule) kept scores: confidence, matched groups and the
-    matched keyword of each group. ``hits`` are term rows (no sentinel).
-
-    With ``kw_bits > 0`` the matched keywords travel as one BIGINT
-    (``kw_no + 1`` in ``kw_bits`` bits per group), which keeps every
-    aggregate a fixed-width hash aggregate; otherwise as a sorted array.
-    Grouping keys are the fixed-width ids only."""
-    s = checked_broadcast(slots.select("rule_ord", "group_no", "kw_no", "term_id"), n_slots)
-    rows = (hits.join(s, "term_id")
-            .filter((F.col("group_no") >= 0) | F.col("wb")))
-    packed = F.col("kw_no").cast("long") * F.lit(_PACK) + F.col("pos") * 2 + F.col("neg")
-    g = F.col("group_no") >= 0
-
-    def kw(p):
-        return F.shiftright(p, 40)
-
-    def gpos(p):
-        return F.shiftright(p, 1).bitwiseAND(F.lit((1 << 39) - 1))
-
-    def gneg(p):
-        return p.bitwiseAND(F.lit(1))
-
-    if kw_bits and 0 < max_groups <= MAX_GROUPS_ONE_LEVEL:
-        # One level: the first keyword of group i is min(packed) over its rows.
-        per_rule = rows.groupBy("transcript_id", "rule_ord").agg(
-            F.bool_or(~g).alias("vetoed"),
-            *[F.min(F.when(F.col("group_no") == i, packed)).alias(f"m{i}")
-              for i in range(max_groups)])
-        ms = [F.col(f"m{i}") for i in range(max_groups)]
-        zero = F.lit(0).cast("long")
-        per_rule = per_rule.select(
-            "transcript_id", "rule_ord", "vetoed",
-            sum((m.isNotNull().cast("long") for m in ms), zero).alias("matched_groups"),
-            F.least(*[gpos(m) for m in ms]).alias("min_pos") if max_groups > 1
-            else gpos(ms[0]).alias("min_pos"),
-            F.greatest(*[gpos(m) for m in ms]).alias("max_pos") if max_groups > 1
-            else gpos(ms[0]).alias("max_pos"),
-            sum((F.coalesce(gneg(m), zero) for m in ms), zero).alias("n_neg"),
-            sum((F.coalesce(F.shiftleft(kw(m) + 1, i * kw_bits), zero) for i, m in enumerate(ms)),
-                zero).alias("kw_code"))
-    else:
-        per_group = rows.groupBy("transcript_id", "rule_ord", "group_no").agg(
-            F.min(packed).alias("packed"))
-        p = F.col("packed")
-        if kw_bits:
-            code = F.expr(f"shiftleft(shiftright(packed, 40) + 1, group_no * {kw_bits})")
-            kw_agg = F.sum(F.when(g, code)).alias("kw_code")
-        else:
-            kw_agg = F.array_sort(F.collect_list(F.when(g, F.struct(
-                F.col("group_no"), kw(p).cast("int").alias("kw_no"))))).alias("kw_code")
-        per_rule = per_group.groupBy("transcript_id", "rule_ord").agg(
-            F.count_if(g).alias("matched_groups"),
-            F.bool_or(~g).alias("vetoed"),
-            F.min(F.when(g, gpos(p))).alias("min_pos"),
-            F.max(F.when(g, gpos(p))).alias("max_pos"),
-            F.sum(F.when(g, gneg(p))).alias("n_neg"),
-            kw_agg,
-        )
-    per_rule = per_rule.filter(~F.col("vetoed") & (F.col("matched_groups") > 0))
-
-    rules = checked_broadcast(parsed_rules.select("rule_ord", "n_groups"), n_rules)
-    n = F.col("matched_groups")
-    base = n / F.col("n_groups")
-    gap = (F.col("max_pos") - F.col("min_pos")) / (n - 1)
-    bonus = F.lit(P.PROXIMITY_BONUS_FAR)
-    for limit, value in reversed(P.PROXIMITY_BONUS):
-        bonus = F.when(gap < limit, F.lit(value)).otherwise(bonus)
-    bonus = F.when(n >= 2, bonus).otherwise(F.lit(0.0))
-    penalty = F.least(F.col("n_neg").cast("double") * F.lit(P.NEGATION_STEP), F.lit(P.NEGATION_CAP))
-    conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (base + bonus) - penalty))
-    return (per_rule.join(rules, "rule_ord")
-            .select("transcript_id", "rule_ord", "matched_groups", "kw_code", conf.alias("confidence"))
-            .filter(F.col("confidence") >= F.lit(P.MIN_RULE_CONFIDENCE)))
-
-
-def best_rule(scores: DataFrame, parsed_rules: DataFrame, n_rules: int, kw_bits: int = 0) -> DataFrame:
-    """One row per text with at least one kept rule: argmax (confidence desc,
-    rule ordinal asc) and the number of kept rules."""
-    cand = F.struct(F.col("confidence"), (-F.col("rule_ord")).alias("neg_ord"),
-                    F.col("matched_groups"), F.col("kw_code"))
-    best = scores.groupBy("transcript_id").agg(
-        F.max(cand).alias("b"),
-        F.count(F.lit(1)).cast("int").alias("num_rules_activated"),
-    ).select("transcript_id", "num_rules_activated",
-             (-F.col("b.neg_ord")).alias("rule_ord"), F.col("b.confidence").alias("confidence"),
-             F.col("b.matched_groups").alias("matched_groups"), F.col("b.kw_code").alias("kw_code"))
-    rules = checked_broadcast(
-        parsed_rules.select("rule_ord", "rule_id", "category", "subcategory", "groups"), n_rules)
-    if kw_bits:
-        mask = (1 << kw_bits) - 1
-        kws = F.expr(
-            f"array_join(transform(filter(sequence(0, size(groups) - 1), "
-            f"gi -> (shiftright(kw_code, gi * {kw_bits}) & {mask}) > 0), "
-            f"gi -> element_at(element_at(groups, gi + 1), "
-            f"cast(shiftright(kw_code, gi * {kw_bits}) & {mask} as int))), ' | ')")
-    else:
-        kws = F.expr("array_join(transform(kw_code, p -> "
-                     "element_at(element_at(groups, p.group_no + 1), p.kw_no + 1)), ' | ')")
-    return best.join(rules, "rule_ord", "left").select(
-        "transcript_id", "rule_ord", "rule_id", "category", "subcategory", "confidence",
-        "matched_groups", kws.alias("matched_keywords"), "num_rules_activated")
+from callsift.operators.matching import Phrases, append_structs
+
+HIT_FIELDS = [("term_no", T.IntegerType()), ("pos", T.LongType()), ("neg", T.IntegerType()), ("wb", T.BooleanType())]
+CANDIDATE_FIELDS = [("rule_ord", T.LongType()), ("n_groups", T.IntegerType()), ("matched_groups", T.IntegerType()),
+                    ("min_pos", T.LongType()), ("max_pos", T.LongType()), ("n_neg", T.IntegerType())]
+
+
+class TermMatcher:
+    """The rule terms of a rule base, and the rule slots of each term."""
+
+    def __init__(self, rules: list[tuple[int, list[list[str]], list[str]]]):
+        """rules: (ordinal, keyword groups, forbidden terms)."""
+        slots = [(kw.lower(), o, g, k) for o, groups, _ in rules for g, group in enumerate(groups)
+                 for k, kw in enumerate(group or []) if kw is not None]
+        slots += [(t.lower(), o, -1, k) for o, _, forbidden in rules for k, t in enumerate(forbidden) if t is not None]
+        self.phrases = Phrases([s[0] for s in slots])
+        number = {p: i for i, p in enumerate(self.phrases.phrases)}
+        self.slots: list[list[tuple[int, int, int]]] = [[] for _ in number]
+        self.forbidden = [False] * len(number)
+        for term, o, g, k in slots:
+            self.slots[number[term]].append((o, g, k))
+            self.forbidden[number[term]] |= g < 0
+        self.n_groups = {o: len(groups) for o, groups, _ in rules}
+        self.negation = re.compile(P.negation_regex_python(), re.IGNORECASE)
+        self.whole: dict[int, re.Pattern] = {}
+
+    @property
+    def terms(self) -> list[str]:
+        return self.phrases.phrases
+
+    def negated(self, text: str, pos: int) -> int:
+        # a slice: a word cut by the window's start counts from there
+        before = text[max(0, pos - P.NEGATION_WINDOW_CHARS):pos]
+        return int(pos > 0 and self.negation.search(before) is not None)
+
+    def whole_word(self, term_no: int, text: str) -> bool:
+        if not self.forbidden[term_no]:
+            return False
+        if term_no not in self.whole:
+            self.whole[term_no] = re.compile(r"\b" + re.escape(self.terms[term_no]) + r"\b", re.IGNORECASE)
+        return self.whole[term_no].search(text) is not None
+
+    def hits(self, text: str) -> list[tuple]:
+        """(term, first place, negated before it, whole word) of each term."""
+        if not text:
+            return []
+        return [(i, pos, self.negated(text, pos), self.whole_word(i, text))
+                for i, pos in sorted(self.phrases.find(text).items())]
+
+    def candidates(self, text: str) -> list[tuple]:
+        """The rules with a matched group and no forbidden term."""
+        if not text:
+            return []
+        first: dict[int, dict[int, tuple[int, int]]] = {}
+        vetoed = set()
+        for i, pos in self.phrases.find(text).items():
+            for o, g, k in self.slots[i]:
+                if g < 0:
+                    if o not in vetoed and self.whole_word(i, text):
+                        vetoed.add(o)
+                else:
+                    groups = first.setdefault(o, {})
+                    if g not in groups or k < groups[g][0]:
+                        groups[g] = (k, pos)
+        negated: dict[int, int] = {}
+        out = []
+        for o in sorted(first.keys() - vetoed):
+            places = [pos for _, pos in first[o].values()]
+            for pos in places:
+                if pos not in negated:
+                    negated[pos] = self.negated(text, pos)
+            out.append((o, self.n_groups[o], len(places), min(places), max(places), sum(negated[p] for p in places)))
+        return out
 
 
 class RuleBase:
-    """Parsed keyword rules with their slot and term tables and row counts
-    (counted once, bounded; they decide which sides are broadcast)."""
+    """Parsed keyword rules and their matcher. Rules are configuration: they
+    are read once, and every text task receives them."""
 
     def __init__(self, parsed_rules: DataFrame):
-        self.parsed = parsed_rules
-        self.slots = rule_terms(parsed_rules)
-        # One small job for every figure: rule count, keyword-slot count
-        # (these decide what is broadcast) and the widest rule (groups,
-        # keywords per group), which sizes the packed keyword code.
-        def n_kw(a):
-            return F.coalesce(F.size(F.filter(a, lambda x: x.isNotNull())), F.lit(0))
-        shape = parsed_rules.agg(
-            F.count(F.lit(1)).alias("rules"),
-            F.sum(F.aggregate("groups", F.lit(0), lambda acc, g: acc + n_kw(g))
-                  + n_kw(F.col("forbidden"))).alias("slots"),
-            F.max(F.size("groups")).alias("g"),
-            F.max(F.array_max(F.transform("groups", lambda g: F.size(g)))).alias("k")).first()
-        self.n_rules = shape["rules"]
-        self.n_slots = shape["slots"] or 0
-        if self.n_slots <= MAX_LOCAL_SLOTS:
-            self._local_tables()
-        else:
-            self.terms = term_table(self.slots)
-            self.slots_with_ids = self.slots.join(self.terms.select("term", "term_id"), "term")
-        # Width of the packed keyword code: kw_no + 1 per group must fit.
-        groups, kws = max(shape["g"] or 0, 1), max(shape["k"] or 0, 1)
-        bits = max(1, (kws).bit_length())
-        self.kw_bits = bits if bits * groups <= 62 else 0
-        self.max_groups = groups
-        if self.n_slots > MAX_LOCAL_SLOTS:
-            self._term_list = None
-
-    def _local_tables(self) -> None:
-        """Slot and term tables as driver-local relations, from one bounded
-        read of the slots: they are small configuration that every text
-        task receives anyway, and broadcasting a local relation needs no
-        Spark job of its own."""
-        spark = self.slots.sparkSession
-        cols = ["rule_ord", "group_no", "kw_no", "keyword", "term"]
-        slots = self.slots.select(*cols)
-        rows = slots.collect()
-        roles = {}
-        for r in rows:
-            req, forb = roles.get(r.term, (False, False))
-            roles[r.term] = (req or r.group_no >= 0, forb or r.group_no < 0)
-        ids = {t: i + 1 for i, t in enumerate(sorted(roles))}
-        self.terms = spark.createDataFrame(
-            [(t, ids[t], req, forb, P.whole_word_regex_java(t) if forb else None)
-             for t, (req, forb) in sorted(roles.items())],
-            "term string, term_id int, is_required boolean, is_forbidden boolean, wb_regex string")
-        with_ids = T.StructType(list(slots.schema.fields) + [T.StructField("term_id", T.IntegerType())])
-        self.slots_with_ids = spark.createDataFrame(
-            [(*r, ids[r.term]) for r in rows], with_ids)
-        self._term_list = [(t, ids[t], forb) for t, (_, forb) in sorted(roles.items())]
-
-    def term_list(self) -> list[tuple]:
-        """(term, term_id, is_forbidden) rows, read once; only called when
-        the slot count is within the broadcast limit (``hit_stream``)."""
-        if self._term_list is None:
-            self._term_list = [(r.term, r.term_id, r.is_forbidden) for r in self.terms.select(
-                "term", "term_id", "is_forbidden").orderBy("term_id").collect()]
-        return self._term_list
-
-
-def hit_stream(prepared: DataFrame, rb: RuleBase, carry: list[str] = ()) -> DataFrame:
-    """Keyword hits of every text (see ``keyword_hits``), one sentinel row per
-    text: the single-pass matcher when installed, else the substring join."""
-    if _HAVE_AUTOMATON and rb.n_slots <= MAX_BROADCAST_ROWS:
-        # The term table is configuration of checked size (RuleBase); its
-        # rows go to the executors as one broadcast list, in bounded chunks.
-        terms = rb.term_list()
-        sc = prepared.sparkSession.sparkContext
-        chunks = [terms[i:i + MAX_TERMS_PER_AUTOMATON]
-                  for i in range(0, max(len(terms), 1), MAX_TERMS_PER_AUTOMATON)]
-        hits = reduce(DataFrame.unionByName, [
-            keyword_hits(prepared, sc.broadcast(c), carry, sentinel=(i == 0))
-            for i, c in enumerate(chunks)])
-    elif rb.n_slots <= MAX_TERMS_PER_SCAN:
-        hits = keyword_hits_scan(prepared, F.broadcast(_with_sentinel(rb.terms)), carry)
-    else:
-        # Exact beyond the bound: bounded term chunks, one text scan each;
-        # only the first chunk brings the per-text sentinel row.
-        k = -(-rb.n_slots // MAX_TERMS_PER_SCAN)
-        chunked = rb.terms.withColumn("chunk", F.pmod(F.hash("term"), F.lit(k)))
-
-        def chunk_terms(i):
-            t = chunked.filter(F.col("chunk") == i).drop("chunk")
-            return _with_sentinel(t) if i == 0 else t.withColumn("is_sentinel", F.lit(False))
-        hits = reduce(DataFrame.unionByName, [
-            keyword_hits_scan(prepared, F.broadcast(chunk_terms(i)), carry) for i in range(k)])
-    return hits
-
-
-def score_texts(prepared: DataFrame, rb: RuleBase, carry: list[str] = (),
-                num_partitions: int | None = None, co_partitioned: bool = False) -> DataFrame:
-    """Per text (every text of ``prepared``): carried attributes and the
-    winning rule (null when none is kept) with the kept-rule count.
-
-    ``prepared`` needs ``transcript_id`` and ``norm_text``."""
-    hits = hit_stream(prepared, rb, carry)
-    # Cut the lineage after the text stage: the hit rows (no text) are
-    # written once to the shared folder as Parquet, then hash-partitioned
-    # by text for the partition-local scoring aggregates. Measured 4-5x
-    # faster than running the scoring fused onto the text stage, and a lost
-    # executor only re-reads the table instead of re-scanning text.
-    n = num_partitions or int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hits = write_table(hits, "keyword-hits").repartition(n, "transcript_id")
-    del co_partitioned
-    # Both branches read the same exchange: term rows are scored on
-    # fixed-width keys; the sentinel rows bring each text's attributes and
-    # are joined to its winner on the shared hash partitioning (no exchange).
-    term_rows = hits.filter(F.col("term_id").isNotNull()).select(
-        "transcript_id", "term_id", "pos", "neg", "wb")
-    texts = hits.filter(F.col("term_id").isNull()).select("transcript_id", *carry)
-    scores = rule_scores(term_rows, rb.parsed, rb.slots_with_ids, rb.n_slots, rb.n_rules,
-                         rb.kw_bits, rb.max_groups)
-    return texts.join(best_rule(scores, rb.parsed, rb.n_rules, rb.kw_bits), "transcript_id", "left")
+        spark = parsed_rules.sparkSession
+        rows = parsed_rules.select("rule_ord", "rule_id", "category", "subcategory", "groups", "forbidden").collect()
+        self.matcher = TermMatcher([(r.rule_ord, r.groups, r.forbidden) for r in rows])
+        groups = [[[(k, k.lower()) for k in g or [] if k is not None] for g in r.groups] for r in rows]
+        self.rules = spark.createDataFrame(
+            [(r.rule_ord, r.rule_id, r.category, r.subcategory, g) for r, g in zip(rows, groups)],
+            "rule_ord long, rule_id string, category string, subcategory string, "
+            "slots array<array<struct<keyword string, term string>>>")
+
+
+class _Only:
+    """A matcher's one method, as the callable that ``append_structs`` takes."""
+
+    def __init__(self, matcher: TermMatcher, method: str):
+        self.matcher, self.method = matcher, method
+
+    def __call__(self, text: str) -> list[tuple]:
+        return getattr(self.matcher, self.method)(text)
+
+
+def keyword_hits(prepared: DataFrame, rb: RuleBase) -> DataFrame:
+    """One row per (text, rule term it contains): the input's columns, term,
+    pos (0-based first occurrence), neg (negation word in the 50 characters
+    before it), wb (whole-word occurrence of a forbidden term)."""
+    hits = append_structs(prepared, "norm_text", "_hits", HIT_FIELDS, _Only(rb.matcher, "hits"))
+    terms = prepared.sparkSession.createDataFrame(
+        list(enumerate(rb.matcher.terms)), "term_no int, term string")
+    return (hits.select(*prepared.columns, F.explode("_hits").alias("_h")).select(*prepared.columns, "_h.*")
+            .join(F.broadcast(terms), "term_no").select(*prepared.columns, "term", "pos", "neg", "wb"))
+
+
+def _confidence(c: Column) -> Column:
+    """Confidence of a candidate struct, in the original's order of operations."""
+    n = c["matched_groups"]
+    gap = (c["max_pos"] - c["min_pos"]) / (n - 1)
+    bonus = F.lit(P.PROXIMITY_BONUS_FAR)
+    for limit, value in reversed(P.PROXIMITY_BONUS):
+        bonus = F.when(gap < limit, F.lit(value)).otherwise(bonus)
+    bonus = F.when(n >= 2, bonus).otherwise(F.lit(0.0))
+    penalty = F.least(c["n_neg"].cast("double") * F.lit(P.NEGATION_STEP), F.lit(P.NEGATION_CAP))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (n / c["n_groups"] + bonus) - penalty))
+
+
+def kept_rules(prepared: DataFrame, rb: RuleBase) -> DataFrame:
+    """The input's columns with ``kept``: the rules at or over the threshold,
+    as structs (confidence, neg_ord, matched_groups) whose order is the rank."""
+    found = append_structs(prepared, "norm_text", "_rules", CANDIDATE_FIELDS, _Only(rb.matcher, "candidates"))
+    scored = F.transform("_rules", lambda c: F.struct(
+        _confidence(c).alias("confidence"), (-c["rule_ord"]).alias("neg_ord"),
+        c["matched_groups"].alias("matched_groups")))
+    return found.select(*prepared.columns, F.filter(
+        scored, lambda s: s["confidence"] >= F.lit(P.MIN_RULE_CONFIDENCE)).alias("kept"))
+
+
+def rule_scores(prepared: DataFrame, rb: RuleBase) -> DataFrame:
+    """One row per (text, kept rule): rule_ord, matched_groups, confidence."""
+    return (kept_rules(prepared, rb).select(*prepared.columns, F.explode("kept").alias("_k"))
+            .select(*prepared.columns, (-F.col("_k.neg_ord")).alias("rule_ord"),
+                    F.col("_k.matched_groups").alias("matched_groups"), F.col("_k.confidence").alias("confidence")))
+
+
+def score_texts(prepared: DataFrame, rb: RuleBase) -> DataFrame:
+    """Every row of ``prepared`` (it needs ``norm_text``) with the winning rule
+    (null when none is kept) and the number of kept rules."""
+    won = (kept_rules(prepared, rb).withColumn("_best", F.array_max("kept"))
+           .select(*prepared.columns, F.size("kept").alias("num_rules_activated"),
+                   (-F.col("_best.neg_ord")).alias("rule_ord"), F.col("_best.confidence").alias("confidence"),
+                   F.col("_best.matched_groups").alias("matched_groups")))
+    # the keyword that matched a group: its first one that the text contains
+    matched = F.filter(F.transform("slots", lambda g: F.try_element_at(F.filter(
+        g, lambda s: F.contains(F.col("norm_text"), s["term"])), F.lit(1))["keyword"]), lambda k: k.isNotNull())
+    return (won.join(F.broadcast(rb.rules), "rule_ord", "left")
+            .withColumn("matched_keywords", F.array_join(matched, " | ")).drop("slots"))

@@ -13,35 +13,34 @@ Semantics (tokens = lower-cased whitespace split of the text):
 Per text the winner is the lowest rule ordinal among matches >= 0.95, else
 the highest confidence with the lowest ordinal.
 
-Plan (all JVM-side string functions, no per-token lambdas):
-  * the text is normalized once and padded, ``' ' + ' '.join(tokens) + ' '``;
-    tokens are separated by exactly one space there, so "phrase w1..wk
-    starts at a token" is ``contains(padded, ' w1 .. wk ')``;
-  * NEAR is one regular expression per rule, built on the (broadcast) rule
-    side: a space, a look-ahead for the anchor phrase, then at most
-    ``window - 1 - spaces(term)`` whole tokens and a token prefix before the
-    literal term -- i.e. the term lies inside the window of some anchor;
-  * candidates come from an inverted index: the distinct tokens of a text
-    equi-joined with the broadcast rules on each term's index key (first
-    word). When Term1's key is its own first word (the usual case) only that
-    key is indexed -- a rule can only match when Term1 occurs; otherwise every
-    term's key is indexed and a (text, rule) pair is kept once, on its first
-    present key;
-  * one aggregate per text picks the winner.
+Plan: the rules are configuration (read once); one Arrow pass over the texts
+appends each row's candidate rules, or its matches, as an array of structs.
+  * Candidates come from an inverted index: a rule's key is the first word of
+    Term1 when that is what Term1's tokens start with (a rule can only match
+    when Term1 occurs), else the first words of all its terms.
+  * An exact phrase is a substring of the space-padded text. NEAR is interval
+    arithmetic on token numbers: an occurrence from token s to token e lies in
+    the window of anchor p if p <= s and e is before the window's end, and of
+    all occurrences the first at or after p ends first. Anchors and
+    occurrences are sorted, so any distance costs one linear pass.
+Rows keep their order and columns; no token rows, no exchange.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callsift.functions.patterns import WS
 from callsift.functions.text import collapse_ws, normalize_text
-from callsift.plans.dims import bounded_count, checked_broadcast
+from callsift.operators.matching import append_structs
 
-
-# Index rows (rule x key) kept as a driver-local relation up to this size.
-MAX_LOCAL_RULES = 100_000
+SINGLE, CHAINED, THIRD_TERM, MOST = 0.95, 0.90, 0.05, 0.98
+DEFAULT_DISTANCE = 5
+SLACK = 5
+FIELDS = [("rule_ord", T.LongType()), ("confidence", T.DoubleType())]
 
 
 def _norm_term(c: Column) -> Column:
@@ -61,60 +60,9 @@ def _key(term: Column) -> Column:
     return F.when(F.instr(term, " ") > 0, _words(term)[0]).otherwise(term)
 
 
-def _quote(s: Column) -> Column:
-    """Regex literal of a string (``\\Q..\\E`` with inner ``\\E`` escaped)."""
-    return F.concat(F.lit("\\Q"), F.replace(s, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-
-
-_MAX_REPEAT = 2_147_483_647
-
-
-def _near_regex(anchor_phrase: Column, anchor_k: Column, term: Column, term_k: Column,
-                d: Column) -> Column:
-    """Pattern that finds, in the padded text, an anchor-phrase occurrence
-    whose window ``tokens[p : p + d + k + 5]`` (joined by spaces) contains
-    ``term``; null when no non-empty term can fit the window."""
-    window = d.cast("long") + term_k + F.lit(5)
-    spaces = F.length(term) - F.length(F.replace(term, F.lit(" "), F.lit("")))
-    skip = F.least(window - 1 - spaces, F.lit(_MAX_REPEAT))
-    look = F.when(anchor_k == 0, F.lit("")).otherwise(
-        F.concat(F.lit("(?="), _quote(anchor_phrase), F.lit(" )")))
-    return F.when(skip >= 0, F.concat(
-        F.lit(" "), look, F.lit("(?:[^ ]+ ){0,"), skip.cast("string"), F.lit("}[^ ]*?"), _quote(term)))
-
-
-def _near_wrapped(padded: Column, anchor_words: Column, term: Column, win: Column) -> Column:
-    """NEAR for a negative window length (a negative distance). The window end
-    ``min(p + win, n)`` is then a Python slice end: below zero it counts from
-    the end of the token list, so anchors near the start see a window that
-    stops ``-(p + win)`` tokens before the end. Rare rules; evaluated on the
-    token array."""
-    tok = F.split(F.trim(padded), " ")
-    n = F.size(tok)
-    k = F.size(anchor_words)
-    first = F.try_element_at(anchor_words, F.lit(1))
-    anchors = F.when(k == 0, F.sequence(F.lit(0), n)).when(n >= k, F.filter(
-        F.sequence(F.lit(0), n - k),
-        lambda i: (F.element_at(tok, i + 1) == first) & (F.slice(tok, i + 1, k) == anchor_words)))
-
-    def window_has(p):
-        end = F.least(p + win, n.cast("long"))
-        end = F.when(end < 0, F.greatest(end + n, F.lit(0))).otherwise(end)
-        length = F.greatest(end - p, F.lit(0)).cast("int")
-        return F.array_join(F.slice(tok, p + 1, length), " ").contains(term)
-
-    return F.coalesce(F.exists(anchors, window_has), F.lit(False))
-
-
 def parse_proximity_rules(rules: DataFrame) -> DataFrame:
     """Terms lower-cased and stripped (missing ones skipped), operators
-    upper-cased, distances truncated to int; rows without any term dropped.
-
-    Adds everything the text side needs, computed once on the rule table:
-    ``index_keys``; per term ``i`` its exact-match needle ``needle_i``
-    (``' w1 .. wk '``, null for an empty term) and word count ``k_i``; the
-    NEAR patterns ``near2_re``/``near3_re`` and the operators ``op1``/``op2``
-    (missing -> NEAR)."""
+    upper-cased, distances truncated to int; rows without any term dropped."""
     terms = F.filter(F.array(*[_norm_term(F.col(f"Term{i}")) for i in (1, 2, 3)]),
                      lambda x: x.isNotNull())
     ops = F.filter(F.array(*[F.upper(F.col(f"Operator{i}").cast("string")) for i in (1, 2)]),
@@ -122,125 +70,152 @@ def parse_proximity_rules(rules: DataFrame) -> DataFrame:
     prox = F.coalesce(F.col("Proximity").cast("int"), F.lit(0))
     within = F.coalesce(F.col("WithinWords").cast("int"), F.lit(0))
     dist = F.when(within > 0, within).otherwise(prox)
-    dist = F.when(dist == 0, F.lit(5)).otherwise(dist)
-    p = rules.select("rule_ord", F.col("Program").alias("program"), F.col("CatNo").alias("cat_no"),
-                     terms.alias("terms"), ops.alias("operators"), dist.alias("max_distance"))
+    p = rules.select("rule_ord", F.col("Program").alias("program"),
+                     F.col("CatNo").alias("cat_no"), terms.alias("terms"), ops.alias("operators"),
+                     F.when(dist == 0, F.lit(DEFAULT_DISTANCE)).otherwise(dist).alias("max_distance"))
     p = p.filter(F.size("terms") > 0)
-    n_terms = F.size("terms")
-    t = {i: F.try_element_at(F.col("terms"), F.lit(i)) for i in (1, 2, 3)}
-    w = {i: _words(t[i]) for i in (1, 2, 3)}
-    p = p.select(
-        "*", n_terms.alias("n_terms"), t[2].alias("t2"), t[3].alias("t3"),
-        *[F.size(w[i]).alias(f"k{i}") for i in (1, 2, 3)],
-        *[F.array_join(w[i], " ").alias(f"phrase{i}") for i in (1, 2, 3)],
-        *[F.coalesce(F.try_element_at(F.col("operators"), F.lit(i)), F.lit("NEAR")).alias(f"op{i}")
-          for i in (1, 2)],
-        F.when(_key(t[1]).eqNullSafe(F.try_element_at(w[1], F.lit(1))), F.array(_key(t[1])))
+    first = F.try_element_at("terms", F.lit(1))
+    return p.select(
+        "*", F.transform("terms", _words).alias("words"),
+        F.when(_key(first).eqNullSafe(F.try_element_at(_words(first), F.lit(1))), F.array(_key(first)))
          .otherwise(F.array_distinct(F.transform("terms", _key))).alias("index_keys"))
-    needle = {i: F.when(F.col(f"k{i}") > 0, F.concat(F.lit(" "), F.col(f"phrase{i}"), F.lit(" ")))
-              for i in (1, 2, 3)}
-    d = F.col("max_distance")
-    near2 = _near_regex(F.col("phrase1"), F.col("k1"), F.col("t2"), F.col("k2"), d)
-    a3_near = F.col("op1") == "NEAR"  # step-3 anchors: Term2 after a NEAR, else Term1
-    near3 = _near_regex(F.when(a3_near, F.col("phrase2")).otherwise(F.col("phrase1")),
-                        F.when(a3_near, F.col("k2")).otherwise(F.col("k1")),
-                        F.col("t3"), F.col("k3"), d)
-    win2 = d.cast("long") + F.col("k2") + F.lit(5)
-    win3 = d.cast("long") + F.col("k3") + F.lit(5)
-    anchor3 = F.when(a3_near, w[2]).otherwise(w[1])
-    return p.select("*", *[needle[i].alias(f"needle{i}") for i in (1, 2, 3)],
-                    near2.alias("near2_re"), near3.alias("near3_re"),
-                    win2.alias("win2"), win3.alias("win3"),
-                    w[1].alias("anchor2_words"), anchor3.alias("anchor3_words"))
 
 
-def proximity_candidates(texts: DataFrame, rules: DataFrame, program: str | None = None,
-                         text_col: str = "norm_text") -> DataFrame:
-    """(transcript_id, padded text, rule columns): each rule an index key of
-    which occurs among the text's tokens, once per (text, rule)."""
+class TextTokens:
+    """A normalized text, its token starts, and places of phrases in it."""
+
+    def __init__(self, text: str):
+        self.text, self.padded = text, f" {text} "
+        self.n = text.count(" ") + 1 if text else 0
+        self._starts: np.ndarray | None = None
+
+    def token_of(self, places: list[int]) -> np.ndarray:
+        """Number of the token that holds each character."""
+        if self._starts is None:
+            spaces = np.flatnonzero(np.frombuffer(self.text.encode("utf-32-le"), np.uint32) == 32)
+            self._starts = np.r_[0, spaces + 1]
+        return np.searchsorted(self._starts, np.array(places, np.int64), "right") - 1
+
+    @staticmethod
+    def _all(needle: str, text: str) -> list[int]:
+        at, out = text.find(needle), []
+        while at >= 0:
+            out.append(at)
+            at = text.find(needle, at + 1)
+        return out
+
+    def has(self, words: list[str]) -> bool:
+        return not words or f" {' '.join(words)} " in self.padded
+
+    def phrase_starts(self, words: list[str]) -> np.ndarray:
+        """Tokens at which the phrase starts (every one for no words)."""
+        if not words:
+            return np.arange(self.n + 1)
+        return self.token_of(self._all(f" {' '.join(words)} ", self.padded))
+
+    def near(self, anchors: np.ndarray, term: str, window: int) -> bool:
+        """Whether some anchor's window (tokens p to p + window, a slice whose
+        negative end counts from the last token) joined by spaces holds term."""
+        if not len(anchors) or term == "":
+            return len(anchors) > 0
+        starts = self.token_of(self._all(term, self.text))
+        if not len(starts):
+            return False
+        end = np.minimum(anchors + window, self.n)
+        end = np.where(end < 0, np.maximum(end + self.n, 0), end)
+        at = np.searchsorted(starts, anchors)
+        ok = at < len(starts)
+        return bool((starts[at[ok]] + term.count(" ") < end[ok]).any())
+
+
+class ProximityMatcher:
+    """Candidate rules of a text (``verify`` off) or its matching rules."""
+
+    def __init__(self, rules: list[tuple], verify: bool):
+        """rules: (rule_ord, terms, words of the terms, operators, distance, index keys)."""
+        self.rules, self.verify = rules, verify
+        self.index: dict[str, list[int]] = {}
+        for i, r in enumerate(rules):
+            for key in r[5]:
+                self.index.setdefault(key, []).append(i)
+
+    def __call__(self, text: str) -> list[tuple]:
+        if not text:
+            return []
+        tokens = TextTokens(text)
+        found = sorted({i for t in set(text.split(" ")) for i in self.index.get(t, ())})
+        if not self.verify:
+            return [(self.rules[i][0], 0.0) for i in found]
+        return [(self.rules[i][0], c) for i in found if (c := self.confidence(tokens, i)) is not None]
+
+    def confidence(self, text: TextTokens, i: int) -> float | None:
+        _, terms, words, operators, distance, _ = self.rules[i]
+        if not text.has(words[0]):
+            return None
+        anchor = words[0]  # the term whose places anchor the next NEAR
+        for k in range(1, len(terms)):
+            op = operators[k - 1] if k <= len(operators) else "NEAR"
+            if op == "NEAR":
+                if not text.near(text.phrase_starts(anchor), terms[k], distance + len(words[k]) + SLACK):
+                    return None
+                anchor = words[k]
+            elif op not in ("AND", "OR", "NOT") or op != "OR" and text.has(words[k]) != (op == "AND"):
+                return None
+        if len(terms) == 1:
+            return SINGLE
+        return min(CHAINED + (THIRD_TERM if len(terms) > 2 else 0.0), MOST)
+
+
+def _matched(texts: DataFrame, rules: DataFrame, program: str | None, text_col: str, verify: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows with an array ``_found`` of (rule_ord, confidence), parsed rules
+    as a driver-local relation)."""
     parsed = parse_proximity_rules(rules)
     if program:
         parsed = parsed.filter(F.col("program") == F.lit(program))
-    parsed = parsed.select("*", F.posexplode("index_keys").alias("key_no", "index_key"))
-    # The rule table is configuration: read it once (bounded) into a local
-    # relation, whose broadcast needs no Spark job; a larger one is counted
-    # and broadcast only within the limit.
-    rows = parsed.limit(MAX_LOCAL_RULES + 1).collect()
-    if len(rows) <= MAX_LOCAL_RULES:
-        parsed = F.broadcast(texts.sparkSession.createDataFrame(rows, parsed.schema))
-    else:
-        parsed = checked_broadcast(parsed, bounded_count(parsed))
-    norm = normalize_text(F.col(text_col))
-    docs = texts.select("transcript_id", F.concat(F.lit(" "), norm, F.lit(" ")).alias("padded"))
-    # Distinct tokens of the padded text. An empty text splits into one ''
-    # that no token equals: dropping it leaves that text without candidates.
-    # (The test sits on the generated column, so it is not pushed below the
-    # text preparation, which would then run twice.)
-    tok = F.split(F.trim(F.col("padded")), " ")
-    keys = docs.select("transcript_id", "padded", F.explode(F.array_distinct(tok)).alias("index_key"))
-    keys = keys.filter(F.col("index_key") != "")
-    padded = F.col("padded")
-    # Keep a (text, rule) pair once: on its first index key that occurs.
-    first_key = (F.col("key_no") == 0) | ~F.exists(
-        F.slice("index_keys", 1, F.col("key_no")),
-        lambda k: padded.contains(F.concat(F.lit(" "), k, F.lit(" "))))
-    return keys.join(parsed, "index_key").filter(first_key)
+    rows = parsed.collect()
+    matcher = ProximityMatcher([(r.rule_ord, r.terms, r.words, r.operators, r.max_distance, r.index_keys)
+                                for r in rows], verify)
+    own = texts.select("transcript_id", normalize_text(F.col(text_col)).alias("_norm"))
+    found = append_structs(own, "_norm", "_found", FIELDS, matcher).drop("_norm")
+    kind = parsed.schema["rule_ord"].dataType.simpleString()
+    local = texts.sparkSession.createDataFrame(
+        [(r.rule_ord, r.program, r.cat_no, r.terms) for r in rows],
+        f"rule_ord {kind}, program string, cat_no string, terms array<string>")
+    return found.withColumn("_found", F.col("_found").cast(
+        f"array<struct<rule_ord:{kind},confidence:double>>")), F.broadcast(local)
+
+
+def proximity_candidates(texts: DataFrame, rules: DataFrame, program: str | None = None,
+                         text_col: str = "norm_text") -> DataFrame:
+    """(transcript_id, rule columns): each rule an index key of which is a
+    token of the text, once per (text, rule)."""
+    found, local = _matched(texts, rules, program, text_col, verify=False)
+    return (found.select("transcript_id", F.explode("_found.rule_ord").alias("rule_ord"))
+            .join(local, "rule_ord"))
 
 
 def proximity_matches(texts: DataFrame, rules: DataFrame, program: str | None = None,
                       text_col: str = "norm_text") -> DataFrame:
     """Every (transcript_id, rule) that matches, with its confidence."""
-    cand = proximity_candidates(texts, rules, program, text_col)
-    padded = F.col("padded")
-
-    def has(needle: Column) -> Column:
-        # Exact token-phrase occurrence; an empty term occurs everywhere.
-        return F.when(needle.isNull(), F.lit(True)).otherwise(padded.contains(needle))
-
-    def near(term: Column, regex: Column, anchors_exist: Column, win: Column,
-             anchor_words: Column) -> Column:
-        return (F.when(term == "", anchors_exist)
-                .when(win < 0, _near_wrapped(padded, anchor_words, term, win))
-                .when(regex.isNull(), F.lit(False))
-                .otherwise(F.regexp_like(padded, regex)))
-
-    def step(op: Column, term: Column, needle: Column, regex: Column, anchors_exist: Column,
-             win: Column, anchor_words: Column):
-        return (F.when(op == "NEAR", near(term, regex, anchors_exist, win, anchor_words))
-                .when(op == "AND", has(needle))
-                .when(op == "OR", F.lit(True))
-                .when(op == "NOT", ~has(needle))
-                .otherwise(F.lit(False)))
-
-    n_terms = F.col("n_terms")
-    ok = (F.col("k1") == 1) | has(F.col("needle1"))
-    m2 = (n_terms < 2) | step(F.col("op1"), F.col("t2"), F.col("needle2"), F.col("near2_re"),
-                              F.lit(True), F.col("win2"), F.col("anchor2_words"))
-    anchors3 = F.when(F.col("op1") == "NEAR", has(F.col("needle2"))).otherwise(F.lit(True))
-    m3 = (n_terms < 3) | step(F.col("op2"), F.col("t3"), F.col("needle3"), F.col("near3_re"),
-                              anchors3, F.col("win3"), F.col("anchor3_words"))
-    conf = (F.when(n_terms == 1, F.lit(0.95))
-            .otherwise(F.least(F.lit(0.90) + F.when(n_terms >= 3, F.lit(0.05)).otherwise(F.lit(0.0)),
-                               F.lit(0.98))))
-    return cand.filter(ok & m2 & m3).select(
-        "transcript_id", "rule_ord", "program", "cat_no", "terms", conf.alias("confidence"))
+    found, local = _matched(texts, rules, program, text_col, verify=True)
+    return (found.select("transcript_id", F.explode("_found").alias("_f"))
+            .select("transcript_id", "_f.*").join(local, "rule_ord")
+            .select("transcript_id", "rule_ord", "program", "cat_no", "terms", "confidence"))
 
 
 def proximity_classify(texts: DataFrame, rules: DataFrame, program: str | None = None,
                        text_col: str = "norm_text") -> DataFrame:
-    """Best proximity match per text (texts without a match give no row)."""
-    m = proximity_matches(texts, rules, program, text_col)
-    high = F.col("confidence") >= F.lit(0.95)
-    key = F.struct(high.alias("high"),
-                   F.when(high, F.lit(0.0)).otherwise(F.col("confidence")).alias("c"),
-                   (-F.col("rule_ord")).alias("neg_ord"))
-    best = m.groupBy("transcript_id").agg(F.max_by(F.struct("rule_ord", "program", "cat_no", "terms",
-                                                           "confidence"), key).alias("b"))
-    return best.select(
-        "transcript_id", F.col("b.rule_ord").alias("rule_id"), F.col("b.cat_no").alias("cat_no"),
-        F.col("b.confidence").alias("confidence"),
-        F.array_join(F.col("b.terms"), " | ").alias("matched_terms"),
-        F.lit("proximity").alias("source"))
+    """Best proximity match per text row (rows without a match are left out):
+    the first rule of at least 0.95, else the most confident, first on ties."""
+    found, local = _matched(texts, rules, program, text_col, verify=True)
+    rank = F.transform("_found", lambda m: F.struct(
+        F.when(m["confidence"] >= F.lit(SINGLE), F.lit(1.0)).otherwise(m["confidence"]).alias("rank"),
+        (-m["rule_ord"]).alias("neg_ord"), m["confidence"].alias("confidence")))
+    best = found.select("transcript_id", F.array_max(rank).alias("b")).filter("b IS NOT NULL")
+    return (best.select("transcript_id", (-F.col("b.neg_ord")).alias("rule_ord"), "b.confidence")
+            .join(local, "rule_ord")
+            .select("transcript_id", F.col("rule_ord").alias("rule_id"), "cat_no", "confidence",
+                    F.array_join("terms", " | ").alias("matched_terms"), F.lit("proximity").alias("source")))
 
 
 def proximity_stats(rules: DataFrame, program: str | None = None) -> DataFrame:

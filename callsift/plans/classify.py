@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from callsift.functions.pii import redact
 from callsift.functions.text import clean_transcript, normalize_text
 from callsift.operators.keyword import RuleBase, score_texts
-from callsift.plans.dims import bounded_count, checked_broadcast, spread
 from callsift.sources.rules import hierarchy_lookup, parse_keyword_rules
 
 CLASSIFIED_COLUMNS = [
@@ -40,7 +39,7 @@ def ccre_result(j: DataFrame) -> DataFrame:
     ).otherwise("No rules activated (threshold: 0.4)")
     keep = [c for c in j.columns if c not in (
         "rule_ord", "rule_id", "category", "subcategory", "confidence", "matched_groups",
-        "matched_keywords", "num_rules_activated")]
+        "matched_keywords", "num_rules_activated")]  # the rest is carried
     return j.select(
         *keep,
         F.when(hit, F.col("rule_id")).alias("rule_id"),
@@ -56,25 +55,22 @@ def ccre_result(j: DataFrame) -> DataFrame:
 
 
 def rule_base(rules: DataFrame) -> RuleBase:
-    """Parsed rules with their measured tables; build once and pass it to
+    """Parsed rules with their matcher; build once and pass it to
     ``classify`` when the same rules serve many inputs (stream batches)."""
     parsed, _ = parse_keyword_rules(rules)
     return RuleBase(parsed)
 
 
 def classify_ccre(transcripts: DataFrame, rules: DataFrame | RuleBase, pii: bool = True,
-                  carry: list[str] = ("agent_name", "call_id", "ts"),
-                  num_partitions: int | None = None) -> DataFrame:
-    """Keyword-engine result for every transcript, with ``carry`` columns.
+                  carry: list[str] = ("agent_name", "call_id", "ts")) -> DataFrame:
+    """Keyword-engine result for every transcript row, with ``carry`` columns.
 
-    One pass over the text: preparation and the term matcher run in the
-    scan stage, and the small per-text attributes ride on one sentinel row
-    per text (see ``callsift.operators.keyword``)."""
+    One map-side pass over the text (see ``callsift.operators.keyword``);
+    every input row gives one output row, whatever its id."""
     rb = rules if isinstance(rules, RuleBase) else rule_base(rules)
-    transcripts, co = spread(transcripts, "transcript_id", num_partitions)
     prepared = prepare(transcripts, pii).withColumn("is_empty", F.col("norm_text") == "")
-    carry = [c for c in carry if c in prepared.columns] + ["is_empty"]
-    return ccre_result(score_texts(prepared, rb, carry, num_partitions, co_partitioned=co))
+    carry = ["transcript_id", *(c for c in carry if c in prepared.columns), "is_empty"]
+    return ccre_result(score_texts(prepared.select(*carry, "norm_text"), rb).drop("norm_text"))
 
 
 def enrich(ccre: DataFrame, hierarchy: DataFrame, program: str = "CCRE",
@@ -84,10 +80,10 @@ def enrich(ccre: DataFrame, hierarchy: DataFrame, program: str = "CCRE",
     Kept when confidence >= threshold and ``(program, rule_id)`` is in the
     hierarchy with a level-1 name other than 'Unclassified'; otherwise the
     standard unclassified record."""
+    # the hierarchy is configuration, held as a local relation like the rules
     look = hierarchy_lookup(hierarchy).filter(F.col("Program") == F.lit(program))
-    # Rows of the program bound its distinct keys; counting them needs no shuffle.
-    n_look = bounded_count(hierarchy.filter(F.col("Program") == F.lit(program)))
-    look = checked_broadcast(look.withColumn("_found", F.lit(True)), n_look)
+    look = F.broadcast(ccre.sparkSession.createDataFrame(look.collect(), look.schema)
+                       .withColumn("_found", F.lit(True)))
     j = ccre.join(look, ccre["rule_id"] == look["CatNo"], "left")
     ok = (F.col("rule_id").isNotNull() & (F.col("confidence") >= F.lit(float(threshold)))
           & F.coalesce(F.col("_found"), F.lit(False))
@@ -113,19 +109,15 @@ def enrich(ccre: DataFrame, hierarchy: DataFrame, program: str = "CCRE",
 
 def classify(transcripts: DataFrame, rules: DataFrame | RuleBase, hierarchy: DataFrame,
              program: str = "CCRE", threshold: float = 0.40, pii: bool = True,
-             with_text: bool = False, num_partitions: int | None = None) -> DataFrame:
+             with_text: bool = False) -> DataFrame:
     """Transcripts (role columns) -> classified table (``CLASSIFIED_COLUMNS``).
 
-    Without ``with_text`` the text columns are null and the plan reads the
-    text once. With it, ``transcript``/``redacted_transcript`` are joined
-    back by id (a second scan and a shuffle of the text: ask for it only
-    when the text is needed)."""
-    ccre = classify_ccre(transcripts, rules, pii, num_partitions=num_partitions)
+    With ``with_text`` the transcript and its redacted form ride along in the
+    same pass; without it they are null and dropped at the scan stage."""
+    texts = ["transcript", "redacted_transcript"] if with_text else []
+    ccre = classify_ccre(transcripts, rules, pii, carry=["agent_name", "call_id", "ts", *texts])
     out = enrich(ccre, hierarchy, program, threshold)
-    if with_text:
-        text = prepare(transcripts, pii).select("transcript_id", "transcript", "redacted_transcript")
-        out = out.join(text, "transcript_id", "left")
-    else:
-        out = (out.withColumn("transcript", F.lit(None).cast("string"))
-               .withColumn("redacted_transcript", F.lit(None).cast("string")))
+    for c in CLASSIFIED_COLUMNS:
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("timestamp" if c == "ts" else "string"))
     return out.select(*CLASSIFIED_COLUMNS)

@@ -20,17 +20,3 @@ def checked_broadcast(df: DataFrame, rows: int, bound: int = MAX_BROADCAST_ROWS)
     ``bound``; otherwise leave the join strategy to the planner (an equi-join
     then shuffles both sides, AQE can still switch it at run time)."""
     return F.broadcast(df) if rows <= bound else df
-
-
-def spread(df: DataFrame, key: str, num_partitions: int | None = None) -> tuple[DataFrame, bool]:
-    """Hash-distribute ``df`` on ``key`` when its scan yields fewer splits
-    than the cluster has task slots (a small or single-row-group file would
-    otherwise run the whole text pipeline in one task). Large inputs already
-    split into many tasks are returned as they are. Returns the frame and
-    whether it is now hash-partitioned on ``key``."""
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if df.rdd.getNumPartitions() >= slots:
-        return df, False
-    return df.repartition(max(n, slots), key), True

@@ -251,9 +251,7 @@ def _pii_stats_sql(table: str, col: str) -> str:
 
 @register("pii_stats", _pii_stats_sql("documents", "text"))
 def q_pii_stats(spark, sf):
-    from callsift.plans.dims import spread
-    docs, _ = spread(TR.table(spark, sf, "documents"), "doc_id")
-    return PII.pii_stats(docs, "text")
+    return PII.pii_stats(TR.table(spark, sf, "documents"), "text")
 
 
 @register("estimate_tokens", (
@@ -281,12 +279,10 @@ def q_map_columns(spark, sf):
 
 from callsift.operators import proximity as PX  # noqa: E402
 from callsift.plans.classify import prepare  # noqa: E402
-from callsift.plans.dims import spread  # noqa: E402
 
 
 def _prepared_docs(spark, sf):
-    docs, _ = spread(TR.from_documents(spark, sf), "transcript_id")
-    return prepare(docs)
+    return prepare(TR.from_documents(spark, sf)).select("transcript_id", "norm_text")
 
 
 # --------------------------------------------------------------------------
@@ -294,40 +290,28 @@ def _prepared_docs(spark, sf):
 # --------------------------------------------------------------------------
 
 from callsift.operators import keyword as K  # noqa: E402
-from callsift.plans.dims import checked_broadcast  # noqa: E402
-
-
-def _ccre_parts(spark, sf):
-    """Rule base and the term hits (no sentinel rows) of every document."""
-    prepared = _prepared_docs(spark, sf)
-    parsed, _ = R.parse_keyword_rules(R.keyword_rules(spark))
-    rb = K.RuleBase(parsed)
-    return rb, K.hit_stream(prepared, rb).filter(F.col("term_id").isNotNull())
+from callsift.plans.classify import rule_base  # noqa: E402
 
 
 @register("ccre_keyword_hits", W("SELECT transcript_id, term, pos, neg, wb FROM hits"))
 def q_kw_hits(spark, sf):
-    rb, hits = _ccre_parts(spark, sf)
-    terms = checked_broadcast(rb.terms.select("term_id", "term"), rb.n_slots)
-    return hits.join(terms, "term_id").select("transcript_id", "term", "pos", "neg", "wb")
+    hits = K.keyword_hits(_prepared_docs(spark, sf), rule_base(R.keyword_rules(spark)))
+    return hits.select("transcript_id", "term", "pos", "neg", "wb")
 
 
 @register("ccre_forbidden", W(
     "SELECT DISTINCT transcript_id, CAST(rule_ord AS BIGINT) AS rule_ord FROM slot_hits WHERE group_no < 0"))
 def q_forbidden(spark, sf):
-    rb, hits = _ccre_parts(spark, sf)
-    forb = checked_broadcast(rb.slots_with_ids.filter(F.col("group_no") < 0)
-                             .select("term_id", "rule_ord"), rb.n_slots)
-    return (hits.filter("wb").join(forb, "term_id")
-            .select("transcript_id", F.col("rule_ord").cast("long").alias("rule_ord")).distinct())
+    rules = R.keyword_rules(spark)
+    vetoes = K.keyword_hits(_prepared_docs(spark, sf), rule_base(rules)).filter("wb")
+    terms = R.rule_terms(R.parse_keyword_rules(rules)[0]).filter("group_no < 0").select("term", "rule_ord")
+    return vetoes.join(terms, "term").select("transcript_id", F.col("rule_ord").cast("long").alias("rule_ord")).distinct()
 
 
 @register("ccre_scores", W(
     "SELECT transcript_id, CAST(rule_ord AS BIGINT) AS rule_ord, matched_groups, confidence FROM kept"))
 def q_scores(spark, sf):
-    rb, hits = _ccre_parts(spark, sf)
-    sc = K.rule_scores(hits.select("transcript_id", "term_id", "pos", "neg", "wb"), rb.parsed,
-                       rb.slots_with_ids, rb.n_slots, rb.n_rules, rb.kw_bits, rb.max_groups)
+    sc = K.rule_scores(_prepared_docs(spark, sf), rule_base(R.keyword_rules(spark)))
     return sc.select("transcript_id", F.col("rule_ord").cast("long").alias("rule_ord"),
                      F.col("matched_groups").cast("long").alias("matched_groups"), "confidence")
 
@@ -450,8 +434,7 @@ from callsift.operators import examples as EX  # noqa: E402
 
 
 def _turn_texts(spark, sf):
-    t, _ = spread(TR.from_conversation_turns(spark, sf), "transcript_id")
-    return t.select("transcript_id", TX.clean_transcript("transcript").alias("transcript"))
+    return TR.from_conversation_turns(spark, sf).select("transcript_id", TX.clean_transcript("transcript").alias("transcript"))
 
 
 @register("example_classify")

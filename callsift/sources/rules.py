@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,10 +49,6 @@ EXAMPLE_SCHEMA = T.StructType([
     T.StructField("confidence", T.DoubleType()),
 ])
 
-# Rule tables are configuration: a broadcast side must stay below this.
-MAX_RULE_ROWS = 1_000_000
-
-
 def _local(spark: SparkSession, rows: list, schema: T.StructType, ord_name: str) -> DataFrame:
     """A small configuration table from driver-side rows, with its ordinal."""
     fields = [T.StructField(ord_name, T.IntegerType(), False)] + list(schema.fields)
@@ -93,29 +91,37 @@ def read_rule_csv(spark: SparkSession, path: str, schema: T.StructType,
     return df.select(F.monotonically_increasing_id().alias(ord_name), *schema.fieldNames())
 
 
+def _strings(value, depth: int, nulls: bool) -> bool:
+    """Whether a JSON value is a list (of lists) of strings."""
+    if depth == 0:
+        return isinstance(value, str) or (nulls and value is None)
+    return isinstance(value, list) and all(_strings(v, depth - 1, nulls) for v in value)
+
+
 def parse_keyword_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JSON columns -> arrays. Returns (parsed, quarantine).
-
-    A rule whose ``required_groups`` is not a JSON list of lists, or whose
-    non-null ``forbidden_terms`` is not a JSON list, is set aside (the
-    original skips it with a warning); the other rules are unaffected."""
-    groups = F.from_json("required_groups", "array<array<string>>")
-    forb = F.from_json("forbidden_terms", "array<string>")
-    staged = rules.select(
-        "rule_ord", "rule_id", "category", "subcategory",
-        groups.alias("groups"),
-        F.when(F.col("forbidden_terms").isNull(), F.array().cast("array<string>"))
-         .otherwise(forb).alias("forbidden"),
-        "required_groups", "forbidden_terms",
-    )
-    ok = F.col("groups").isNotNull() & F.col("forbidden").isNotNull()
-    parsed = staged.filter(ok).select(
-        "rule_ord", "rule_id", "category", "subcategory", "groups", "forbidden",
-        F.size("groups").alias("n_groups"))
-    quarantine = staged.filter(~ok).select(
-        "rule_ord", "rule_id", "required_groups", "forbidden_terms",
-        F.lit("malformed JSON").alias("error"))
-    return parsed, quarantine
+    """JSON columns -> arrays. Returns (parsed, quarantine), both driver-local
+    relations: rules are configuration that every text task receives.
+
+    A rule whose ``required_groups`` is not a JSON list of lists of strings, or
+    whose non-null ``forbidden_terms`` is not a JSON list of strings, is set
+    aside (the original skips it with a warning); the other rules are
+    unaffected. JSON is strict: single quotes, text after the value or a null
+    forbidden term set the rule aside. A null keyword never matches."""
+    good, bad = [], []
+    for r in rules.select("rule_ord", "rule_id", "category", "subcategory", "required_groups", "forbidden_terms").collect():
+        try:
+            groups = json.loads(r.required_groups or "")
+            forbidden = [] if r.forbidden_terms is None else json.loads(r.forbidden_terms)
+            if not _strings(groups, 2, True) or not _strings(forbidden, 1, False):
+                raise ValueError("not a list of strings")
+            good.append((r.rule_ord, r.rule_id, r.category, r.subcategory, groups, forbidden, len(groups)))
+        except ValueError:
+            bad.append((r.rule_ord, r.rule_id, r.required_groups, r.forbidden_terms, "malformed JSON"))
+    spark, kind = rules.sparkSession, rules.schema["rule_ord"].dataType.simpleString()
+    head = f"rule_ord {kind}, rule_id string, "
+    return (spark.createDataFrame(good, head + "category string, subcategory string, groups array<array<string>>, "
+                                               "forbidden array<string>, n_groups int"),
+            spark.createDataFrame(bad, head + "required_groups string, forbidden_terms string, error string"))
 
 
 def rule_terms(parsed: DataFrame) -> DataFrame:
@@ -145,3 +151,11 @@ def programs(hier: DataFrame) -> DataFrame:
 
 def by_program(df: DataFrame, program: str) -> DataFrame:
     return df.filter(F.col("Program") == F.lit(program))
+
+
+def rules_of_program(rules: DataFrame, hier: DataFrame, program: str) -> tuple[DataFrame, DataFrame]:
+    """The rules and the hierarchy of a program; both empty if either is."""
+    both = by_program(rules, program), by_program(hier, program)
+    if any(df.isEmpty() for df in both):
+        return tuple(df.limit(0) for df in both)
+    return both

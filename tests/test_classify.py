@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -62,6 +63,17 @@ def test_parse_quarantine(spark):
     assert parsed.count() == len(ruleset.KEYWORD_RULES) - 1
 
 
+def test_rule_json_is_strict(spark):
+    """Single quotes, text after the value, null or non-string terms and other
+    shapes set a rule aside; the others are unaffected."""
+    cases = [('[["x"]]', None, True), ("[['x']]", None, False), ('[["x"]] y', None, False), ('[["x"]]', '["a", null]', False),
+             ('[["x"]]', '[]', True), ('[]', None, True), ('[[1]]', None, False), ('{"a": 1}', None, False),
+             ('"x"', None, False), ('[["x"]]', '"abc"', False), (None, None, False), ('["ab"]', None, False)]
+    parsed, bad = R.parse_keyword_rules(R.keyword_rules(spark, [(str(i), "C", "S", g, f) for i, (g, f, _) in enumerate(cases)]))
+    assert {int(r.rule_id) for r in parsed.collect()} == {i for i, c in enumerate(cases) if c[2]}
+    assert {int(r.rule_id) for r in bad.collect()} == {i for i, c in enumerate(cases) if not c[2]}
+
+
 def test_hybrid_matches_model(spark):
     out = classify(TR.from_documents(spark, SF), R.keyword_rules(spark), R.hierarchy(spark)).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -76,7 +88,7 @@ def test_hybrid_matches_model(spark):
 def test_partition_invariance(spark):
     base = TR.from_documents(spark, SF)
     a = classify(base.repartition(1), R.keyword_rules(spark), R.hierarchy(spark))
-    b = classify(base.repartition(7), R.keyword_rules(spark), R.hierarchy(spark), num_partitions=5)
+    b = classify(base.repartition(7), R.keyword_rules(spark), R.hierarchy(spark))
     cols = ["transcript_id", "cat_no", "confidence", "num_rules_activated", "matched_keywords"]
     assert sorted(a.select(cols).collect()) == sorted(b.select(cols).collect())
 
@@ -88,81 +100,57 @@ def test_confidence_domain(spark):
     assert out.count() == out.select("transcript_id").distinct().count()
 
 
-def test_plan_shape(spark):
-    from pyspark.sql import functions as F
-    from callsift.operators import keyword as K
-    from callsift.plans.classify import prepare
-    parsed, _ = R.parse_keyword_rules(R.keyword_rules(spark))
-    rb = K.RuleBase(parsed)
-    terms = [(r.term, r.term_id, r.is_forbidden) for r in rb.terms.collect()]
-    hits = K.keyword_hits(prepare(TR.from_documents(spark, SF)), spark.sparkContext.broadcast(terms))
-    hplan = hits._jdf.queryExecution().executedPlan().toString()
-    assert "MapInPandas" in hplan  # one pass per text, whatever the number of terms
-    assert "CartesianProduct" not in hplan and "NestedLoopJoin" not in hplan
-    scan = K.keyword_hits_scan(prepare(TR.from_documents(spark, SF)), F.broadcast(K._with_sentinel(rb.terms)))
-    splan = scan._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" in splan and "CartesianProduct" not in splan
-    out = classify(TR.from_documents(spark, SF), R.keyword_rules(spark), R.hierarchy(spark))
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
-    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
-    # the documents are read once, by the text stage (hits are written to a table)
-    assert plan.count("documents.parquet") <= 1
-
-
-def test_scoring_paths_match_model(spark, monkeypatch):
-    """A generated 300-rule base (up to 4 groups, forbidden words) scored by
-    the one-level aggregate, the two-level aggregate, the unpacked keyword
-    lists and chunked term scans: every path equals the row-at-a-time model."""
-    from callsift.operators import keyword as K
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_is_one_map_side_pass(spark):
+    """Text scan, one Arrow pass, broadcast joins of configuration: no exchange
+    of the texts, and nothing runs or is written by building the frame."""
+    from callsift.session import shared_dir
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+    out = classify(TR.from_documents(spark, SF), R.keyword_rules(spark), R.hierarchy(spark), with_text=True)
+    plan = plan_of(out)
+    assert plan.count("documents.parquet") == 1 and plan.count("MapInArrow") == 1
+    assert "Exchange hashpartitioning" not in plan and "Exchange SinglePartition" not in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "EvalPython" not in plan
+    out.write.format("noop").mode("overwrite").save()
+    assert set(os.listdir(folder)) == before
+
+
+def test_rows_keep_their_own_result_whatever_their_id(spark):
+    """Duplicate and null ids: each row is classified by its own text."""
+    rows = [(1, "refund please"), (1, "my bill now"), (2, "close it"), (2, "vip here"), (None, "refund and bill"),
+            (None, None)]
+    rules = [("X1", "C", "S", '[["refund"], ["bill"]]', None), ("X2", "C", "S", '[["close"]]', '["vip"]')]
+    got = classify_ccre(spark.createDataFrame(rows, "transcript_id long, transcript string"),
+                        R.keyword_rules(spark, rules), carry=["transcript"]).collect()
+    parsed = model.parse_rules(rules)
+    want = [(i, t, *model.ccre(model.redact(model.clean(t)), parsed)[:5]) for i, t in rows]
+    assert sorted(((r.transcript_id, r.transcript, r.category, r.subcategory, r.confidence, r.matched_keywords,
+                    r.num_rules_activated) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_generated_rules_match_model(spark):
+    """A generated 300-rule base (up to 4 groups, forbidden words)."""
     rows = ruleset.large_keyword_rules(300)
-    rules = R.keyword_rules(spark, rows)
     docs = TR.from_documents(spark, SF)
-    texts = {r.transcript_id: r.transcript for r in docs.select("transcript_id", "transcript").collect()}
     parsed = model.parse_rules(rows)
     want = {}
-    for tid, txt in texts.items():
-        cat, sub, conf, kws, n, rid, _ = model.ccre(model.redact(model.clean(txt)), parsed)
-        want[tid] = (rid, conf, kws, n)
-
-    def run():
-        out = classify_ccre(docs, rules).collect()
-        return {r.transcript_id: (r.rule_id, r.confidence, r.matched_keywords, r.num_rules_activated)
-                for r in out}
-
-    assert run() == want
-    monkeypatch.setattr(K, "MAX_LOCAL_SLOTS", 0)  # distributed slot / term tables
-    assert run() == want
-    monkeypatch.setattr(K, "MAX_GROUPS_ONE_LEVEL", 0)
-    assert run() == want
-    monkeypatch.setattr(K, "MAX_TERMS_PER_AUTOMATON", 40)
-    assert run() == want
-    monkeypatch.setattr(K.RuleBase, "__init__", _unpacked_init(K.RuleBase.__init__))
-    assert run() == want
-    # the substring theta-join used when the matcher is not installed
-    monkeypatch.setattr(K, "_HAVE_AUTOMATON", False)
-    assert run() == want
-    monkeypatch.setattr(K, "MAX_TERMS_PER_SCAN", 40)
-    assert run() == want
-
-
-def _unpacked_init(init):
-    def wrapped(self, parsed):
-        init(self, parsed)
-        self.kw_bits = 0
-    return wrapped
+    for r in docs.select("transcript_id", "transcript").collect():
+        _, _, conf, kws, n, rid, _ = model.ccre(model.redact(model.clean(r.transcript)), parsed)
+        want[r.transcript_id] = (rid, conf, kws, n)
+    out = classify_ccre(docs, R.keyword_rules(spark, rows)).collect()
+    assert {r.transcript_id: (r.rule_id, r.confidence, r.matched_keywords, r.num_rules_activated)
+            for r in out} == want
 
 
 def test_text_prepared_once_in_plans(spark):
     """Clean + redact appear once in the optimized plans of the text stages
     (a filter pushed below the preparation would inline it a second time)."""
-    from callsift.operators import keyword as K
     from callsift.plans import registry
-    plans = [registry.QUERIES["prox_classify"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()]
-    parsed, _ = R.parse_keyword_rules(R.keyword_rules(spark))
-    rb = K.RuleBase(parsed)
-    from callsift.plans.classify import prepare
-    hits = K.hit_stream(prepare(TR.from_documents(spark, SF)), rb)
-    plans.append(hits._jdf.queryExecution().optimizedPlan().toString())
-    for p in plans:
+    for name in ("prox_classify", "ccre_scores", "hybrid_classify"):
+        p = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert p.count("<REDACTED_EMAIL>") == 1 and p.count("AGENT|CUSTOMER") == 1
