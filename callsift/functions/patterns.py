@@ -44,6 +44,18 @@ NEGATION_CAP = 0.3
 PROXIMITY_BONUS = [(50, 0.2), (100, 0.15), (200, 0.1)]
 PROXIMITY_BONUS_FAR = 0.05
 
+# A fenced block with a JSON object, and the first brace object (nested once),
+# looked for in model replies; and the texts that stand in for missing parts.
+FENCED_JSON = r"```(?:json)?\s*(\{.*?\})\s*```"
+BRACE_OBJECT = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+REPLY_KEYS = ("root_cause", "coaching_points", "sample_script")
+REPLY_DEFAULTS = {"root_cause": "See raw response", "coaching_points": [], "sample_script": "N/A",
+                  "kpi_recommendations": [], "strengths": [], "priority": "Medium"}
+UNREADABLE = "Unable to parse response"
+SEE_BELOW = "See raw response below"
+CHECK_RAW = "Check raw response"
+PARSING_ERROR = "Parsing error: "
+
 # ---------------------------------------------------------------------------
 # Dialect helpers
 # ---------------------------------------------------------------------------

@@ -7,11 +7,13 @@ the category hierarchy; ties in top-k are broken by the key, ascending.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException, ParseException
 
 from callsift.functions.text import percent_display, word_count
+from callsift.session import materialize
 
 # Averages of doubles are rounded to this many places where the reference
 # reports them unrounded: the summation order differs between engines.
@@ -136,17 +138,25 @@ def avg_words(df: DataFrame, text_col: str = "transcript") -> DataFrame:
 def display_results(df: DataFrame) -> DataFrame:
     """Result table with the confidence shown as a percentage (one place);
     the numeric value is kept next to it."""
-    cols = ["transcript_id"] + [c for c in ("agent_name", "call_id") if c in df.columns] + [
+    cols = ["transcript_id"] + [c for c in ("agent_name", "call_id", "transcript") if c in df.columns] + [
         "category", "subcategory", "tertiary", "quaternary", "confidence", "matched_keywords", "source"]
     return df.select(*cols, percent_display("confidence").alias("confidence_display"))
 
 
 def run_custom_query(spark: SparkSession, df: DataFrame, sql: str,
                      view: str = "transcripts") -> DataFrame:
-    """Ad-hoc SQL over the classified table registered as ``transcripts``.
-    Analysis and parse errors surface as ValueError."""
+    """Ad-hoc SQL over the classified table under the name ``transcripts``.
+    The name is bound for this query only (a view of that name that the
+    session had is put back). Any error of the query, also one at run time,
+    surfaces as ValueError: the result is written once and reread."""
+    had = spark.table(view) if spark.catalog.tableExists(view) else None
     df.createOrReplaceTempView(view)
     try:
-        return spark.sql(sql)
-    except (AnalysisException, ParseException) as e:
+        return materialize(spark.sql(sql))
+    except (PySparkException, Py4JJavaError) as e:
         raise ValueError(f"Query execution failed: {e}") from e
+    finally:
+        if had is None:
+            spark.catalog.dropTempView(view)
+        else:
+            had.createOrReplaceTempView(view)

@@ -11,12 +11,19 @@ measured size allows.
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from callsift.functions import patterns as P
 from callsift.functions.text import content_hash, estimate_tokens
 from callsift.plans.dims import bounded_count, checked_broadcast
 from callsift.session import materialize
+from callsift.sources.tables import TTL
 
 # FIXED VALUES: context window (tokens) per hosted model name; any other
 # model gets DEFAULT_CONTEXT.
@@ -121,8 +128,14 @@ def nest_bundle(flat: DataFrame) -> DataFrame:
                                s["sample_confidence"].alias("confidence"))).alias("sample_transcripts"))
 
 
+def _json_text(c):
+    """A string as a JSON string, with its quotes."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+
+
 def _distribution_json(c):
-    entries = F.transform(F.map_entries(c), lambda e: F.format_string('  "%s": %d', e["key"], e["value"]))
+    entries = F.transform(F.map_entries(c), lambda e: F.concat(
+        F.lit("  "), _json_text(e["key"]), F.lit(": "), e["value"].cast("string")))
     return F.concat(F.lit("{\n"), F.array_join(entries, ",\n"), F.lit("\n}"))
 
 
@@ -130,7 +143,8 @@ def coaching_prompts(bundles: DataFrame, context_limit: int | None = None,
                      model: str | None = None) -> DataFrame:
     """Prompt per agent with a token budget of ``int(context * 0.7)`` at four
     characters per token; over budget, the first three samples are cut to
-    200 characters and the prompt is marked truncated. The context comes
+    200 characters and the prompt is marked truncated (this template is
+    shorter than the original's, so that edge lies at longer samples). The context comes
     from ``context_limit``, else from the ``model`` name. Returns
     (agent_name, prompt, was_truncated, est_tokens, prompt_hash)."""
     if context_limit is None:
@@ -165,72 +179,113 @@ def coaching_prompts(bundles: DataFrame, context_limit: int | None = None,
         content_hash("prompt").alias("prompt_hash"))
 
 
+def _live(cache: DataFrame, user_id: str, now) -> DataFrame:
+    return cache.filter((F.col("user_id") == F.lit(user_id))
+                        & (F.col("expires_at") >= F.lit(now).cast("timestamp")))
+
+
 def pending_prompts(prompts: DataFrame, cache: DataFrame, user_id: str, now) -> DataFrame:
     """Prompts without a live cache entry for (user, agent, prompt hash):
     the list an external caller sends to the model."""
-    live = cache.filter((F.col("user_id") == F.lit(user_id))
-                        & (F.col("expires_at") >= F.lit(now).cast("timestamp")))
-    return prompts.join(live.select("agent_name", "prompt_hash"), ["agent_name", "prompt_hash"], "left_anti")
+    return prompts.join(_live(cache, user_id, now).select("agent_name", "prompt_hash"),
+                        ["agent_name", "prompt_hash"], "left_anti")
+
+
+def coaching_results(prompts: DataFrame, replies: DataFrame, cache: DataFrame, user_id: str, now,
+                     model: str) -> tuple[DataFrame, DataFrame]:
+    """Cache first: (results, new cache rows).
+
+    A prompt with a live entry returns the stored coaching; the others get
+    their reply (``replies``: agent_name, prompt_hash, content), parsed. New
+    cache rows are the parsed replies but for error records."""
+    key = ["agent_name", "prompt_hash"]
+    hits = prompts.join(_live(cache, user_id, now).select(*key, "coaching_json", "model_used", "created_at"), key).select(
+        *key, "was_truncated", "coaching_json", "model_used", F.lit(True).alias("cached"),
+        F.col("created_at").alias("cached_at"), F.lit("cache").alias("parse_path"))
+    asked = parse_responses(pending_prompts(prompts, cache, user_id, now).join(replies.select(*key, "content"), key))
+    fresh = asked.select(
+        *key, "was_truncated", F.to_json(F.struct(*REPLY_FIELDS)).alias("coaching_json"),
+        F.lit(model).alias("model_used"), F.lit(False).alias("cached"), F.lit(None).cast("timestamp").alias("cached_at"),
+        "parse_path")
+    at = F.lit(now).cast("timestamp")
+    rows = fresh.filter("parse_path <> 'error'").select(
+        F.lit(user_id).alias("user_id"), *key, "coaching_json", "model_used", at.alias("created_at"),
+        (at + F.expr(TTL)).alias("expires_at"))
+    return hits.unionByName(fresh), rows
 
 
-_KEYS3 = ("root_cause", "coaching_points", "sample_script")
-_SCHEMA = ("root_cause string, coaching_points array<string>, sample_script string, "
-           "kpi_recommendations array<string>, strengths array<string>, priority string")
+REPLY_FIELDS = ["root_cause", "coaching_points", "sample_script", "kpi_recommendations", "strengths", "priority"]
+_REPLY_SCHEMA = [("parse_path", "string"), ("root_cause", "string"), ("coaching_points", "array<string>"),
+                 ("sample_script", "string"), ("kpi_recommendations", "array<string>"), ("strengths", "array<string>"),
+                 ("priority", "string"), ("raw_response", "string")]
+_LISTS = {"coaching_points", "kpi_recommendations", "strengths"}
 
 
-def _has_keys(js, keys, mode="all"):
-    tests = [F.get_json_object(js, f"$.{k}").isNotNull() | F.lower(js).contains(f'"{k}"') for k in keys]
-    ok = tests[0]
-    for t in tests[1:]:
-        ok = (ok & t) if mode == "all" else (ok | t)
-    return F.coalesce(ok, F.lit(False))
+def _loaded(text: str | None) -> tuple[bool, object]:
+    """(whether the text is strict JSON, its value)."""
+    try:
+        return True, json.loads(text or "")
+    except (ValueError, RecursionError):
+        return False, None
+
+
+def _typed(name: str, value):
+    """A JSON value as the column holds it: text, or a list of texts."""
+    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+    if name not in _LISTS or value is None:
+        return text(value)
+    return [text(v) for v in value] if isinstance(value, list) else [text(value)]
+
+
+def _record(path: str, raw: str | None = None, **fields) -> dict:
+    known = {k: fields.get(k) for k in REPLY_FIELDS}
+    return {"parse_path": path, "raw_response": raw} | {k: _typed(k, v) for k, v in known.items()}
+
+
+def _error(message: str) -> dict:
+    return _record("error", **P.REPLY_DEFAULTS | {
+        "root_cause": P.PARSING_ERROR + message, "coaching_points": [P.CHECK_RAW], "priority": "Low"})
+
+
+def read_reply(content: str | None) -> dict:
+    """A model reply as a coaching record, by the first rule that applies:
+    (json) the stripped reply is a JSON object with the three required keys at
+    its top level; (fenced) the same in a fenced block; (object) the first
+    brace object is JSON with root_cause or coaching_points, its missing
+    fields defaulted; (text) line 1, lines 2 to 4, first 500 characters.
+    A missing reply, or one that is a bare JSON number or constant, gives an
+    error record of priority Low. A list field that holds another value keeps
+    it as its only element."""
+    if content is None:
+        return _error("no content")
+    text = content.strip()
+    ok, value = _loaded(text)
+    if ok and not isinstance(value, (dict, list, str)):
+        return _error(f"argument of type '{type(value).__name__}' is not iterable")
+    fenced, brace = re.search(P.FENCED_JSON, text, re.DOTALL), re.search(P.BRACE_OBJECT, text)
+    fenced, brace = _loaded(fenced and fenced[1])[1], _loaded(brace and brace[0])[1]
+    for path, found in (("json", value), ("fenced", fenced)):
+        if isinstance(found, dict) and set(P.REPLY_KEYS) <= set(found):
+            return _record(path, **found)
+    if isinstance(brace, dict) and {"root_cause", "coaching_points"} & set(brace):
+        return _record("object", **P.REPLY_DEFAULTS | brace)
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
+    return _record("text", text[:500], **P.REPLY_DEFAULTS | {
+        "root_cause": lines[0] if lines else P.UNREADABLE, "coaching_points": lines[1:4] or [P.SEE_BELOW]})
 
 
 def parse_responses(responses: DataFrame, content_col: str = "content") -> DataFrame:
-    """Model responses -> coaching records, first rule that applies:
-    (1) the whole content is a JSON object with root_cause, coaching_points
-        and sample_script; (2) the same inside a fenced json block; (3) the
-        first brace object having root_cause or coaching_points, missing
-        fields defaulted; (4) text: line 1, lines 2-4, first 500 characters.
-    A null content (no usable reply) gives an error record, priority Low."""
-    c = F.trim(F.col(content_col))
-    obj = F.regexp_extract(c, r"^\{.*\}$", 0)
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    brace = F.regexp_extract(c, r"(?s)\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", 0)
-    valid = lambda s: F.from_json(s, "map<string,string>").isNotNull()
-    direct = (F.length(obj) > 0) & valid(F.regexp_extract(c, r"(?s)^\{.*\}$", 0)) & _has_keys(c, _KEYS3)
-    fence_ok = (F.length(fenced) > 0) & valid(fenced) & _has_keys(fenced, _KEYS3)
-    brace_ok = (F.length(brace) > 0) & valid(brace) & _has_keys(
-        brace, ("root_cause", "coaching_points"), "any")
-    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    src = (F.when(F.col(content_col).isNull(), "error").when(direct, "json")
-           .when(fence_ok, "fenced").when(brace_ok, "object").otherwise("text"))
-    js = F.when(direct, c).when(fence_ok, fenced).when(brace_ok, brace)
-    parsed = F.from_json(js, _SCHEMA)
-    base = responses.select("*", src.alias("parse_path"), parsed.alias("p"), lines.alias("lines"), c.alias("c"))
-    obj_default = F.col("parse_path") == "object"
-    return base.select(
-        *[x for x in responses.columns], "parse_path",
-        F.when(F.col("parse_path") == "error", F.lit("Parsing error: no content"))
-         .when(F.col("parse_path") == "text",
-               F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit("Unable to parse response")))
-         .when(obj_default, F.coalesce(F.col("p.root_cause"), F.lit("See raw response")))
-         .otherwise(F.col("p.root_cause")).alias("root_cause"),
-        F.when(F.col("parse_path") == "error", F.array(F.lit("Check raw response")))
-         .when(F.col("parse_path") == "text",
-               F.when(F.size("lines") > 1, F.slice("lines", 2, 3)).otherwise(F.array(F.lit("See raw response below"))))
-         .when(obj_default, F.coalesce(F.col("p.coaching_points"), F.array().cast("array<string>")))
-         .otherwise(F.col("p.coaching_points")).alias("coaching_points"),
-        F.when(F.col("parse_path").isin("error", "text"), F.lit("N/A"))
-         .when(obj_default, F.coalesce(F.col("p.sample_script"), F.lit("N/A")))
-         .otherwise(F.col("p.sample_script")).alias("sample_script"),
-        F.when(F.col("parse_path").isin("error", "text", "object"),
-               F.coalesce(F.col("p.kpi_recommendations"), F.array().cast("array<string>")))
-         .otherwise(F.col("p.kpi_recommendations")).alias("kpi_recommendations"),
-        F.when(F.col("parse_path").isin("error", "text", "object"),
-               F.coalesce(F.col("p.strengths"), F.array().cast("array<string>")))
-         .otherwise(F.col("p.strengths")).alias("strengths"),
-        F.when(F.col("parse_path") == "error", F.lit("Low"))
-         .when(F.col("parse_path").isin("text", "object"), F.coalesce(F.col("p.priority"), F.lit("Medium")))
-         .otherwise(F.col("p.priority")).alias("priority"),
-        F.when(F.col("parse_path") == "text", F.substring("c", 1, 500)).alias("raw_response"))
+    """The input's columns with parse_path, the coaching fields and (for the
+    text path) raw_response; see ``read_reply``. One Arrow pass."""
+    kinds = {"string": pa.string(), "array<string>": pa.list_(pa.string())}
+    schema = T.StructType([*responses.schema.fields, *T.StructType.fromDDL(
+        ", ".join(f"{n} {k}" for n, k in _REPLY_SCHEMA)).fields])
+
+    def run(batches):
+        for b in batches:
+            got = [read_reply(c) for c in b.column(content_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, *(pa.array([g[n] for g in got], kinds[k]) for n, k in _REPLY_SCHEMA)],
+                [*b.schema.names, *(n for n, _ in _REPLY_SCHEMA)])
+
+    return responses.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ labels, pages) and the built-in rule tables; its work grows with the data.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +50,10 @@ def W(select_sql: str) -> str:
 
 @register("hybrid_classify", W(
     "SELECT transcript_id, agent_name, rule_id, category, subcategory, tertiary, quaternary, cat_no, "
-    "confidence, matched_keywords, num_rules_activated, resolve_reason, source, program FROM classified"))
+    "confidence, matched_keywords, num_rules_activated, resolve_reason, source, program, transcript, "
+    "redacted_transcript FROM classified"))
 def q_hybrid(spark, sf):
-    return classified_docs(spark, sf).drop("transcript", "redacted_transcript", "call_id", "ts")
+    return classified_docs(spark, sf, with_text=True).drop("call_id", "ts")
 
 
 @register("ccre_classify", W(
@@ -169,10 +171,10 @@ def q_topcats(spark, sf):
 
 
 @register("display_results", W(
-    "SELECT transcript_id, agent_name, call_id, category, subcategory, tertiary, quaternary, confidence, "
+    "SELECT transcript_id, agent_name, call_id, transcript, category, subcategory, tertiary, quaternary, confidence, "
     "matched_keywords, source, printf('%.1f%%', confidence * 100.0) AS confidence_display FROM classified"))
 def q_display(spark, sf):
-    return A.display_results(classified_docs(spark, sf))
+    return A.display_results(classified_docs(spark, sf, with_text=True))
 
 
 @register("custom_sql", W(
@@ -189,11 +191,15 @@ def q_custom(spark, sf):
 # Text preparation and PII
 # --------------------------------------------------------------------------
 
+_TURN_ID = "conv_id || ':' || turn"
+_TURN_LINE = (
+    "'[' || printf('%02d:%02d:%02d', CAST(trunc(turn / 3600) AS INTEGER), CAST(trunc(turn / 60) AS INTEGER) % 60, "
+    "turn % 60) || ' ' || CASE role WHEN 'assistant' THEN 'AGENT' WHEN 'system' THEN 'SYSTEM' ELSE 'CUSTOMER' END "
+    "|| ']: ' || coalesce(text, '')")
+
+
 @register("clean_transcript", (
-    "WITH src AS (SELECT conv_id * 100000 + turn AS transcript_id, '[' || "
-    "printf('%02d:%02d:%02d', CAST(trunc(turn / 3600) AS INTEGER), CAST(trunc(turn / 60) AS INTEGER) % 60, "
-    "turn % 60) || ' ' || CASE WHEN role = 'assistant' THEN 'AGENT' ELSE 'CUSTOMER' END || ']: ' || text "
-    "AS transcript FROM conversations WHERE role <> 'system') "
+    f"WITH src AS (SELECT {_TURN_ID} AS transcript_id, {_TURN_LINE} AS transcript FROM conversations) "
     f"SELECT transcript_id, {O.clean_sql('transcript')} AS cleaned FROM src"))
 def q_clean(spark, sf):
     t = TR.from_conversation_turns(spark, sf)
@@ -235,10 +241,11 @@ def q_pii_redact(spark, sf):
 
 
 @register("pii_redact_urls", (
-    f"SELECT page_id, {O.redact_sql('url')} AS redacted_url FROM pages"))
+    f"SELECT page_id, {O.redact_sql('url')} AS redacted_url, md5({O.redact_sql('html')}) AS redacted_html_md5 FROM pages"))
 def q_pii_urls(spark, sf):
     p = TR.table(spark, sf, "pages")
-    return p.select("page_id", PII.redact("url").alias("redacted_url"))
+    return p.select("page_id", PII.redact("url").alias("redacted_url"),
+                    F.md5(PII.redact("html")).alias("redacted_html_md5"))
 
 
 def _pii_stats_sql(table: str, col: str) -> str:
@@ -396,9 +403,9 @@ def q_lowsample(spark, sf):
     return s.select("transcript_id", "agent_name", "category", "subcategory", "confidence")
 
 
-_CORR_SQL = ("SELECT doc_id AS transcript_id, 'low_quality' AS correct_category, "
-             "CASE WHEN toxic = 1 THEN 'toxic' END AS correct_subcategory, "
-             "CAST(NULL AS VARCHAR) AS correct_tertiary FROM labels WHERE quality = 0")
+_CORR_SQL = ("SELECT doc_id AS transcript_id, CASE WHEN quality = 0 THEN 'low_quality' ELSE 'toxic' END AS correct_category, "
+             "CASE WHEN quality = 0 AND toxic = 1 THEN 'toxic' END AS correct_subcategory, "
+             "CAST(NULL AS VARCHAR) AS correct_tertiary FROM labels WHERE quality = 0 OR toxic = 1")
 
 
 @register("corrections_to_examples", (
@@ -411,19 +418,28 @@ _CORR_SQL = ("SELECT doc_id AS transcript_id, 'low_quality' AS correct_category,
     "FROM corr c JOIN txt t ON c.transcript_id = t.transcript_id"))
 def q_corr_examples(spark, sf):
     corr = FB.corrections_from_labels(TR.table(spark, sf, "labels"))
-    return FB.corrections_to_examples(corr, prepare(TR.from_documents(spark, sf)))
+    return FB.corrections_to_examples(corr, TR.from_documents(spark, sf), prepare_fn=prepare)
 
 
 @register("correction_stats", (
     f"WITH corr AS ({_CORR_SQL}), per AS (SELECT correct_category, count(*) AS n FROM corr "
-    "GROUP BY correct_category) "
-    "SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_corrections, "
-    "coalesce(round(sum(n) / CAST(50 AS DOUBLE) * 100.0, 1), 0.0) AS correction_rate, "
-    "arg_min(correct_category, (-n, correct_category)) AS top_correction, "
-    "count(*) AS categories_corrected FROM per"))
+    "GROUP BY correct_category), s AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total_corrections FROM per), "
+    "top AS (SELECT min(correct_category) AS top_correction FROM per WHERE n = (SELECT max(n) FROM per)) "
+    "SELECT total_corrections, coalesce(round(total_corrections / (SELECT CAST(count(*) AS DOUBLE) FROM labels) * 100.0, 1), "
+    "0.0) AS correction_rate, top_correction, (SELECT string_agg(correct_category || '=' || n, ',' ORDER BY "
+    "correct_category) FROM per) AS categories_corrected FROM s, top"))
 def q_corr_stats(spark, sf):
-    corr = FB.corrections_from_labels(TR.table(spark, sf, "labels"))
-    return FB.correction_stats(corr, 50)
+    """The labelled documents are the reviewed samples."""
+    labels = TR.table(spark, sf, "labels")
+    stats = FB.correction_stats(FB.corrections_from_labels(labels), labels)
+    return stats.withColumn("categories_corrected", F.array_join(F.transform(
+        F.map_entries("categories_corrected"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
+
+
+@register("correction_counts", (
+    f"SELECT correct_category, count(*) AS corrections FROM ({_CORR_SQL}) c GROUP BY correct_category"))
+def q_corr_counts(spark, sf):
+    return FB.correction_counts(FB.corrections_from_labels(TR.table(spark, sf, "labels")))
 
 
 # --------------------------------------------------------------------------
@@ -437,17 +453,7 @@ def _turn_texts(spark, sf):
     return TR.from_conversation_turns(spark, sf).select("transcript_id", TX.clean_transcript("transcript").alias("transcript"))
 
 
-@register("example_classify")
-def q_examples(spark, sf):
-    return EX.example_classify(_turn_texts(spark, sf), R.user_examples(spark))
-
-
-_TURNS_SQL = (
-    "SELECT conv_id * 100000 + turn AS transcript_id, " + O.clean_sql(
-        "'[' || printf('%02d:%02d:%02d', CAST(trunc(turn / 3600) AS INTEGER), "
-        "CAST(trunc(turn / 60) AS INTEGER) % 60, turn % 60) || ' ' || "
-        "CASE WHEN role = 'assistant' THEN 'AGENT' ELSE 'CUSTOMER' END || ']: ' || text")
-    + " AS transcript FROM conversations WHERE role <> 'system'")
+_TURNS_SQL = f"SELECT {_TURN_ID} AS transcript_id, {O.clean_sql(_TURN_LINE)} AS transcript FROM conversations"
 
 
 def _examples_sql() -> str:
@@ -455,8 +461,22 @@ def _examples_sql() -> str:
     rows = []
     for i, (ph, cat, sub, ter, conf) in enumerate(ruleset.USER_EXAMPLES):
         p = str(ph).lower().strip()
-        rows.append((i, " ".join(p.split()), conf if conf is not None else 0.95))
-    return O.values(rows, ["example_ord", "phrase_norm", "example_confidence"])
+        rows.append((i, p, " ".join(p.split()), str(cat).strip(), sub and sub.strip(), ter and ter.strip(),
+                     conf if conf is not None else 0.95))
+    return O.values(rows, ["example_ord", "phrase", "phrase_norm", "category", "subcategory", "tertiary_category",
+                           "example_confidence"])
+
+
+@register("example_classify", (
+    f"WITH tx AS ({_TURNS_SQL}), ex AS (SELECT * FROM {_examples_sql()}), "
+    "m AS (SELECT tx.transcript_id, ex.*, row_number() OVER (PARTITION BY tx.transcript_id ORDER BY example_ord) AS r "
+    "FROM tx JOIN ex ON contains(trim(regexp_replace(lower(tx.transcript), '\\s+', ' ', 'g')), ex.phrase_norm)) "
+    "SELECT transcript_id, category, subcategory, tertiary_category, example_confidence AS confidence, "
+    "phrase AS matched_phrase, CAST(1.0 AS DOUBLE) AS similarity, 'user_example' AS source FROM m WHERE r = 1"))
+def q_examples(spark, sf):
+    """The part that SQL decides: contained examples (threshold 1), first on
+    ties. The fuzzy ratio is held against difflib in the tests."""
+    return EX.example_classify(_turn_texts(spark, sf), R.user_examples(spark), threshold=1.0)
 
 
 @register("example_contains", (
@@ -475,6 +495,7 @@ def q_example_contains(spark, sf):
 
 from callsift.sources import tables as TB  # noqa: E402
 
+UPLOAD_USER = "7"
 SPLIT_TS = "2024-01-10 00:00:00"
 NOW_TS = "2024-01-25 00:00:00"
 
@@ -601,7 +622,7 @@ def _bundle(spark, sf):
     return CO.coaching_bundle(classified_docs(spark, sf), docs, prepare_fn=prepare)
 
 
-@register("coaching_bundle", W(
+_BUNDLE_CTES = (
     ", m AS (SELECT agent_name, count(*) AS total_calls, round(avg(confidence), 3) AS avg_confidence, "
     "count(DISTINCT category) AS unique_categories, count(DISTINCT subcategory) AS unique_subcategories "
     "FROM classified WHERE agent_name IS NOT NULL GROUP BY agent_name), "
@@ -609,32 +630,203 @@ def _bundle(spark, sf):
     "arg_min(subcategory, transcript_id) AS sample_subcategory, arg_min(confidence, transcript_id) "
     "AS sample_confidence FROM classified WHERE agent_name IS NOT NULL AND category IS NOT NULL "
     "GROUP BY agent_name, category), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY agent_name ORDER BY count DESC, category) AS rank FROM ac) "
-    "SELECT r.agent_name, m.total_calls, m.avg_confidence, m.unique_categories, m.unique_subcategories, "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY agent_name ORDER BY count DESC, category) AS rank FROM ac), "
+    "bundle AS (SELECT r.agent_name, m.total_calls, m.avg_confidence, m.unique_categories, m.unique_subcategories, "
     "r.rank, r.category, r.count, CASE WHEN r.rank <= 5 THEN r.sample_id END AS sample_id, "
     "CASE WHEN r.rank <= 5 THEN r.sample_subcategory END AS sample_subcategory, "
     "CASE WHEN r.rank <= 5 THEN r.sample_confidence END AS sample_confidence, "
     "CASE WHEN r.rank <= 5 THEN substring(p.redacted_transcript, 1, 500) END AS sample_text "
     "FROM r JOIN m ON r.agent_name = m.agent_name LEFT JOIN prep p ON p.transcript_id = r.sample_id "
-    "WHERE r.rank <= 10").replace("FROM classified\n, m AS", ", m AS"))
+    "WHERE r.rank <= 10)")
+
+
+@register("coaching_bundle", "WITH " + O.classified_ctes().strip() + _BUNDLE_CTES + " SELECT * FROM bundle")
 def q_bundle(spark, sf):
     return _bundle(spark, sf)
 
 
-@register("coaching_prompts")
+def _prompt_ctes(context: int) -> str:
+    """The prompts of ``coaching_prompts`` over ``bundle``; ~ is a line end."""
+    over = f"length(f) // 4 > {int(context * 0.7)}"
+    sql = """,
+    head AS (SELECT agent_name, '~You coach contact-center agents. Review the data below.~~Agent: ' || agent_name
+               || '~~Metrics:~- Calls: ' || any_value(total_calls)
+               || '~- Mean confidence: ' || CAST(any_value(avg_confidence) AS VARCHAR)
+               || '~- Categories: ' || any_value(unique_categories) || '~- Subcategories: ' || any_value(unique_subcategories)
+               || '~~Category counts:~{~' || string_agg('  ' || to_json(category) || ': ' || count, ',~' ORDER BY rank)
+               || '~}~~Sample transcripts (redacted):~' AS h,
+               coalesce(string_agg('~Sample ' || rank || ':~Category: ' || category || ' / ' || sample_subcategory
+                 || ' (confidence ' || printf('%.3f', sample_confidence) || ')~Text: ' || sample_text || '~~', ''
+                 ORDER BY rank) FILTER (WHERE sample_id IS NOT NULL), '') AS s,
+               coalesce(string_agg('~Sample ' || rank || ':~Category: ' || category || ' / ' || sample_subcategory
+                 || '~Text: ' || substring(sample_text, 1, 200) || '...~~', ''
+                 ORDER BY rank) FILTER (WHERE sample_id IS NOT NULL AND rank <= 3), '') AS cut
+             FROM bundle GROUP BY agent_name),
+    full_prompt AS (SELECT *, h || s || '~~Answer with one JSON object with the keys root_cause, coaching_points, '
+               || 'sample_script, kpi_recommendations, strengths and priority (High/Medium/Low).' AS f FROM head),
+    prompt AS (SELECT agent_name, OVER AS was_truncated, CASE WHEN OVER THEN
+               h || '[... shortened to fit the context window ...]~~' || cut || '~~Answer with the same JSON object only.'
+               ELSE f END AS prompt FROM full_prompt),
+    prompts AS (SELECT agent_name, was_truncated, CAST(length(prompt) // 4 AS BIGINT) AS est_tokens,
+               md5(prompt) AS prompt_hash FROM prompt)"""
+    sql = sql.replace("'~You coach", "'You coach").replace("OVER AS", over + " AS").replace("WHEN OVER THEN", f"WHEN {over} THEN")
+    return _BUNDLE_CTES + sql.replace("~", "\n")
+
+
+# a context in which some agents' prompts are over budget
+PROMPT_CONTEXT = 1200
+
+
+@register("coaching_prompts", "WITH " + O.classified_ctes().strip() + _prompt_ctes(PROMPT_CONTEXT) + " SELECT * FROM prompts")
 def q_prompts(spark, sf):
-    p = CO.coaching_prompts(CO.nest_bundle(_bundle(spark, sf)), context_limit=8000)
+    return _prompts(spark, sf)
+
+
+def _prompts(spark, sf):
+    p = CO.coaching_prompts(CO.nest_bundle(_bundle(spark, sf)), context_limit=PROMPT_CONTEXT)
     return p.select("agent_name", "was_truncated", "est_tokens", "prompt_hash")
 
 
-@register("parse_responses")
+# Replies derived from the data, so that each path of the reply reader occurs.
+# {h}: a hash of the row, {t}: its text.
+_REPLIES = [
+    '\n{"root_cause": "{h}", "coaching_points": ["a", "b"],\n "sample_script": "s", "priority": "High"}\n',
+    'Here:\n```json\n{"root_cause": "{h}", "coaching_points": ["a"],\n "sample_script": "s"}\n```',
+    'Sure: {"root_cause": "{h}"} bye',
+    "{t}",
+    None,
+    "5",
+    '{"a": {"root_cause": "x"}}',
+    "{'root_cause': 'x', 'coaching_points': [], 'sample_script': 's'}",
+    '{"root_cause": "{h}", "coaching_points": "do it", "sample_script": null, "priority": null}',
+]
+
+
+def _reply_parts(x: str, h, t, literal) -> list:
+    return [h if p == "{h}" else t if p == "{t}" else literal(p) for p in re.split(r"(\{[ht]\})", x) if p]
+
+
+def _reply_sql(n: str, h: str, t: str) -> str:
+    return f"CASE {n} % {len(_REPLIES)} " + " ".join(
+        f"WHEN {i} THEN " + ("NULL" if x is None else " || ".join(_reply_parts(x, h, t, O.q)))
+        for i, x in enumerate(_REPLIES)) + " END"
+
+
+def _reply(n, h, t):
+    out = F.lit(None).cast("string")
+    for i, x in enumerate(_REPLIES):
+        if x is not None:
+            out = F.when(n % len(_REPLIES) == i, F.concat(*_reply_parts(x, h, t, F.lit))).otherwise(out)
+    return out
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{O.P.WS}+|{O.P.WS}+$', '', 'g')"
+
+
+def _parsed_sql(src: str) -> str:
+    """``src`` (with content) plus the fields that the reply reader gives."""
+    def js(x):
+        return f"CASE WHEN json_valid({x}) THEN {x} END"
+
+    def good(x, test):
+        return f"coalesce(json_type({js(x)}) = 'OBJECT' AND {test.replace('%s', js(x))}, FALSE)"
+
+    every = " AND ".join(f"json_exists(%s, '$.{k}')" for k in O.P.REPLY_KEYS)
+    either = "(json_exists(%s, '$.root_cause') OR json_exists(%s, '$.coaching_points'))"
+    d, j = O.P.REPLY_DEFAULTS, js("js")
+    return f"""
+    (SELECT *, CASE path WHEN 'error' THEN {O.q(O.P.PARSING_ERROR)} || CASE WHEN c IS NULL THEN 'no content' ELSE
+                 'argument of type ' || chr(39) || CASE json_type({js('c')}) WHEN 'DOUBLE' THEN 'float' WHEN 'BOOLEAN' THEN 'bool'
+                 WHEN 'NULL' THEN 'NoneType' ELSE 'int' END || chr(39) || ' is not iterable' END
+               WHEN 'text' THEN coalesce(lines[1], {O.q(O.P.UNREADABLE)})
+               ELSE coalesce(json_extract_string({j}, '$.root_cause'),
+                             CASE WHEN path = 'object' THEN {O.q(d['root_cause'])} END) END AS root_cause,
+             CAST(CASE path WHEN 'error' THEN 1 WHEN 'text' THEN greatest(1, least(3, len(lines) - 1)) ELSE
+               CASE coalesce(json_type({j}, '$.coaching_points'), '') WHEN 'ARRAY' THEN json_array_length({j}, '$.coaching_points')
+               WHEN '' THEN 0 WHEN 'NULL' THEN NULL ELSE 1 END END AS INTEGER) AS n_points,
+             CASE path WHEN 'error' THEN 'Low' WHEN 'text' THEN 'Medium' WHEN 'object' THEN
+               CASE WHEN json_exists({j}, '$.priority') THEN json_extract_string({j}, '$.priority') ELSE 'Medium' END
+               ELSE json_extract_string({j}, '$.priority') END AS priority,
+             CASE WHEN path = 'text' THEN CAST(length(substring(c, 1, 500)) AS INTEGER) END AS raw_len
+      FROM (SELECT *, CASE path WHEN 'json' THEN c WHEN 'fenced' THEN fence WHEN 'object' THEN brace END AS js,
+              [l FOR l IN [{_strip_sql('x')} FOR x IN string_split(c, chr(10))] IF l <> ''] AS lines
+            FROM (SELECT *, CASE WHEN c IS NULL OR json_type({js('c')}) NOT IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN 'error'
+                    WHEN {good('c', every)} THEN 'json' WHEN {good('fence', every)} THEN 'fenced'
+                    WHEN {good('brace', either)} THEN 'object' ELSE 'text' END AS path
+                  FROM (SELECT *, regexp_extract(c, {O.q('(?s)' + O.P.FENCED_JSON)}, 1) AS fence,
+                               regexp_extract(c, {O.q(O.P.BRACE_OBJECT)}) AS brace
+                        FROM (SELECT *, {_strip_sql('content')} AS c FROM ({src}) a) b) d) e) g)"""
+
+
+_REPLY_ROWS_SQL = ("SELECT conv_id, turn, " + _reply_sql("(conv_id + turn)", "md5(coalesce(text, ''))", "coalesce(text, '')")
+                   + " AS content FROM conversations")
+
+
+@register("parse_responses", (
+    "SELECT conv_id, turn, path AS parse_path, root_cause, n_points, priority, raw_len FROM "
+    + _parsed_sql(_REPLY_ROWS_SQL) + " p"))
 def q_parse(spark, sf):
-    c = TR.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
-    r = c.select(F.concat(F.lit("agent"), (F.col("conv_id") % 7).cast("string")).alias("agent_name"),
-                 F.col("conv_id"), F.col("turn"), F.col("text").alias("content"))
-    return CO.parse_responses(r).select("conv_id", "turn", "parse_path", "root_cause",
-                                        F.size("coaching_points").alias("n_points"), "priority",
-                                        F.length("raw_response").alias("raw_len"))
+    """Every turn of every conversation becomes a reply; all paths occur."""
+    c = TR.table(spark, sf, "conversations")
+    text = F.coalesce("text", F.lit(""))
+    r = c.select("conv_id", "turn", _reply(F.col("conv_id") + F.col("turn"), F.md5(text), text).alias("content"))
+    return CO.parse_responses(r).select(
+        "conv_id", "turn", "parse_path", "root_cause",
+        F.when(F.col("coaching_points").isNotNull(), F.size("coaching_points")).alias("n_points"), "priority",
+        F.length("raw_response").alias("raw_len"))
+
+
+# The coaching cache of the prompts themselves, by the first digit of the
+# prompt's hash: 0-7 live, 8-b expired, the others absent.
+def _prompt_cache(prompts):
+    digit = F.substring("prompt_hash", 1, 1)
+    now = F.lit(NOW_TS).cast("timestamp")
+    age = F.when(digit < "8", F.expr("INTERVAL 1 DAYS")).otherwise(F.expr("INTERVAL 9 DAYS"))
+    return TB.with_expiry(prompts.filter(digit < "c").select(
+        F.lit(UPLOAD_USER).alias("user_id"), "agent_name", "prompt_hash",
+        F.concat(F.lit('{"root_cause":"'), "prompt_hash", F.lit('"}')).alias("coaching_json"),
+        F.lit("cached-model").alias("model_used"), (now - age).alias("created_at")))
+
+
+@register("coaching_pending", "WITH " + O.classified_ctes().strip() + _prompt_ctes(PROMPT_CONTEXT)
+          + " SELECT * FROM prompts WHERE substring(prompt_hash, 1, 1) >= '8'")
+def q_coaching_pending(spark, sf):
+    prompts = materialize(_prompts(spark, sf))
+    return CO.pending_prompts(prompts, _prompt_cache(prompts), UPLOAD_USER, NOW_TS).select(
+        "agent_name", "was_truncated", "est_tokens", "prompt_hash")
+
+
+def _coaching(spark, sf):
+    prompts = materialize(_prompts(spark, sf))
+    n = F.conv(F.substring("prompt_hash", 2, 2), 16, 10).cast("int")
+    replies = prompts.select("agent_name", "prompt_hash", _reply(n, F.col("prompt_hash"), F.col("agent_name")).alias("content"))
+    return CO.coaching_results(prompts, replies, _prompt_cache(prompts), UPLOAD_USER, NOW_TS, "asked-model")
+
+
+_ANSWERED_SQL = _parsed_sql(
+    "SELECT agent_name, prompt_hash, was_truncated, "
+    + _reply_sql("CAST('0x' || substring(prompt_hash, 2, 2) AS INTEGER)", "prompt_hash", "agent_name")
+    + " AS content FROM prompts WHERE substring(prompt_hash, 1, 1) >= '8'")
+
+
+@register("coaching_cache_first", "WITH " + O.classified_ctes().strip() + _prompt_ctes(PROMPT_CONTEXT) + (
+    " SELECT agent_name, prompt_hash, was_truncated, TRUE AS cached, 'cached-model' AS model_used, 'cache' AS parse_path, "
+    "prompt_hash AS root_cause FROM prompts WHERE substring(prompt_hash, 1, 1) < '8' UNION ALL "
+    f"SELECT agent_name, prompt_hash, was_truncated, FALSE, 'asked-model', path, root_cause FROM {_ANSWERED_SQL} a"))
+def q_coaching_results(spark, sf):
+    results, _ = _coaching(spark, sf)
+    return results.select("agent_name", "prompt_hash", "was_truncated", "cached", "model_used", "parse_path",
+                          F.get_json_object("coaching_json", "$.root_cause").alias("root_cause"))
+
+
+@register("coaching_cache_write", "WITH " + O.classified_ctes().strip() + _prompt_ctes(PROMPT_CONTEXT) + (
+    f" SELECT '{UPLOAD_USER}' AS user_id, agent_name, prompt_hash, root_cause, 'asked-model' AS model_used, "
+    f"TIMESTAMP '{NOW_TS}' + INTERVAL 7 DAYS AS expires_at FROM {_ANSWERED_SQL} a WHERE path <> 'error'"))
+def q_coaching_write(spark, sf):
+    _, rows = _coaching(spark, sf)
+    return rows.select("user_id", "agent_name", "prompt_hash", F.get_json_object("coaching_json", "$.root_cause").alias("root_cause"),
+                       "model_used", "expires_at")
 
 
 # --------------------------------------------------------------------------
@@ -643,7 +835,7 @@ def q_parse(spark, sf):
 
 from callsift.operators import report as RP  # noqa: E402
 from callsift.sources import export as XP  # noqa: E402
-from callsift.session import scratch_path  # noqa: E402
+from callsift.session import materialize, scratch_path  # noqa: E402
 
 
 @register("report_summary", W(
@@ -678,22 +870,22 @@ def q_rep_cats(spark, sf):
 
 
 @register("export_parquet", W(
-    "SELECT transcript_id, agent_name, category, subcategory, tertiary, quaternary, cat_no, confidence, "
-    "matched_keywords, source FROM classified"))
+    "SELECT transcript_id, transcript, redacted_transcript, agent_name, category, subcategory, tertiary, quaternary, "
+    "cat_no, confidence, matched_keywords, source FROM classified"))
 def q_export(spark, sf):
-    out = classified_docs(spark, sf).select(
-        "transcript_id", "agent_name", "category", "subcategory", "tertiary", "quaternary", "cat_no",
+    out = classified_docs(spark, sf, with_text=True).select(
+        "transcript_id", "transcript", "redacted_transcript", "agent_name", "category", "subcategory", "tertiary", "quaternary", "cat_no",
         "confidence", "matched_keywords", "source")
     path = XP.export_parquet(out, scratch_path(spark, "export"))
     return spark.read.parquet(path)
 
 
 @register("export_csv", W(
-    "SELECT transcript_id, agent_name, category, subcategory, tertiary, quaternary, cat_no, confidence, "
-    "matched_keywords, source FROM classified"))
+    "SELECT transcript_id, transcript, redacted_transcript, agent_name, category, subcategory, tertiary, quaternary, "
+    "cat_no, confidence, matched_keywords, source FROM classified"))
 def q_export_csv(spark, sf):
-    out = classified_docs(spark, sf).select(
-        "transcript_id", "agent_name", "category", "subcategory", "tertiary", "quaternary", "cat_no",
+    out = classified_docs(spark, sf, with_text=True).select(
+        "transcript_id", "transcript", "redacted_transcript", "agent_name", "category", "subcategory", "tertiary", "quaternary", "cat_no",
         "confidence", "matched_keywords", "source")
     path = XP.export_csv(out, scratch_path(spark, "export-csv"))
     return XP.read_export_csv(spark, path, out.schema)
@@ -707,11 +899,14 @@ from callsift.streaming import classify_stream as ST  # noqa: E402
 
 
 def _stream(spark, sf):
-    schema = TR.table(spark, sf, "documents").schema
+    """Documents arrive as four files, one per micro-batch."""
+    docs = TR.table(spark, sf, "documents")
+    landing = scratch_path(spark, "stream-landing")
+    docs.repartition(4, "doc_id").write.parquet(landing)
     to_t = lambda b: TR.map_columns(b.select("doc_id", "text", "source"), transcript="text",
                                     agent="source", transcript_id="doc_id")
-    return ST.run_classification_stream(spark, sf, schema, to_t, R.keyword_rules(spark), R.hierarchy(spark),
-                                        file_glob="documents.parquet")
+    return ST.run_classification_stream(spark, landing, docs.schema, to_t, R.keyword_rules(spark), R.hierarchy(spark),
+                                        file_glob="*.parquet")
 
 
 @register("stream_classify", W(
@@ -723,16 +918,16 @@ def q_stream(spark, sf):
 
 
 @register("stream_running_stats", W(
-    "SELECT CAST(count(*) AS BIGINT) AS total_transcripts, "
-    "count(*) FILTER (WHERE category <> 'Unclassified') AS classified, "
+    "SELECT CAST(4 AS BIGINT) AS batches, n AS total_transcripts, c AS classified, c / n * 100.0 AS classified_pct, "
+    "n - c AS unclassified, (n - c) / n * 100.0 AS unclassified_pct, avg_confidence, high_confidence, medium_confidence, "
+    "low_confidence FROM (SELECT CAST(count(*) AS BIGINT) AS n, "
+    f"count(*) FILTER (WHERE category <> 'Unclassified') AS c, ROUND(AVG(confidence), {A.AVG_DIGITS}) AS avg_confidence, "
     "count(*) FILTER (WHERE confidence >= CAST(0.7 AS DOUBLE)) AS high_confidence, "
     "count(*) FILTER (WHERE confidence >= CAST(0.5 AS DOUBLE) AND confidence < CAST(0.7 AS DOUBLE)) "
     "AS medium_confidence, count(*) FILTER (WHERE confidence >= CAST(0.4 AS DOUBLE) AND "
-    "confidence < CAST(0.5 AS DOUBLE)) AS low_confidence FROM classified"))
+    "confidence < CAST(0.5 AS DOUBLE)) AS low_confidence FROM classified) s"))
 def q_stream_stats(spark, sf):
-    paths = _stream(spark, sf)
-    return ST.running_stats(spark.read.parquet(paths["stats"])).select(
-        "total_transcripts", "classified", "high_confidence", "medium_confidence", "low_confidence")
+    return ST.running_stats(spark.read.parquet(_stream(spark, sf)["stats"]))
 
 
 # --------------------------------------------------------------------------
@@ -770,48 +965,70 @@ def q_agents_distinct(spark, sf):
 # events (current table) and from the data (uploads)
 # --------------------------------------------------------------------------
 
-UPLOAD_USER = "7"
+
+
+# every 97th row has no owner, every 13th no phrase
+_OWNER_SQL = "CASE WHEN event_id % 97 <> 0 THEN CAST(user_id AS VARCHAR) END"
+_PHRASE_SQL = "CASE WHEN event_id % 13 <> 0 THEN props END"
+
+
+def _owner():
+    return F.when(F.col("event_id") % 97 != 0, F.col("user_id").cast("string"))
 
 
 def _user_hier_current(spark, sf):
-    e = TR.table(spark, sf, "events").filter(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp"))
-    return e.select(F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("category"),
-                    F.concat(F.lit("sub"), (F.col("event_id") % 3).cast("string")).alias("subcategory"),
-                    F.lit(None).cast("string").alias("tertiary_category"))
+    return TR.table(spark, sf, "events").select(
+        _owner().alias("user_id"), F.col("event_type").alias("category"),
+        F.concat(F.lit("sub"), (F.col("event_id") % 3).cast("string")).alias("subcategory"),
+        F.lit(None).cast("string").alias("tertiary_category"))
 
 
 def _user_hier_upload(spark, sf):
-    e = TR.table(spark, sf, "events").filter((F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp"))
-                                             & (F.col("user_id") == int(UPLOAD_USER)))
+    e = TR.table(spark, sf, "events").filter(F.col("user_id") == int(UPLOAD_USER))
     return e.select(F.concat(F.lit(" "), F.col("event_type"), F.lit("  ")).alias("category"),
                     F.when(F.col("event_id") % 2 == 0, F.lit(None))
                      .otherwise(F.concat(F.lit("\tx"), (F.col("event_id") % 5).cast("string"))).alias("subcategory"),
                     F.concat(F.lit(" t"), (F.col("event_id") % 4).cast("string"), F.lit(" ")).alias("tertiary_category"))
 
 
+_HIER_CURRENT_SQL = (
+    f"SELECT {_OWNER_SQL} AS user_id, event_type AS category, 'sub' || CAST(event_id % 3 AS VARCHAR) AS subcategory, "
+    "CAST(NULL AS VARCHAR) AS tertiary_category FROM events")
+
+
 @register("hierarchy_replace", (
-    "SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS category, 'sub' || CAST(event_id % 3 AS VARCHAR) "
-    "AS subcategory, CAST(NULL AS VARCHAR) AS tertiary_category FROM events "
-    f"WHERE ts < TIMESTAMP '{SPLIT_TS}' AND CAST(user_id AS VARCHAR) <> '{UPLOAD_USER}' "
+    f"SELECT * FROM ({_HIER_CURRENT_SQL}) c WHERE user_id IS DISTINCT FROM '{UPLOAD_USER}' "
     f"UNION ALL SELECT '{UPLOAD_USER}', event_type, CASE WHEN event_id % 2 = 0 THEN NULL ELSE "
     "'x' || CAST(event_id % 5 AS VARCHAR) END, 't' || CAST(event_id % 4 AS VARCHAR) FROM events "
-    f"WHERE ts >= TIMESTAMP '{SPLIT_TS}' AND user_id = {UPLOAD_USER}"))
+    f"WHERE user_id = {UPLOAD_USER}"))
 def q_hier_replace(spark, sf):
     return TB.replace_user_hierarchy(_user_hier_current(spark, sf), _user_hier_upload(spark, sf), UPLOAD_USER)
 
 
+@register("user_hierarchy_read", (
+    f"SELECT category, subcategory, tertiary_category FROM ({_HIER_CURRENT_SQL}) c WHERE user_id = '{UPLOAD_USER}'"))
+def q_hier_read(spark, sf):
+    return TB.read_user_hierarchy(_user_hier_current(spark, sf), UPLOAD_USER)
+
+
 def _examples_current(spark, sf):
-    e = TR.table(spark, sf, "events").filter(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp"))
-    return e.select(F.col("user_id").cast("string").alias("user_id"), F.col("props").alias("example_phrase"),
-                    F.col("event_type").alias("category"), F.lit(None).cast("string").alias("subcategory"),
-                    F.lit(None).cast("string").alias("tertiary_category"),
-                    (F.col("value") / 100.0).alias("confidence"), F.lit("manual").alias("source"))
+    return TR.table(spark, sf, "events").select(
+        _owner().alias("user_id"), F.when(F.col("event_id") % 13 != 0, F.col("props")).alias("example_phrase"),
+        F.col("event_type").alias("category"), F.lit(None).cast("string").alias("subcategory"),
+        F.lit(None).cast("string").alias("tertiary_category"),
+        (F.col("value") / 100.0).alias("confidence"), F.lit("manual").alias("source"))
 
 
 _EXAMPLES_CURRENT_SQL = (
-    "SELECT CAST(user_id AS VARCHAR) AS user_id, props AS example_phrase, event_type AS category, "
+    f"SELECT {_OWNER_SQL} AS user_id, {_PHRASE_SQL} AS example_phrase, event_type AS category, "
     "CAST(NULL AS VARCHAR) AS subcategory, CAST(NULL AS VARCHAR) AS tertiary_category, "
-    f"value / 100.0 AS confidence, 'manual' AS source FROM events WHERE ts < TIMESTAMP '{SPLIT_TS}'")
+    "value / 100.0 AS confidence, 'manual' AS source FROM events")
+
+
+@register("user_examples_read", (
+    f"SELECT * EXCLUDE (user_id) FROM ({_EXAMPLES_CURRENT_SQL}) c WHERE user_id = '{UPLOAD_USER}'"))
+def q_examples_read(spark, sf):
+    return TB.read_user_examples(_examples_current(spark, sf), UPLOAD_USER)
 
 
 @register("examples_append", (
@@ -824,20 +1041,13 @@ _EXAMPLES_CURRENT_SQL = (
     "FROM corr c JOIN txt t ON c.transcript_id = t.transcript_id"))
 def q_examples_append(spark, sf):
     corr = FB.corrections_from_labels(TR.table(spark, sf, "labels"))
-    upload = FB.corrections_to_examples(corr, prepare(TR.from_documents(spark, sf)))
+    upload = FB.corrections_to_examples(corr, TR.from_documents(spark, sf), prepare_fn=prepare)
     return TB.append_user_examples(_examples_current(spark, sf), upload, UPLOAD_USER)
 
 
 @register("examples_delete", (
-    f"SELECT * FROM ({_EXAMPLES_CURRENT_SQL}) x WHERE NOT (user_id = '8' AND example_phrase = '{{\"k\": 69}}') "
-    "AND user_id <> '9'"))
+    f"SELECT x.* FROM ({_EXAMPLES_CURRENT_SQL}) x LEFT JOIN (VALUES ('8', '{{\"k\": 69}}')) d(u, p) "
+    "ON x.user_id = d.u AND x.example_phrase = d.p WHERE d.u IS NULL AND coalesce(x.user_id, '') <> '9'"))
 def q_examples_delete(spark, sf):
     t = TB.delete_user_examples(_examples_current(spark, sf), "8", '{"k": 69}')
     return TB.delete_user_examples(t, "9")
-
-
-@register("coaching_pending")
-def q_coaching_pending(spark, sf):
-    prompts = CO.coaching_prompts(CO.nest_bundle(_bundle(spark, sf)))
-    return CO.pending_prompts(prompts, _coach_cache(spark, sf), UPLOAD_USER, NOW_TS).select(
-        "agent_name", "was_truncated", "est_tokens", "prompt_hash")

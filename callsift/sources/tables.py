@@ -109,7 +109,19 @@ def replace_user_hierarchy(current: DataFrame, upload: DataFrame, user_id: str)
     new = upload.select(F.lit(user_id).alias("user_id"), _strip("category").alias("category"),
                         _strip("subcategory").alias("subcategory"),
                         _strip("tertiary_category").alias("tertiary_category"))
-    return current.filter(F.col("user_id") != F.lit(user_id)).unionByName(new)
+    return current.filter(~F.col("user_id").eqNullSafe(F.lit(user_id))).unionByName(new)
+
+
+def read_user_hierarchy(table: DataFrame, user_id: str) -> DataFrame:
+    """The user's hierarchy rows (isolation: nobody else's, no null owner)."""
+    return table.filter(F.col("user_id") == F.lit(user_id)).select(
+        "category", "subcategory", "tertiary_category")
+
+
+def read_user_examples(table: DataFrame, user_id: str) -> DataFrame:
+    """The user's examples (isolation as above)."""
+    return table.filter(F.col("user_id") == F.lit(user_id)).select(
+        "example_phrase", "category", "subcategory", "tertiary_category", "confidence", "source")
 
 
 def append_user_examples(current: DataFrame, upload: DataFrame, user_id: str) -> DataFrame:
@@ -131,14 +143,16 @@ def append_user_examples(current: DataFrame, upload: DataFrame, user_id: str) ->
 
 def delete_user_examples(current: DataFrame, user_id: str, phrase: str | None = None) -> DataFrame:
     """Delete one phrase of a user, or all of the user's examples."""
-    mine = F.col("user_id") == F.lit(user_id)
+    mine = F.col("user_id").eqNullSafe(F.lit(user_id))
     if phrase is not None:
-        mine = mine & (F.col("example_phrase") == F.lit(phrase))
+        mine = mine & F.col("example_phrase").eqNullSafe(F.lit(phrase))
     return current.filter(~mine)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] = ("user_id",),
                 mode: str = "overwrite") -> str:
-    """Write a table version to ``path`` (a fresh directory per version)."""
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    """Write a table version to ``path`` (a fresh directory per version). Rows
+    are clustered by the partition columns first, so each task holds few
+    users (adaptive execution splits a hot one), not a file for every user."""
+    df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
     return path

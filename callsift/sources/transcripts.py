@@ -70,17 +70,19 @@ def from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def from_conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each non-system turn of ``conversations`` rendered as a labelled line
-    ``[HH:MM:SS AGENT|CUSTOMER]: text`` (assistant -> AGENT, user ->
-    CUSTOMER), one transcript row per turn so no conversation is gathered
-    into one task; ``transcript_id = conv_id * 100000 + turn``."""
-    c = table(spark, sf_dir, "conversations").filter(F.col("role") != "system")
-    label = F.when(F.col("role") == "assistant", "AGENT").otherwise("CUSTOMER")
+    """Every turn of ``conversations`` rendered as a labelled line
+    ``[HH:MM:SS AGENT|CUSTOMER|SYSTEM]: text`` (assistant -> AGENT, system ->
+    SYSTEM, any other or missing role -> CUSTOMER), one transcript row per
+    turn so no conversation is gathered into one task; ``transcript_id`` is
+    the text ``conv_id:turn``."""
+    c = table(spark, sf_dir, "conversations")
+    label = (F.when(F.col("role") == "assistant", "AGENT").when(F.col("role") == "system", "SYSTEM")
+             .otherwise("CUSTOMER"))
     clock = F.format_string("%02d:%02d:%02d", (F.col("turn") / 3600).cast("int"),
                             ((F.col("turn") / 60).cast("int") % 60), F.col("turn") % 60)
-    line = F.concat(F.lit("["), clock, F.lit(" "), label, F.lit("]: "), F.col("text"))
+    line = F.concat(F.lit("["), clock, F.lit(" "), label, F.lit("]: "), F.coalesce("text", F.lit("")))
     return c.select(
-        (F.col("conv_id") * 100000 + F.col("turn")).alias("transcript_id"),
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("transcript_id"),
         line.alias("transcript"),
         F.concat(F.lit("agent"), (F.col("conv_id") % 7).cast("string")).alias("agent_name"),
         F.col("conv_id").cast("string").alias("call_id"),

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callsift.operators.analytics import AVG_DIGITS
 from callsift.plans.classify import classify, rule_base
 from callsift.session import scratch_path
 
@@ -30,14 +31,19 @@ def batch_stats(df: DataFrame, batch_id: int) -> DataFrame:
 
 
 def running_stats(partials: DataFrame) -> DataFrame:
-    """Totals over all batches so far."""
-    return partials.agg(
+    """Totals, shares and the mean confidence over all batches so far (no row
+    of shares before the first transcript)."""
+    sums = partials.agg(
         F.count(F.lit(1)).alias("batches"),
-        F.sum("total_transcripts").alias("total_transcripts"),
-        F.sum("classified").alias("classified"),
-        F.sum("high_confidence").alias("high_confidence"),
-        F.sum("medium_confidence").alias("medium_confidence"),
-        F.sum("low_confidence").alias("low_confidence"))
+        *(F.sum(c).alias(c) for c in ("total_transcripts", "classified", "sum_confidence", "high_confidence",
+                                      "medium_confidence", "low_confidence"))).filter("total_transcripts > 0")
+    n = F.col("total_transcripts")
+    return sums.select(
+        "batches", "total_transcripts", "classified", (F.col("classified") / n * F.lit(100.0)).alias("classified_pct"),
+        (n - F.col("classified")).alias("unclassified"),
+        ((n - F.col("classified")) / n * F.lit(100.0)).alias("unclassified_pct"),
+        F.round(F.col("sum_confidence") / n, AVG_DIGITS).alias("avg_confidence"),
+        "high_confidence", "medium_confidence", "low_confidence")
 
 
 def run_classification_stream(spark: SparkSession, source_dir: str, schema, to_transcripts,
