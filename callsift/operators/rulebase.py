@@ -9,45 +9,52 @@ REQUIRED_RULE_COLUMNS = ["Program", "CatNo", "Term1"]
 REQUIRED_HIERARCHY_COLUMNS = ["Program", "CatNo", "L1", "L2", "L3", "L4"]
 
 
+# FIXED VALUES: the messages an upload is refused with.
+MISSING_COLUMNS = "{what} missing columns: {columns}"
+UNKNOWN_CATEGORIES = "Rules reference categories not in hierarchy: {categories}"
+ACCEPTED = "Valid"
+
+
 def merge_custom_rules(custom_rules: DataFrame | None, custom_hierarchy: DataFrame | None,
                        base_rules: DataFrame, base_hierarchy: DataFrame,
                        mode: str = "extend") -> tuple[DataFrame | None, DataFrame | None]:
-    """``extend``: all rules (UNION ALL); hierarchy = base rows whose CatNo
-    the upload does not define, plus the upload. ``replace``: the upload only
-    (None stays None). Any other mode raises ValueError."""
-    if mode == "replace":
-        return custom_rules, custom_hierarchy
-    if mode != "extend":
-        raise ValueError(f"Invalid mode: {mode}. Must be 'extend' or 'replace'")
-    rules = base_rules if custom_rules is None else base_rules.unionByName(
-        custom_rules, allowMissingColumns=True)
-    hier = base_hierarchy
-    if custom_hierarchy is not None:
-        kept = base_hierarchy.join(custom_hierarchy.select("CatNo").distinct(), "CatNo", "left_anti")
-        hier = kept.unionByName(custom_hierarchy, allowMissingColumns=True)
-    return rules, hier
+    """How an upload joins the base tables: ``extend`` keeps all rules (UNION
+    ALL) and the base categories that the upload does not define; ``replace``
+    is the upload alone (None stays None). Other modes raise ValueError."""
+    def with_upload(base: DataFrame, upload: DataFrame | None) -> DataFrame:
+        return base if upload is None else base.unionByName(upload, allowMissingColumns=True)
+
+    def undefined(upload: DataFrame | None) -> DataFrame:
+        return base_hierarchy if upload is None else base_hierarchy.join(
+            upload.select("CatNo").distinct(), "CatNo", "left_anti")
+
+    merges = {
+        "replace": lambda: (custom_rules, custom_hierarchy),
+        "extend": lambda: (with_upload(base_rules, custom_rules),
+                           with_upload(undefined(custom_hierarchy), custom_hierarchy)),
+    }
+    if mode not in merges:
+        raise ValueError(f"mode is one of {sorted(merges)}, not {mode!r}")
+    return merges[mode]()
+
+
+def upload_problems(rules: DataFrame | None, hierarchy: DataFrame | None) -> list[str]:
+    """What is wrong with an upload: a check per table for its columns, then
+    (if both tables have one) the rule categories that the hierarchy lacks,
+    of which at most five reach the driver."""
+    needs = [("Proximity rules", rules, REQUIRED_RULE_COLUMNS), ("Hierarchy", hierarchy, REQUIRED_HIERARCHY_COLUMNS)]
+    found = [MISSING_COLUMNS.format(what=what, columns=lacks) for what, df, columns in needs
+             if df is not None and (lacks := sorted(set(columns) - set(df.columns), key=columns.index))]
+    if all(df is not None and "CatNo" in df.columns for df in (rules, hierarchy)):
+        unknown = [r["CatNo"] for r in orphan_categories(rules, hierarchy).take(5)]
+        found += [UNKNOWN_CATEGORIES.format(categories=unknown)] if unknown else []
+    return found
 
 
 def validate_custom_upload(rules: DataFrame | None, hierarchy: DataFrame | None) -> tuple[bool, str]:
-    """Required columns present, and every rule CatNo defined in the
-    hierarchy (at most five missing ones reported). Only the distinct
-    missing CatNos (at most five) reach the driver."""
-    errors = []
-    if rules is not None:
-        miss = [c for c in REQUIRED_RULE_COLUMNS if c not in rules.columns]
-        if miss:
-            errors.append(f"Proximity rules missing columns: {miss}")
-    if hierarchy is not None:
-        miss = [c for c in REQUIRED_HIERARCHY_COLUMNS if c not in hierarchy.columns]
-        if miss:
-            errors.append(f"Hierarchy missing columns: {miss}")
-    if rules is not None and hierarchy is not None and "CatNo" in rules.columns \
-            and "CatNo" in hierarchy.columns:
-        orphans = orphan_categories(rules, hierarchy).limit(5).collect()
-        if orphans:
-            errors.append("Rules reference categories not in hierarchy: "
-                          f"{[r['CatNo'] for r in orphans]}")
-    return (False, "; ".join(errors)) if errors else (True, "Valid")
+    """(whether an upload is accepted, its problems or ``Valid``)."""
+    problems = upload_problems(rules, hierarchy)
+    return not problems, "; ".join(problems) or ACCEPTED
 
 
 def orphan_categories(rules: DataFrame, hierarchy: DataFrame) -> DataFrame:
@@ -69,10 +76,9 @@ def hierarchy_stats(hierarchy: DataFrame, program: str | None = None) -> DataFra
 
 def rulebase_stats(proximity_rules: DataFrame, hierarchy: DataFrame, default_rules: DataFrame) -> DataFrame:
     """One row: rule and category counts, programs, default-rules flag."""
-    p = proximity_rules.agg(F.count(F.lit(1)).alias("total_proximity_rules"))
     h = hierarchy.agg(F.count(F.lit(1)).alias("total_categories"),
                       F.countDistinct("Program").alias("total_programs"),
                       F.sort_array(F.collect_set("Program")).alias("programs"))
-    d = default_rules.agg((F.count(F.lit(1)) > 0).alias("has_default_rules"))
-    return (p.withColumn("_k", F.lit(1)).join(h.withColumn("_k", F.lit(1)), "_k")
-            .join(d.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    return h.select(
+        proximity_rules.agg(F.count(F.lit(1))).scalar().alias("total_proximity_rules"), "total_categories",
+        "total_programs", "programs", default_rules.agg(F.count(F.lit(1)) > 0).scalar().alias("has_default_rules"))

@@ -122,20 +122,14 @@ hits AS (
   FROM prep2 p JOIN terms t ON p.norm_text <> '' AND contains(p.norm_text, t.term)),
 slot_hits AS (SELECT h.transcript_id, s.rule_ord, s.group_no, s.kw_no, h.pos, h.neg, h.wb
               FROM hits h JOIN slots s ON h.term = s.term WHERE s.group_no >= 0 OR h.wb),
-per_group AS (SELECT transcript_id, rule_ord, group_no,
-                     min(CAST(kw_no AS BIGINT) * 1099511627776 + pos * 2 + neg) AS packed
-              FROM slot_hits GROUP BY transcript_id, rule_ord, group_no),
-per_group2 AS (SELECT g.*, s.keyword FROM per_group g LEFT JOIN slots s
-               ON g.group_no >= 0 AND s.rule_ord = g.rule_ord AND s.group_no = g.group_no
-              AND s.kw_no = CAST(g.packed >> 40 AS INTEGER)),
-per_rule AS (SELECT transcript_id, rule_ord,
-               count(*) FILTER (WHERE group_no >= 0) AS matched_groups,
-               bool_or(group_no < 0) AS vetoed,
-               min((packed >> 1) & 549755813887) FILTER (WHERE group_no >= 0) AS min_pos,
-               max((packed >> 1) & 549755813887) FILTER (WHERE group_no >= 0) AS max_pos,
-               sum(packed & 1) FILTER (WHERE group_no >= 0) AS n_neg,
-               string_agg(keyword, ' | ' ORDER BY group_no) FILTER (WHERE group_no >= 0) AS matched_keywords
-             FROM per_group2 GROUP BY transcript_id, rule_ord),
+first_kw AS (SELECT transcript_id, rule_ord, group_no, min(kw_no) AS kw_no FROM slot_hits WHERE group_no >= 0
+              GROUP BY transcript_id, rule_ord, group_no),
+matched AS (SELECT f.*, h.pos, h.neg, s.keyword FROM first_kw f
+            JOIN slots s USING (rule_ord, group_no, kw_no) JOIN hits h ON h.transcript_id = f.transcript_id AND h.term = s.term),
+vetoes AS (SELECT DISTINCT transcript_id, rule_ord FROM slot_hits WHERE group_no < 0),
+per_rule AS (SELECT transcript_id, rule_ord, count(*) AS matched_groups, min(pos) AS min_pos, max(pos) AS max_pos,
+               sum(neg) AS n_neg, string_agg(keyword, ' | ' ORDER BY group_no) AS matched_keywords
+             FROM matched ANTI JOIN vetoes USING (transcript_id, rule_ord) GROUP BY transcript_id, rule_ord),
 scored AS (
   SELECT r.transcript_id, r.rule_ord, r.matched_groups, r.matched_keywords,
     greatest(CAST(0.0 AS DOUBLE), least(CAST(1.0 AS DOUBLE),
@@ -147,8 +141,7 @@ scored AS (
                 ELSE CAST(0.05 AS DOUBLE) END
          ELSE CAST(0.0 AS DOUBLE) END)
       - least(CAST(r.n_neg AS DOUBLE) * CAST(0.1 AS DOUBLE), CAST(0.3 AS DOUBLE)))) AS confidence
-  FROM per_rule r JOIN rules u ON r.rule_ord = u.rule_ord
-  WHERE NOT r.vetoed AND r.matched_groups > 0),
+  FROM per_rule r JOIN rules u ON r.rule_ord = u.rule_ord),
 kept AS (SELECT * FROM scored WHERE confidence >= CAST(0.4 AS DOUBLE)),
 best AS (SELECT k.*, count(*) OVER (PARTITION BY transcript_id) AS n_act FROM kept k
          QUALIFY row_number() OVER (PARTITION BY transcript_id ORDER BY confidence DESC, rule_ord) = 1),
