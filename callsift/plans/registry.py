@@ -596,6 +596,22 @@ def q_cache_evict(spark, sf):
                                "coaching": _coach_cache(spark, sf)}, NOW_TS)
 
 
+@register("cache_evict_kept", (
+    f"SELECT * FROM ({_CLASS_UPSERT_SQL}) a WHERE expires_at >= TIMESTAMP '{NOW_TS}' OR expires_at IS NULL"))
+def q_cache_kept(spark, sf):
+    kept, _ = TB.evict(_class_cache(spark, sf), NOW_TS)
+    return kept
+
+
+@register("coaching_cache_hits", (
+    f"WITH c AS ({_COACH_UPSERT_SQL}) SELECT user_id, agent_name, prompt_hash, coaching_json, model_used FROM c "
+    f"WHERE expires_at >= TIMESTAMP '{NOW_TS}'"))
+def q_coach_hits(spark, sf):
+    probe = _coach_cache_rows(spark, sf).select(*TB.COACHING_KEY).distinct()
+    hits, _ = TB.lookup(probe, _coach_cache(spark, sf), TB.COACHING_KEY, NOW_TS)
+    return hits.select(*TB.COACHING_KEY, "coaching_json", "model_used")
+
+
 @register("upload_history_topk", (
     "SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type || '_' || CAST(event_id AS VARCHAR) "
     "|| '.csv' AS filename, CAST(event_id % 1000 AS BIGINT) AS row_count, value AS processing_time_seconds, "
