@@ -222,5 +222,5 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
            .mapInArrow(meet, HITS))
     near_hits = shards.select(F.col("shard").alias("qshard"), "qid", "best", "who").mapInArrow(own_hits, HITS)
     w = Window.partitionBy("qshard", "query_id", "number").orderBy(F.desc("score"), "vec_id")
-    return (near_hits.unionByName(far).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return work.finish(near_hits.unionByName(far).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -115,7 +115,7 @@ def links(nodes: DataFrame, cosine: float, work: Work, cell_nodes: int = CELL_NO
         share = min(1.0, SAMPLE_PER_CELL / cell)
         kinds = dict(nodes.dtypes)
 
-        def fit(key, p: pd.DataFrame) -> pd.DataFrame:
+        def fit(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
             x = stack(p.sort_values("node")["v"].tolist(), "<f8")
             n = int(p["n"].iloc[0])
             c = spherical_kmeans(x, -(-n // cell))
@@ -174,7 +174,7 @@ def links(nodes: DataFrame, cosine: float, work: Work, cell_nodes: int = CELL_NO
              .select("label", "dim", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                      "own", "node", "mult", "v", "home", "seen"))
 
-    def meet(key, p: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         cell, i, j = key[2], key[3], key[4]
         p = p.sort_values(["own", "node"], kind="stable")
         own, node, mult = (p[c].to_numpy() for c in ("own", "node", "mult"))
@@ -220,8 +220,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     known = (nodes.join(counts, "node", "left").join(low, "node", "left")
              .select("label", "v", (F.col("mult") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"),
                      F.coalesce("component", "low").alias("component")))
-    work.drop("members")
-    return (rows.join(known, ["label", "v"], "left")
+    return work.finish(rows.join(known, ["label", "v"], "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("component")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))

@@ -27,11 +27,23 @@ class Work:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _folder(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+            fs, p = self._folder(self.path(name))
+            fs.delete(p, True)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """The result as a table; every other table of the run goes."""
+        out = self.table(df, "result")
+        fs, p = self._folder(self.root)
+        for f in fs.listStatus(p):
+            if f.getPath().getName() != "result":
+                fs.delete(f.getPath(), True)
+        return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
