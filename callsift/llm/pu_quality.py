@@ -13,7 +13,8 @@ read. The fit uses a bounded sample, about POSITIVES and UNLABELLED documents
 taken by hash (whole texts); scores come from whole texts of all documents.
 
 Defined results: a null or empty text is scored by the properties of an empty
-text; repeated labels of a document count as their smallest; without any
+text; rows with the same id teach once; repeated labels of a document count as
+their smallest; without any
 trusted positive every score is the prior's (0.5 with no label at all); without
 unlabelled documents the positives' marginal stands in.
 Input columns named like an output are carried as ``<name>_input``.
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
     # about ``positives`` + ``unlabelled`` ids
     picked = some(labels.filter("quality = 1"), ones, positives, True).unionByName(
-        some(free if n_free else ids, n_free or ones, unlabelled, False))
+        some(free if n_free else ids, n_free or ones, unlabelled, False)).distinct()
 
     def describe(batches):
         for b in batches:
@@ -149,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = (docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-            .mapInArrow(describe, f"doc_id {kind}, pos boolean, x binary"))
+            .mapInArrow(describe, f"doc_id {kind}, pos boolean, x binary").dropDuplicates(["doc_id", "pos"]))
 
     def learn(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["doc_id", "x"], kind="stable")

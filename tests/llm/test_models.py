@@ -102,6 +102,7 @@ def quality_rows(n=400):
 
 def test_positive_and_unlabelled_rows_teach_quality(frame):
     rows = quality_rows() + [(1000, None, None, None, 0), (1001, "", None, None, 0), (None, "x", None, None, 0)]
+    rows += [rows[1]] * 300  # a hot id teaches once
     docs = frame(rows, DOCS)
     labels = frame([(i, int(i % 4 != 0)) for i in range(0, 400, 3)] + [(0, 1), (4, None), (None, 1)], "doc_id long, quality int")
     net, prior = pu_quality.fit(docs, labels)
