@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from callsift.functions import patterns as P
 from callsift.functions.text import content_hash, estimate_tokens
-from callsift.plans.dims import bounded_count, checked_broadcast
+from callsift.plans.dims import broadcast_if_small
 from callsift.session import materialize
 from callsift.sources.tables import TTL
 
@@ -86,18 +86,18 @@ def coaching_bundle(df: DataFrame, texts: DataFrame, max_samples: int = MAX_SAMP
     # folder instead of scoring the transcripts three times.
     df = materialize(df.select("transcript_id", "agent_name", "category", "subcategory", "confidence"))
     cats = agent_categories(df)
-    samples = cats.filter(F.col("rank") <= max_samples).select("sample_id")
-    samples = checked_broadcast(samples, bounded_count(samples))
+    samples = broadcast_if_small(cats.filter(F.col("rank") <= max_samples).select("sample_id").distinct())
     t = texts.withColumnRenamed("transcript_id", "sample_id").join(samples, "sample_id", "left_semi")
     if prepare_fn is not None:
         t = prepare_fn(t.withColumnRenamed("sample_id", "transcript_id")).withColumnRenamed(
             "transcript_id", "sample_id")
-    t = t.select("sample_id", F.substring("redacted_transcript", 1, 500).alias("sample_text"))
-    # Transcript ids are unique in the classified rows, so the sample row is
-    # the row with the category's smallest id.
+    t = t.select("sample_id", F.substring("redacted_transcript", 1, 500).alias("sample_text")).dropDuplicates(["sample_id"])
+    # The sample is the row with the category's smallest id (one row of a
+    # repeated id).
     rows = df.select(F.col("transcript_id").alias("sample_id"),
                      F.col("subcategory").alias("sample_subcategory"),
-                     F.col("confidence").alias("sample_confidence")).join(samples, "sample_id", "left_semi")
+                     F.col("confidence").alias("sample_confidence")).join(
+        samples, "sample_id", "left_semi").dropDuplicates(["sample_id"])
     out = (cats.join(agent_metrics(df), "agent_name")
            .join(rows, "sample_id", "left")
            .join(t, "sample_id", "left"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsift.plans.dims import bounded_count, checked_broadcast
+from callsift.plans.dims import broadcast_if_small
 
 DEFAULT_LEVELS = (("category", "L1"), ("subcategory", "L2"), ("tertiary", "L3"))
 
@@ -30,7 +30,7 @@ def validate_paths(df: DataFrame, hierarchy: DataFrame, program: str | None = No
     table is broadcast after a size check (null-safe equi-join)."""
     levels = [lvl for _, lvl in mapping]
     paths = valid_paths(hierarchy, levels, program).withColumn("_valid", F.lit(True))
-    paths = checked_broadcast(paths, bounded_count(paths))
+    paths = broadcast_if_small(paths)
     cond = [df[c].eqNullSafe(paths[lvl]) for c, lvl in mapping]
     j = df.join(paths, cond, "left")
     return j.select(*[df[c] for c in df.columns],

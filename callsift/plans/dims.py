@@ -1,22 +1,24 @@
-"""Size-checked broadcasting of configuration tables."""
+"""Size-checked broadcasting."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A broadcast side must have at most this many rows (rule and term tables
-# are configuration; ~2,000 rules give ~10,000 rows).
-MAX_BROADCAST_ROWS = 2_000_000
+# What a broadcast side may hold, by an estimate from its schema.
+MAX_BROADCAST_BYTES = 64 << 20
+_STRING_BYTES = 64
 
 
-def bounded_count(df: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> int:
-    """Row count, reading at most ``bound + 1`` rows."""
-    return df.limit(bound + 1).count()
+def row_bytes(schema: T.StructType) -> int:
+    """A rough size of a row: 16 bytes a fixed-width value, more for text."""
+    return 16 + sum(_STRING_BYTES if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 16 for f in schema.fields)
 
 
-def checked_broadcast(df: DataFrame, rows: int, bound: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its (already measured) row count is within
-    ``bound``; otherwise leave the join strategy to the planner (an equi-join
-    then shuffles both sides, AQE can still switch it at run time)."""
-    return F.broadcast(df) if rows <= bound else df
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted up to the bound, fit
+    into MAX_BROADCAST_BYTES; otherwise as it is, and the planner shuffles
+    (adaptive execution may still switch). The result of a join is the same."""
+    most = MAX_BROADCAST_BYTES // row_bytes(df.schema)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
