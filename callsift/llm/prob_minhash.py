@@ -15,9 +15,11 @@ the shingle sets.
 3. Verification of candidates on the exact shingles, in rounds that follow the
    groups found so far, so a bucket of thousands of copies never emits its
    pairs: first each node with one pivot per bucket; then, in buckets that
-   still span several groups, the nodes outside the largest group with their
-   most similar others; at last every remaining pair across groups whose
-   signatures agree enough. Buckets are compared in blocks of bounded size.
+   still span several groups, the nodes outside the largest group (strays)
+   with their most similar others; at last every stray with all its other
+   candidates whose signatures agree enough. That last round keeps candidates
+   as lists and tests them in blocks of one group's texts; it returns at most
+   one link for a stray and a block.
 4. Connected components of the verified links; the smallest id of a component
    is kept.
 
@@ -49,6 +51,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 5
 STRAYS, MEMBERS = 256, 1024  # rows of the two sides of a compared block
 BEST = 2
+# Rows and lists that a call over many small blocks takes, on average.
+CELL_ROWS, CELL_LISTS = 20_000, 500
 MAX_BLOCK = 64  # arrivals drawn at once for a shingle
 
 
@@ -173,10 +177,11 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: float, m: int) -> DataFram
             .select("u", "v", "su", "sv").mapInArrow(run, "u long, v long"))
 
 
-def _across(members: DataFrame, group: DataFrame, nodes: DataFrame, least: float, m: int, best: int | None) -> DataFrame:
-    """Distinct pairs (u < v) of one bucket and different groups whose
-    signatures agree in ``least`` of the registers; of each node outside its
-    bucket's largest group the ``best`` ones of a block only, or all."""
+def _strays(members: DataFrame, group: DataFrame, nodes: DataFrame, least: float, m: int, best: int | None) -> DataFrame:
+    """(s, root, found): for the nodes outside their bucket's largest group,
+    the nodes of other groups (by root) that share the bucket and agree in
+    ``least`` of the registers: the ``best`` ones of a block, or all. A pair
+    that shares several buckets is found in its first."""
     now = (members.join(group, "node", "left")
            .select("key", "node", F.coalesce("root", "node").alias("root")))
     per = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -185,37 +190,107 @@ def _across(members: DataFrame, group: DataFrame, nodes: DataFrame, least: float
     main = main.select("key", F.col("top.root").alias("main"),
                        F.ceil((F.col("all") - F.col("top.n")) / STRAYS).cast("int").alias("s_blocks"),
                        F.ceil(F.col("all") / MEMBERS).cast("int").alias("m_blocks"))
-    rows = now.join(main, "key").join(nodes.select("node", "sig"), "node")
+    rows = now.join(main, "key").join(nodes.select("node", "sig", "bands"), "node")
     spread = F.xxhash64("node")
+    own = ["key", "node", "root", "sig", "bands"]
     stray = (rows.filter("root <> main")
-             .select("key", "node", "root", "sig", F.pmod(spread, "s_blocks").cast("int").alias("s"),
+             .select(*own, F.pmod(spread, "s_blocks").cast("int").alias("s"),
                      F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("t"), F.lit(True).alias("stray")))
-    other = rows.select("key", "node", "root", "sig",
-                        F.explode(F.sequence(F.lit(0), F.col("s_blocks") - 1)).alias("s"),
+    other = rows.select(*own, F.explode(F.sequence(F.lit(0), F.col("s_blocks") - 1)).alias("s"),
                         F.pmod(spread, "m_blocks").cast("int").alias("t"), F.lit(False).alias("stray"))
 
     def meet(p: pd.DataFrame) -> pd.DataFrame:
-        left, right = p[p["stray"]], p[~p["stray"]]
-        empty = pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-        if not len(left) or not len(right):
-            return empty
-        a, b = (np.frombuffer(b"".join(x["sig"].tolist()), "<u2").reshape(-1, m) for x in (left, right))
-        same = np.zeros((len(a), len(b)), np.int32)
-        for k in range(m):
-            same += a[:, k][:, None] == b[:, k][None, :]
-        ok = (same >= least * m) & (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :])
-        if best is None:
-            r, c = np.nonzero(ok)
-        else:
-            score = np.where(ok, same, -1)
-            pick = np.argsort(-score, axis=1, kind="stable")[:, :best]
-            r, c = np.repeat(np.arange(len(a)), pick.shape[1]), pick.ravel()
-            keep = score[r, c] >= 0
-            r, c = r[keep], c[keep]
-        u, v = left["node"].to_numpy()[r], right["node"].to_numpy()[c]
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
-
-    return (stray.unionByName(other).groupBy("key", "s", "t").applyInPandas(meet, "u long, v long").distinct())
+        p = p.sort_values(["key", "s", "t"], kind="stable")
+        sig = np.frombuffer(b"".join(p["sig"].tolist()), "<u2").reshape(-1, m)
+        bands = np.stack(p["bands"].tolist())
+        keys, node, root, is_stray = (p[c].to_numpy() for c in ("key", "node", "root", "stray"))
+        out: dict[str, list] = {"s": [], "root": [], "found": []}
+        for first, last in _runs_of(p, ["key", "s", "t"]):
+            here = np.arange(first, last)
+            right = here[~is_stray[here]]
+            for i in here[is_stray[here]].tolist():
+                same = (sig[i] == sig[right]).sum(axis=1)
+                shared = (bands[i] == bands[right]).argmax(axis=1)
+                at = right[(same >= least * m) & (root[right] != root[i]) & (bands[i][shared] == keys[i])]
+                if best is not None and len(at) > best:
+                    at = at[np.argsort(-(sig[i] == sig[at]).sum(axis=1), kind="stable")[:best]]
+                for r in np.unique(root[at]).tolist():
+                    out["s"].append(int(node[i]))
+                    out["root"].append(r)
+                    out["found"].append(node[at][root[at] == r])
+        return pd.DataFrame({"s": pd.Series(out["s"], dtype="int64"), "root": pd.Series(out["root"], dtype="int64"),
+                             "found": pd.Series(out["found"], dtype="object")})
+
+    # a cell (key, s, t) is bounded; a task's call takes many small ones
+    chunk = F.pmod(F.xxhash64("key", "s", "t"), F.lit(max(1, -(-members.count() // CELL_ROWS))))
+    return (stray.unionByName(other).withColumn("chunk", chunk).groupBy("chunk")
+            .applyInPandas(lambda p: meet(p), "s long, root long, found array<bigint>"))
+
+
+def _runs_of(p: pd.DataFrame, columns: list[str]):
+    """(first, last + 1) of each run of equal values in a sorted frame."""
+    values = p[columns].to_numpy()
+    edge = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+    yield from zip([0, *edge.tolist()], [*edge.tolist(), len(values)], strict=True)
+
+
+def _tested_in_blocks(lists: DataFrame, group: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (u, v) between strays and the nodes in their lists: the texts of a
+    group and its strays meet in blocks; one link per list and block suffices,
+    as a group's nodes are connected already."""
+    asked = lists.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / STRAYS).cast("int").alias("s_blocks"))
+    of = texts.join(group, "node", "left").select("node", "text", F.coalesce("root", "node").alias("root"))
+    sizes = of.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("m_blocks"))
+    blocks = asked.join(sizes, "root")
+    stray = (lists.join(blocks, "root").join(texts.select(F.col("node").alias("s"), "text"), "s")
+             .select("root", F.pmod(F.xxhash64("s", "found"), "s_blocks").cast("int").alias("sb"),
+                     F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("mb"),
+                     F.col("s").alias("node"), "text", "found"))
+    member = (of.join(blocks, "root")
+              .select("root", F.explode(F.sequence(F.lit(0), F.col("s_blocks") - 1)).alias("sb"),
+                      F.pmod(F.xxhash64("node"), "m_blocks").cast("int").alias("mb"), "node", "text",
+                      F.lit(None).cast("array<bigint>").alias("found")))
+
+    def test(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["root", "sb", "mb"], kind="stable")
+        out: list[tuple[int, int]] = []
+        for first, last in _runs_of(p, ["root", "sb", "mb"]):
+            out += _links(p.iloc[first:last], words, least)
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    chunk = F.pmod(F.xxhash64("root", "sb", "mb"), F.lit(max(1, -(-lists.count() // CELL_LISTS))))
+    return (stray.unionByName(member).withColumn("chunk", chunk).groupBy("chunk")
+            .applyInPandas(lambda p: test(p), "u long, v long"))
+
+
+def _links(cell: pd.DataFrame, words: int, least: float) -> list[tuple[int, int]]:
+    """One link for each list of a cell, if it has any: rows with a list are
+    strays, the others the texts of one group."""
+    is_member = cell["found"].isna().to_numpy()
+    right, left = cell[is_member], cell[~is_member]
+    ids = right["node"].to_numpy()
+    if not len(left) or not len(ids):
+        return []
+    sets = [shingles(t, words) for t in right["text"]]
+    size = np.array([len(h) for h, _ in sets])
+    plain = np.array([bool((w == 1).all()) for _, w in sets], bool)
+    every, owner = np.concatenate([h for h, _ in sets]), np.repeat(np.arange(len(sets)), size)
+    out = []
+    for node, text, found in zip(left["node"].tolist(), left["text"].tolist(), left["found"].tolist(), strict=True):
+        at = np.flatnonzero(np.isin(ids, found))
+        if not len(at):
+            continue
+        h, w = shingles(text, words)
+        hit = h[np.minimum(np.searchsorted(h, every), len(h) - 1)] == every
+        both = np.bincount(owner[hit], minlength=len(sets))
+        # with weights of 1 the similarity is the Jaccard of the sets
+        exact = plain & bool((w == 1).all())
+        jaccard = both / np.maximum(len(h) + size - both, 1)
+        for i in at[np.argsort(-jaccard[at], kind="stable")].tolist():
+            if (jaccard[i] if exact[i] else similarity((h, w), sets[i])) >= least:
+                out.append((node, int(ids[i])))
+                break
+    return out
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILARITY, words: int = WORDS, bands: int = BANDS,
@@ -246,19 +321,21 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILARITY, words: int = W
     tested = work.table(_alike(pairs, nodes, floor, m), "tested-0")
     found = work.table(_verified(tested, texts, words, similar), "found-0")
     group = work.table(components(found, work, "star-0"), "group-0")
-    for n, best in enumerate((BEST, None), 1):
-        pairs = work.table(_across(members, group, nodes, floor, m, best).join(tested, ["u", "v"], "left_anti"),
-                           f"tested-{n}")
-        tested = tested.unionByName(pairs)
-        found = found.unionByName(work.table(_verified(pairs, texts, words, similar), f"found-{n}"))
-        group = work.table(components(found, work, f"star-{n}"), f"group-{n}")
-    work.drop("texts", "members")
+    # strays with their most similar others, as pairs
+    few = _strays(members, group, nodes, floor, m, BEST).select("s", F.explode("found").alias("f"))
+    pairs = few.select(F.least("s", "f").alias("u"), F.greatest("s", "f").alias("v")).distinct()
+    found = found.unionByName(work.table(_verified(pairs.join(tested, ["u", "v"], "left_anti"), texts, words, similar), "found-1"))
+    group = work.table(components(found, work, "star-1"), "group-1")
+    # and with all others, in blocks
+    lists = work.table(_strays(members, group, nodes, floor, m, None), "lists")
+    found = found.unionByName(work.table(_tested_in_blocks(lists, group, texts, words, similar), "found-2"))
+    group = work.table(components(found, work, "star-2"), "group-2")
 
     low = (group.join(nodes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component"))
            .join(group, "root").select("node", "component"))
     known = nodes.join(low, "node", "left").select("digest", "mult", F.coalesce("component", "low").alias("component"))
     plain = F.col("sig").isNull()
-    return (signed.select("doc_id", "digest", "sig").join(known, "digest", "left")
+    return work.finish(signed.select("doc_id", "digest", "sig").join(known, "digest", "left")
             .select("doc_id", "digest", F.when(plain, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
                     F.coalesce("mult", F.lit(1)).alias("n_copies"), plain.alias("plain"))
             .withColumn("kept", F.col("plain") | F.col("doc_id").eqNullSafe(F.col("component_id"))).drop("plain"))
