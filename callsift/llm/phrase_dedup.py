@@ -38,6 +38,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +91,9 @@ def _runs(docs: DataFrame, size: int, gram: int) -> DataFrame:
 def _candidates(runs: DataFrame, work: Work) -> DataFrame:
     """(row_key, runs): the runs of a row whose anchor recurs, each with
     ``sure`` (its words occur twice) and ``open`` (to be compared by window)."""
-    again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
+    # a written table: both sides of the join are then plain exchanges, and a
+    # hot anchor's runs can be split
+    again = work.table(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor"), "again")
     found = work.table(runs.join(again, "anchor", "left_semi"), "recurring")
     kinds = found.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row_key", "s")).alias("one"))
     many = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
@@ -103,9 +106,31 @@ def _candidates(runs: DataFrame, work: Work) -> DataFrame:
                 "s", "n", "anchor", sure.alias("sure"), (~sure | (example & (F.col("kinds") > 1))).alias("open")))).alias("runs")))
 
 
-def _digest(words: list[bytes]) -> tuple[str, str]:
+def _sharded(marked: DataFrame, shard_words: int, work: Work) -> DataFrame:
+    """``marked`` with the shard of each row. Rows go by their smallest anchor,
+    so copies meet and need their phrases once; a bucket with more windows than
+    a shard should hold (a hot group of copies) is split by row."""
+    size = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["n"])
+    marked = work.table(marked, "unsharded")
+    total = marked.agg(F.sum(size)).first()[0] or 0
+    bucket = F.pmod(F.xxhash64(F.array_min("runs.anchor")), F.lit(max(1, -(-total // shard_words)))).alias("bucket")
+    parts = work.table(marked.groupBy(bucket).agg(F.ceil(F.sum(size) / F.lit(2 * shard_words)).alias("parts")), "parts")
+    return marked.withColumn("bucket", bucket).join(parts, "bucket").select(
+        "row_key", "runs", F.xxhash64("bucket", F.pmod(F.xxhash64(F.col("row_key"), F.lit(1)), "parts")).alias("shard"))
+
+
+def _digest(words: list[bytes]) -> tuple[str, bytes]:
     kept = b" ".join(words)
-    return hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")
+    return hashlib.sha256(kept).hexdigest(), kept
+
+
+def _run_arrays(column: pa.ListArray):
+    """For each row, its runs as arrays by field name."""
+    flat = column.flatten()
+    fields = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+    ends = np.cumsum(pc.list_value_length(column).to_numpy())
+    for start, end in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+        yield {k: v[start:end] for k, v in fields.items()}
 
 
 def _open_windows(rows: DataFrame, size: int, gram: int) -> DataFrame:
@@ -113,19 +138,23 @@ def _open_windows(rows: DataFrame, size: int, gram: int) -> DataFrame:
     sure runs count twice and need no answer (at is null)."""
     def run(batches):
         for b in batches:
-            out: list[tuple] = []
-            for key, text, runs in zip(*(b.column(c).to_pylist() for c in ("row_key", "text", "runs")), strict=True):
-                runs = [r for r in runs if r["open"]]
-                if not runs:
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for key, text, runs in zip(b.column("row_key").to_pylist(), b.column("text"), _run_arrays(b.column("runs")), strict=True):
+                own = runs["open"].astype(bool)
+                if not own.any():
                     continue
-                windows = _anchors(text, size, gram)[0].view(np.int64)
-                for r in runs:
-                    at = range(r["s"], r["s"] + r["n"])
-                    out += [(r["anchor"], h, 2 if r["sure"] else 1, key, None if r["sure"] else p)
-                            for p, h in zip(at, windows[at.start:at.stop].tolist(), strict=True)]
-            cols = list(zip(*out, strict=True)) or [()] * 5
+                windows = _anchors(text.as_py(), size, gram)[0].view(np.int64)
+                s, n = runs["s"][own].astype(np.int64), runs["n"][own].astype(np.int64)
+                at = np.arange(int(n.sum())) + np.repeat(s - np.cumsum(n) + n, n)
+                sure = np.repeat(runs["sure"][own].astype(bool), n)
+                for col, x in zip(out, (np.repeat(runs["anchor"][own], n), windows[at], np.where(sure, 2, 1),
+                                        np.full(len(at), key), at, sure), strict=True):
+                    col.append(x)
+            cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+            sure = cols.pop().astype(bool)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)],
+                [pa.array(c, t, mask=sure if k == 4 else None) for k, (c, t) in enumerate(zip(
+                    cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True))],
                 ["anchor", "hash", "weight", "row_key", "at"])
 
     return rows.select("row_key", "text", "runs").mapInArrow(
@@ -137,15 +166,15 @@ def _phrases(rows: DataFrame, size: int, gram: int) -> DataFrame:
     def run(batches):
         for b in batches:
             out: set[tuple[int, str]] = set()
-            for text, runs, single in zip(*(b.column(c).to_pylist() for c in ("text", "runs", "single")), strict=True):
-                words = (text or "").encode().split()
+            for text, runs, single in zip(b.column("text"), _run_arrays(b.column("runs")), b.column("single").to_pylist(), strict=True):
+                words = (text.as_py() or "").encode().split()
                 total = max(0, len(words) - size + 1)
+                first, n = runs["s"].astype(np.int64), runs["n"].astype(np.int64)
+                at = np.arange(int(n.sum())) + np.repeat(first - np.cumsum(n) + n, n)
                 sure, anchor, cut = np.zeros(total, bool), np.zeros(total, np.int64), np.zeros(total, bool)
-                for r in runs:
-                    at = slice(r["s"], r["s"] + r["n"])
-                    anchor[at] = r["anchor"]
-                    sure[at] |= r["sure"]
-                    cut[r["s"]] = r["anchor"] % CUT == 0
+                anchor[at] = np.repeat(runs["anchor"], n)
+                sure[at] = np.repeat(runs["sure"].astype(bool), n)
+                cut[first] = runs["anchor"] % CUT == 0
                 sure[single or []] = True
                 edge = np.flatnonzero(np.diff(np.r_[False, sure, False].astype(np.int8)))
                 for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
@@ -190,29 +219,31 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_wo
     keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn(
         "row_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
     runs = work.table(_runs(keyed, size, gram), "runs")
-    marked = work.table(_candidates(runs, work), "marked")
-    work.drop("runs", "recurring", "kinds")
+    marked = work.table(_sharded(_candidates(runs, work), shard_words, work), "marked")
+    work.drop("runs", "again", "recurring", "kinds", "unsharded", "parts")
 
     results = [F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
                F.lit("").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text")]
-    joined = keyed.join(marked, "row_key", "left").select(*own, *results, "row_key", "runs", "text")
+    joined = keyed.join(marked, "row_key", "left").select(*own, *results, "row_key", "runs", "shard", "text")
     out = joined.select(*own, "n_words", "n_removed", "kept_sha256", "kept_text").schema
 
-    def put(b: pa.RecordBatch, **cols: list) -> pa.RecordBatch:
+    def put(b: pa.RecordBatch, **cols) -> pa.RecordBatch:
         for name, values in cols.items():
             i = b.schema.get_field_index(name)
-            b = b.set_column(i, b.schema.field(i), pa.array(values, b.schema.field(i).type))
+            b = b.set_column(i, b.schema.field(i), pa.array(values, b.schema.field(i).type) if isinstance(values, list)
+                             else values)
         return b
 
     def settle(batches):
         """Results of rows without candidates; only the others keep their text."""
         for b in batches:
-            done, texts = b.column("runs").is_null().to_pylist(), b.column("text").to_pylist()
-            words = [(t or "").encode().split() for t in texts]
+            done, text = b.column("runs").is_null(), b.column("text")
+            none = pa.scalar(None, pa.string())
+            words = [(t or "").encode().split() for t in text.to_pylist()]
             yield put(b, n_words=[len(w) for w in words],
-                      kept_sha256=[_digest(w)[0] if d else "" for w, d in zip(words, done, strict=True)],
-                      kept_text=[t if d and with_text else None for t, d in zip(texts, done, strict=True)],
-                      text=[None if d else t for t, d in zip(texts, done, strict=True)])
+                      kept_sha256=[_digest(w)[0] if d else "" for w, d in zip(words, done.to_pylist(), strict=True)],
+                      kept_text=pc.if_else(done, text, none) if with_text else b.column("kept_text"),
+                      text=pc.if_else(done, none, text))
 
     split = work.table(joined.mapInArrow(settle, joined.schema), "split")
     rows = split.filter("runs IS NOT NULL")
@@ -222,10 +253,9 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_wo
               .groupBy("row_key").agg(F.collect_set("at").alias("single")))
     phrases = work.table(_phrases(rows.select("row_key", "text", "runs").join(single, "row_key", "left"), size, gram), "phrases")
 
-    shards = max(1, -(-(rows.agg(F.sum("n_words")).first()[0] or 0) // shard_words))
-    shard = F.pmod(F.xxhash64("row_key"), F.lit(shards)).alias("shard")
-    sent = (rows.select(shard, F.explode("runs.anchor").alias("anchor")).distinct()
-            .join(phrases, "anchor").select("shard", "phrase"))
+    work.drop("marked", "windows")
+    sent = (rows.select(F.col("shard").alias("at_shard"), F.explode("runs.anchor").alias("anchor")).distinct()
+            .join(phrases, "anchor").select("at_shard", "phrase"))
 
     def stream(texts: pa.Table, keys: pa.Table) -> pa.Table:
         text = texts.column("text").to_pylist()
@@ -235,12 +265,12 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_wo
             s, k = _digest([w for w, g in zip(own_words, gone.tolist(), strict=True) if not g])
             removed.append(int(gone.sum()))
             sha.append(s)
-            kept.append((k if removed[-1] else t) if with_text else None)
+            kept.append((k.decode("utf-8", "replace") if removed[-1] else t) if with_text else None)
         new = {"n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string()),
                "kept_text": pa.array(kept, pa.string())}
         return pa.Table.from_arrays([new.get(c, texts.column(c)) for c in out.names], names=out.names)
 
-    streamed = (rows.select(*out.names, "text", shard).groupBy("shard")
-                .cogroup(sent.groupBy("shard")).applyInArrow(stream, out))
+    streamed = (rows.select(*out.names, "text", "shard").groupBy("shard")
+                .cogroup(sent.groupBy("at_shard")).applyInArrow(stream, out))
     settled = split.filter("runs IS NULL").select(*out.names)
     return settled.unionByName(streamed)
