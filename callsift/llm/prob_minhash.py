@@ -293,6 +293,17 @@ def _links(cell: pd.DataFrame, words: int, least: float) -> list[tuple[int, int]
     return out
 
 
+def _grown(group: DataFrame | None, links: DataFrame, work: Work, n: int) -> DataFrame:
+    """The groups (node, root) after more links; the known groups enter as
+    stars, so few rounds are needed."""
+    links = work.table(links, f"links-{n}")
+    if group is not None:
+        if links.isEmpty():
+            return group
+        links = links.unionByName(group.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    return work.table(components(links, work, f"star-{n}"), f"group-{n}")
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILARITY, words: int = WORDS, bands: int = BANDS,
                     rows: int = ROWS, work: Work | None = None) -> DataFrame:
     """(doc_id, digest, component_id, n_copies, kept), one row per document:
@@ -319,17 +330,14 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILARITY, words: int = W
     pairs = members.filter("node <> pivot").select(
         F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
     tested = work.table(_alike(pairs, nodes, floor, m), "tested-0")
-    found = work.table(_verified(tested, texts, words, similar), "found-0")
-    group = work.table(components(found, work, "star-0"), "group-0")
+    group = _grown(None, _verified(tested, texts, words, similar), work, 0)
     # strays with their most similar others, as pairs
     few = _strays(members, group, nodes, floor, m, BEST).select("s", F.explode("found").alias("f"))
     pairs = few.select(F.least("s", "f").alias("u"), F.greatest("s", "f").alias("v")).distinct()
-    found = found.unionByName(work.table(_verified(pairs.join(tested, ["u", "v"], "left_anti"), texts, words, similar), "found-1"))
-    group = work.table(components(found, work, "star-1"), "group-1")
+    group = _grown(group, _verified(pairs.join(tested, ["u", "v"], "left_anti"), texts, words, similar), work, 1)
     # and with all others, in blocks
     lists = work.table(_strays(members, group, nodes, floor, m, None), "lists")
-    found = found.unionByName(work.table(_tested_in_blocks(lists, group, texts, words, similar), "found-2"))
-    group = work.table(components(found, work, "star-2"), "group-2")
+    group = _grown(group, _tested_in_blocks(lists, group, texts, words, similar), work, 2)
 
     low = (group.join(nodes.select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("component"))
            .join(group, "root").select("node", "component"))
