@@ -31,8 +31,9 @@ CAPACITY = 4096
 END_ID = 1
 # Pieces packed together in one task: bounds its memory and time.
 GROUP_PIECES = 32_768
-# Words (and their parts) whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 1_000_000
+# Words and parts of words whose ids a worker remembers: two generations of at
+# most half as many; those in use move on to the new one.
+CACHE_WORDS = 1_200_000
 
 
 class WordTokenizer:
@@ -50,8 +51,14 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _recall(self, words: set[bytes]) -> set[bytes]:
+        """Those of the words that neither generation knows."""
+        for w in words & self.old.keys():
+            self.known[w] = self.old[w]
+        return words - self.known.keys()
 
     def _learn(self, words: set[bytes]) -> None:
         cut, need = {}, set()
@@ -60,29 +67,29 @@ class WordTokenizer:
             body = s.rstrip(string.punctuation)
             if body and body != s and not body[-1].isalpha():
                 body = s
-            tail = s[len(body):]
-            if body.isascii():
-                body = body.lower()
+            tail = s[len(body):].encode()
+            body = (body.lower() if body.isascii() else body).encode()
             cut[w] = (body, tail)
-            need.update(p for p in (body, tail) if p and p not in self.parts)
-        need = list(need)
-        for p, e in zip(need, self.tok.encode_batch_fast(need, add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, "<u4").tobytes()
-        self.parts[""] = b""
+            need.update((body, tail))
+        need.discard(b"")
+        need = list(self._recall(need))
+        for p, e in zip(need, self.tok.encode_batch_fast([p.decode() for p in need], add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, "<u4").tobytes()
         for w, (body, tail) in cut.items():
-            self.words[w] = self.parts[body] + self.parts[tail]
+            if w != body:
+                self.known[w] = (self.known[body] if body else b"") + (self.known[tail] if tail else b"")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 64):
-            if len(self.words) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
-                self.words, self.parts = {}, {}
+            if len(self.known) > CACHE_WORDS // 2:
+                self.known, self.old = {}, self.known
             some = [(t or "") for t in texts[at:at + 64]]
             split = [[] if "<|" in t else t.encode().split() for t in some]
-            new = set().union(*split).difference(self.words)
-            if new:
+            new = set().union(*split).difference(self.known)
+            if new and (new := self._recall(new)):
                 self._learn(new)
-            get = self.words.__getitem__
+            get = self.known.__getitem__
             out += [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if "<|" in t
                     else b"".join(map(get, ws)) for t, ws in zip(some, split, strict=True)]
         return out
