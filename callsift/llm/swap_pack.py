@@ -33,7 +33,7 @@ END_ID = 1
 GROUP_PIECES = 32_768
 # Words and parts of words whose ids a worker remembers: two generations of at
 # most half as many; those in use move on to the new one.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 500_000
 
 
 class WordTokenizer:
