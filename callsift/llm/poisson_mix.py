@@ -19,13 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callsift.llm.work import set_aside
+from callsift.llm.work import Work, set_aside
 
 SEED = "mix-7"
 TEMPERATURE = 0.5
 # One draw inverts a distribution of at most this mean; larger rates are sums
 # of independent draws (exp(-rate) stays far from underflow).
 MAX_MEAN = 64.0
+# Rates of up to so many sources (under 2 kB each) are broadcast; beyond it the
+# join shuffles, with the same result.
+BROADCAST_SOURCES = 20_000
 OUTPUTS = {"copy", "n_copies", "rate", "shuffle_key"}
 
 
@@ -67,7 +70,7 @@ def _thresholds(mean: Column) -> Column:
 
 def replicate(docs: DataFrame, weights: DataFrame | None = None, epoch_docs: int | None = None,
               temperature: float = TEMPERATURE, seed: str = SEED, id_col: str = "doc_id",
-              source: str = "source") -> DataFrame:
+              source: str = "source", work: Work | None = None) -> DataFrame:
     """The shuffled mixture: the input's columns for every copy, plus copy
     (from 0), n_copies, rate and shuffle_key (the global order)."""
     docs = set_aside(docs, OUTPUTS)
@@ -76,6 +79,9 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, epoch_docs: int
     rates = (rates.withColumn("_draws", draws)
              .select(F.col("source").alias("_source"), F.col("rate"), "_draws",
                      _thresholds(F.col("rate") / F.col("_draws")).alias("_cdf")))
+    rates = (work or Work(docs.sparkSession, "poisson-mix")).table(rates, "rates")
+    if rates.count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("_draws")), F.lit(0),
