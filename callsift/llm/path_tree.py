@@ -6,10 +6,9 @@ A url's host and path come from its text. Per host:
    beyond DEPTH are one segment. Equal typed paths are counted once, with their
    labelled and good pages.
 2. Level by level, the children of a template node are named. A child becomes
-   the wildcard ``*`` if the node has more than MAX_CHILDREN children and this
-   one holds under RARE of its pages (a variable segment), or if its share of
-   good pages does not differ from its siblings' (two-proportion z-test): like
-   branches merge, odd ones stay apart.
+   the wildcard ``*`` if its share of good pages does not differ from its
+   siblings' (two-proportion z-test, whatever their number and its size): like
+   branches and variable segments merge, odd ones stay apart.
 3. A template's purity is its share of good labelled pages, smoothed towards
    its host's, which is smoothed towards that of all pages. Templates of purity
    below LEAST are blocked.
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 from callsift.llm.work import Work, set_aside
 
 DEPTH = 4
+# Of the oracle's SQL alone: it merges the rare children of many whatever their labels say.
 MAX_CHILDREN = 32
 RARE = 0.01
 Z = 1.96
@@ -74,10 +74,10 @@ def templates(counted: DataFrame) -> DataFrame:
     t = counted.withColumn("template", F.lit(""))
     for level in range(DEPTH):
         t = t.withColumn("seg", F.get("parts", F.lit(level)))
-        kids = t.groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "good")))
+        kids = t.groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("labelled", "good")))
         nodes = kids.filter("seg IS NOT NULL").groupBy("host", "template").agg(
             F.count(F.lit(1)).alias("kids"),
-            *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "good")))
+            *(F.sum(c).alias(f"all_{c}") for c in ("labelled", "good")))
         other, other_good = F.col("all_labelled") - F.col("labelled"), F.col("all_good") - F.col("good")
         share = F.col("all_good") / F.col("all_labelled")
         spread = share * (1 - share) * (1 / F.col("labelled") + 1 / other)
@@ -85,10 +85,9 @@ def templates(counted: DataFrame) -> DataFrame:
         # siblings that cannot be told apart, too: no labels, or one share for all
         alike = (F.when((F.col("labelled") == 0) | (other == 0), F.lit(True))
                  .otherwise((spread <= 0) | (gap < Z * F.sqrt(spread))))
-        rare = (F.col("kids") > MAX_CHILDREN) & (F.col("n") < RARE * F.col("all_n"))
         named = (kids.filter("seg IS NOT NULL").join(nodes, ["host", "template"])
                  .select("host", "template", "seg",
-                         F.when((F.col("kids") > 1) & (rare | alike), F.lit("*")).otherwise(F.col("seg")).alias("name")))
+                         F.when((F.col("kids") > 1) & alike, F.lit("*")).otherwise(F.col("seg")).alias("name")))
         t = (t.join(named, ["host", "template", "seg"], "left")
              .withColumn("template", F.concat("template", F.when(F.col("name").isNull(), F.lit("")).otherwise(
                  F.concat(F.lit("/"), F.col("name"))))).drop("name", "seg"))

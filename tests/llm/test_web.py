@@ -66,6 +66,23 @@ def test_bad_branches_are_blocked_and_like_ones_merge(frame):
             assert r.verdict == "allow"
 
 
+def test_a_rare_child_is_judged_by_its_labels(frame):
+    # 150 sections, one odd and well labelled one under 1 % of the host's pages
+    rows, labels = [], []
+    for host, odd_is_good in (("good.net", False), ("bad.net", True)):
+        for s in range(150):
+            section = f"s{chr(97 + s // 26)}{chr(97 + s % 26)}"
+            for i in range(30 if s == 7 else 40):
+                rows.append((len(rows), f"http://{host}/{section}/{i}", None))
+                labels.append((len(labels), odd_is_good if s == 7 else (i % 20 == 0) == odd_is_good))
+    got = path_tree.judge(frame(rows, PAGES), frame(labels, "page_id long, good boolean")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        odd = r.path.startswith("/sah/")
+        assert r.template == ("/sah/{n}" if odd else "/*/{n}")
+        assert r.verdict == ("allow" if odd == (r.host == "bad.net") else "block")
+
+
 def test_no_pages_to_judge(frame):
     assert path_tree.judge(frame([], PAGES), frame([], "page_id long, good boolean"), URL_RULES).collect() == []
 
