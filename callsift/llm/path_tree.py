@@ -2,10 +2,11 @@
 
 A url's host and path come from its text. Per host:
 
-1. Path segments are generalised: a run of digits becomes ``{n}``; segments
-   beyond DEPTH are one segment. Equal typed paths are counted once, with their
-   labelled and good pages.
-2. Level by level, the children of a template node are named. A child becomes
+1. Path segments are generalised: a run of digits becomes ``{n}``. Equal typed
+   paths are counted once, with their labelled and good pages.
+2. Level by level, until no path has a further segment, the children of a
+   template node are named; an only child's path is followed at once as far as
+   it does not branch. A child becomes
    the wildcard ``*`` if its share of good pages does not differ from its
    siblings' (two-proportion z-test, whatever their number and its size): like
    branches and variable segments merge, odd ones stay apart.
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 
 from callsift.llm.work import Work, set_aside
 
+# Of the oracle's SQL alone: it glues the segments from DEPTH on and merges the
+# rare children of many whatever their labels say.
 DEPTH = 4
-# Of the oracle's SQL alone: it merges the rare children of many whatever their labels say.
 MAX_CHILDREN = 32
 RARE = 0.01
 Z = 1.96
@@ -63,21 +65,27 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 
 def _typed(path: Column) -> Column:
-    """The path's segments, typed; those from DEPTH on are one."""
-    parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/"), lambda s: s != "")
-    return F.when(F.size(parts) <= DEPTH, parts).otherwise(F.concat(
-        F.slice(parts, 1, DEPTH - 1), F.array(F.array_join(F.slice(parts, DEPTH, F.greatest(F.size(parts), F.lit(1))), "/"))))
-
-
-def templates(counted: DataFrame) -> DataFrame:
-    """(host, parts, template) of typed paths (host, parts, n, labelled, good)."""
-    t = counted.withColumn("template", F.lit(""))
-    for level in range(DEPTH):
-        t = t.withColumn("seg", F.get("parts", F.lit(level)))
-        kids = t.groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("labelled", "good")))
-        nodes = kids.filter("seg IS NOT NULL").groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("kids"),
-            *(F.sum(c).alias(f"all_{c}") for c in ("labelled", "good")))
+    """The path's segments, typed."""
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/"), lambda s: s != "")
+
+
+def templates(counted: DataFrame, work: Work) -> DataFrame:
+    """(host, parts, labelled, good, template) of typed paths (host, parts,
+    labelled, good); a written table for each level."""
+    columns = ["host", "parts", "labelled", "good"]
+    # tail: the segments that the template does not hold yet
+    t = counted.select(*columns, F.lit("").alias("template"), F.col("parts").alias("tail"))
+    levels = []
+    while True:
+        levels.append(f"level{len(levels)}")
+        t = work.table(t, levels[-1])
+        left = t.filter(F.size("tail") > 0).withColumn("seg", F.get("tail", F.lit(0)))
+        if left.isEmpty():
+            break
+        kids = left.groupBy("host", "template", "seg").agg(
+            *(F.sum(c).alias(c) for c in ("labelled", "good")), F.min("tail").alias("lo"), F.max("tail").alias("hi"))
+        nodes = kids.groupBy("host", "template").agg(
+            F.count(F.lit(1)).alias("kids"), *(F.sum(c).alias(f"all_{c}") for c in ("labelled", "good")))
         other, other_good = F.col("all_labelled") - F.col("labelled"), F.col("all_good") - F.col("good")
         share = F.col("all_good") / F.col("all_labelled")
         spread = share * (1 - share) * (1 / F.col("labelled") + 1 / other)
@@ -85,13 +93,19 @@ def templates(counted: DataFrame) -> DataFrame:
         # siblings that cannot be told apart, too: no labels, or one share for all
         alike = (F.when((F.col("labelled") == 0) | (other == 0), F.lit(True))
                  .otherwise((spread <= 0) | (gap < Z * F.sqrt(spread))))
-        named = (kids.filter("seg IS NOT NULL").join(nodes, ["host", "template"])
-                 .select("host", "template", "seg",
-                         F.when((F.col("kids") > 1) & alike, F.lit("*")).otherwise(F.col("seg")).alias("name")))
-        t = (t.join(named, ["host", "template", "seg"], "left")
-             .withColumn("template", F.concat("template", F.when(F.col("name").isNull(), F.lit("")).otherwise(
-                 F.concat(F.lit("/"), F.col("name"))))).drop("name", "seg"))
-    return t
+        # what the least and the greatest tail begin with, all between them do
+        same = F.zip_with("lo", "hi", lambda x, y: F.coalesce(x == y, F.lit(False)))
+        apart = F.array_position(same, F.lit(False)).cast("int")
+        common = F.when(apart > 0, apart - 1).otherwise(F.size("lo"))
+        named = (kids.join(nodes, ["host", "template"]).withColumn("step", F.when(F.col("kids") > 1, 1).otherwise(common))
+                 .select("host", "template", "seg", "step",
+                         F.when((F.col("kids") > 1) & alike, F.lit("*"))
+                         .otherwise(F.array_join(F.slice("lo", F.lit(1), F.col("step")), "/")).alias("name")))
+        t = left.join(named, ["host", "template", "seg"]).select(
+            *columns, F.concat("template", F.lit("/"), "name").alias("template"),
+            F.slice("tail", F.col("step") + 1, F.greatest(F.size("tail") - F.col("step"), F.lit(0))).alias("tail"))
+    ended = t.sparkSession.read.schema(t.schema).parquet(*map(work.path, levels)).filter(F.size("tail") == 0)
+    return ended.drop("tail")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = (), url: str = "url",
@@ -107,9 +121,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     counted = work.table(
         seen.select(page_id, "host", "_parts").join(known, F.col(page_id) == F.col("_labelled"), "left")
         .groupBy("host", F.col("_parts").alias("parts"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count("_good").alias("labelled"),
-             F.coalesce(F.sum("_good"), F.lit(0)).alias("good")), "counted")
-    tree = work.table(templates(counted), "tree")
+        .agg(F.count("_good").alias("labelled"), F.coalesce(F.sum("_good"), F.lit(0)).alias("good")), "counted")
+    tree = templates(counted, work)
     total = counted.agg(((F.sum("good") + 1) / (F.sum("labelled") + 2)).alias("p"))
     hosts = counted.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("good").alias("hg")).select(
         "host", ((F.col("hg") + WEIGHT * total.scalar()) / (F.col("hl") + WEIGHT)).alias("hp"))

@@ -1,6 +1,8 @@
 import hashlib
 import io
+import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -83,6 +85,81 @@ def test_a_rare_child_is_judged_by_its_labels(frame):
         assert r.verdict == ("allow" if odd == (r.host == "bad.net") else "block")
 
 
+def brute_templates(pages, good):
+    """Template and purity of each page, node by node over plain lists."""
+    template, hosts = {}, defaultdict(list)
+    for i, u, _ in pages:
+        host, path = want_parts(u)
+        hosts[host].append((i, [s for s in re.sub("[0-9]+", "{n}", path).split("/") if s]))
+
+    def counts(ids):
+        known = [good[i] for i in ids if i in good]
+        return len(known), sum(known)
+
+    def descend(rows, at):
+        kids = defaultdict(list)
+        for i, parts in rows:
+            if parts:
+                kids[parts[0]].append((i, parts[1:]))
+            else:
+                template[i] = at
+        al, ag = counts([i for own in kids.values() for i, _ in own])
+        nodes = defaultdict(list)
+        for seg, own in kids.items():
+            n, g = counts([i for i, _ in own])
+            apart = len(kids) == 1
+            if not apart and 0 < n < al:
+                spread = ag / al * (1 - ag / al) * (1 / n + 1 / (al - n))
+                apart = spread > 0 and abs(g / n - (ag - g) / (al - n)) >= path_tree.Z * math.sqrt(spread)
+            nodes[seg if apart else "*"] += own
+        for name, own in nodes.items():
+            descend(own, f"{at}/{name}")
+
+    n, g = counts(good)
+    purity, w = {}, path_tree.WEIGHT
+    for rows in hosts.values():
+        descend(rows, "")
+        hn, hg = counts([i for i, _ in rows])
+        own = defaultdict(list)
+        for i, _ in rows:
+            own[template[i]].append(i)
+        for ids in own.values():
+            tn, tg = counts(ids)
+            purity |= dict.fromkeys(ids, (tg + w * (hg + w * (g + 1) / (n + 2)) / (hn + w)) / (tn + w))
+    return template, purity
+
+
+def test_every_level_of_a_path_is_judged(frame):
+    rng = random.Random(5)
+    rows, good = [], {}
+
+    def page(url, label=None):
+        if label is not None:
+            good[len(rows)] = label
+        rows.append((len(rows), url, None))
+
+    for i in range(400):  # the branch that tells is the fourth segment, before a variable tail
+        bad = i % 4 == 0
+        slug = "".join(rng.choice("abcdefgh") for _ in range(6))
+        page(f"http://dates.net/2021/{i % 12}/{i % 28}/{'spam' if bad else 'good'}/{slug}", not bad if i % 3 else None)
+    for _ in range(1500):  # up to nine segments; ended paths inside others; names like the wildcard
+        segs = [rng.choice(["a", "b", "c", "*", "7"]) for _ in range(rng.randrange(10))]
+        page(f"http://deep{rng.randrange(3)}.net/{'/'.join(segs)}", rng.random() < (0.2 if "b" in segs[3:6] else 0.9)
+             if rng.random() < 0.8 else None)
+    page("http://lone.net/" + "/".join("xyz"[i % 3] * (i + 1) for i in range(150)), True)
+    page("http://chain.net/a/b/c/d/e/f/g", True)
+    page("http://chain.net/a/b/c", False)
+    page("http://chain.net/a/b/c/d/e/f", None)
+    got = path_tree.judge(frame(rows, PAGES), frame(list(good.items()), "page_id long, good boolean")).collect()
+    template, purity = brute_templates(rows, good)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.template == template[r.page_id] and r.purity == pytest.approx(purity[r.page_id], abs=1e-12)
+        assert r.verdict == ("block" if r.purity < path_tree.LEAST else "allow")
+    dates = {(r.path.split("/")[4], r.template, r.verdict) for r in got if r.host == "dates.net"}
+    assert dates == {("spam", "/{n}/{n}/{n}/spam/*", "block"), ("good", "/{n}/{n}/{n}/good/*", "allow")}
+
+
 def test_no_pages_to_judge(frame):
     assert path_tree.judge(frame([], PAGES), frame([], "page_id long, good boolean"), URL_RULES).collect() == []
 
