@@ -479,6 +479,13 @@ def q_examples(spark, sf):
     return EX.example_classify(_turn_texts(spark, sf), R.user_examples(spark), threshold=1.0)
 
 
+@register("example_classify_fuzzy")
+def q_examples_fuzzy(spark, sf):
+    """All matches at the operator's default threshold, fuzzy ones too; no
+    oracle, as SQL has no difflib ratio (held against it in the tests)."""
+    return EX.example_classify(_turn_texts(spark, sf), R.user_examples(spark))
+
+
 @register("example_contains", (
     f"WITH tx AS ({_TURNS_SQL}), ex AS (SELECT * FROM {_examples_sql()}) "
     "SELECT ex.example_ord, count(*) AS n_texts FROM tx JOIN ex "

@@ -233,6 +233,38 @@ def test_example_pairs_random(spark):
         assert got == want, thr
 
 
+def test_fuzzy_example_query_equals_difflib(spark, tmp_path):
+    """The registered query at the default threshold, over turns near the examples."""
+    import random
+
+    from callsift.plans import registry
+    from callsift.sources import ruleset
+    rnd = random.Random(4)
+    rows = [(1, 0, "user", None), (1, 1, "user", "zzqx never appears"), (None, None, None, "zzqx never appear")]
+    for i, (ph, *_) in enumerate(ruleset.USER_EXAMPLES):
+        for k in range(12):
+            text = list(ph.strip())
+            for _ in range(k // 2):
+                text[rnd.randrange(len(text))] = rnd.choice("aeq x")
+            rows.append((10 + i, k, rnd.choice(["user", "assistant", "system"]), "".join(text)))
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    want = set()
+    for t in registry._turn_texts(spark, str(tmp_path)).collect():
+        text, best = " ".join(t.transcript.lower().split()), None
+        for ph, cat, sub, ter, conf in ruleset.USER_EXAMPLES:
+            norm = " ".join(ph.lower().split())
+            s = 1.0 if norm in text else difflib.SequenceMatcher(None, text, norm).ratio()
+            if s >= 0.85 and (best is None or s > best[0]):
+                best = (s, ph.lower().strip(), cat, sub, ter, round((0.95 if conf is None else conf) * s, 9))
+        if best:
+            want.add((t.transcript_id, round(best[0], 9), *best[1:]))
+    got = registry.QUERIES["example_classify_fuzzy"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and any(r.similarity < 1 for r in got)
+    assert {(r.transcript_id, round(r.similarity, 9), r.matched_phrase, r.category, r.subcategory, r.tertiary_category,
+             round(r.confidence, 9)) for r in got} == want
+
+
 def test_low_confidence_sample_worst_first_and_fallback(spark):
     rows = [(i, 0.3 + (i % 7) / 10.0) for i in range(120)]
     df = spark.createDataFrame(rows, "transcript_id long, confidence double")
