@@ -5,7 +5,7 @@ longer than a sequence are cut. Full pieces are sequences by themselves. The
 others are dealt at random into groups of a bounded number of pieces; each
 group is packed best-fit-decreasing, then a local search moves and exchanges
 pieces between underfull bins, always raising the sum of squared fills, until
-bins empty. A group wastes less than one bin against its own lower bound in
+no bin has an improving step or no packing can have fewer. A group wastes less than one bin against its own lower bound in
 the usual case, so the loss of packing groups apart is at most about one bin
 per group.
 
@@ -231,21 +231,46 @@ class Bins:
         self.fill[other] += grow
         self.fill[donor] -= grow
 
+    def _hopeful(self) -> np.ndarray:
+        """Whether a bin may have an improving step; no other bin has one.
+
+        ``put`` tokens in place of an item of size s, or of none (s = 0), in a
+        bin of room r need s < put <= s + r and raise the squares only if
+        s + r - put is under the donor's room."""
+        room = np.where(self.fill > 0, self.capacity - self.fill, 0)
+        n, own = self.capacity + 1, room[self.bin]
+        ends = np.unique(np.r_[room[room > 0], self.size[own > 0] * n + own[own > 0]])
+        s, r = ends // n, ends % n
+        excess = np.full(n, n)
+        for e, low in sorted(zip((s + r).tolist(), s.tolist(), strict=True), reverse=True):
+            excess[low + 1:e + 1] = e
+        excess -= np.arange(n)
+        may = np.zeros(len(self.fill), bool)
+        may[self.bin[excess[self.size] < own]] = True
+        rest = np.flatnonzero((own > 0) & ~may[self.bin])
+        rest = rest[np.argsort(self.bin[rest], kind="stable")]
+        size, at = self.size[rest], self.bin[rest]
+        for d in range(1, len(rest)):  # pairs of a bin, d places apart
+            pair = np.flatnonzero(at[d:] == at[:-d])
+            if not len(pair):
+                break
+            good = excess[size[pair] + size[pair + d]] < room[at[pair]]
+            may[at[pair[good]]] = True
+        return may
+
     def improve(self) -> None:
         """Empty the least filled bins, one after the other, while the free
-        room still adds up to a bin."""
-        dead: set[int] = set()
-        while self.surplus():
-            left = [b for b in np.argsort(self.fill, kind="stable").tolist() if self.fill[b] > 0 and b not in dead]
-            if not left:
-                return
-            donor = left[0]
-            while self.fill[donor] > 0 and self._step(donor):
-                pass
-            if self.fill[donor] > 0:
-                dead.add(donor)
-            if len(dead) > self.surplus() + 32:
-                return
+        room still adds up to a bin: rounds over all bins until a whole round
+        has no improving step."""
+        moved = True
+        while moved and self.surplus():
+            moved, may = False, self._hopeful()
+            while may.any() and self.surplus():
+                left = np.flatnonzero(may)
+                donor = int(left[self.fill[left].argmin()])
+                may[donor] = False
+                while self.fill[donor] > 0 and self._step(donor):
+                    moved = True
 
     def offsets(self) -> np.ndarray:
         order = np.argsort(self.bin, kind="stable")

@@ -76,6 +76,21 @@ def test_search_empties_a_bin_that_best_fit_leaves():
     assert (first.fill ** 2).sum() > squares and first.fill.max() <= 100
 
 
+@pytest.mark.parametrize("seed,low,high,n", [(1, 26, 51, 300), (2, 10, 70, 600), (13, 25, 48, 300), (20, 20, 60, 150)])
+def test_search_ends_only_when_no_bin_improves(seed, low, high, n):
+    size = np.random.default_rng(seed).integers(low, high, n)
+    b = swap_pack.Bins(size, 100)
+    b.best_fit()
+    first = (b.fill > 0).sum()
+    b.improve()
+    used = (b.fill > 0).sum()
+    assert used <= first and b.fill.max() <= 100 and (np.bincount(b.bin, size, len(b.fill)) == b.fill).all()
+    if b.surplus():
+        assert not any(b._step(d) for d in np.flatnonzero(b.fill))
+    if seed == 1:  # a donor that failed once empties after later exchanges
+        assert used == 123
+
+
 def test_replication_counts_and_order(frame):
     import hashlib
 
