@@ -14,16 +14,12 @@ from callsift.llm import ftrl_langid, phrase_dedup, poisson_mix, prob_minhash, s
 from callsift.llm.queries import tokenizer_path
 from callsift.llm.work import Work, id_remainder, table
 
-# Texts whose language is less certain than this go.
-LEAST_LANG_SCORE = 0.5
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay; ``und`` and uncertain ones go."""
+    """Documents in a learned language stay, also those that several share; ``und`` go."""
     model = ftrl_langid.fit(docs.filter(id_remainder() != 0).select("text", "lang"))
     known = ftrl_langid.predict(docs, model)
-    return (known.filter((F.col("lang_pred") != ftrl_langid.UNKNOWN) & (F.col("score") >= LEAST_LANG_SCORE))
-            .select(*docs.columns))
+    return known.filter(F.col("lang_pred") != ftrl_langid.UNKNOWN).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,6 +77,18 @@ def test_each_stage_equals_brute_force(spark):
     assert max(fill.values()) <= 4096 and len(fill) <= math.ceil(sum(fill.values()) / 4096) + 1
 
 
+def test_documents_that_close_languages_share_stay(spark):
+    # four languages of the same words: no score of a text reaches 0.5
+    words = ["lorem", "ipsum", "dolor", "sit", "amet", "elit"]
+    rows = [(i, " ".join(words[(i // 4 + k) % 6] for k in range(4)), f"l{i % 4}", "web", 25) for i in range(400)]
+    rows += [(400, "123 --", "l0", "web", 6), (401, None, "l1", "web", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = ftrl_langid.fit(docs.filter(id_remainder() != 0).select("text", "lang"))
+    assert any(model.predict(r[1])[1] < 0.5 for r in rows[:400])
+    got = corpus_pipeline.language_id(spark, docs, SF).collect()
+    assert sorted(tuple(r) for r in got) == rows[:400]
+
+
 def test_run_of_all_stages_and_of_an_empty_table(spark, tmp_path):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 0
