@@ -7,6 +7,7 @@ labels, pages) and the built-in rule tables; its work grows with the data.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -701,12 +702,12 @@ PROMPT_CONTEXT = 1200
 
 
 @register("coaching_prompts", "WITH " + O.classified_ctes().strip() + _prompt_ctes(PROMPT_CONTEXT) + " SELECT * FROM prompts")
-def q_prompts(spark, sf):
-    return _prompts(spark, sf)
+def q_prompts(spark, sf, context=PROMPT_CONTEXT):
+    return _prompts(spark, sf, context)
 
 
-def _prompts(spark, sf):
-    p = CO.coaching_prompts(CO.nest_bundle(_bundle(spark, sf)), context_limit=PROMPT_CONTEXT)
+def _prompts(spark, sf, context):
+    p = CO.coaching_prompts(CO.nest_bundle(_bundle(spark, sf)), context_limit=context)
     return p.select("agent_name", "was_truncated", "est_tokens", "prompt_hash")
 
 
@@ -814,14 +815,14 @@ def _prompt_cache(prompts):
 
 @register("coaching_pending", "WITH " + O.classified_ctes().strip() + _prompt_ctes(PROMPT_CONTEXT)
           + " SELECT * FROM prompts WHERE substring(prompt_hash, 1, 1) >= '8'")
-def q_coaching_pending(spark, sf):
-    prompts = materialize(_prompts(spark, sf))
+def q_coaching_pending(spark, sf, context=PROMPT_CONTEXT):
+    prompts = materialize(_prompts(spark, sf, context))
     return CO.pending_prompts(prompts, _prompt_cache(prompts), UPLOAD_USER, NOW_TS).select(
         "agent_name", "was_truncated", "est_tokens", "prompt_hash")
 
 
-def _coaching(spark, sf):
-    prompts = materialize(_prompts(spark, sf))
+def _coaching(spark, sf, context):
+    prompts = materialize(_prompts(spark, sf, context))
     n = F.conv(F.substring("prompt_hash", 2, 2), 16, 10).cast("int")
     replies = prompts.select("agent_name", "prompt_hash", _reply(n, F.col("prompt_hash"), F.col("agent_name")).alias("content"))
     return CO.coaching_results(prompts, replies, _prompt_cache(prompts), UPLOAD_USER, NOW_TS, "asked-model")
@@ -837,8 +838,8 @@ _ANSWERED_SQL = _parsed_sql(
     " SELECT agent_name, prompt_hash, was_truncated, TRUE AS cached, 'cached-model' AS model_used, 'cache' AS parse_path, "
     "prompt_hash AS root_cause FROM prompts WHERE substring(prompt_hash, 1, 1) < '8' UNION ALL "
     f"SELECT agent_name, prompt_hash, was_truncated, FALSE, 'asked-model', path, root_cause FROM {_ANSWERED_SQL} a"))
-def q_coaching_results(spark, sf):
-    results, _ = _coaching(spark, sf)
+def q_coaching_results(spark, sf, context=PROMPT_CONTEXT):
+    results, _ = _coaching(spark, sf, context)
     return results.select("agent_name", "prompt_hash", "was_truncated", "cached", "model_used", "parse_path",
                           F.get_json_object("coaching_json", "$.root_cause").alias("root_cause"))
 
@@ -846,12 +847,19 @@ def q_coaching_results(spark, sf):
 @register("coaching_cache_write", "WITH " + O.classified_ctes().strip() + _prompt_ctes(PROMPT_CONTEXT) + (
     f" SELECT '{UPLOAD_USER}' AS user_id, agent_name, prompt_hash, root_cause, 'asked-model' AS model_used, "
     f"TIMESTAMP '{NOW_TS}' + INTERVAL 7 DAYS AS expires_at FROM {_ANSWERED_SQL} a WHERE path <> 'error'"))
-def q_coaching_write(spark, sf):
-    _, rows = _coaching(spark, sf)
+def q_coaching_write(spark, sf, context=PROMPT_CONTEXT):
+    _, rows = _coaching(spark, sf, context)
     return rows.select("user_id", "agent_name", "prompt_hash", F.get_json_object("coaching_json", "$.root_cause").alias("root_cause"),
                        "model_used", "expires_at")
 
 
+# The same at the operator's own context, the reference's default.
+for _name, _query in (("coaching_prompts", q_prompts), ("coaching_pending", q_coaching_pending),
+                      ("coaching_cache_first", q_coaching_results), ("coaching_cache_write", q_coaching_write)):
+    register(f"{_name}_default", ORACLE[_name].replace(_prompt_ctes(PROMPT_CONTEXT), _prompt_ctes(CO.DEFAULT_CONTEXT)))(
+        functools.partial(_query, context=None))
+
+
 # --------------------------------------------------------------------------
 # Report aggregates (E16) and exports
 # --------------------------------------------------------------------------

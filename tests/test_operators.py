@@ -205,6 +205,31 @@ def test_coaching_prompt_budget_by_model(spark):
         assert r.est_tokens == len(r.prompt) // 4
 
 
+def test_default_prompt_queries_keep_whole_samples(spark, monkeypatch):
+    """Agents over the small context's budget get their whole prompts at the operator's default."""
+    from callsift.plans import registry
+    flat = spark.createDataFrame(
+        [("a1", 9, 0.8, 3, 4, r, f"cat{r}" * 30, 10 - r, r, "sub", 0.8, "x" * 500) for r in range(1, 6)]
+        + [(f"b{i}", 1, 0.5, 1, 1, 1, "c", 1, 99, "s", 0.5, "short") for i in range(20)],
+        "agent_name string, total_calls long, avg_confidence double, unique_categories long, "
+        "unique_subcategories long, rank int, category string, count long, sample_id long, "
+        "sample_subcategory string, sample_confidence double, sample_text string")
+    monkeypatch.setattr(registry, "_bundle", lambda spark, sf: flat)
+    run = {k: {r.agent_name: r for r in registry.QUERIES[k](spark, "").collect()} for k in (
+        "coaching_prompts", "coaching_prompts_default", "coaching_pending_default", "coaching_cache_first_default",
+        "coaching_cache_write_default")}
+    whole = {r.agent_name: r for r in coaching.coaching_prompts(coaching.nest_bundle(flat)).collect()}
+    small, got = run["coaching_prompts"], run["coaching_prompts_default"]
+    assert small["a1"].was_truncated and not got["a1"].was_truncated and whole["a1"].prompt.count("x" * 500) == 5
+    assert {a: r.prompt_hash for a, r in got.items()} == {a: r.prompt_hash for a, r in whole.items()}
+    assert small["a1"].prompt_hash != got["a1"].prompt_hash
+    assert {a: r.prompt_hash for a, r in run["coaching_cache_first_default"].items()}.items() <= {
+        a: r.prompt_hash for a, r in whole.items()}.items()
+    pending = {a: r.prompt_hash for a, r in whole.items() if r.prompt_hash[0] >= "8"}
+    assert {a: r.prompt_hash for a, r in run["coaching_pending_default"].items()} == pending
+    assert {a: r.prompt_hash for a, r in run["coaching_cache_write_default"].items()}.items() <= pending.items()
+
+
 def test_example_pairs_random(spark):
     """Every (text, example) pair at several thresholds against brute force
     over all pairs (substring -> 1.0, else difflib ratio), including empty
