@@ -15,15 +15,18 @@ from callsift.llm import (
     block_topk,
     ftrl_langid,
     path_tree,
+    periodic_runs,
     phrase_dedup,
     poisson_mix,
+    prefix_trie,
     prob_minhash,
     pu_quality,
+    rank_codec,
     spherical_dedup,
     swap_pack,
     warc_index,
 )
-from callsift.llm.work import id_remainder, table
+from callsift.llm.work import Work, id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -218,3 +221,60 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "component_id", "n_copies", "kept")
+
+
+@register("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_cycles(table(spark, sf_dir, "documents"))
+    found = periodic_runs.periodic_runs(docs).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
+def _trie_oracle() -> str:
+    """Every rebuilt conversation lists the names of its prefixes; a node's
+    subtree is what its smallest member's prefixes lie above."""
+    crc = ("xor(list_reduce([4294967295] || [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')], "
+           "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+           "lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)")
+    return f"""
+    WITH z AS (SELECT conv_id, turn, coalesce(text, '') AS text,
+                      md5(length(coalesce(role, '')) || ' ' || coalesce(role, '') || coalesce(text, '')) AS k
+               FROM conversations WHERE conv_id IS NOT NULL),
+         t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS p FROM z),
+         c AS (SELECT DISTINCT conv_id, CAST({crc} AS BIGINT) % 4 AS h FROM conversations WHERE conv_id IS NOT NULL),
+         r AS (SELECT c.conv_id, 0 AS part, p, k, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND p <= h
+               UNION ALL SELECT c.conv_id, 1, p, k, text FROM c JOIN t ON t.conv_id = c.conv_id AND p > h),
+         s AS (SELECT conv_id, row_number() OVER w AS depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, k
+               FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, p)),
+         x AS (SELECT conv_id, depth, words, md5(string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS name FROM s
+               UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+         e AS (SELECT name, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends
+               FROM (SELECT conv_id, arg_max(name, depth) AS name FROM x GROUP BY conv_id) GROUP BY name),
+         n AS (SELECT name, depth, any_value(words) AS words, min(conv_id) AS low, count(*) AS n FROM x GROUP BY name, depth),
+         m AS (SELECT n.*, q.name AS up, u.low AS up_low FROM n
+               LEFT JOIN x q ON q.conv_id = n.low AND q.depth = n.depth - 1 LEFT JOIN n u ON u.name = q.name),
+         k AS (SELECT up AS name, count(*) AS kids FROM m WHERE up IS NOT NULL GROUP BY up),
+         g AS (SELECT a.name, sum(CAST(k.kids IS NULL AS INTEGER)) AS leaves, sum((n.n - 1) * n.words) AS saved
+               FROM n LEFT JOIN k USING (name) JOIN x a ON a.conv_id = n.low AND a.depth <= n.depth GROUP BY a.name)
+    SELECT m.low AS conv_id, CAST(m.depth AS BIGINT) AS depth, m.up_low AS parent_conv_id, CAST(m.n AS BIGINT) AS n_convs,
+           CAST(coalesce(k.kids, 0) AS BIGINT) AS n_children, CAST(g.leaves AS BIGINT) AS n_leaves,
+           CAST(g.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+    FROM m JOIN g ON m.name = g.name LEFT JOIN k ON m.name = k.name LEFT JOIN e ON m.name = e.name"""
+
+
+@register("op12_prefix_trie", _trie_oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(turns))
+
+
+@register("op13_token_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Work(spark, "token-files")
+    path = work.path("files")
+    rank_codec.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), work=work)
+    return rank_codec.read_ids(spark, path, with_ids=False, work=work)

@@ -23,8 +23,8 @@ class Work:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+    def table(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+        df.write.parquet(self.path(name), compression=compression)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def _folder(self, name: str):
