@@ -1,30 +1,45 @@
 """User examples: phrase match by substring, else by Ratcliff-Obershelp
 similarity (``difflib.SequenceMatcher.ratio``), threshold 0.85.
 
-Plan: the examples are configuration (read once). One Arrow pass appends
-each text's scoring examples as an array of structs: an automaton over the
-phrases finds every contained one (similarity 1.0); the ratio never exceeds
-``2*min(la, lb) / (la + lb)``, so only examples whose length lies in that band
-around the text's (found by bisection) reach difflib. The best example of a
-text is an array maximum, so no row is regrouped.
+An automaton over the phrases finds every contained one (similarity 1.0). The
+ratio of others is 2 M / S, S the characters of both sides and M the matched
+ones. Three bounds keep pairs from difflib, none of them loses one:
+  * lengths: M <= the shorter side;
+  * bigrams: the matched characters lie in at most S - 2 M + 1 blocks, so the
+    sides share at least 3 M - S - 1 bigrams (with multiplicity). Postings
+    bigram -> (phrase, count) over the phrases in order of length give the
+    shared bigrams of all phrases of the length band at once;
+  * characters: M <= the shared characters (``quick_ratio``).
+
+Plan: examples up to a checked size are read by the driver, and one Arrow pass
+appends each text's scoring examples; no row is regrouped. Beyond it (examples
+grow with every correction) they are dealt into parts by length, and texts
+meet, in cells of bounded bytes, the parts whose phrases they could contain or
+resemble; nothing of either side reaches the driver. Both ways give the same.
 """
 
 from __future__ import annotations
 
-import bisect
 import difflib
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callsift.functions.patterns import WS
 from callsift.functions.text import collapse_ws
 from callsift.operators.matching import Phrases, append_structs
+from callsift.session import write_table
 
 THRESHOLD = 0.85
 DEFAULT_CONFIDENCE = 0.95
 FIELDS = [("example_ord", T.LongType()), ("similarity", T.DoubleType())]
+# Examples that the driver reads and every task receives: rows, and characters of phrases.
+LOCAL_EXAMPLES, LOCAL_CHARS = 20_000, 8 << 20
+# Beyond: phrases of a part, and characters of texts in a cell.
+PART_EXAMPLES, CELL_CHARS = 20_000, 32 << 20
 
 
 def prepare_examples(examples: DataFrame) -> DataFrame:
@@ -43,65 +58,168 @@ def prepare_examples(examples: DataFrame) -> DataFrame:
         F.coalesce(F.col("confidence"), F.lit(DEFAULT_CONFIDENCE)).alias("example_confidence"))
 
 
+def _bigrams(text: str) -> np.ndarray:
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return c[:-1] << 21 | c[1:]
+
+
+class BigramIndex:
+    """Postings bigram -> (phrase, count) over phrases in order of length."""
+
+    def __init__(self, phrases: list[str], threshold: float):
+        self.phrases = sorted(phrases, key=lambda p: (len(p), p))
+        self.threshold = threshold
+        self.lengths = np.array([len(p) for p in self.phrases], np.int64)
+        grams = [_bigrams(p) for p in self.phrases]
+        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
+        self.vocabulary, number = np.unique(flat, return_inverse=True)
+        # by bigram, then phrase
+        self.key, self.count = np.unique(number * max(len(grams), 1) + owner, return_counts=True)
+
+    def shared(self, text: str, low: int, high: int) -> np.ndarray:
+        """The bigrams that a text shares with each phrase from low to high."""
+        own, count = np.unique(_bigrams(text), return_counts=True)
+        at = np.searchsorted(self.vocabulary, own)
+        known = at < len(self.vocabulary)
+        known[known] = self.vocabulary[at[known]] == own[known]
+        at, count, width = at[known], count[known], len(self.phrases)
+        first, last = np.searchsorted(self.key, at * width + low), np.searchsorted(self.key, at * width + high)
+        n = last - first
+        entry = np.arange(int(n.sum())) + np.repeat(first - np.cumsum(n) + n, n)
+        both = np.minimum(self.count[entry], np.repeat(count, n))
+        return np.bincount(self.key[entry] - np.repeat(at * width, n) - low, both, high - low)
+
+    def near(self, text: str) -> list[str]:
+        """The phrases whose ratio may reach the threshold."""
+        t, n = self.threshold, len(text)
+        low, high = 0, len(self.phrases)
+        if t > 0.0:  # 2 min / (n + m) >= t holds for m from n t / (2 - t) to n (2 - t) / t
+            low = int(np.searchsorted(self.lengths, n * t / (2.0 - t) - 1))
+            high = int(np.searchsorted(self.lengths, n * (2.0 - t) / t + 1, side="right"))
+        size = n + self.lengths[low:high]
+        least = 1.5 * t * size - size - 1 - 1e-6
+        if not len(size) or least.max() <= 0:
+            return self.phrases[low:high]
+        return [self.phrases[low + i] for i in np.flatnonzero(self.shared(text, low, high) >= least).tolist()]
+
+
 class ExampleMatcher:
-    """(example, similarity) of each example that scores ``threshold`` or more."""
+    """(example, similarity) of each example that scores ``threshold`` or more;
+    with ``best``, of the best one alone (the first of equals)."""
 
-    def __init__(self, examples: list[tuple[int, str]], threshold: float):
-        self.threshold = float(threshold)
+    def __init__(self, examples: list[tuple[int, str]], threshold: float, best: bool = False):
+        self.threshold, self.best = float(threshold), best
         self.phrases = Phrases([p for _, p in examples])
         self.of: dict[str, list[int]] = {}
         for o, p in examples:
             self.of.setdefault(p, []).append(o)
-        self.by_length = sorted((len(p), p) for p in self.of if p)
-        self.lengths = [n for n, _ in self.by_length]
+        self.index: BigramIndex | None = None  # made by each worker, as the automaton is
+
+    def __getstate__(self):
+        return self.__dict__ | {"index": None}
 
     def __call__(self, text: str) -> list[tuple]:
-        t, n = self.threshold, len(text)
+        t = self.threshold
         if t > 1.0:
             return []
+        if self.index is None:
+            # difflib sees lower case: phrases may differ in it and be alike there
+            self.lower: dict[str, list[str]] = {}
+            for p in filter(None, self.of):
+                self.lower.setdefault(p.lower(), []).append(p)
+            self.index = BigramIndex(list(self.lower), t)
         contained = {self.phrases.phrases[i] for i in self.phrases.find(text)}
         score = dict.fromkeys(contained, 1.0)
-        low, high = 0, len(self.lengths)
-        if t > 0.0:  # 2 min / (n + m) >= t holds for m from n t / (2 - t) to n (2 - t) / t
-            low = bisect.bisect_left(self.lengths, int(n * t / (2.0 - t)) - 1)
-            high = bisect.bisect_right(self.lengths, int(n * (2.0 - t) / t) + 1)
-        for m, p in self.by_length[low:high]:
-            if p not in contained and 2.0 * min(n, m) / (n + m) >= t:
-                r = difflib.SequenceMatcher(None, text.lower(), p.lower()).ratio()
-                if r >= t:
-                    score[p] = r
-        return [(o, s) for p, s in score.items() for o in self.of[p]]
-
-
-def _scored(texts: DataFrame, examples: DataFrame, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(rows with an array ``_found`` of (example_ord, similarity), examples as
-    a driver-local relation)."""
-    prepared = prepare_examples(examples)
-    rows = prepared.collect()
-    matcher = ExampleMatcher([(r.example_ord, r.phrase_norm) for r in rows], threshold)
-    own = texts.select("transcript_id", collapse_ws(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("_norm"))
-    found = append_structs(own, "_norm", "_found", FIELDS, matcher).drop("_norm")
-    return found, F.broadcast(texts.sparkSession.createDataFrame(rows, prepared.schema))
-
-
-def example_pairs(texts: DataFrame, examples: DataFrame, text_col: str = "transcript",
-                  threshold: float = THRESHOLD) -> DataFrame:
+        if not (self.best and contained):
+            low = text.lower()
+            for q in self.index.near(low):
+                if contained.issuperset(self.lower[q]) or 2.0 * min(len(low), len(q)) / (len(low) + len(q)) < t:
+                    continue
+                m = difflib.SequenceMatcher(None, low, q)
+                if m.quick_ratio() >= t and (r := m.ratio()) >= t:
+                    score.update((p, r) for p in self.lower[q] if p not in contained)
+        found = [(o, s) for p, s in score.items() for o in self.of[p]]
+        return [max(found, key=lambda f: (f[1], -f[0]))] if self.best and found else found
+
+
+def _normal(texts: DataFrame, text_col: str) -> DataFrame:
+    return texts.select("transcript_id", collapse_ws(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("_norm"))
+
+
+def _dealt(own: DataFrame, examples: DataFrame, threshold: float, best: bool, part_examples: int,
+           cell_chars: int) -> tuple[DataFrame, DataFrame]:
+    """((_row, example_ord, similarity) by cells, rows (_row, transcript_id)).
+    Parts hold phrases of neighbouring lengths, so a text goes to the parts
+    from the shortest phrases up to those it may resemble."""
+    rows = write_table(own.withColumn("_row", F.monotonically_increasing_id()), "example-texts")
+    n = F.length("phrase_norm").cast("long")
+    # as many rows as there are different lengths
+    sizes = examples.groupBy(n.alias("n")).agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("before") + F.pmod(F.xxhash64("example_ord", "phrase_norm"), F.col("c"))
+    parted = write_table(
+        examples.withColumn("n", n).join(sizes.withColumn("before", before), "n")
+        .select("example_ord", "phrase_norm", "n", F.floor(place / part_examples).cast("int").alias("part")), "example-parts")
+    ranges = parted.groupBy("part").agg(F.min("n").alias("n")).orderBy("n", "part").collect()  # two numbers a part
+    parts, shortest = F.lit([r.part for r in ranges]).cast("array<int>"), F.lit([r.n for r in ranges]).cast("array<long>")
+    t = float(threshold)
+    reach = F.length("_norm") * F.lit((2.0 - t) / t) + 1 if t > 0.0 else F.lit(float("inf"))
+    met = F.size(F.filter(shortest, lambda x: x <= reach))
+    salts = max(1, -(-(rows.agg(F.sum(F.length("_norm"))).first()[0] or 0) // cell_chars))
+    left = (rows.withColumn("part", F.explode(F.slice(parts, F.lit(1), met)))
+            .select("part", F.pmod(F.xxhash64("_row"), F.lit(salts)).alias("salt"), "_row", "_norm"))
+    right = parted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).select(
+        F.col("part").alias("p"), F.col("salt").alias("s"), "example_ord", "phrase_norm")
+
+    def meet(texts: pa.Table, phrases: pa.Table) -> pa.Table:
+        match = ExampleMatcher(list(zip(phrases["example_ord"].to_pylist(), phrases["phrase_norm"].to_pylist())), t, best)
+        row, ords, sims = [], [], []
+        for r, text in zip(texts["_row"].to_pylist(), texts["_norm"].to_pylist()):
+            for o, s in match(text):
+                row.append(r)
+                ords.append(o)
+                sims.append(s)
+        return pa.table({"_row": pa.array(row, pa.int64()), "example_ord": pa.array(ords, pa.int64()),
+                         "similarity": pa.array(sims, pa.float64())})
+
+    found = left.groupBy("part", "salt").cogroup(right.groupBy("p", "s")).applyInArrow(
+        meet, "_row long, example_ord long, similarity double")
+    return found, rows.select("_row", "transcript_id")
+
+
+def _matches(texts: DataFrame, examples: DataFrame, text_col: str, threshold: float, best: bool, local_examples: int,
+             part_examples: int, cell_chars: int) -> DataFrame:
+    """(transcript_id, example_ord, similarity and the example's columns)."""
+    prepared, own = prepare_examples(examples), _normal(texts, text_col)
+    some = prepared.limit(local_examples + 1).collect()  # at most so many rows
+    if len(some) <= local_examples and sum(len(r.phrase_norm) for r in some) <= LOCAL_CHARS:
+        matcher = ExampleMatcher([(r.example_ord, r.phrase_norm) for r in some], threshold, best)
+        found = append_structs(own, "_norm", "_found", FIELDS, matcher).select("transcript_id", F.explode("_found").alias("_f"))
+        known = F.broadcast(texts.sparkSession.createDataFrame(some, prepared.schema))
+        return found.select("transcript_id", "_f.*").join(known, "example_ord")
+    prepared = write_table(prepared, "examples")
+    found, rows = _dealt(own, prepared.select("example_ord", "phrase_norm"), threshold, best, part_examples, cell_chars)
+    if best:  # of the bests of a row's cells
+        found = found.groupBy("_row").agg(F.max(F.struct("similarity", (-F.col("example_ord")).alias("neg"))).alias("b")).select(
+            "_row", (-F.col("b.neg")).alias("example_ord"), "b.similarity")
+    return found.join(rows, "_row").drop("_row").join(prepared, "example_ord")
+
+
+def example_pairs(texts: DataFrame, examples: DataFrame, text_col: str = "transcript", threshold: float = THRESHOLD,
+                  local_examples: int = LOCAL_EXAMPLES, part_examples: int = PART_EXAMPLES,
+                  cell_chars: int = CELL_CHARS) -> DataFrame:
     """(transcript_id, example, similarity) for every pair scoring >= threshold."""
-    found, local = _scored(texts, examples, text_col, threshold)
-    return (found.select("transcript_id", F.explode("_found").alias("_f")).select("transcript_id", "_f.*")
-            .join(local, "example_ord"))
+    return _matches(texts, examples, text_col, threshold, False, local_examples, part_examples, cell_chars)
 
 
-def example_classify(texts: DataFrame, examples: DataFrame, text_col: str = "transcript",
-                     threshold: float = THRESHOLD) -> DataFrame:
+def example_classify(texts: DataFrame, examples: DataFrame, text_col: str = "transcript", threshold: float = THRESHOLD,
+                     local_examples: int = LOCAL_EXAMPLES, part_examples: int = PART_EXAMPLES,
+                     cell_chars: int = CELL_CHARS) -> DataFrame:
     """Best example per text row (most similar, first on ties): confidence =
     example confidence x similarity. Rows without one are left out."""
-    found, local = _scored(texts, examples, text_col, threshold)
-    best = F.array_max(F.transform("_found", lambda m: F.struct(
-        m["similarity"].alias("similarity"), (-m["example_ord"]).alias("neg_ord"))))
-    won = found.select("transcript_id", best.alias("b")).filter("b IS NOT NULL").select(
-        "transcript_id", (-F.col("b.neg_ord")).alias("example_ord"), "b.similarity")
-    return won.join(local, "example_ord").select(
+    won = _matches(texts, examples, text_col, threshold, True, local_examples, part_examples, cell_chars)
+    return won.select(
         "transcript_id", "category", "subcategory", "tertiary_category",
         (F.col("example_confidence") * F.col("similarity")).alias("confidence"),
         F.col("phrase").alias("matched_phrase"), "similarity", F.lit("user_example").alias("source"))

@@ -12,47 +12,113 @@ Per transcript the highest confidence wins (ties: lowest rule ordinal) and
 the number of kept rules is reported.
 
 Plan: the whole chain is map-side, without any exchange or written table.
-  texts -> mapInArrow: one Aho-Corasick pass per text appends the rules that
-        have a matched group, as an array of fixed-width structs
-  -> array expressions: confidence, threshold, argmax, number of kept rules
-  -> broadcast join of the winner's rule row (rule configuration)
+  texts -> mapInArrow: one Aho-Corasick pass per text finds its terms; postings
+        term -> (group, keyword) in flat arrays give, for many texts at once,
+        the first keyword of each group, and segment reductions over rules give
+        confidence, threshold, argmax and the number of kept rules
+  -> one record per text: the winner with its rule's columns and keywords
 Rows are never regrouped, so duplicate or null transcript ids do no harm.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callsift.functions import patterns as P
-from callsift.operators.matching import Phrases, append_structs
+from callsift.operators.matching import Phrases, append_columns, append_structs
 
 HIT_FIELDS = [("term_no", T.IntegerType()), ("pos", T.LongType()), ("neg", T.IntegerType()), ("wb", T.BooleanType())]
-CANDIDATE_FIELDS = [("rule_ord", T.LongType()), ("n_groups", T.IntegerType()), ("matched_groups", T.IntegerType()),
-                    ("min_pos", T.LongType()), ("max_pos", T.LongType()), ("n_neg", T.IntegerType())]
+# What is known of a text's winning rule; all but the count are null when no rule is kept.
+WINNER = T.StructType([T.StructField(n, t) for n, t in (
+    ("num_rules_activated", T.IntegerType()), ("rule_ord", T.LongType()), ("confidence", T.DoubleType()),
+    ("matched_groups", T.IntegerType()), ("rule_id", T.StringType()), ("category", T.StringType()),
+    ("subcategory", T.StringType()), ("matched_keywords", T.StringType()))])
+KEPT = T.StructType([T.StructField(n, t) for n, t in (
+    ("rule_ord", T.LongType()), ("matched_groups", T.IntegerType()), ("confidence", T.DoubleType()))])
+# Postings looked at together: bounds a task's memory.
+BATCH_SLOTS, BATCH_TEXTS = 500_000, 1024
 
 
-class TermMatcher:
-    """The rule terms of a rule base, and the rule slots of each term."""
+@functools.cache
+def _variants() -> frozenset[str]:
+    """Letters that a case-insensitive search takes for another lower-case letter."""
+    return frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.upper().lower() != c)
 
-    def __init__(self, rules: list[tuple[int, list[list[str]], list[str]]]):
-        """rules: (ordinal, keyword groups, forbidden terms)."""
-        slots = [(kw.lower(), o, g, k) for o, groups, _ in rules for g, group in enumerate(groups)
-                 for k, kw in enumerate(group or []) if kw is not None]
-        slots += [(t.lower(), o, -1, k) for o, _, forbidden in rules for k, t in enumerate(forbidden) if t is not None]
-        self.phrases = Phrases([s[0] for s in slots])
+
+def _expand(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), first[1], ..."""
+    return np.arange(int(n.sum())) + np.repeat(first - np.cumsum(n) + n, n)
+
+
+def _changes(a: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before."""
+    return np.r_[np.ones(min(len(a), 1), bool), a[1:] != a[:-1]]
+
+
+class Postings:
+    """term -> entries, in flat arrays: the entries of term t are those from
+    ``first[t]`` to ``first[t + 1]``."""
+
+    def __init__(self, terms: int, entries: list[tuple[int, ...]], width: int):
+        rows = np.array(sorted(entries), np.int64).reshape(len(entries), width)
+        self.first = np.searchsorted(rows[:, 0], np.arange(terms + 1))
+        self.columns = [np.ascontiguousarray(rows[:, k]) for k in range(1, width)]
+
+    def of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of each term, and for each the number of its term in ``terms``."""
+        n = self.first[terms + 1] - self.first[terms]
+        return _expand(self.first[terms], n), np.repeat(np.arange(len(terms)), n)
+
+
+class Candidates(NamedTuple):
+    """Kept rules of some texts, by text and rule, and their matched slots."""
+    text: np.ndarray
+    rule: np.ndarray
+    matched: np.ndarray
+    confidence: np.ndarray
+    slot: np.ndarray   # entry of each matched group, by text, rule and group
+    start: np.ndarray  # of each kept rule's slots
+
+
+class KeywordMatcher:
+    """A rule base compiled into an automaton over its terms and postings."""
+
+    def __init__(self, rules: list[tuple]):
+        """rules: (ordinal, rule id, category, subcategory, keyword groups, forbidden terms)."""
+        rules = sorted(rules, key=lambda r: r[0])
+        wanted = [(kw.lower(), r, g, k, kw) for r, rule in enumerate(rules) for g, group in enumerate(rule[4])
+                  for k, kw in enumerate(group or []) if kw is not None]
+        barred = [(t.lower(), r) for r, rule in enumerate(rules) for t in rule[5] if t is not None]
+        self.phrases = Phrases([w[0] for w in wanted] + [t for t, _ in barred])
         number = {p: i for i, p in enumerate(self.phrases.phrases)}
-        self.slots: list[list[tuple[int, int, int]]] = [[] for _ in number]
-        self.forbidden = [False] * len(number)
-        for term, o, g, k in slots:
-            self.slots[number[term]].append((o, g, k))
-            self.forbidden[number[term]] |= g < 0
-        self.n_groups = {o: len(groups) for o, groups, _ in rules}
+        # groups are numbered through, rule by rule
+        base = np.cumsum([0, *(len(rule[4]) for rule in rules)])
+        spelling = {}
+        entries = []
+        for term, r, g, k, kw in wanted:
+            entries.append((number[term], int(base[r]) + g, k))
+            spelling[entries[-1]] = kw
+        self.slots = Postings(len(number), entries, 3)
+        self.keyword = [spelling[e] for e in sorted(entries)]
+        self.vetoes = Postings(len(number), list({(number[t], r) for t, r in barred}), 2)
+        self.rule_of = np.repeat(np.arange(len(rules)), np.diff(base))
+        self.n_groups = np.diff(base)
+        self.places = max((e[2] for e in entries), default=0) + 1
+        self.columns = [[rule[k] for rule in rules] for k in range(4)]
         self.negation = re.compile(P.negation_regex_python(), re.IGNORECASE)
         self.whole: dict[int, re.Pattern] = {}
+        # looked up once, on the driver: the letters are the same in every worker
+        self.variants = _variants()
+        self.odd_terms = {i for i, p in enumerate(self.terms) if not p or not self.variants.isdisjoint(p)}
 
     @property
     def terms(self) -> list[str]:
@@ -64,43 +130,145 @@ class TermMatcher:
         return int(pos > 0 and self.negation.search(before) is not None)
 
     def whole_word(self, term_no: int, text: str) -> bool:
-        if not self.forbidden[term_no]:
-            return False
+        """Whether the (lower-case) text holds the term as a whole word. Letters
+        that fold into others are left to a case-insensitive search."""
+        term, at = self.terms[term_no], -1
+        if term_no not in self.odd_terms:
+            head, tail = _is_word(term[0]), _is_word(term[-1])
+            while (at := text.find(term, at + 1)) >= 0:
+                end = at + len(term)
+                if (at > 0 and _is_word(text[at - 1])) != head and (end < len(text) and _is_word(text[end])) != tail:
+                    return True
+            if text.isascii() or self.variants.isdisjoint(text):
+                return False
         if term_no not in self.whole:
-            self.whole[term_no] = re.compile(r"\b" + re.escape(self.terms[term_no]) + r"\b", re.IGNORECASE)
+            self.whole[term_no] = re.compile(r"\b" + re.escape(term) + r"\b", re.IGNORECASE)
         return self.whole[term_no].search(text) is not None
 
     def hits(self, text: str) -> list[tuple]:
-        """(term, first place, negated before it, whole word) of each term."""
-        if not text:
-            return []
-        return [(i, pos, self.negated(text, pos), self.whole_word(i, text))
-                for i, pos in sorted(self.phrases.find(text).items())]
-
-    def candidates(self, text: str) -> list[tuple]:
-        """The rules with a matched group and no forbidden term."""
-        if not text:
-            return []
-        first: dict[int, dict[int, tuple[int, int]]] = {}
-        vetoed = set()
-        for i, pos in self.phrases.find(text).items():
-            for o, g, k in self.slots[i]:
-                if g < 0:
-                    if o not in vetoed and self.whole_word(i, text):
-                        vetoed.add(o)
-                else:
-                    groups = first.setdefault(o, {})
-                    if g not in groups or k < groups[g][0]:
-                        groups[g] = (k, pos)
-        negated: dict[int, int] = {}
+        """(term, first place, negated before it, whole word of a forbidden term) of each term."""
+        barred = self.vetoes.first
+        return [(i, pos, self.negated(text, pos), bool(barred[i + 1] > barred[i]) and self.whole_word(i, text))
+                for i, pos in sorted(self.phrases.find(text).items())] if text else []
+
+    def batches(self, texts: list[str | None]):
+        """(first text, texts, hit arrays): texts in batches of a bounded number of postings."""
+        at, slots, some, text, term, pos = 0, 0, [], [], [], []
+        for t in texts:
+            found = self.phrases.find(t) if t else {}
+            own = np.fromiter(found, np.int64, len(found))
+            text.append(np.full(len(found), len(some)))
+            term.append(own)
+            pos.append(np.fromiter(found.values(), np.int64, len(found)))
+            some.append(t)
+            slots += int((self.slots.first[own + 1] - self.slots.first[own]).sum())
+            if slots > BATCH_SLOTS or len(some) == BATCH_TEXTS:
+                yield at, some, np.concatenate(text), np.concatenate(term), np.concatenate(pos)
+                at, slots, some, text, term, pos = at + len(some), 0, [], [], [], []
+        if some:
+            yield at, some, np.concatenate(text), np.concatenate(term), np.concatenate(pos)
+
+    def candidates(self, texts: list[str | None], text: np.ndarray, term: np.ndarray, pos: np.ndarray) -> Candidates:
+        """The rules of each text at or over the threshold, from the first
+        places of the terms it contains."""
+        entry, hit = self.slots.of(term)
+        group, place = self.slots.columns
+        # the first keyword of each group that occurs
+        cell = (text[hit] * (len(self.rule_of) + 1) + group[entry]) * self.places + place[entry]
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order] // self.places
+        order = order[_changes(cell)]
+        entry, hit = entry[order], hit[order]
+        rules = len(self.n_groups)
+        row = text[hit] * rules + self.rule_of[group[entry]]
+        vetoed = self._vetoed(texts, text, term, row)
+        if len(vetoed):
+            stay = ~np.isin(row, vetoed)
+            entry, hit, row = entry[stay], hit[stay], row[stay]
+        if not len(row):
+            none = np.zeros(0, np.int64)
+            return Candidates(none, none, none, np.zeros(0), entry, none)
+        negative = np.zeros(len(term), np.int64)
+        negative[hit] = 1
+        for h in np.flatnonzero(negative).tolist():
+            negative[h] = self.negated(texts[text[h]], int(pos[h]))
+        start = np.flatnonzero(_changes(row))
+        matched = np.diff(np.r_[start, len(row)])
+        at = pos[hit]
+        gap = (np.maximum.reduceat(at, start) - np.minimum.reduceat(at, start)) / np.maximum(matched - 1, 1)
+        bonus = np.select([matched < 2, *(gap < limit for limit, _ in P.PROXIMITY_BONUS)],
+                          [0.0, *(value for _, value in P.PROXIMITY_BONUS)], P.PROXIMITY_BONUS_FAR)
+        penalty = np.minimum(np.add.reduceat(negative[hit], start) * P.NEGATION_STEP, P.NEGATION_CAP)
+        of, rule = row[start] // rules, row[start] % rules
+        # the original's order of operations
+        confidence = np.maximum(0.0, np.minimum(1.0, (matched / self.n_groups[rule] + bonus) - penalty))
+        kept = confidence >= P.MIN_RULE_CONFIDENCE
+        return Candidates(of[kept], rule[kept], matched[kept], confidence[kept], entry, start[kept])
+
+    def _vetoed(self, texts: list, text: np.ndarray, term: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Those of the ascending rows (text and rule as one number) whose rule
+        has a forbidden term in the text."""
+        entry, hit = self.vetoes.of(term)
+        row = text[hit] * len(self.n_groups) + self.vetoes.columns[0][entry]
+        at = np.searchsorted(rows, row)
+        asked = at < len(rows)
+        asked[asked] = rows[at[asked]] == row[asked]
+        row, hit = row[asked], hit[asked]
+        found: dict[int, bool] = {}
+        for h in hit.tolist():
+            if h not in found:
+                found[h] = self.whole_word(int(term[h]), texts[text[h]])
+        return row[np.fromiter(map(found.__getitem__, hit.tolist()), bool, len(hit))]
+
+    def winners(self, texts: list[str | None]) -> list[pa.Array]:
+        """The columns of WINNER."""
+        cols: list[list] = [[] for _ in WINNER]
+        for _, some, *found in self.batches(texts):
+            c = self.candidates(some, *found)
+            count = np.bincount(c.text, minlength=len(some))
+            best = np.full(len(some), -1)
+            if len(c.text):
+                # by text; in it the highest confidence, of equals the first rule
+                order = np.lexsort((c.rule, -c.confidence, c.text))
+                first = order[_changes(c.text[order])]
+                best[c.text[first]] = first
+            won = best >= 0
+            rule = c.rule[best[won]]
+
+            def put(k, values, kind):
+                col = np.zeros(len(some), np.asarray(values).dtype)
+                col[won] = values
+                cols[k].append(pa.array(col, kind, mask=~won))
+
+            cols[0].append(pa.array(count, pa.int32()))
+            put(1, np.array(self.columns[0], np.int64)[rule], pa.int64())
+            put(2, c.confidence[best[won]], pa.float64())
+            put(3, c.matched[best[won]], pa.int32())
+            at = np.full(len(some), len(self.n_groups))
+            at[won] = rule
+            for k, names in enumerate(self.columns[1:], 4):
+                cols[k].append(pa.array([*names, None], pa.string()).take(pa.array(at)))
+            words: list[str | None] = [None] * len(some)
+            for i, b in zip(np.flatnonzero(won).tolist(), best[won].tolist(), strict=True):
+                s = int(c.start[b])
+                words[i] = " | ".join([self.keyword[e] for e in c.slot[s:s + int(c.matched[b])].tolist()])
+            cols[7].append(pa.array(words, pa.string()))
+        return [pa.concat_arrays(c) for c in cols]
+
+    def kept(self, texts: list[str | None]) -> list[pa.Array]:
+        """One column: the kept rules of each text, as a list of KEPT."""
         out = []
-        for o in sorted(first.keys() - vetoed):
-            places = [pos for _, pos in first[o].values()]
-            for pos in places:
-                if pos not in negated:
-                    negated[pos] = self.negated(text, pos)
-            out.append((o, self.n_groups[o], len(places), min(places), max(places), sum(negated[p] for p in places)))
-        return out
+        for _, some, *found in self.batches(texts):
+            c = self.candidates(some, *found)
+            ends = np.r_[0, np.cumsum(np.bincount(c.text, minlength=len(some)))]
+            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(np.array(self.columns[0], np.int64)[c.rule]), pa.array(c.matched, pa.int32()), pa.array(c.confidence)],
+                KEPT.names)))
+        return [pa.concat_arrays(out)]
+
+
+def _is_word(c: str) -> bool:
+    return c.isalnum() or c == "_"
 
 
 class RuleBase:
@@ -108,76 +276,41 @@ class RuleBase:
     are read once, and every text task receives them."""
 
     def __init__(self, parsed_rules: DataFrame):
-        spark = parsed_rules.sparkSession
         rows = parsed_rules.select("rule_ord", "rule_id", "category", "subcategory", "groups", "forbidden").collect()
-        self.matcher = TermMatcher([(r.rule_ord, r.groups, r.forbidden) for r in rows])
-        groups = [[[(k, k.lower()) for k in g or [] if k is not None] for g in r.groups] for r in rows]
-        self.rules = spark.createDataFrame(
-            [(r.rule_ord, r.rule_id, r.category, r.subcategory, g) for r, g in zip(rows, groups)],
-            "rule_ord long, rule_id string, category string, subcategory string, "
-            "slots array<array<struct<keyword string, term string>>>")
+        self.matcher = KeywordMatcher([tuple(r) for r in rows])
 
 
-class _Only:
-    """A matcher's one method, as the callable that ``append_structs`` takes."""
+class _Hits:
+    """The matcher's hits, as the callable that ``append_structs`` takes."""
 
-    def __init__(self, matcher: TermMatcher, method: str):
-        self.matcher, self.method = matcher, method
+    def __init__(self, matcher: KeywordMatcher):
+        self.matcher = matcher
 
     def __call__(self, text: str) -> list[tuple]:
-        return getattr(self.matcher, self.method)(text)
+        return self.matcher.hits(text)
 
 
 def keyword_hits(prepared: DataFrame, rb: RuleBase) -> DataFrame:
     """One row per (text, rule term it contains): the input's columns, term,
     pos (0-based first occurrence), neg (negation word in the 50 characters
     before it), wb (whole-word occurrence of a forbidden term)."""
-    hits = append_structs(prepared, "norm_text", "_hits", HIT_FIELDS, _Only(rb.matcher, "hits"))
+    hits = append_structs(prepared, "norm_text", "_hits", HIT_FIELDS, _Hits(rb.matcher))
     terms = prepared.sparkSession.createDataFrame(
         list(enumerate(rb.matcher.terms)), "term_no int, term string")
     return (hits.select(*prepared.columns, F.explode("_hits").alias("_h")).select(*prepared.columns, "_h.*")
             .join(F.broadcast(terms), "term_no").select(*prepared.columns, "term", "pos", "neg", "wb"))
 
 
-def _confidence(c: Column) -> Column:
-    """Confidence of a candidate struct, in the original's order of operations."""
-    n = c["matched_groups"]
-    gap = (c["max_pos"] - c["min_pos"]) / (n - 1)
-    bonus = F.lit(P.PROXIMITY_BONUS_FAR)
-    for limit, value in reversed(P.PROXIMITY_BONUS):
-        bonus = F.when(gap < limit, F.lit(value)).otherwise(bonus)
-    bonus = F.when(n >= 2, bonus).otherwise(F.lit(0.0))
-    penalty = F.least(c["n_neg"].cast("double") * F.lit(P.NEGATION_STEP), F.lit(P.NEGATION_CAP))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (n / c["n_groups"] + bonus) - penalty))
-
-
-def kept_rules(prepared: DataFrame, rb: RuleBase) -> DataFrame:
-    """The input's columns with ``kept``: the rules at or over the threshold,
-    as structs (confidence, neg_ord, matched_groups) whose order is the rank."""
-    found = append_structs(prepared, "norm_text", "_rules", CANDIDATE_FIELDS, _Only(rb.matcher, "candidates"))
-    scored = F.transform("_rules", lambda c: F.struct(
-        _confidence(c).alias("confidence"), (-c["rule_ord"]).alias("neg_ord"),
-        c["matched_groups"].alias("matched_groups")))
-    return found.select(*prepared.columns, F.filter(
-        scored, lambda s: s["confidence"] >= F.lit(P.MIN_RULE_CONFIDENCE)).alias("kept"))
-
-
 def rule_scores(prepared: DataFrame, rb: RuleBase) -> DataFrame:
-    """One row per (text, kept rule): rule_ord, matched_groups, confidence."""
-    return (kept_rules(prepared, rb).select(*prepared.columns, F.explode("kept").alias("_k"))
-            .select(*prepared.columns, (-F.col("_k.neg_ord")).alias("rule_ord"),
-                    F.col("_k.matched_groups").alias("matched_groups"), F.col("_k.confidence").alias("confidence")))
+    """One row per (text, kept rule): the input's columns but for norm_text,
+    rule_ord, matched_groups, confidence."""
+    own = [c for c in prepared.columns if c != "norm_text"]
+    kept = append_columns(prepared, "norm_text", T.StructType([T.StructField("_kept", T.ArrayType(KEPT))]),
+                          rb.matcher, "kept")
+    return kept.select(*own, F.explode("_kept").alias("_k")).select(*own, "_k.*")
 
 
 def score_texts(prepared: DataFrame, rb: RuleBase) -> DataFrame:
-    """Every row of ``prepared`` (it needs ``norm_text``) with the winning rule
-    (null when none is kept) and the number of kept rules."""
-    won = (kept_rules(prepared, rb).withColumn("_best", F.array_max("kept"))
-           .select(*prepared.columns, F.size("kept").alias("num_rules_activated"),
-                   (-F.col("_best.neg_ord")).alias("rule_ord"), F.col("_best.confidence").alias("confidence"),
-                   F.col("_best.matched_groups").alias("matched_groups")))
-    # the keyword that matched a group: its first one that the text contains
-    matched = F.filter(F.transform("slots", lambda g: F.try_element_at(F.filter(
-        g, lambda s: F.contains(F.col("norm_text"), s["term"])), F.lit(1))["keyword"]), lambda k: k.isNotNull())
-    return (won.join(F.broadcast(rb.rules), "rule_ord", "left")
-            .withColumn("matched_keywords", F.array_join(matched, " | ")).drop("slots"))
+    """Every row of ``prepared`` (it needs ``norm_text``, which goes) with the
+    winning rule (null when none is kept) and the number of kept rules."""
+    return append_columns(prepared, "norm_text", WINNER, rb.matcher, "winners")

@@ -43,6 +43,24 @@ def append_structs(df: DataFrame, text_col: str, name: str, fields: list[tuple[s
     return df.mapInArrow(run, schema)
 
 
+def append_columns(df: DataFrame, text_col: str, new: T.StructType, matcher, method: str) -> DataFrame:
+    """``df`` without its text column, with the columns that
+    ``matcher.<method>(texts)`` gives for a batch of texts."""
+    shared = df.sparkSession.sparkContext.broadcast(matcher)
+    own = [f for f in df.schema.fields if f.name != text_col]
+    names = [f.name for f in own] + new.names
+
+    def run(batches):
+        columns = getattr(shared.value, method)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kept = [b.column(f.name) for f in own]
+            yield pa.RecordBatch.from_arrays([*kept, *columns(b.column(text_col).to_pylist())], names)
+
+    return df.mapInArrow(run, T.StructType([*own, *new.fields]))
+
+
 class Phrases:
     """First occurrence of each distinct phrase of a list in a text."""
 

@@ -70,7 +70,7 @@ def classify_ccre(transcripts: DataFrame, rules: DataFrame | RuleBase, pii: bool
     rb = rules if isinstance(rules, RuleBase) else rule_base(rules)
     prepared = prepare(transcripts, pii).withColumn("is_empty", F.col("norm_text") == "")
     carry = ["transcript_id", *(c for c in carry if c in prepared.columns), "is_empty"]
-    return ccre_result(score_texts(prepared.select(*carry, "norm_text"), rb).drop("norm_text"))
+    return ccre_result(score_texts(prepared.select(*carry, "norm_text"), rb))
 
 
 def enrich(ccre: DataFrame, hierarchy: DataFrame, program: str = "CCRE",

@@ -457,6 +457,9 @@ def _turn_texts(spark, sf):
 _TURNS_SQL = f"SELECT {_TURN_ID} AS transcript_id, {O.clean_sql(_TURN_LINE)} AS transcript FROM conversations"
 
 
+_PHRASE = f"lower(regexp_replace(substring(txt.t, 1, 200), '^{O.P.WS}+|{O.P.WS}+$', '', 'g'))"
+
+
 def _examples_sql() -> str:
     from callsift.sources import ruleset
     rows = []
@@ -487,6 +490,45 @@ def q_examples_fuzzy(spark, sf):
     return EX.example_classify(_turn_texts(spark, sf), R.user_examples(spark))
 
 
+def _corrected_examples(spark, sf):
+    """Examples that grow with the data: the phrases of all corrections."""
+    corr = FB.corrections_from_labels(TR.table(spark, sf, "labels"))
+    ex = FB.corrections_to_examples(corr, TR.from_documents(spark, sf), prepare_fn=prepare)
+    return ex.select(F.col("transcript_id").alias("example_ord"), "example_phrase", "category", "subcategory",
+                     "tertiary_category", "confidence")
+
+
+def _redacted_docs(spark, sf):
+    return prepare(TR.from_documents(spark, sf)).select("transcript_id", F.col("redacted_transcript").alias("transcript"))
+
+
+_CORRECTED_SQL = (
+    f"WITH corr AS ({_CORR_SQL}), "
+    f"txt AS (SELECT doc_id AS transcript_id, {O.redact_sql(O.clean_sql('text'))} AS t FROM documents), "
+    f"own AS (SELECT transcript_id, trim(regexp_replace(lower(t), '{O.P.WS}+', ' ', 'g')) AS t FROM txt), "
+    "ex AS (SELECT c.transcript_id AS example_ord, c.correct_category AS category, c.correct_subcategory AS subcategory, "
+    f"{_PHRASE} AS phrase FROM corr c JOIN txt USING (transcript_id)), "
+    f"n AS (SELECT *, regexp_replace(phrase, '{O.P.WS}+', ' ', 'g') AS norm FROM ex), "
+    "m AS (SELECT own.transcript_id, n.*, row_number() OVER (PARTITION BY own.transcript_id ORDER BY example_ord) AS r "
+    "FROM own JOIN n ON contains(own.t, n.norm)) "
+    "SELECT transcript_id, category, subcategory, CAST(NULL AS VARCHAR) AS tertiary_category, CAST(0.95 AS DOUBLE) AS confidence, "
+    "phrase AS matched_phrase, CAST(1.0 AS DOUBLE) AS similarity, 'user_example' AS source FROM m WHERE r = 1")
+
+
+@register("example_classify_corrections", _CORRECTED_SQL)
+def q_examples_corrections(spark, sf):
+    """Documents by the phrases of the corrected ones, as the operator reads
+    them (up to the bound on the driver)."""
+    return EX.example_classify(_redacted_docs(spark, sf), _corrected_examples(spark, sf), threshold=1.0)
+
+
+@register("example_classify_dealt", _CORRECTED_SQL)
+def q_examples_dealt(spark, sf):
+    """The same with the examples dealt into parts, as beyond the bound."""
+    return EX.example_classify(_redacted_docs(spark, sf), _corrected_examples(spark, sf), threshold=1.0,
+                               local_examples=0, part_examples=100)
+
+
 @register("example_contains", (
     f"WITH tx AS ({_TURNS_SQL}), ex AS (SELECT * FROM {_examples_sql()}) "
     "SELECT ex.example_ord, count(*) AS n_texts FROM tx JOIN ex "
@@ -620,6 +662,98 @@ def q_coach_hits(spark, sf):
     return hits.select(*TB.COACHING_KEY, "coaching_json", "model_used")
 
 
+# --------------------------------------------------------------------------
+# Tables stored by user, and classification through the cache
+# --------------------------------------------------------------------------
+
+from callsift.plans.cached import CACHE_SCHEMA, RESULT, classify_cached  # noqa: E402
+from callsift.session import scratch_path  # noqa: E402
+from callsift.sources.user_table import UserTable  # noqa: E402
+
+# rows of the last hours come as a second write, which touches some users only
+LATE_TS = "2024-01-30 12:00:00"
+_LATE_SQL = f"created_at < TIMESTAMP '{SPLIT_TS}' OR created_at >= TIMESTAMP '{LATE_TS}'"
+
+
+def _stored_cache(spark, sf) -> UserTable:
+    """The classification cache as a table by user: a first load and a merge."""
+    rows, at = _class_cache_rows(spark, sf), F.col("created_at")
+    table = UserTable(spark, scratch_path(spark, "user-cache"), CACHE_SCHEMA)
+    table.merge(rows.filter(at < F.lit(SPLIT_TS).cast("timestamp")), TB.CLASSIFICATION_KEY)
+    table.merge(rows.filter(at >= F.lit(LATE_TS).cast("timestamp")), TB.CLASSIFICATION_KEY)
+    return table
+
+
+_STORED_SQL = _CLASS_UPSERT_SQL.replace(") r QUALIFY", f") r WHERE {_LATE_SQL} QUALIFY")
+
+
+@register("user_cache_merge", _STORED_SQL)
+def q_user_cache_merge(spark, sf):
+    return _stored_cache(spark, sf).read()
+
+
+@register("user_cache_of_one", f"SELECT * FROM ({_STORED_SQL}) s WHERE user_id = '{UPLOAD_USER}'")
+def q_user_cache_of_one(spark, sf):
+    return _stored_cache(spark, sf).read(UPLOAD_USER)
+
+
+@register("user_cache_evict", f"SELECT * FROM ({_STORED_SQL}) s WHERE expires_at >= TIMESTAMP '{NOW_TS}' OR expires_at IS NULL")
+def q_user_cache_evict(spark, sf):
+    table = _stored_cache(spark, sf)
+    table.evict(NOW_TS)
+    return table.read()
+
+
+CACHED_AT, LONG_AGO, CACHE_USER = "2024-01-24 00:00:00", "2024-01-02 00:00:00", "7"
+
+
+def _reviewed(spark, sf) -> UserTable:
+    """A cache in which the English documents have a live entry of the user,
+    the German ones an expired one, and the French ones one of another user."""
+    d = TR.table(spark, sf, "documents").filter("text IS NOT NULL")
+    entry = d.select(F.when(F.col("lang") == "fr", "8").otherwise(CACHE_USER).alias("user_id"),
+                     TX.content_hash("text").alias("transcript_hash"), "lang",
+                     F.lit("Reviewed").alias("category"), F.concat(F.lit("by "), "lang").alias("subcategory"),
+                     F.lit(0.99).alias("confidence"), F.lit("").alias("matched_keywords"), F.lit("cached").alias("resolve_reason"),
+                     F.when(F.col("lang") == "de", F.lit(LONG_AGO)).otherwise(F.lit(CACHED_AT)).cast("timestamp").alias("created_at"))
+    table = UserTable(spark, scratch_path(spark, "reviewed-cache"), CACHE_SCHEMA)
+    table.merge(TB.with_expiry(entry.filter("lang IN ('en', 'de', 'fr')")).drop("lang"), TB.CLASSIFICATION_KEY)
+    return table
+
+
+def _cached_run(spark, sf):
+    table = _reviewed(spark, sf)
+    return table, classify_cached(TR.from_documents(spark, sf), table, R.keyword_rules(spark), R.hierarchy(spark),
+                                  CACHE_USER, NOW_TS)
+
+
+# Every text of the classified table by its hash (equal texts classify alike).
+_CACHED_CTES = (
+    ", live AS (SELECT DISTINCT md5(text) AS transcript_hash FROM documents WHERE lang = 'en' AND text IS NOT NULL), "
+    "own AS (SELECT c.*, md5(coalesce(transcript, '')) AS transcript_hash FROM classified c), "
+    "res AS (SELECT transcript_id, transcript_hash, "
+    + ", ".join(f"CASE WHEN l.transcript_hash IS NOT NULL THEN {v} ELSE own.{c} END AS {c}" for c, v in (
+        ("category", "'Reviewed'"), ("subcategory", "'by en'"), ("confidence", "CAST(0.99 AS DOUBLE)"),
+        ("matched_keywords", "''"), ("resolve_reason", "'cached'")))
+    + ", l.transcript_hash IS NOT NULL AS from_cache FROM own LEFT JOIN live l USING (transcript_hash))")
+
+
+@register("classify_cached", "WITH " + O.classified_ctes().strip() + _CACHED_CTES + " SELECT * FROM res")
+def q_classify_cached(spark, sf):
+    return _cached_run(spark, sf)[1]
+
+
+@register("classify_cached_table", "WITH " + O.classified_ctes().strip() + _CACHED_CTES + (
+    f", mine AS (SELECT DISTINCT transcript_hash, {', '.join(RESULT)}, from_cache FROM res) "
+    f"SELECT '{CACHE_USER}' AS user_id, transcript_hash, {', '.join(RESULT)}, made_at AS created_at, made_at + INTERVAL 7 DAYS AS expires_at "
+    f"FROM (SELECT *, CASE WHEN from_cache THEN TIMESTAMP '{CACHED_AT}' ELSE TIMESTAMP '{NOW_TS}' END AS made_at FROM mine) "
+    f"UNION ALL SELECT DISTINCT '8', md5(text), 'Reviewed', 'by fr', CAST(0.99 AS DOUBLE), '', 'cached', "
+    f"TIMESTAMP '{CACHED_AT}', TIMESTAMP '{CACHED_AT}' + INTERVAL 7 DAYS FROM documents WHERE lang = 'fr' AND text IS NOT NULL"))
+def q_classify_cached_table(spark, sf):
+    """The cache of all users after the run: live, renewed and new entries."""
+    return _cached_run(spark, sf)[0].read()
+
+
 @register("upload_history_topk", (
     "SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type || '_' || CAST(event_id AS VARCHAR) "
     "|| '.csv' AS filename, CAST(event_id % 1000 AS BIGINT) AS row_count, value AS processing_time_seconds, "

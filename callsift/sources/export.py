@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 def export_csv(df: DataFrame, path: str) -> str:
     """UTF-8 CSV with a header, no index column (one part file per task).
     Values are written as they are: Spark's writer would otherwise trim
-    leading and trailing whitespace."""
-    (df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8")
+    leading and trailing whitespace. Quotes inside a value are doubled, as CSV
+    readers expect, and backslashes are plain characters."""
+    (df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 

@@ -14,6 +14,3 @@ def spark():
     shared_dir(s)
     yield s
     s.stop()
-
-
-SF = "/root/testdata/sf0.001"

@@ -1,14 +1,17 @@
 import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
 import model
+from callsift.operators import keyword
+from callsift.operators.keyword import KeywordMatcher
 from callsift.plans.classify import classify, classify_ccre
 from callsift.sources import rules as R
 from callsift.sources import ruleset
 from callsift.sources import transcripts as TR
-from conftest import SF
+from paths import SF
 
 
 def ccre_one(spark, text, groups, forbidden=None):
@@ -154,3 +157,37 @@ def test_text_prepared_once_in_plans(spark):
     for name in ("prox_classify", "ccre_scores", "hybrid_classify"):
         p = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert p.count("<REDACTED_EMAIL>") == 1 and p.count("AGENT|CUSTOMER") == 1
+
+
+def test_array_scoring_equals_the_model_on_random_rules():
+    """Keywords that contain each other, shared and repeated terms, empty
+    groups, negations and forbidden words at every kind of boundary."""
+    r = random.Random(11)
+    words = ["no", "not", "refund", "fund", "bill", "card", "stop", "stra\u00dfe", "\u00df", "na\u00efve", "under_score", "x-y",
+             "\u00fcber", "", "REFUND"]
+    for _ in range(800):
+        rules = [(f"R{i}", f"c{i}", "s", json.dumps([[r.choice(words) for _ in range(r.randint(0, 3))] for _ in range(r.randint(0, 3))]),
+                  json.dumps([r.choice(words) for _ in range(r.choice([0, 0, 1, 2]))])) for i in range(r.randint(0, 6))]
+        parsed = model.parse_rules(rules)
+        matcher = KeywordMatcher(parsed)
+        texts = [model.normalize("".join(r.choice([*words, " ", " ", ". ", "_", " a " * 20]) + r.choice(["", " "])
+                                         for _ in range(r.randint(0, 14)))) for _ in range(4)] + [None, ""]
+        n, ords, confidence, groups, rid, cat, _, keywords = [c.to_pylist() for c in matcher.winners(texts)]
+        kept = matcher.kept(texts)[0].to_pylist()
+        for i, t in enumerate(texts):
+            own, _, conf, kws, count, want, matched = model.ccre(t or "", parsed)
+            assert (rid[i], confidence[i] or 0.0, keywords[i] or "", n[i], groups[i], cat[i] or "Unclassified") == (
+                want, conf, kws, count, matched, own), (t, rules)
+            scores = {k[0]: model.score(t, k) for k in parsed} if t else {}
+            assert {k["rule_ord"]: (k["confidence"], k["matched_groups"]) for k in kept[i]} == {
+                o: (s[0], len(s[1])) for o, s in scores.items() if s}
+
+
+def test_scoring_in_small_batches_is_the_same(monkeypatch):
+    rows = ruleset.large_keyword_rules(200)
+    matcher = KeywordMatcher(model.parse_rules(rows))
+    texts = [model.normalize(" ".join(k for g in json.loads(r[3]) for k in g)) for r in rows[:40]] + ["", None]
+    whole = [c.to_pylist() for c in matcher.winners(texts)]
+    monkeypatch.setattr(keyword, "BATCH_SLOTS", 10)
+    assert [c.to_pylist() for c in matcher.winners(texts)] == whole
+    assert any(whole[1])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from callsift.operators import coaching, examples, feedback, proximity, rulebase
 from callsift.sources import rules as R
 from callsift.sources import tables as TB
-from conftest import SF
+from paths import SF
 
 PROX = [
     ("please cancel my card", ("cancel", None, None, None, None, None), 0.95),
@@ -256,6 +256,66 @@ def test_example_pairs_random(spark):
                 if s >= thr:
                     want.add((tid, o, round(s, 12)))
         assert got == want, thr
+        dealt = examples.example_pairs(t, ex, threshold=thr, local_examples=0, part_examples=7, cell_chars=900)
+        assert {(r.transcript_id, r.example_ord, round(r.similarity, 12)) for r in dealt.collect()} == want, thr
+        best = {}
+        for tid, o, s in sorted(want, key=lambda m: (-m[2], m[1])):
+            best.setdefault(tid, (norm[o], s))
+        for kw in ({}, {"local_examples": 0, "part_examples": 7, "cell_chars": 900}):
+            own = examples.example_classify(t, ex, threshold=thr, **kw).collect()
+            assert {r.transcript_id: (" ".join(r.matched_phrase.split()), round(r.similarity, 12)) for r in own} == best
+
+
+def test_bounds_keep_every_similar_phrase():
+    """Phrases of 150 to 260 characters (difflib leaves popular letters out
+    from 200 on) with edits, against difflib over all pairs."""
+    import random
+    rnd = random.Random(6)
+    vocab = "my card was charged twice for the order refund please help with account login".split()
+    phrases = [" ".join(rnd.choice(vocab) for _ in range(rnd.choice([30, 40, 45]))) for _ in range(25)]
+    texts = ["", "a"]
+    for p in phrases * 3:
+        words = p.split()
+        for _ in range(rnd.randrange(0, 9)):
+            at = rnd.randrange(len(words))
+            words[at:at + 1] = rnd.choice([[], [rnd.choice(vocab)], [words[at], rnd.choice(vocab)], [words[at][::-1]]])
+        texts.append(" ".join(words))
+    for thr in (0.95, 0.85, 0.7, 0.6):
+        match, found = examples.ExampleMatcher(list(enumerate(phrases)), thr), 0
+        for text in texts:
+            want = {}
+            for o, p in enumerate(phrases):
+                s = 1.0 if p in text else difflib.SequenceMatcher(None, text, p).ratio()
+                if s >= thr:
+                    want[o] = s
+            assert dict(match(text)) == want
+            found += len(want)
+        assert found > len(phrases)
+    # of texts in many words the bigram bound leaves few phrases to difflib
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(500)]
+    phrases = [" ".join(rnd.choice(words) for _ in range(12)) for _ in range(200)]
+    index = examples.BigramIndex(phrases, 0.85)
+    assert sum(len(index.near(p)) for p in phrases) < 1.05 * len(phrases)
+
+
+def test_many_examples_never_reach_the_driver(spark):
+    """100,000 examples: parts and cells, joined by shuffles, no local relation of examples."""
+    n = examples.LOCAL_EXAMPLES
+    ex = spark.range(100_000).select(
+        F.col("id").cast("int").alias("example_ord"), F.concat(F.lit("please close account number "), F.col("id").cast("string"))
+        .alias("example_phrase"), F.lit("Account").alias("category"), F.lit("Close").alias("subcategory"),
+        F.lit(None).cast("string").alias("tertiary_category"), F.lit(0.9).alias("confidence"))
+    texts = spark.createDataFrame(
+        [(1, "hello, please close account number 4711 now"), (2, "please close acount number 99999"), (None, "nothing"), (3, None)],
+        "transcript_id long, transcript string")
+    assert n < 100_000
+    out = examples.example_classify(texts, ex)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "LocalRelation" not in plan and "Cartesian" not in plan
+    got = {r.transcript_id: (r.matched_phrase, r.similarity) for r in out.collect()}
+    # of contained phrases ("... 4", "... 47", "... 471", "... 4711") the first
+    assert got[1] == ("please close account number 4", 1.0)
+    assert set(got) == {1, 2} and 0.95 < got[2][1] < 1
 
 
 def test_fuzzy_example_query_equals_difflib(spark, tmp_path):

@@ -11,7 +11,7 @@ from callsift.operators import examples, proximity, report, rulebase
 from callsift.operators.hierarchy import categories_for_program
 from callsift.session import scratch_path
 from callsift.sources import export, rules as R, ruleset, tables, transcripts as TR
-from conftest import SF
+from paths import SF
 
 
 def _write_csv(path, header, rows):
@@ -72,6 +72,23 @@ def test_exports_round_trip_and_html(spark):
     assert page.index("<td>Billing</td>") < page.index("<td>Account</td>")
 
 
+def test_csv_export_of_hostile_texts(spark):
+    """Quotes, line breaks, commas, backslashes, null against '': read back by
+    our reader and by Python's csv module."""
+    import glob
+    texts = ['say "hi"\nthere, you', '"', '""', 'ends with \\', '\\"', "a\r\nb", "a,b;c\td", " padded ", "", None, "ünï", "'", "null",
+             '"quoted"', 'x"y', "\n", "end\n"]
+    rows = [(i, t, f"agent, {i}" if i % 3 else None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "transcript_id long, t string, agent string").coalesce(1)
+    path = export.export_csv(df, scratch_path(spark, "hostile-csv"))
+    assert sorted(map(tuple, export.read_export_csv(spark, path, df.schema).collect()), key=lambda r: r[0]) == rows
+    (part,) = glob.glob(f"{path}/part-*.csv")
+    with open(part, newline="", encoding="utf-8") as f:
+        got = list(csv.reader(f))
+    assert got[0] == ["transcript_id", "t", "agent"]
+    assert got[1:] == [[str(i), t or "", a or ""] for i, t, a in rows]
+
+
 def test_rule_table_stats(spark):
     hier = R.hierarchy(spark)
     rows = ruleset.HIERARCHY

@@ -42,7 +42,7 @@ def test_pii_url_after_email(spark):
 
 
 def test_pii_matches_python_on_documents(spark):
-    from conftest import SF
+    from paths import SF
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text",
                                                                pii.redact("text").alias("r")).collect()
     bad = [r.doc_id for r in d if model.redact(r.text) != r.r]
@@ -50,7 +50,7 @@ def test_pii_matches_python_on_documents(spark):
 
 
 def test_redaction_idempotent(spark):
-    from conftest import SF
+    from paths import SF
     d = spark.read.parquet(f"{SF}/documents.parquet").select(pii.redact("text").alias("r"))
     assert d.filter(pii.redact("r") != F.col("r")).count() == 0
 
