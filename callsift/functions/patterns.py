@@ -36,6 +36,8 @@ PII_PATTERNS = [
 ]
 
 # Keyword-rule scoring constants.
+# How an error of a custom query begins.
+QUERY_ERROR = "Query execution failed"
 MIN_RULE_CONFIDENCE = 0.4
 NEGATION_WINDOW_CHARS = 50
 NEGATION_STEP = 0.1

@@ -12,8 +12,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from callsift.functions.patterns import QUERY_ERROR
 from callsift.functions.text import percent_display, word_count
-from callsift.session import materialize
+from callsift.session import write_table
 
 # Averages of doubles are rounded to this many places where the reference
 # reports them unrounded: the summation order differs between engines.
@@ -143,18 +144,42 @@ def display_results(df: DataFrame) -> DataFrame:
     return df.select(*cols, percent_display("confidence").alias("confidence_display"))
 
 
+def check_read_only(spark: SparkSession, sql: str) -> None:
+    """Raises ValueError for a text that is no query, or that holds a command
+    or a write anywhere in its plan. The text is parsed, nothing runs."""
+    jvm, plans = spark._jvm, "org.apache.spark.sql.catalyst.plans.logical."
+    try:
+        todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    except (PySparkException, Py4JJavaError) as e:
+        raise ValueError(f"{QUERY_ERROR}: {e}") from e
+    refused = [jvm.java.lang.Class.forName(plans + name) for name in (
+        "Command", "ParsedStatement", "CompoundPlanStatement", "ExecutableDuringAnalysis")]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "UnresolvedExecuteImmediate" or any(kind.isInstance(node) for kind in refused):
+            raise ValueError(f"{QUERY_ERROR}: only queries are allowed, not {node.nodeName()}")
+        for many in (node.children(), node.innerChildren()):
+            todo += [x for x in (many.apply(i) for i in range(many.size())) if hasattr(x, "nodeName")]
+
+
 def run_custom_query(spark: SparkSession, df: DataFrame, sql: str,
                      view: str = "transcripts") -> DataFrame:
     """Ad-hoc SQL over the classified table under the name ``transcripts``.
-    The name is bound for this query only (a view of that name that the
-    session had is put back). Any error of the query, also one at run time,
-    surfaces as ValueError: the result is written once and reread."""
+    Only queries: a command or a write is refused before anything runs. The
+    name is bound for this query only (a view of that name that the session
+    had is put back). Any error of the query, also one at run time, surfaces
+    as ValueError: the result is written once, as a table, and reread."""
+    check_read_only(spark, sql)
     had = spark.table(view) if spark.catalog.tableExists(view) else None
     df.createOrReplaceTempView(view)
     try:
-        return materialize(spark.sql(sql))
+        out = spark.sql(sql)
+        # a table's columns need names of their own and a type
+        plain = out.toDF(*(f"c{i}" for i in range(len(out.columns))))
+        plain = plain.select(*(F.col(c).cast("string") if t == "void" else F.col(c) for c, t in plain.dtypes))
+        return write_table(plain, "custom-sql").toDF(*out.columns)
     except (PySparkException, Py4JJavaError) as e:
-        raise ValueError(f"Query execution failed: {e}") from e
+        raise ValueError(f"{QUERY_ERROR}: {e}") from e
     finally:
         if had is None:
             spark.catalog.dropTempView(view)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from callsift.functions import patterns as P
 from callsift.functions.text import content_hash, estimate_tokens
 from callsift.plans.dims import broadcast_if_small
-from callsift.session import materialize
+from callsift.session import write_table
 from callsift.sources.tables import TTL
 
 # FIXED VALUES: context window (tokens) per hosted model name; any other
@@ -84,7 +84,7 @@ def coaching_bundle(df: DataFrame, texts: DataFrame, max_samples: int = MAX_SAMP
     # Three branches read the classified rows (sample-size check, category
     # ranks, metrics): write the five needed columns once to the shared
     # folder instead of scoring the transcripts three times.
-    df = materialize(df.select("transcript_id", "agent_name", "category", "subcategory", "confidence"))
+    df = write_table(df.select("transcript_id", "agent_name", "category", "subcategory", "confidence"), "coached")
     cats = agent_categories(df)
     samples = broadcast_if_small(cats.filter(F.col("rank") <= max_samples).select("sample_id").distinct())
     t = texts.withColumnRenamed("transcript_id", "sample_id").join(samples, "sample_id", "left_semi")

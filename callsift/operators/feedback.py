@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsift.session import materialize
+from callsift.session import write_table
 
 HIGH, MEDIUM = 0.7, 0.5
 
@@ -63,7 +63,7 @@ def stratified_sample(df: DataFrame, size: int = 50, seed: int = 42) -> DataFram
 
     ``df`` is read once: every task hands on its counts and at most ``size``
     rows per stratum; counts and draws come from those."""
-    s = materialize(_task_samples(df.withColumn("stratum", stratum()).withColumn("_k", sample_key(seed)), size))
+    s = write_table(_task_samples(df.withColumn("stratum", stratum()).withColumn("_k", sample_key(seed)), size), "sample")
     c = s.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
               *(F.coalesce(F.sum(F.when(F.col("stratum") == name, F.col("_n"))), F.lit(0)).alias(name)
                 for name in ("high", "medium"))).first()
@@ -84,7 +84,7 @@ def low_confidence_sample(df: DataFrame, threshold: float = 0.6, size: int = 50,
     # The bounded top-k is computed once (at most ``size`` rows are kept)
     # and tested for emptiness on its written copy, not by a second pass.
     low = df.filter(F.col("confidence") < F.lit(float(threshold)))
-    top = materialize(low.orderBy(F.asc("confidence"), F.asc("transcript_id")).limit(size))
+    top = write_table(low.orderBy(F.asc("confidence"), F.asc("transcript_id")).limit(size), "low-confidence")
     if top.isEmpty():
         return stratified_sample(df, size, seed)
     return top
@@ -106,13 +106,15 @@ def corrections_to_examples(corrections: DataFrame, texts: DataFrame, prepare_fn
     """Corrections -> user examples: the corrected text's first 200
     characters (redacted) as the phrase, confidence 0.95, source 'feedback'.
     Corrections of unknown transcripts are dropped; of several transcripts
-    with the corrected id the first row counts.
+    with the corrected id the first row counts: by ``row_order`` where the texts
+    have that column (``with_order``), else in the order they are read.
 
     ``texts`` holds ``redacted_transcript``, or raw transcripts together with
     ``prepare_fn`` (clean + redact), which then runs on corrected rows only."""
     column = "redacted_transcript" if prepare_fn is None else "transcript"
     corr = corrections.withColumn("_c", F.monotonically_increasing_id())
-    rows = texts.select("transcript_id", column).withColumn("_r", F.monotonically_increasing_id())
+    place = F.col("row_order") if "row_order" in texts.columns else F.monotonically_increasing_id()
+    rows = texts.select("transcript_id", column, place.alias("_r"))
     j = (corr.join(rows, "transcript_id").groupBy("_c").agg(F.min_by(F.struct(
         "transcript_id", "correct_category", "correct_subcategory", "correct_tertiary", column), "_r").alias("v"))
         .select("v.*"))

@@ -18,16 +18,20 @@ appends each row's candidate rules, or its matches, as an array of structs.
   * Candidates come from an inverted index: a rule's key is the first word of
     Term1 when that is what Term1's tokens start with (a rule can only match
     when Term1 occurs), else the first words of all its terms.
-  * An exact phrase is a substring of the space-padded text. NEAR is interval
-    arithmetic on token numbers: an occurrence from token s to token e lies in
-    the window of anchor p if p <= s and e is before the window's end, and of
-    all occurrences the first at or after p ends first. Anchors and
-    occurrences are sorted, so any distance costs one linear pass.
+  * A positional index of the text, made once: one automaton pass finds every
+    place of every term of all rules; a term's sorted places as text, and as a
+    phrase of whole tokens, are worked out when a rule first asks and shared by
+    all candidate rules.
+  * NEAR is interval arithmetic on token numbers: an occurrence from token s to
+    token e lies in the window of anchor p if p <= s and e is before the
+    window's end, and of all occurrences the first at or after p ends first.
+    Anchors and occurrences are sorted, so any distance costs one linear pass.
 Rows keep their order and columns; no token rows, no exchange.
 """
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +40,7 @@ from pyspark.sql import types as T
 from callsift.functions.patterns import WS
 from callsift.functions.text import collapse_ws, normalize_text
 from callsift.operators.matching import append_structs
+from callsift.plans.dims import read_configuration
 
 SINGLE, CHAINED, THIRD_TERM, MOST = 0.95, 0.90, 0.05, 0.98
 DEFAULT_DISTANCE = 5
@@ -81,44 +86,83 @@ def parse_proximity_rules(rules: DataFrame) -> DataFrame:
          .otherwise(F.array_distinct(F.transform("terms", _key))).alias("index_keys"))
 
 
-class TextTokens:
-    """A normalized text, its token starts, and places of phrases in it."""
+NOWHERE = np.zeros(0, np.int64)
 
-    def __init__(self, text: str):
-        self.text, self.padded = text, f" {text} "
+
+class TermPlaces:
+    """Every place of every term of a list in a text, by one automaton."""
+
+    def __init__(self, terms: list[str]):
+        self.terms = sorted({t for t in terms if t})
+        self._automaton = None
+
+    def __getstate__(self):
+        return {"terms": self.terms, "_automaton": None}  # made by each worker
+
+    def find(self, text: str) -> dict[str, np.ndarray]:
+        """term -> its first characters' places, ascending."""
+        if self._automaton is None:
+            self._automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for i, t in enumerate(self.terms):
+                self._automaton.add_word(t, i)
+            if self.terms:
+                self._automaton.make_automaton()
+        if not self.terms:
+            return {}
+        hits = np.array(list(self._automaton.iter(text)), np.int64).reshape(-1, 2)
+        order = np.argsort(hits[:, 1], kind="stable")
+        end, term = hits[order, 0], hits[order, 1]
+        edge = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else NOWHERE
+        return {self.terms[term[i]]: end[i:j] + 1 - len(self.terms[term[i]])
+                for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(term)])}
+
+
+class TextIndex:
+    """A normalized text with the positions of the rules' terms in it."""
+
+    def __init__(self, text: str, places: dict[str, np.ndarray]):
+        self.text, self.places = text, places
         self.n = text.count(" ") + 1 if text else 0
         self._starts: np.ndarray | None = None
+        self._phrases: dict[str, np.ndarray] = {}
+        self._tokens: dict[str, np.ndarray] = {}
 
-    def token_of(self, places: list[int]) -> np.ndarray:
+    def token_of(self, places: np.ndarray) -> np.ndarray:
         """Number of the token that holds each character."""
         if self._starts is None:
             spaces = np.flatnonzero(np.frombuffer(self.text.encode("utf-32-le"), np.uint32) == 32)
             self._starts = np.r_[0, spaces + 1]
-        return np.searchsorted(self._starts, np.array(places, np.int64), "right") - 1
-
-    @staticmethod
-    def _all(needle: str, text: str) -> list[int]:
-        at, out = text.find(needle), []
-        while at >= 0:
-            out.append(at)
-            at = text.find(needle, at + 1)
-        return out
+        return np.searchsorted(self._starts, places, "right") - 1
 
-    def has(self, words: list[str]) -> bool:
-        return not words or f" {' '.join(words)} " in self.padded
+    def tokens_of(self, term: str) -> np.ndarray:
+        """The token in which each occurrence of the term, as text, begins."""
+        if term not in self._tokens:
+            self._tokens[term] = self.token_of(self.places.get(term, NOWHERE))
+        return self._tokens[term]
 
     def phrase_starts(self, words: list[str]) -> np.ndarray:
         """Tokens at which the phrase starts (every one for no words)."""
-        if not words:
-            return np.arange(self.n + 1)
-        return self.token_of(self._all(f" {' '.join(words)} ", self.padded))
+        phrase = " ".join(words)
+        if phrase not in self._phrases:
+            if not words:
+                found = np.arange(self.n + 1)
+            else:
+                text, size = self.text, len(phrase)
+                whole = [p for p in self.places.get(phrase, NOWHERE).tolist()
+                         if (p == 0 or text[p - 1] == " ") and (p + size == len(text) or text[p + size] == " ")]
+                found = self.token_of(np.array(whole, np.int64))
+            self._phrases[phrase] = found
+        return self._phrases[phrase]
+
+    def has(self, words: list[str]) -> bool:
+        return not words or len(self.phrase_starts(words)) > 0
 
     def near(self, anchors: np.ndarray, term: str, window: int) -> bool:
         """Whether some anchor's window (tokens p to p + window, a slice whose
         negative end counts from the last token) joined by spaces holds term."""
         if not len(anchors) or term == "":
             return len(anchors) > 0
-        starts = self.token_of(self._all(term, self.text))
+        starts = self.tokens_of(term)
         if not len(starts):
             return False
         end = np.minimum(anchors + window, self.n)
@@ -138,17 +182,20 @@ class ProximityMatcher:
         for i, r in enumerate(rules):
             for key in r[5]:
                 self.index.setdefault(key, []).append(i)
+        self.places = TermPlaces([t for r in rules for t in (*r[1], *(" ".join(w) for w in r[2]))])
 
     def __call__(self, text: str) -> list[tuple]:
         if not text:
             return []
-        tokens = TextTokens(text)
         found = sorted({i for t in set(text.split(" ")) for i in self.index.get(t, ())})
         if not self.verify:
             return [(self.rules[i][0], 0.0) for i in found]
-        return [(self.rules[i][0], c) for i in found if (c := self.confidence(tokens, i)) is not None]
+        if not found:
+            return []
+        own = TextIndex(text, self.places.find(text))
+        return [(self.rules[i][0], c) for i in found if (c := self.confidence(own, i)) is not None]
 
-    def confidence(self, text: TextTokens, i: int) -> float | None:
+    def confidence(self, text: TextIndex, i: int) -> float | None:
         _, terms, words, operators, distance, _ = self.rules[i]
         if not text.has(words[0]):
             return None
@@ -172,7 +219,7 @@ def _matched(texts: DataFrame, rules: DataFrame, program: str | None, text_col:
     parsed = parse_proximity_rules(rules)
     if program:
         parsed = parsed.filter(F.col("program") == F.lit(program))
-    rows = parsed.collect()
+    rows = read_configuration(parsed, "proximity rules")
     matcher = ProximityMatcher([(r.rule_ord, r.terms, r.words, r.operators, r.max_distance, r.index_keys)
                                 for r in rows], verify)
     own = texts.select("transcript_id", normalize_text(F.col(text_col)).alias("_norm"))

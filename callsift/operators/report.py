@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsift.operators.analytics import AVG_DIGITS
-from callsift.session import materialize
+from callsift.session import write_table
 
 
 def report_summary(df: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def export_html(df: DataFrame, title: str = "Classification report") -> str:
     rather than computed four times."""
     cols = [c for c in ("transcript_id", "agent_name", "category", "subcategory", "confidence")
             if c in df.columns]
-    df = materialize(df.select(*cols))
+    df = write_table(df.select(*cols), "report")
     s = report_summary(df).first()
     parts = [f"<h1>{html.escape(title)}</h1>",
              f"<p>Transcripts: {s['total']} &middot; mean confidence: {s['avg_confidence']} &middot; "

@@ -7,9 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsift.functions.pii import redact
+from callsift.functions.pii import RedactionStats, redact
 from callsift.functions.text import clean_transcript, normalize_text
 from callsift.operators.keyword import RuleBase, score_texts
+from callsift.plans.dims import read_configuration
 from callsift.sources.rules import hierarchy_lookup, parse_keyword_rules
 
 CLASSIFIED_COLUMNS = [
@@ -19,14 +20,18 @@ CLASSIFIED_COLUMNS = [
 ]
 
 
-def prepare(transcripts: DataFrame, pii: bool = True) -> DataFrame:
+def prepare(transcripts: DataFrame, pii: bool = True, stats: RedactionStats | None = None) -> DataFrame:
     """Adds ``redacted_transcript`` (cleaned, then PII-redacted) and
-    ``norm_text`` (lower-cased, whitespace collapsed). Map-only."""
+    ``norm_text`` (lower-cased, whitespace collapsed). Map-only. ``stats``
+    counts what the redaction replaces, in the same pass."""
     # Cleaned text as its own column first: the redaction reads it twice
     # (pre-test and chain), and a column reference is not recomputed.
     cleaned = transcripts.withColumn("redacted_transcript", clean_transcript("transcript"))
-    return (cleaned.withColumn("redacted_transcript", redact("redacted_transcript", enabled=pii))
-            .withColumn("norm_text", normalize_text("redacted_transcript")))
+    if pii and stats is not None:
+        redacted = stats.redact(cleaned, "redacted_transcript", "redacted_transcript")
+    else:
+        redacted = cleaned.withColumn("redacted_transcript", redact("redacted_transcript", enabled=pii))
+    return (redacted.withColumn("norm_text", normalize_text("redacted_transcript")))
 
 
 def ccre_result(j: DataFrame) -> DataFrame:
@@ -62,13 +67,13 @@ def rule_base(rules: DataFrame) -> RuleBase:
 
 
 def classify_ccre(transcripts: DataFrame, rules: DataFrame | RuleBase, pii: bool = True,
-                  carry: list[str] = ("agent_name", "call_id", "ts")) -> DataFrame:
+                  carry: list[str] = ("agent_name", "call_id", "ts"), stats: RedactionStats | None = None) -> DataFrame:
     """Keyword-engine result for every transcript row, with ``carry`` columns.
 
     One map-side pass over the text (see ``callsift.operators.keyword``);
     every input row gives one output row, whatever its id."""
     rb = rules if isinstance(rules, RuleBase) else rule_base(rules)
-    prepared = prepare(transcripts, pii).withColumn("is_empty", F.col("norm_text") == "")
+    prepared = prepare(transcripts, pii, stats).withColumn("is_empty", F.col("norm_text") == "")
     carry = ["transcript_id", *(c for c in carry if c in prepared.columns), "is_empty"]
     return ccre_result(score_texts(prepared.select(*carry, "norm_text"), rb))
 
@@ -82,7 +87,7 @@ def enrich(ccre: DataFrame, hierarchy: DataFrame, program: str = "CCRE",
     standard unclassified record."""
     # the hierarchy is configuration, held as a local relation like the rules
     look = hierarchy_lookup(hierarchy).filter(F.col("Program") == F.lit(program))
-    look = F.broadcast(ccre.sparkSession.createDataFrame(look.collect(), look.schema)
+    look = F.broadcast(ccre.sparkSession.createDataFrame(read_configuration(look, "hierarchy"), look.schema)
                        .withColumn("_found", F.lit(True)))
     j = ccre.join(look, ccre["rule_id"] == look["CatNo"], "left")
     ok = (F.col("rule_id").isNotNull() & (F.col("confidence") >= F.lit(float(threshold)))
@@ -109,13 +114,14 @@ def enrich(ccre: DataFrame, hierarchy: DataFrame, program: str = "CCRE",
 
 def classify(transcripts: DataFrame, rules: DataFrame | RuleBase, hierarchy: DataFrame,
              program: str = "CCRE", threshold: float = 0.40, pii: bool = True,
-             with_text: bool = False) -> DataFrame:
+             with_text: bool = False, stats: RedactionStats | None = None) -> DataFrame:
     """Transcripts (role columns) -> classified table (``CLASSIFIED_COLUMNS``).
 
     With ``with_text`` the transcript and its redacted form ride along in the
-    same pass; without it they are null and dropped at the scan stage."""
+    same pass; without it they are null and dropped at the scan stage.
+    ``stats`` counts the personal data replaced while the result is written."""
     texts = ["transcript", "redacted_transcript"] if with_text else []
-    ccre = classify_ccre(transcripts, rules, pii, carry=["agent_name", "call_id", "ts", *texts])
+    ccre = classify_ccre(transcripts, rules, pii, carry=["agent_name", "call_id", "ts", *texts], stats=stats)
     out = enrich(ccre, hierarchy, program, threshold)
     for c in CLASSIFIED_COLUMNS:
         if c not in out.columns:

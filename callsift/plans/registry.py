@@ -19,6 +19,7 @@ from callsift.functions import text as TX
 from callsift.operators import analytics as A
 from callsift.plans import oracle_sql as O
 from callsift.plans.classify import classify, classify_ccre
+from callsift.session import scratch_path
 from callsift.sources import rules as R
 from callsift.sources import transcripts as TR
 
@@ -188,6 +189,46 @@ def q_custom(spark, sf):
         "GROUP BY category HAVING count(*) > 1")
 
 
+# --------------------------------------------------------------------------
+# One roll-up behind the analytics and the report
+# --------------------------------------------------------------------------
+
+from callsift.operators import rollup as RU  # noqa: E402
+
+
+def _band_sql(low: str, high: str | None = None) -> str:
+    top = f" AND confidence < CAST({high} AS DOUBLE)" if high else ""
+    return f"count(*) FILTER (WHERE confidence >= CAST({low} AS DOUBLE){top})"
+
+
+@register("analytics_rollup", W(
+    "SELECT CASE WHEN GROUPING(agent_name) = 0 THEN 'agent' WHEN GROUPING(subcategory) = 0 THEN 'subcategory' "
+    "WHEN GROUPING(category) = 0 THEN 'category' WHEN GROUPING(source) = 0 THEN 'source' "
+    "WHEN GROUPING(resolve_reason) = 0 THEN 'reason' ELSE 'all' END AS level, "
+    "agent_name, category, subcategory, source, resolve_reason, count(*) AS count, count(transcript_id) AS ids, "
+    "count(*) FILTER (WHERE category <> 'Unclassified') AS classified, "
+    f"{_band_sql('0.7')} AS high_confidence, {_band_sql('0.5', '0.7')} AS medium_confidence, "
+    f"{_band_sql('0.4', '0.5')} AS low_confidence, round(avg(confidence), {A.AVG_DIGITS}) AS avg_confidence, "
+    "round(avg(num_rules_activated), 1) AS avg_rules_activated, count(DISTINCT category) AS unique_categories, "
+    "count(DISTINCT subcategory) AS unique_subcategories, count(DISTINCT agent_name) AS unique_agents "
+    "FROM (SELECT *, category AS c2, subcategory AS s2, agent_name AS a2 FROM classified) x "
+    "GROUP BY GROUPING SETS ((), (category), (category, subcategory), (source), (resolve_reason), (agent_name))"
+    .replace("DISTINCT category", "DISTINCT c2").replace("DISTINCT subcategory", "DISTINCT s2")
+    .replace("DISTINCT agent_name", "DISTINCT a2").replace("WHERE category <>", "WHERE c2 <>")))
+def q_rollup(spark, sf):
+    return RU.measures(RU.rollup(classified_docs(spark, sf)))
+
+
+def _report_query(name: str):
+    @register(f"rollup_{name}", ORACLE[name])
+    def q(spark, sf):
+        return RU.reports(classified_docs(spark, sf))[name]
+
+
+for _name in ("summary_stats", "agent_performance", "category_distribution", "classification_stats"):
+    _report_query(_name)
+
+
 # --------------------------------------------------------------------------
 # Text preparation and PII
 # --------------------------------------------------------------------------
@@ -262,6 +303,15 @@ def q_pii_stats(spark, sf):
     return PII.pii_stats(TR.table(spark, sf, "documents"), "text")
 
 
+@register("pii_observed", _pii_stats_sql(f"(SELECT {O.clean_sql('text')} AS text FROM documents) d", "text"))
+def q_pii_observed(spark, sf):
+    """What the redaction replaced while the classified table was written."""
+    stats = PII.RedactionStats()
+    out = classify(TR.from_documents(spark, sf), R.keyword_rules(spark), R.hierarchy(spark), with_text=True, stats=stats)
+    out.write.parquet(scratch_path(spark, "classified"))
+    return spark.createDataFrame(sorted(stats.snapshot().items()), "pii_type string, hits long")
+
+
 @register("estimate_tokens", (
     "SELECT doc_id, CAST(length(text) // 4 AS BIGINT) AS est_tokens, md5(text) AS content_hash, "
     "substring(text, 1, 200) AS preview FROM documents"))
@@ -667,7 +717,6 @@ def q_coach_hits(spark, sf):
 # --------------------------------------------------------------------------
 
 from callsift.plans.cached import CACHE_SCHEMA, RESULT, classify_cached  # noqa: E402
-from callsift.session import scratch_path  # noqa: E402
 from callsift.sources.user_table import UserTable  # noqa: E402
 
 # rows of the last hours come as a second write, which touches some users only
@@ -950,13 +999,13 @@ def _prompt_cache(prompts):
 @register("coaching_pending", "WITH " + O.classified_ctes().strip() + _prompt_ctes(PROMPT_CONTEXT)
           + " SELECT * FROM prompts WHERE substring(prompt_hash, 1, 1) >= '8'")
 def q_coaching_pending(spark, sf, context=PROMPT_CONTEXT):
-    prompts = materialize(_prompts(spark, sf, context))
+    prompts = write_table(_prompts(spark, sf, context), "prompts")
     return CO.pending_prompts(prompts, _prompt_cache(prompts), UPLOAD_USER, NOW_TS).select(
         "agent_name", "was_truncated", "est_tokens", "prompt_hash")
 
 
 def _coaching(spark, sf, context):
-    prompts = materialize(_prompts(spark, sf, context))
+    prompts = write_table(_prompts(spark, sf, context), "prompts")
     n = F.conv(F.substring("prompt_hash", 2, 2), 16, 10).cast("int")
     replies = prompts.select("agent_name", "prompt_hash", _reply(n, F.col("prompt_hash"), F.col("agent_name")).alias("content"))
     return CO.coaching_results(prompts, replies, _prompt_cache(prompts), UPLOAD_USER, NOW_TS, "asked-model")
@@ -1000,7 +1049,7 @@ for _name, _query in (("coaching_prompts", q_prompts), ("coaching_pending", q_co
 
 from callsift.operators import report as RP  # noqa: E402
 from callsift.sources import export as XP  # noqa: E402
-from callsift.session import materialize, scratch_path  # noqa: E402
+from callsift.session import write_table  # noqa: E402
 
 
 @register("report_summary", W(
@@ -1095,6 +1144,33 @@ def q_stream_stats(spark, sf):
     return ST.running_stats(spark.read.parquet(_stream(spark, sf)["stats"]))
 
 
+def _stateful(spark, sf):
+    """Documents arrive in four files and one of these a second time; the
+    stream is run after two files and again after the rest."""
+    docs = TR.table(spark, sf, "documents").withColumn("ts", F.timestamp_seconds(F.lit(1577836800) + F.coalesce("doc_id", F.lit(0))))
+    files, landing, out = (scratch_path(spark, n) for n in ("stream-files", "stream-landing", "stream-state"))
+    docs.withColumn("file", F.pmod(F.xxhash64("doc_id"), F.lit(4))).write.partitionBy("file").parquet(files)
+    to_t = lambda b: TR.map_columns(b.select("doc_id", "text", "source", "ts"), transcript="text", agent="source",
+                                    transcript_id="doc_id", timestamp="ts")
+    for part in ((0, 1), (2, 0, 3)):
+        for f in part:
+            spark.read.schema(docs.schema).parquet(f"{files}/file={f}").write.mode("append").parquet(landing)
+        paths = ST.run_stateful_stream(spark, landing, docs.schema, to_t, R.keyword_rules(spark), R.hierarchy(spark), out,
+                                       lateness="3650 days", file_glob="*.parquet")
+    return paths
+
+
+@register("stream_stateful_classify", ORACLE["stream_classify"])
+def q_stream_stateful(spark, sf):
+    return spark.read.parquet(_stateful(spark, sf)["classified"]).select(
+        "transcript_id", "category", "subcategory", "cat_no", "confidence", "num_rules_activated")
+
+
+@register("stream_state_totals", ORACLE["stream_running_stats"].replace("CAST(4 AS BIGINT) AS batches, ", ""))
+def q_stream_state(spark, sf):
+    return ST.latest_totals(spark.read.parquet(_stateful(spark, sf)["totals"]))
+
+
 # --------------------------------------------------------------------------
 # Hierarchy validation (C11), distinct agents (H5)
 # --------------------------------------------------------------------------

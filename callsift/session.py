@@ -44,14 +44,6 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df):
-    """Cut the lineage of a frame that several jobs read: a reliable
-    checkpoint into the shared folder (survives executor loss; never a
-    machine-local copy)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-folder of the shared folder for written intermediate
     tables (lineage cuts, streaming checkpoints)."""

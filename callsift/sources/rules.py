@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from callsift.plans.dims import read_configuration
 from callsift.sources import ruleset
 
 KEYWORD_RULE_SCHEMA = T.StructType([
@@ -78,8 +79,9 @@ def user_examples(spark: SparkSession, rows: list | None = None) -> DataFrame:
 
 def read_rule_csv(spark: SparkSession, path: str, schema: T.StructType,
                   ord_name: str = "rule_ord") -> DataFrame:
-    """CSV rule/hierarchy file with header; a missing file gives an empty,
-    typed table. The ordinal follows file order (single file)."""
+    """CSV rule/hierarchy files with header; a missing path gives an empty,
+    typed table. The ordinal follows the file names and the order in each file
+    (rules are configuration: their few rows are numbered in one place)."""
     try:
         df = (spark.read.schema(schema)
               .option("header", True).option("multiLine", True).option("escape", '"')
@@ -88,7 +90,10 @@ def read_rule_csv(spark: SparkSession, path: str, schema: T.StructType,
     except AnalysisException:
         return spark.createDataFrame(
             [], T.StructType([T.StructField(ord_name, T.LongType(), False)] + list(schema.fields)))
-    return df.select(F.monotonically_increasing_id().alias(ord_name), *schema.fieldNames())
+    # a file with line breaks inside values is read by one task, in order
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place"))
+    number = F.row_number().over(Window.orderBy("_file", "_place")) - 1
+    return placed.select(number.cast("long").alias(ord_name), *schema.fieldNames())
 
 
 def _strings(value, depth: int, nulls: bool) -> bool:
@@ -108,7 +113,8 @@ def parse_keyword_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     unaffected. JSON is strict: single quotes, text after the value or a null
     forbidden term set the rule aside. A null keyword never matches."""
     good, bad = [], []
-    for r in rules.select("rule_ord", "rule_id", "category", "subcategory", "required_groups", "forbidden_terms").collect():
+    for r in read_configuration(rules.select(
+            "rule_ord", "rule_id", "category", "subcategory", "required_groups", "forbidden_terms"), "keyword rules"):
         try:
             groups = json.loads(r.required_groups or "")
             forbidden = [] if r.forbidden_terms is None else json.loads(r.forbidden_terms)

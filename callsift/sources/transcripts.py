@@ -31,6 +31,13 @@ def read_transcripts_csv(spark: SparkSession, path: str,
     return r.csv(path)
 
 
+def with_order(df: DataFrame, name: str = "row_order") -> DataFrame:
+    """A table read from Parquet files with the place of each row, (file, row in
+    the file), as a struct that sorts in file order whatever the partitions.
+    Take it right after the scan."""
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
+
+
 def detect_transcript_column(columns: list[str]) -> str:
     """First column whose lower-cased name contains transcript/text/
     conversation, else the first column (metadata only, no job)."""

@@ -5,6 +5,12 @@ Transcripts arriving as Parquet files are classified batch by batch
 batch work inside each micro-batch) and appended to a result table; each
 batch also appends its partial run statistics, so running totals are a sum
 over the partials. Checkpoints and outputs live in the shared folder.
+
+``run_stateful_stream`` keeps its own state instead: arrivals are deduplicated
+within a watermark (state store: one key per transcript that is not yet too
+old), classified as a stream (the classification is map-side) into an
+exactly-once table, and a second stream over that table holds the running
+totals as a streaming aggregate. Both continue from their checkpoints.
 """
 
 from __future__ import annotations
@@ -73,3 +79,48 @@ def run_classification_stream(spark: SparkSession, source_dir: str, schema, to_t
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return {"classified": result_path, "stats": stats_path}
+
+
+def run_stateful_stream(spark: SparkSession, source_dir: str, schema, to_transcripts, rules: DataFrame,
+                        hierarchy: DataFrame, out_dir: str, lateness: str = "1 day", max_files_per_trigger: int = 1,
+                        file_glob: str | None = None) -> dict:
+    """Process the files that have arrived in ``source_dir`` since the last call
+    with this ``out_dir`` (also after a crash), and return the paths of the
+    classified table and of the totals.
+
+    ``to_transcripts`` gives the role columns with ``ts``, the event time. A
+    transcript (id and text) that arrives again, in whatever file, counts once;
+    its key is kept for ``lateness`` behind the newest event, and an arrival
+    older than that is dropped as too late. Rows without ``ts`` are dropped."""
+    result_path, totals_path = f"{out_dir}/classified", f"{out_dir}/totals"
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if file_glob:
+        reader = reader.option("pathGlobFilter", file_glob)
+    arrivals = to_transcripts(reader.parquet(source_dir)).filter("ts IS NOT NULL")
+    hashed = arrivals.withColumn("text_hash", F.md5(F.coalesce("transcript", F.lit(""))))
+    once = hashed.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["transcript_id", "text_hash"]).drop("text_hash")
+    classified = classify(once, rules, hierarchy).drop("transcript", "redacted_transcript")
+    (classified.writeStream.format("parquet").option("path", result_path)
+     .option("checkpointLocation", f"{out_dir}/_checkpoint-classify").trigger(availableNow=True).start().awaitTermination())
+
+    c = F.col("confidence")
+    results = spark.readStream.schema(classified.schema).parquet(result_path)
+    totals = results.groupBy().agg(
+        F.count(F.lit(1)).alias("total_transcripts"), F.count_if(F.col("category") != "Unclassified").alias("classified"),
+        F.sum(c).alias("sum_confidence"), F.count_if(c >= F.lit(0.70)).alias("high_confidence"),
+        F.count_if((c >= F.lit(0.50)) & (c < F.lit(0.70))).alias("medium_confidence"),
+        F.count_if((c >= F.lit(0.40)) & (c < F.lit(0.50))).alias("low_confidence"))
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        # the totals up to this batch; overwritten on a retry
+        batch.write.mode("overwrite").parquet(f"{totals_path}/batch_id={batch_id}")
+
+    (totals.writeStream.outputMode("complete").foreachBatch(keep)
+     .option("checkpointLocation", f"{out_dir}/_checkpoint-totals").trigger(availableNow=True).start().awaitTermination())
+    return {"classified": result_path, "totals": totals_path}
+
+
+def latest_totals(totals: DataFrame) -> DataFrame:
+    """The row of the last batch of ``run_stateful_stream``'s totals, as running statistics."""
+    last = totals.orderBy(F.desc("batch_id")).limit(1)
+    return running_stats(last).drop("batches")

@@ -148,6 +148,103 @@ def test_custom_sql_leaves_the_session_as_it_was(spark):
     spark.catalog.dropTempView("transcripts")
 
 
+@pytest.mark.parametrize("sql", [
+    "DROP TABLE IF EXISTS transcripts", "CREATE TABLE x AS SELECT 1", "CREATE OR REPLACE TEMP VIEW v AS SELECT 1",
+    "INSERT INTO kept SELECT 1", "INSERT OVERWRITE DIRECTORY '/tmp/never' USING parquet SELECT 1", "SET spark.sql.ansi.enabled=false",
+    "WITH a AS (SELECT 1) INSERT INTO kept SELECT * FROM a", "FROM transcripts INSERT INTO kept SELECT 1 INSERT INTO kept SELECT 2",
+    "TRUNCATE TABLE kept", "CACHE TABLE transcripts", "SHOW TABLES", "ALTER TABLE kept ADD COLUMNS (c int)", "DELETE FROM kept",
+    "BEGIN SELECT 1; END", "CALL p()", "EXECUTE IMMEDIATE 'DROP TABLE kept'", "SELEKT 1", ""])
+def test_custom_sql_refuses_all_but_queries(spark, sql):
+    spark.range(3).createOrReplaceTempView("kept")
+    df = spark.createDataFrame([(1, "c")], "transcript_id long, category string")
+    with pytest.raises(ValueError, match="Query execution failed"):
+        analytics.run_custom_query(spark, df, sql)
+    assert spark.table("kept").count() == 3 and not spark.catalog.tableExists("v")
+    spark.catalog.dropTempView("kept")
+
+
+def test_custom_sql_runs_every_kind_of_query(spark):
+    df = spark.createDataFrame([(1, "c"), (2, "d")], "transcript_id long, category string")
+    for sql, want in (("WITH a AS (SELECT * FROM transcripts) SELECT count(*) FROM a", [(2,)]), ("VALUES (1), (2)", [(1,), (2,)]),
+                      ("SELECT category, category, NULL AS n FROM transcripts WHERE transcript_id = 1", [("c", "c", None)]),
+                      ("FROM transcripts SELECT max(transcript_id)", [(2,)]), ("TABLE transcripts", [(1, "c"), (2, "d")]),
+                      ("SELECT 1 UNION ALL SELECT (SELECT count(*) FROM transcripts)", [(1,), (2,)])):
+        assert sorted(tuple(r) for r in analytics.run_custom_query(spark, df, sql).collect()) == want
+
+
+def arrivals(spark, folder, name, rows):
+    """A file of transcripts (id, text, day)."""
+    import datetime
+    spark.createDataFrame([(i, t, datetime.datetime(2024, 1, d)) for i, t, d in rows], ARRIVAL).coalesce(1).write.parquet(
+        f"{folder}/{name}")
+
+
+ARRIVAL = "transcript_id long, transcript string, ts timestamp"
+
+
+def stateful(spark, folder, out, lateness="5 days"):
+    schema = spark.createDataFrame([], ARRIVAL).schema
+    paths = ST.run_stateful_stream(spark, f"{folder}/*", schema, lambda b: b, R.keyword_rules(spark), R.hierarchy(spark), out,
+                                   lateness=lateness)
+    rows = sorted(r.transcript_id for r in spark.read.parquet(paths["classified"]).collect())
+    return rows, ST.latest_totals(spark.read.parquet(paths["totals"])).first()
+
+
+def test_stateful_stream_restarts_and_counts_repeats_once(spark, tmp_path):
+    files = [("f0", [(1, "refund my bill", 1), (2, "close my account", 2)]), ("f1", [(3, "refund", 3), (1, "refund my bill", 3)]),
+             ("f2", [(1, "refund my bill", 1), (2, "close my account", 2)]), ("f3", [(4, None, 4), (1, "another text", 4)])]
+    once = f"{tmp_path}/all"
+    for name, rows in files:
+        arrivals(spark, once, name, rows)
+    whole = stateful(spark, once, scratch_path(spark, "state"))
+    step, out = f"{tmp_path}/steps", scratch_path(spark, "state")
+    for name, rows in files[:2]:
+        arrivals(spark, step, name, rows)
+    assert stateful(spark, step, out)[0] == [1, 2, 3]
+    for name, rows in files[2:]:
+        arrivals(spark, step, name, rows)
+    assert stateful(spark, step, out) == whole and whole[0] == [1, 1, 2, 3, 4]
+    assert whole[1].total_transcripts == 5
+    assert stateful(spark, step, out) == whole  # nothing new has arrived
+
+
+def test_stateful_stream_survives_a_crash_between_its_parts(spark, tmp_path, monkeypatch):
+    arrivals(spark, str(tmp_path), "f0", [(1, "refund my bill", 1)])
+    out, real = scratch_path(spark, "state"), ST.F.count_if
+
+    def fail(*a):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ST.F, "count_if", fail)
+    with pytest.raises(RuntimeError):  # classified, not yet totalled
+        stateful(spark, str(tmp_path), out)
+    monkeypatch.setattr(ST.F, "count_if", real)
+    arrivals(spark, str(tmp_path), "f1", [(2, "refund my bill", 2), (1, "refund my bill", 2)])
+    rows, totals = stateful(spark, str(tmp_path), out)
+    assert rows == [1, 2] and totals.total_transcripts == 2
+
+
+def test_arrivals_behind_the_watermark_are_dropped(spark, tmp_path):
+    arrivals(spark, str(tmp_path), "f0", [(1, "a", 20)])
+    out = scratch_path(spark, "state")
+    stateful(spark, str(tmp_path), out, "2 days")
+    arrivals(spark, str(tmp_path), "f1", [(2, "b", 1), (3, "c", 19)])
+    assert stateful(spark, str(tmp_path), out, "2 days")[0] == [1, 3]
+
+
+def test_corrections_take_the_first_row_in_file_order(spark, tmp_path):
+    for name, texts in (("b", ["second file"]), ("a", ["first file, first row" + " pad" * 5000, "first file, later row"])):
+        spark.createDataFrame([(7, t) for t in texts], "transcript_id long, redacted_transcript string").coalesce(1).write.parquet(
+            f"{tmp_path}/{name}")
+    corr = spark.createDataFrame([(7, "x", None, None)],
+                                 "transcript_id long, correct_category string, correct_subcategory string, correct_tertiary string")
+    from callsift.sources.transcripts import with_order
+    for parts in (1, 5):
+        texts = with_order(spark.read.parquet(f"{tmp_path}/*")).repartition(parts)
+        got = feedback.corrections_to_examples(corr, texts).first()
+        assert got.example_phrase.startswith("first file, first row")
+
+
 def test_running_statistics_over_batches(spark):
     def batch(n, rows):
         return ST.batch_stats(spark.createDataFrame(rows, "category string, confidence double"), n)

@@ -43,6 +43,36 @@ def test_near_over_long_texts_and_windows(spark):
         assert (got[0].confidence if got else None) == want, within
 
 
+def test_many_rules_share_the_positions_of_a_long_text():
+    """2,000 rules on a text of 20,000 tokens: as every rule by itself, and in
+    one pass over the text."""
+    import random
+    import time
+
+    import model
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(60)] + ["card", "cards", "re", "refund", "a b"]
+    rules = []
+    for i in range(2000):
+        t = [" ".join(rnd.choice(words) for _ in range(rnd.choice([1, 1, 2]))) for _ in range(3)]
+        ops = [rnd.choice(["NEAR", "AND", "OR", "NOT", None, "XOR"]) for _ in range(2)]
+        rules.append(("P", "C", t[0], ops[0], rnd.choice([t[1], None]), ops[1], t[2], None, float(rnd.randint(0, 9)), None))
+    rows = [(n, terms, [t.split() for t in terms], [o for o in ops], d, sorted(keys))
+            for n, _, terms, ops, d, keys in model.prox_parse(rules)]
+    match = proximity.ProximityMatcher(rows, True)
+    small = " ".join(rnd.choice(words[:40] + words[60:]) for _ in range(150))
+    assert dict(match(small)) == model.prox_matches(small, model.prox_parse(rules))
+    text = " ".join(rnd.choice(words) for _ in range(20_000))
+    at = time.perf_counter()
+    found = dict(match(text))
+    took = time.perf_counter() - at
+    alone = {}
+    for r in rnd.sample(rows, 60):
+        alone |= {r[0]: dict(proximity.ProximityMatcher([r], True)(text)).get(r[0])}
+    assert {n: found.get(n) for n in alone} == alone and len(found) > 500
+    assert took < 5
+
+
 def test_examples_golden_and_difflib(spark):
     ex = R.user_examples(spark, [("i want to cancel the order", "A", None, None, None),
                                  ("where is my parcel", "B", None, None, None),

@@ -5,6 +5,7 @@ import csv
 import io
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from callsift.operators import examples, proximity, report, rulebase
@@ -52,6 +53,17 @@ def test_rule_csv_scan_and_missing_file(spark):
     assert empty.count() == 0 and "rule_id" in empty.columns
 
 
+def test_rules_of_several_files_keep_file_order(spark, tmp_path):
+    names = R.KEYWORD_RULE_SCHEMA.fieldNames()
+    for name, rows in (("b.csv", [("B1", "c", "s", '[["x"]]', "")]),
+                       ("a.csv", [(f"A{i}", "c", "s" * 500, '[["x\ny"]]', "") for i in range(40)]), ("c.csv", [("C1", "c", "s", '[["x"]]', "")])):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as f:
+            csv.writer(f).writerows([names, *rows])
+    got = R.read_rule_csv(spark, str(tmp_path), R.KEYWORD_RULE_SCHEMA).orderBy("rule_ord").collect()
+    assert [r.rule_id for r in got] == [*(f"A{i}" for i in range(40)), "B1", "C1"]
+    assert [r.rule_ord for r in got] == list(range(42))
+
+
 def test_exports_round_trip_and_html(spark):
     df = TR.from_documents(spark, SF).select("transcript_id", "agent_name",
                                              F.substring("transcript", 1, 50).alias("t"))
@@ -158,3 +170,13 @@ def test_custom_sql_errors_and_shares(spark):
     assert len(cats) == 13 and abs(sum(r.percentage for r in cats) - 100.0) < 13 * 0.005 + 1e-9
     subs = A.subcategory_distribution(df, "c3", limit=100).collect()
     assert {r.category for r in subs} == {"c3"} and abs(sum(r.percentage for r in subs) - 100.0) < 0.2
+
+
+def test_configuration_beyond_its_bound_is_refused(spark, monkeypatch):
+    from callsift.plans import dims
+    rules = R.keyword_rules(spark)
+    assert len(dims.read_configuration(rules, "rules")) == len(ruleset.KEYWORD_RULES)
+    monkeypatch.setattr(dims, "MAX_BROADCAST_BYTES", 2000)
+    for df in (rules, R.keyword_rules(spark, [("a", "b", "c", "x" * 3000, None)])):
+        with pytest.raises(ValueError, match="keyword rules: over"):
+            R.parse_keyword_rules(df)
