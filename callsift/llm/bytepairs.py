@@ -1,81 +1,74 @@
-"""Byte-pair encoding of many short pieces in one call of a tokenizer.
+"""Byte-pair encoding of single words with the tokenizers library.
 
-A call has a cost of its own, several times that of a word. Pieces are joined
-by a separator at which the tokenizer always splits, encoded together, and told
-apart by the number of bytes of each token. If the tokens do not end where the
-pieces end, the pieces are encoded one by one.
+A call of a tokenizer's ``encode`` costs several times the merging of a word.
+What the vocabulary's splitting keeps whole goes to the library's model alone,
+which does the merging; everything else goes through ``encode``.
 """
 
 from __future__ import annotations
 
+import functools
 import os
+import struct
 
 import numpy as np
 
-# Pieces joined into one text.
-JOINED = 64
+
+def _alphabet() -> dict[int, str]:
+    """The letter by which byte-level vocabularies name each byte: printable
+    ones their own, the others, in order, those from U+0100 on."""
+    own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+ALPHABET = _alphabet()
 
 
 class Pieces:
-    """Encoder of pieces. ``sep`` is a text at which the vocabulary splits in
-    any surroundings; ``sep_bytes`` of it become tokens (0 if it is dropped).
-    ``suffix`` marks tokens that end a word."""
+    """Encoder of parts of texts; it holds no texts itself."""
 
-    def __init__(self, path: str, sep: str, sep_bytes: int, suffix: str = ""):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.sep, self.sep_bytes = sep, sep_bytes
-        vocab = self.tok.get_vocab()
-        self.size = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of a token: one letter of its name each
-        for name, i in vocab.items():
-            self.size[i] = len(name) - len(suffix) if suffix and len(name) > len(suffix) and name.endswith(suffix) else len(name)
-
-    @property
-    def vocabulary(self) -> int:
-        return len(self.size)
+        if hasattr(self.tok.model, "_resize_cache"):
+            self.tok.model._resize_cache(0)  # words are remembered by the callers
+        self.merge = self.tok.model.tokenize
+        self.vocabulary = max(self.tok.get_vocab().values()) + 1
 
     def alone(self, text: str) -> bytes:
+        """Little-endian uint32 ids of any text."""
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, pieces: list[str], lengths: list[int]) -> list[bytes]:
-        """Little-endian uint32 ids of each piece. A piece is not empty, holds
-        no white space but one leading space, and no special token; lengths:
-        its bytes after the tokenizer's normalization."""
-        groups = [(pieces[at:at + JOINED], lengths[at:at + JOINED]) for at in range(0, len(pieces), JOINED)]
-        got = self.tok.encode_batch_fast([self.sep.join(g) for g, _ in groups], add_special_tokens=False)
-        out: list[bytes] = []
-        for (group, size), e in zip(groups, got, strict=True):
-            ids = np.array(e.ids, "<u4")
-            edge = np.r_[0, np.cumsum(self.size[ids])]
-            n = np.array(size, np.int64)
-            last = np.cumsum(n + self.sep_bytes) - self.sep_bytes
-            at = np.searchsorted(edge, np.r_[last - n, last])
-            if edge[-1] != last[-1] or (edge[at] != np.r_[last - n, last]).any():
-                out += [self.alone(p) for p in group]
-                continue
-            raw, at = ids.tobytes(), (4 * at).tolist()
-            out += [raw[a:b] for a, b in zip(at, at[len(group):])]
-        return out
-
-
-class Memory:
-    """A bounded dictionary of two generations of at most half the size each;
-    entries in use move on to the new one."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.known: dict = {}
+    def word(self, text: str) -> bytes:
+        """The ids of a normalized text that the vocabulary does not split."""
+        ids = [t.id for t in self.merge(text.encode().decode("latin-1").translate(ALPHABET))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+pieces = functools.cache(Pieces)
+
+
+class Known(dict):
+    """What ``encode`` makes of each key, remembered: two generations of at most
+    half of ``size`` entries; those in use move on to the new one."""
+
+    def __init__(self, encode, size: int):
+        super().__init__()
+        self.encode, self.size = encode, size
         self.old: dict = {}
 
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.encode(key)
+        self[key] = found
+        return found
+
     def turn(self) -> None:
-        if len(self.known) > self.size // 2:
-            self.known, self.old = {}, self.known
-
-    def missing(self, keys: set) -> set:
-        """Those of the keys that neither generation knows."""
-        new = keys.difference(self.known)
-        for k in new & self.old.keys():
-            self.known[k] = self.old[k]
-        return new.difference(self.known)
+        """Between texts: the older generation goes when the new one is full."""
+        if len(self) > self.size // 2:
+            self.old = dict(self)
+            self.clear()

@@ -23,6 +23,7 @@ columns are not read; an empty table gives no blocks and no rows.
 from __future__ import annotations
 
 import re
+import string
 import struct
 import zlib
 
@@ -32,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callsift.llm.bytepairs import Memory, Pieces
-from callsift.llm.work import Work
+from callsift.llm.bytepairs import Known, pieces
+from callsift.llm.work import Work, lean, slices
 
 END_ID = 2
-# Chunks of text whose ids a worker remembers.
-CACHE_CHUNKS = 500_000
+# Chunks of text whose ids a task remembers (about 200 bytes each).
+CACHE_CHUNKS = 1_200_000
 # Documents fill a block up to this many codes (one of more is a block by itself).
 BLOCK_CODES = 1 << 18
 BLOCKS_PER_FILE = 16
@@ -66,26 +67,24 @@ class ByteTokenizer:
     special token's opening go to the tokenizer whole."""
 
     def __init__(self, path: str):
-        self.pieces = Pieces(path, "\n", 1)
-        self.memory = Memory(CACHE_CHUNKS)
-
-    def _learn(self, new: set[str]) -> None:
-        plain = [c for c in new if not c.isspace()]
-        known = self.memory.known
-        known.update(zip(plain, self.pieces.encode(plain, [len(c.encode()) for c in plain]), strict=True))
-        for c in new.difference(plain):
-            known[c] = self.pieces.alone(c)
+        self.pieces = pieces(path)
+        self.known = Known(self._chunk, CACHE_CHUNKS)
+
+    def _chunk(self, c: str) -> bytes:
+        """A word of letters, with the space before it, is not split; the
+        punctuation after its last letter is split off."""
+        if c[c[0] == " ":].isalpha():
+            return self.pieces.word(c)
+        body = c.rstrip(string.punctuation)
+        if len(body) < len(c) and body[body[:1] == " ":].isalpha():
+            return self.known[body] + self.known[c[len(body):]]
+        return self.pieces.alone(c)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            self.memory.turn()
-            some = [t or "" for t in texts[at:at + 64]]
-            cut = [[] if "<|" in t else chunks(t) for t in some]
-            if new := self.memory.missing(set().union(*cut)):
-                self._learn(new)
-            get = self.memory.known.__getitem__
-            out += [self.pieces.alone(t) if "<|" in t else b"".join(map(get, c)) for t, c in zip(some, cut, strict=True)]
+        out, get = [], self.known.__getitem__
+        for t in texts:
+            self.known.turn()
+            out.append(self.pieces.alone(t) if t and "<|" in t else b"".join(map(get, chunks(t))) if t else b"")
         return out
 
 
@@ -95,17 +94,13 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
     def run(batches):
         tok = ByteTokenizer(tokenizer_path)
         end, kind = np.array([end_id], "<u4").tobytes(), id_type(tok.pieces.vocabulary, end_id)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                ids = [np.frombuffer(body + end, "<u4").astype(kind).tobytes()
-                       for body in tok.encode(some.column("text").to_pylist())]
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(kind).itemsize
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())],
-                                                 ["doc_id", "n", "ids"])
+        for b in slices(batches):
+            ids = [np.frombuffer(body + end, "<u4").astype(kind).tobytes() for body in tok.encode(b.column("text").to_pylist())]
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(kind).itemsize
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n long, ids binary")
+        lean(run), "doc_id long, n long, ids binary")
 
 
 def id_type(vocabulary: int, end_id: int) -> str:
@@ -194,7 +189,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
     rank, one record of little-endian uint32)."""
     spark = docs.sparkSession
     work = work or Work(spark, "rank-codec")
-    kind = id_type(Pieces(tokenizer_path, "\n", 1).vocabulary, end_id)
+    kind = id_type(pieces(tokenizer_path).vocabulary, end_id)
     tokens = work.table(token_ids(docs, tokenizer_path, end_id), "tokens", "zstd")
     by_rank = frequency_ranks(tokens, kind)
     _write_raw(spark.createDataFrame([(by_rank.tobytes(),)], "value binary"), f"{path}/ranks")

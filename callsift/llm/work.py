@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +21,26 @@ class Work:
     no later step reads; the ones behind a returned frame stay with the
     checkpoint folder."""
 
+    _scopes: list[list[Work]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = scratch_path(spark, name)
+        for scope in self._scopes[-1:]:
+            scope.append(self)
+
+    @classmethod
+    @contextlib.contextmanager
+    def scope(cls):
+        """On leaving, the folders of all runs begun inside go: for callers
+        that have written what the runs returned."""
+        cls._scopes.append([])
+        try:
+            yield
+        finally:
+            for w in cls._scopes.pop():
+                fs, p = w._folder(w.root)
+                fs.delete(p, True)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -66,6 +88,41 @@ def set_aside(df: DataFrame, reserved: set[str]) -> DataFrame:
     return df.toDF(*new)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def lean(run):
+    """A function over a task's batches that hands free memory back to the
+    system when the task ends: Python workers live on between tasks, and an
+    executor's workers share its memory."""
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return task
+
+
+def slices(batches, rows: int = 512):
+    """The batches in pieces of few rows, so that what is made of one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def id_remainder(col: str = "doc_id", mod: int = 5):
     """crc32 of the id written as text, modulo ``mod``; a null id counts as
     the empty text."""
