@@ -5,9 +5,9 @@ longer than a sequence are cut. Full pieces are sequences by themselves. The
 others are dealt at random into groups of a bounded number of pieces; each
 group is packed best-fit-decreasing, then a local search moves and exchanges
 pieces between underfull bins, always raising the sum of squared fills, until
-no bin has an improving step or no packing can have fewer. A group wastes less than one bin against its own lower bound in
-the usual case, so the loss of packing groups apart is at most about one bin
-per group.
+no bin has an improving step or no packing can have fewer. A group wastes less
+than one bin against its own lower bound in the usual case, so the loss of
+packing groups apart is at most about one bin per group.
 
 Defined results: a null text is empty (the end id alone); rows with the same
 doc_id are separate documents; a null doc_id is carried; an empty table gives
@@ -16,7 +16,6 @@ no pieces.
 
 from __future__ import annotations
 
-import os
 import string
 import zlib
 
@@ -25,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callsift.llm.work import Work
+from callsift.llm.bytepairs import Known, pieces
+from callsift.llm.work import Work, lean, slices
 
 CAPACITY = 4096
 END_ID = 1
 # Pieces packed together in one task: bounds its memory and time.
 GROUP_PIECES = 32_768
-# Words and parts of words whose ids a worker remembers: two generations of at
-# most half as many; those in use move on to the new one.
-CACHE_WORDS = 500_000
+# Words and parts of words whose ids a task remembers.
+CACHE_WORDS = 800_000
 
 
 class WordTokenizer:
@@ -47,63 +46,40 @@ class WordTokenizer:
     whole."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _recall(self, words: set[bytes]) -> set[bytes]:
-        """Those of the words that neither generation knows."""
-        for w in words & self.old.keys():
-            self.known[w] = self.old[w]
-        return words - self.known.keys()
-
-    def _learn(self, words: set[bytes]) -> None:
-        cut, need = {}, set()
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            body = s.rstrip(string.punctuation)
-            if body and body != s and not body[-1].isalpha():
-                body = s
-            tail = s[len(body):].encode()
-            body = (body.lower() if body.isascii() else body).encode()
-            cut[w] = (body, tail)
-            need.update((body, tail))
-        need.discard(b"")
-        need = list(self._recall(need))
-        for p, e in zip(need, self.tok.encode_batch_fast([p.decode() for p in need], add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        for w, (body, tail) in cut.items():
-            if w != body:
-                self.known[w] = (self.known[body] if body else b"") + (self.known[tail] if tail else b"")
+        self.pieces = pieces(path)
+        self.known = Known(self._word, CACHE_WORDS)
+
+    def _normal(self, text: str) -> str:
+        return self.pieces.tok.normalizer.normalize_str(text)
+
+    def _word(self, word: bytes) -> bytes:
+        s = word.decode("utf-8", "replace")
+        body = s.rstrip(string.punctuation)
+        # a last letter may become a letter and a mark
+        if body and body != s and not (body if body.isascii() else self._normal(body))[-1:].isalpha():
+            body = s
+        if body and body != s:
+            return self.known[body.encode()] + self.known[s[len(body):].encode()]
+        low = s.lower() if s.isascii() else s
+        return self._part(s) if low == s else self.known[low.encode()]
+
+    def _part(self, part: str) -> bytes:
+        """A part of letters is not split; of letters beyond ASCII, after the
+        tokenizer's own normalization."""
+        if part.isascii():
+            return self.pieces.word(part) if part.isalpha() else self.pieces.alone(part)
+        plain = self._normal(part)
+        return self.pieces.word(plain) if plain.isalpha() else self.pieces.alone(part)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            if len(self.known) > CACHE_WORDS // 2:
-                self.known, self.old = {}, self.known
-            some = [(t or "") for t in texts[at:at + 64]]
-            split = [[] if "<|" in t else t.encode().split() for t in some]
-            new = set().union(*split).difference(self.known)
-            if new and (new := self._recall(new)):
-                self._learn(new)
-            get = self.known.__getitem__
-            out += [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if "<|" in t
-                    else b"".join(map(get, ws)) for t, ws in zip(some, split, strict=True)]
+        out, get = [], self.known.__getitem__
+        for t in texts:
+            self.known.turn()
+            t = t or ""
+            out.append(self.pieces.alone(t) if "<|" in t else b"".join(map(get, t.encode().split())))
         return out
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
                  with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document;
@@ -112,22 +88,20 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tok = _tokenizer(tokenizer_path)
-        for b in batches:
-            texts = b.column("text").to_pylist()
+        tok = WordTokenizer(tokenizer_path)
+        for b in slices(batches):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for at in range(0, len(texts), 256):
-                for i, body in enumerate(tok.encode(texts[at:at + 256]), at):
-                    body += end
-                    for k, s in enumerate(range(0, len(body), 4 * capacity)):
-                        part = body[s:s + 4 * capacity]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(s // 4)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        if with_ids:
-                            ids.append(part)
+            for i, body in enumerate(tok.encode(b.column("text").to_pylist())):
+                body += end
+                for k, s in enumerate(range(0, len(body), 4 * capacity)):
+                    part = body[s:s + 4 * capacity]
+                    row.append(i)
+                    piece.append(k)
+                    start.append(s // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    if with_ids:
+                        ids.append(part)
             cols = {"doc_id": b.column("doc_id").take(pa.array(row, pa.int64())), "piece": pa.array(piece, pa.int32()),
                     "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()),
                     "ids_crc32": pa.array(crc, pa.int64())}
@@ -136,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             yield pa.RecordBatch.from_pydict(cols)
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+        lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 class Bins:
@@ -214,9 +188,14 @@ class Bins:
             if got := self._gain(donor, n):
                 self._swap(donor, [i], *got)
                 return True
+        # items of one size are alike: the first two of each stand for all
+        alike: dict[int, list[int]] = {}
+        for i in own.tolist():
+            alike.setdefault(int(self.size[i]), []).append(i)
+        stand = [i for group in alike.values() for i in group[:2]]
         sums: dict[int, tuple[int, int]] = {}
-        for x, i in enumerate(own.tolist()):
-            for j in own[x + 1:].tolist():
+        for x, i in enumerate(stand):
+            for j in stand[x + 1:]:
                 sums.setdefault(int(self.size[i] + self.size[j]), (i, j))
         for n, pair in sorted(sums.items(), reverse=True):
             if n <= 2 * self.capacity and (got := self._gain(donor, n)):
