@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsift.llm.textops import mix
-from callsift.llm.work import set_aside
+from callsift.llm.work import lean, set_aside, slices
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -136,7 +136,7 @@ def fit(rows: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
 
     def frequencies(batches):
         df = np.zeros(dims + 1, np.int64)  # the last counts documents
-        for b in batches:
+        for b in slices(batches):
             for t in b.column("text").to_pylist():
                 if has_letter(t):
                     df[char_ngrams(t)[0]] += 1
@@ -144,7 +144,7 @@ def fit(rows: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"place": pa.array(at, pa.int32()), "n": pa.array(df[at], pa.int64())})
 
-    counts = (rows.select("text").mapInArrow(frequencies, "place int, n long")
+    counts = (rows.select("text").mapInArrow(lean(frequencies), "place int, n long")
               .groupBy("place").agg(F.sum("n").alias("n")).collect())
     df = np.zeros(dims + 1)
     for r in counts:
@@ -196,12 +196,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             got = [m.predict(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())],
                 [*b.schema.names, "lang_pred", "score"])
 
     typed = docs.withColumn("text", F.col("text").cast("string"))
-    return typed.mapInArrow(run, typed.withColumns(
+    return typed.mapInArrow(lean(run), typed.withColumns(
         {"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsift.llm.textops import gram_hashes, mix, window_argmin, word_hashes, word_spans
-from callsift.llm.work import Work, set_aside
+from callsift.llm.work import Work, lean, set_aside, slices
 
 SIZE = 35
 GRAM = 8
@@ -67,29 +67,31 @@ def _anchors(text: str | None, size: int, gram: int):
 
 
 def _runs(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """(row_key, s, n, anchor, body): runs of n windows from word s; ``body``
-    hashes the run's words."""
+    """(row_key, s, n, anchor, body, words): runs of n windows from word s;
+    ``body`` hashes the run's words, ``words`` counts those of the text."""
     def run(batches):
-        for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+        for b in slices(batches):
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for key, text in zip(b.column("row_key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 windows, s, n, anchor = _anchors(text, size, gram)
                 if not len(s):
                     continue
                 # a run has at most size - gram + 1 windows: its words are those of its first and last
                 body = mix(windows[s] + mix(windows[s + n - 1] + n.astype(np.uint64)))
-                for col, x in zip(out, (np.full(len(s), key), s, n, anchor.view(np.int64), body.view(np.int64)), strict=True):
+                total = np.full(len(s), len(windows) + size - 1)
+                for col, x in zip(out, (np.full(len(s), key), s, n, anchor.view(np.int64), body.view(np.int64), total), strict=True):
                     col.append(x)
             cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)],
-                ["row_key", "s", "n", "anchor", "body"])
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)],
+                ["row_key", "s", "n", "anchor", "body", "words"])
 
-    return docs.select("row_key", "text").mapInArrow(run, "row_key long, s int, n int, anchor long, body long")
+    return docs.select("row_key", "text").mapInArrow(
+        lean(run), "row_key long, s int, n int, anchor long, body long, words int")
 
 
 def _candidates(runs: DataFrame, work: Work) -> DataFrame:
-    """(row_key, runs): the runs of a row whose anchor recurs, each with
+    """(row_key, words, runs): the runs of a row whose anchor recurs, each with
     ``sure`` (its words occur twice) and ``open`` (to be compared by window)."""
     # a written table: both sides of the join are then plain exchanges, and a
     # hot anchor's runs can be split
@@ -102,21 +104,22 @@ def _candidates(runs: DataFrame, work: Work) -> DataFrame:
     sure = F.col("c") > 1
     example = (F.col("one.row_key") == F.col("row_key")) & (F.col("one.s") == F.col("s"))
     return (found.join(kinds, ["anchor", "body"])
-            .groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct(
+            .groupBy("row_key").agg(F.max("words").alias("words"), F.array_sort(F.collect_set(F.struct(
                 "s", "n", "anchor", sure.alias("sure"), (~sure | (example & (F.col("kinds") > 1))).alias("open")))).alias("runs")))
 
 
 def _sharded(marked: DataFrame, shard_words: int, work: Work) -> DataFrame:
     """``marked`` with the shard of each row. Rows go by their smallest anchor,
-    so copies meet and need their phrases once; a bucket with more windows than
-    a shard should hold (a hot group of copies) is split by row."""
-    size = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["n"])
+    so copies meet and need their phrases once; a bucket whose texts have more
+    words than a shard should hold (a hot group of copies) is split by row. The
+    words are those of whole texts: that is what a shard's task loads."""
     marked = work.table(marked, "unsharded")
-    total = marked.agg(F.sum(size)).first()[0] or 0
+    size = F.sum(F.col("words").cast("long"))
+    total = marked.agg(size).first()[0] or 0
     bucket = F.pmod(F.xxhash64(F.array_min("runs.anchor")), F.lit(max(1, -(-total // shard_words)))).alias("bucket")
-    parts = work.table(marked.groupBy(bucket).agg(F.ceil(F.sum(size) / F.lit(2 * shard_words)).alias("parts")), "parts")
+    parts = work.table(marked.groupBy(bucket).agg(F.ceil(size / F.lit(shard_words)).alias("parts")), "parts")
     return marked.withColumn("bucket", bucket).join(parts, "bucket").select(
-        "row_key", "runs", F.xxhash64("bucket", F.pmod(F.xxhash64(F.col("row_key"), F.lit(1)), "parts")).alias("shard"))
+        "row_key", "words", "runs", F.xxhash64("bucket", F.pmod(F.xxhash64(F.col("row_key"), F.lit(1)), "parts")).alias("shard"))
 
 
 def _digest(words: list[bytes]) -> tuple[str, bytes]:
@@ -137,7 +140,7 @@ def _open_windows(rows: DataFrame, size: int, gram: int) -> DataFrame:
     """(anchor, hash, weight, row_key, at): the windows of open runs; those of
     sure runs count twice and need no answer (at is null)."""
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for key, text, runs in zip(b.column("row_key").to_pylist(), b.column("text"), _run_arrays(b.column("runs")), strict=True):
                 own = runs["open"].astype(bool)
@@ -158,13 +161,13 @@ def _open_windows(rows: DataFrame, size: int, gram: int) -> DataFrame:
                 ["anchor", "hash", "weight", "row_key", "at"])
 
     return rows.select("row_key", "text", "runs").mapInArrow(
-        run, "anchor long, hash long, weight int, row_key long, at int")
+        lean(run), "anchor long, hash long, weight int, row_key long, at int")
 
 
 def _phrases(rows: DataFrame, size: int, gram: int) -> DataFrame:
     """(anchor, phrase): the passages of each row, cut into phrases."""
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out: set[tuple[int, str]] = set()
             for text, runs, single in zip(b.column("text"), _run_arrays(b.column("runs")), b.column("single").to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
@@ -184,7 +187,7 @@ def _phrases(rows: DataFrame, size: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()),
                                               pa.array([p for _, p in out], pa.string())], ["anchor", "phrase"])
 
-    return rows.select("text", "runs", "single").mapInArrow(run, "anchor long, phrase string").distinct()
+    return rows.select("text", "runs", "single").mapInArrow(lean(run), "anchor long, phrase string").distinct()
 
 
 def locate(phrases: list[str], texts: list[list[bytes]]):
@@ -224,7 +227,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_wo
 
     results = [F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
                F.lit("").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text")]
-    joined = keyed.join(marked, "row_key", "left").select(*own, *results, "row_key", "runs", "shard", "text")
+    joined = keyed.join(marked.drop("words"), "row_key", "left").select(*own, *results, "row_key", "runs", "shard", "text")
     out = joined.select(*own, "n_words", "n_removed", "kept_sha256", "kept_text").schema
 
     def put(b: pa.RecordBatch, **cols) -> pa.RecordBatch:
@@ -236,7 +239,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_wo
 
     def settle(batches):
         """Results of rows without candidates; only the others keep their text."""
-        for b in batches:
+        for b in slices(batches):
             done, text = b.column("runs").is_null(), b.column("text")
             none = pa.scalar(None, pa.string())
             words = [(t or "").encode().split() for t in text.to_pylist()]
@@ -245,7 +248,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_wo
                       kept_text=pc.if_else(done, text, none) if with_text else b.column("kept_text"),
                       text=pc.if_else(done, none, text))
 
-    split = work.table(joined.mapInArrow(settle, joined.schema), "split")
+    split = work.table(joined.mapInArrow(lean(settle), joined.schema), "split")
     rows = split.filter("runs IS NOT NULL")
     windows = work.table(_open_windows(rows, size, gram), "windows")
     twice = windows.groupBy("anchor", "hash").agg(F.sum("weight").alias("w")).filter("w > 1").select("anchor", "hash")

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from callsift.llm.components import components
 from callsift.llm.textops import mix, shingles, step
-from callsift.llm.work import Work
+from callsift.llm.work import Work, free_names, lean, slices
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -115,7 +115,7 @@ def sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     m = bands * rows
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2048):
             texts = b.column("text")
             keys: list[bytes | None] = []
             sigs: list[bytes | None] = []
@@ -139,7 +139,7 @@ def sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 "sig": pa.array(sigs, pa.binary())})
 
     return docs.select("doc_id", digest().alias("digest"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, digest binary, bands array<bigint>, sig binary")
+        lean(run), f"doc_id {kind}, digest binary, bands array<bigint>, sig binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -352,11 +352,11 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILARITY, words: int = W
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with their columns: one of each group, and all
     texts without words. Of repeated rows of a kept document one stays."""
+    its_id, its_digest, key, row = free_names(docs, "_kept_id", "_kept_digest", "_digest", "_row")
     kept = (near_duplicates(docs, **options).filter("kept")
-            .select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct())
-    with_key = docs.withColumn("_digest", digest())
-    left = with_key.join(kept, (F.col("_digest") == F.col("_kept_digest")) & F.col("doc_id").eqNullSafe(F.col("_kept_id")),
-                         "left_semi")
+            .select(F.col("doc_id").alias(its_id), F.col("digest").alias(its_digest)).distinct())
+    with_key = docs.withColumn(key, digest())
+    left = with_key.join(kept, (F.col(key) == F.col(its_digest)) & F.col("doc_id").eqNullSafe(F.col(its_id)), "left_semi")
     wordless = F.length(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
-    once = left.withColumn("_row", F.when(wordless, F.monotonically_increasing_id()))
-    return once.dropDuplicates(["doc_id", "_digest", "_row"]).select(*docs.columns)
+    once = left.withColumn(row, F.when(wordless, F.monotonically_increasing_id()))
+    return once.dropDuplicates(["doc_id", key, row]).select(*docs.columns)

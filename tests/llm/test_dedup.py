@@ -56,6 +56,27 @@ def test_removed_words_equal_brute_force(frame, seed, shard_words):
     assert all(r.kept_text == by_id[r.doc_id] for r in got if not r.n_removed and r.doc_id in (0, 1, 2, 3, 4))
 
 
+def test_shards_hold_a_bounded_number_of_words(frame, monkeypatch):
+    """Long documents that share one short passage: what a task loads is
+    bounded by the words of their texts."""
+    rng = random.Random(3)
+    shared = passage(rng, 40)
+    texts = [passage(rng, 1000, 10 ** 6) + " " + shared + " " + passage(rng, 1000, 10 ** 6) for _ in range(40)]
+    rows = [row(i, t) for i, t in enumerate(texts)]
+    sizes, real = [], phrase_dedup._sharded
+
+    def spy(marked, shard_words, work):
+        out = work.table(real(marked, shard_words, work), "seen")
+        sizes.extend(r.n for r in out.groupBy("shard").agg({"words": "sum"}).withColumnRenamed("sum(words)", "n").collect())
+        return out
+
+    monkeypatch.setattr(phrase_dedup, "_sharded", spy)
+    got = phrase_dedup.remove_repeats(frame(rows, DOCS), shard_words=10_000).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter(brute_repeats(rows, 35))
+    # rows are dealt by hash: a shard may hold some more than its share
+    assert sum(sizes) == 40 * 2040 and max(sizes) <= 25_000
+
+
 def test_repeats_of_an_empty_table(frame):
     assert phrase_dedup.remove_repeats(frame([], DOCS)).collect() == []
 
