@@ -16,8 +16,8 @@ k-th best score.
 
 Queries (a stated set of rows) meet all rows in blocks; nothing is sampled or
 capped. Defined results: rows with a null id, a null vector or null or
-non-finite components take no part; exact repeats of a row count once; a row
-is no candidate of a query with its own id; vectors of another length than the
+non-finite components take no part; repeated rows are candidates, and queries,
+each by itself; a row is no candidate of a query with its own id; vectors of another length than the
 query's are no candidates; empty vectors score 0; an empty table gives no rows.
 Components beyond 2**26 after scaling raise an error (scores could leave the
 range of a long).
@@ -129,7 +129,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     id is divisible by ``every``. Ties go to the smaller id."""
     spark = vectors.sparkSession
     work = work or Work(spark, "block-topk")
-    rows = work.table(quantise(vectors, id_col, vector).dropDuplicates(["vec_id", "dim", "q"]), "rows")
+    rows = work.table(quantise(vectors, id_col, vector), "rows")
     n = rows.count()
     pivots = [(r["dim"], r["q"]) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()]
 
@@ -145,7 +145,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
                 own = np.flatnonzero(dim == d)
                 if d in by_dim and d:
                     pivot[own] = (stack([q[i] for i in own.tolist()], "<i4") @ by_dim[d].T).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pivot, pa.int32())], ["vec_id", "dim", "q", "pivot"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pivot, pa.int32())], ["vec_id", "dim", "q", "place", "pivot"])
 
     def shard(batches):
         held = [b for b in batches if b.num_rows]
@@ -169,8 +169,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
                 "best": [best.tobytes()], "who": [who.tobytes()]})
 
     parts = max(1, -(-n // shard_rows))
-    ordered = (rows.mapInArrow(near, "vec_id long, dim int, q binary, pivot int")
-               .repartitionByRange(parts, "dim", "pivot", "vec_id").sortWithinPartitions("dim", "pivot", "vec_id"))
+    # the place in the stored table lets the rows of one id be split
+    ordered = (rows.select("vec_id", "dim", "q", F.monotonically_increasing_id().alias("place"))
+               .mapInArrow(near, "vec_id long, dim int, q binary, place long, pivot int")
+               .repartitionByRange(parts, "dim", "pivot", "vec_id", "place").sortWithinPartitions("dim", "pivot", "vec_id", "place"))
     shards = work.table(ordered.mapInArrow(
         shard, "shard long, dim int, ids binary, rows binary, high binary, low binary, qid binary, q binary, "
                "kth binary, best binary, who binary"), "shards")

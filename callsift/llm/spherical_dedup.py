@@ -2,9 +2,10 @@
 
 1. Equal unit vectors of a label are one node with a multiplicity (a hot vector
    never meets itself).
-2. Labels with more nodes than a cell should hold get k centroids, fitted by
-   spherical k-means on a bounded sample of their nodes. Every node is
-   assigned to its nearest centroid.
+2. Labels get k centroids (one for CELL_NODES nodes, two at least), fitted by
+   spherical k-means on a bounded sample of their nodes. Every node is assigned
+   to its nearest centroid. Labels of few nodes are one cell: up to LEAST_NODES,
+   or what a MAX_CELLS-th of all nodes is (so the centroids stay few).
 3. Two unit vectors with cosine >= t are at most c = sqrt(2 - 2t) apart. If
    they fall into different cells, the sum of their distances from the plane
    between the two centroids is at most c, so one of them is within c / 2 of
@@ -37,9 +38,10 @@ from callsift.llm.vectors import stack, usable
 from callsift.llm.work import Work
 
 COSINE = 0.93
-# Nodes that a cell should hold, cells of all labels together, sampled nodes
-# per centroid, rows of a block.
+# Nodes that a cell should hold, nodes of a label that is not cut, cells of all
+# labels together (about), sampled nodes per centroid, rows of a block.
 CELL_NODES = 4096
+LEAST_NODES = 32
 MAX_CELLS = 4096
 SAMPLE_PER_CELL = 32
 BLOCK_ROWS = 1024
@@ -108,21 +110,20 @@ def links(nodes: DataFrame, cosine: float, work: Work, cell_nodes: int = CELL_NO
     sizes = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
     total = nodes.count()
     cell = max(cell_nodes, -(-total // MAX_CELLS))
-    # labels larger than a cell: at most MAX_CELLS of them
-    wide = [(r["label"], r["dim"], r["n"]) for r in sizes.filter(F.col("n") > cell).collect()]
+    k = F.greatest(F.ceil(F.col("n") / cell), F.lit(2)).cast("int")
+    # at most MAX_CELLS labels, so about three times as many centroids
+    wide = sizes.filter(F.col("n") > max(min(LEAST_NODES, cell_nodes), -(-total // MAX_CELLS))).withColumn("k", k)
     centroids: dict[tuple, np.ndarray] = {}
-    if wide:
-        share = min(1.0, SAMPLE_PER_CELL / cell)
+    if not wide.isEmpty():
         kinds = dict(nodes.dtypes)
 
         def fit(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
             x = stack(p.sort_values("node")["v"].tolist(), "<f8")
-            n = int(p["n"].iloc[0])
-            c = spherical_kmeans(x, -(-n // cell))
+            c = spherical_kmeans(x, int(p["k"].iloc[0]))
             return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "c": [c.tobytes()]})
 
-        picked = nodes.join(F.broadcast(sizes.filter(F.col("n") > cell)), ["label", "dim"]).filter(
-            F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= int(share * (1 << 20)))
+        picked = nodes.join(F.broadcast(wide), ["label", "dim"]).filter(
+            F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= F.col("k") * SAMPLE_PER_CELL / F.col("n") * (1 << 20))
         for r in picked.groupBy("label", "dim").applyInPandas(
                 fit, f"label {kinds['label']}, dim int, c binary").collect():
             centroids[(r["label"], r["dim"])] = np.frombuffer(r["c"], "<f8").reshape(-1, r["dim"])

@@ -27,26 +27,34 @@ def usable(v):
 
 
 def brute_top(rows, every, k):
-    rows = list({(i, tuple(v)): (i, np.floor(256 * np.array(v, float))) for i, v, _ in rows
-                 if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}.values())
-    out = set()
+    """Every row is a candidate, also one equal to another; of each query row the k best."""
+    rows = [(i, np.floor(256 * np.array(v, float))) for i, v, _ in rows
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
     for i, q in rows:
         if i % every == 0:
             best = sorted((-int(q @ v), j) for j, v in rows if j != i and len(v) == len(q))[:k]
-            out |= {(i, r, j, -s) for r, (s, j) in enumerate(best, 1)}
-    return out
+            out += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("shard_rows", [8192, 60])
 def test_top_k_equals_brute_force(frame, shard_rows):
     rows = vectors(400, 3)
     got = [tuple(r) for r in block_topk.top_k(frame(rows, SCHEMA), every=10, shard_rows=shard_rows, block_rows=16).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute_top(rows, 10, 5)
+    assert sorted(got) == brute_top(rows, 10, 5)
+
+
+@pytest.mark.parametrize("shard_rows", [8192, 3])
+def test_repeated_rows_are_candidates_each(frame, shard_rows):
+    rows = [(i, [1.0 - i / 100, 0.5], 0) for i in range(1, 10)] + [(50, [1.0, 1.0], 0), (7, [9.0, 9.0], 0), (7, [9.0, 9.0], 1)]
+    got = sorted(tuple(r) for r in block_topk.top_k(frame(rows, SCHEMA), shard_rows=shard_rows, block_rows=2).collect())
+    assert got == brute_top(rows, 50, 5) and [r[2] for r in got][:3] == [7, 7, 1]
 
 
 def test_top_k_of_few_rows(frame):
     rows = [(50, [1.0, 1.0], 0), (1, [0.5, -0.5], 0), (0, [0.25, 0.25], 1)]
-    assert {tuple(r) for r in block_topk.top_k(frame(rows, SCHEMA)).collect()} == brute_top(rows, 50, 5)
+    assert sorted(tuple(r) for r in block_topk.top_k(frame(rows, SCHEMA)).collect()) == brute_top(rows, 50, 5)
     assert block_topk.top_k(frame([], SCHEMA)).collect() == []
 
 
