@@ -23,7 +23,9 @@ spread until its typed paths are few. Defined results: a null url, or one
 without ``://``, has empty host and path; pages without a label count as
 pages only; conflicting labels of a page: good only if all are; repeated rows
 are judged alike; an empty table gives no rows; input columns named like an
-output are carried as ``<name>_input``.
+output are carried as ``<name>_input``. A level costs the driver one round of
+jobs over the counted paths that still have segments; the rounds are as many as
+the deepest path has places where it branches, whatever its length.
 """
 
 from __future__ import annotations
@@ -31,13 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callsift.llm.work import Work, set_aside
+from callsift.llm.work import Work, free_names, set_aside
 
-# Of the oracle's SQL alone: it glues the segments from DEPTH on and merges the
-# rare children of many whatever their labels say.
-DEPTH = 4
-MAX_CHILDREN = 32
-RARE = 0.01
 Z = 1.96
 WEIGHT = 10.0
 LEAST = 0.5
@@ -115,22 +112,23 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     work = work or Work(pages.sparkSession, "path-tree")
     pages = set_aside(pages, OUTPUTS)
     host, path = host_path(F.col(url).cast("string"))
-    seen = (pages.withColumn("host", host).withColumn("path", path).withColumn("_parts", _typed(F.col("path"))))
-    known = labels.groupBy(F.col(page_id).alias("_labelled")).agg(F.min(F.col("good").cast("int")).alias("_good"))
+    parts, labelled, good = free_names(pages, "_parts", "_labelled", "_good")
+    seen = pages.withColumn("host", host).withColumn("path", path).withColumn(parts, _typed(F.col("path")))
+    known = labels.groupBy(F.col(page_id).alias(labelled)).agg(F.min(F.col("good").cast("int")).alias(good))
     # small beside the pages, and read by every level
     counted = work.table(
-        seen.select(page_id, "host", "_parts").join(known, F.col(page_id) == F.col("_labelled"), "left")
-        .groupBy("host", F.col("_parts").alias("parts"))
-        .agg(F.count("_good").alias("labelled"), F.coalesce(F.sum("_good"), F.lit(0)).alias("good")), "counted")
+        seen.select(page_id, "host", parts).join(known, F.col(page_id) == F.col(labelled), "left")
+        .groupBy("host", F.col(parts).alias("parts"))
+        .agg(F.count(good).alias("labelled"), F.coalesce(F.sum(good), F.lit(0)).alias("good")), "counted")
     tree = templates(counted, work)
     total = counted.agg(((F.sum("good") + 1) / (F.sum("labelled") + 2)).alias("p"))
     hosts = counted.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("good").alias("hg")).select(
         "host", ((F.col("hg") + WEIGHT * total.scalar()) / (F.col("hl") + WEIGHT)).alias("hp"))
     pure = (tree.groupBy("host", "template").agg(F.sum("labelled").alias("tl"), F.sum("good").alias("tg"))
             .join(hosts, "host").select("host", "template", ((F.col("tg") + WEIGHT * F.col("hp")) / (F.col("tl") + WEIGHT)).alias("purity")))
-    verdicts = tree.select("host", F.col("parts").alias("_parts"), "template").join(pure, ["host", "template"])
+    verdicts = tree.select("host", F.col("parts").alias(parts), "template").join(pure, ["host", "template"])
     rule, verdict = rule_of(F.col("host"), F.col("path"), list(rules))
-    return (seen.join(verdicts, ["host", "_parts"])
+    return (seen.join(verdicts, ["host", parts])
             .select(*pages.columns, "host", "path", rule.alias("rule"),
                     F.coalesce(verdict, F.when(F.col("purity") < LEAST, "block").otherwise("allow")).alias("verdict"),
                     "template", "purity"))

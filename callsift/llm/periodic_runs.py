@@ -33,12 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callsift.llm.work import set_aside
+from callsift.llm.work import lean, set_aside, slices
 
 LEAST = 24
 REPEATS = 3
-# Rows handed to the matcher, and back, at a time.
-SLICE = 256
 OUTPUTS = {"n_words", "runs", "collapsed_text"}
 RUN = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "period")])
 
@@ -129,25 +127,23 @@ def periodic_runs(docs: DataFrame, least: int = LEAST, repeats: int = REPEATS) -
                            T.StructField("runs", T.ArrayType(RUN)), T.StructField("collapsed_text", T.StringType())])
 
     def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                some = b.slice(at, SLICE)
-                count, kept, ends, flat = [], [], [0], []
-                for text in some.column("text").to_pylist():
-                    words = (text or "").encode().split()
-                    runs = find_runs(words, least, repeats)
-                    count.append(len(words))
-                    flat += runs
-                    ends.append(len(flat))
-                    kept.append(b" ".join(collapse(words, runs)))
-                cols = np.array(flat, np.int64).reshape(-1, 3)
-                runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
-                    [pa.array(cols[:, k]) for k in range(3)], ["start", "length", "period"]))
-                yield pa.RecordBatch.from_arrays(
-                    [*some.columns, pa.array(count, pa.int64()), runs, pa.array(kept, pa.binary()).cast(pa.string())],
-                    [*some.schema.names, "n_words", "runs", "collapsed_text"])
-
-    return docs.mapInArrow(run, schema)
+        for b in slices(batches):
+            count, kept, ends, flat = [], [], [0], []
+            for text in b.column("text").to_pylist():
+                words = (text or "").encode().split()
+                runs = find_runs(words, least, repeats)
+                count.append(len(words))
+                flat += runs
+                ends.append(len(flat))
+                kept.append(b" ".join(collapse(words, runs)))
+            cols = np.array(flat, np.int64).reshape(-1, 3)
+            runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                [pa.array(cols[:, k]) for k in range(3)], ["start", "length", "period"]))
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(count, pa.int64()), runs, pa.array(kept, pa.binary()).cast(pa.string())],
+                [*b.schema.names, "n_words", "runs", "collapsed_text"])
+
+    return docs.mapInArrow(lean(run), schema)
 
 
 def strongest(runs: Column) -> Column:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callsift.llm.work import Work, set_aside
+from callsift.llm.work import Work, free_names, set_aside
 
 SEED = "mix-7"
 TEMPERATURE = 0.5
@@ -74,23 +74,29 @@ def replicate(docs: DataFrame, weights: DataFrame | None = None, epoch_docs: int
     """The shuffled mixture: the input's columns for every copy, plus copy
     (from 0), n_copies, rate and shuffle_key (the global order)."""
     docs = set_aside(docs, OUTPUTS)
+    spark = docs.sparkSession
+    its_source, draws, cdf, uniform, part = free_names(docs, "_source", "_draws", "_cdf", "_uniform", "_part")
     rates = source_rates(docs, weights, epoch_docs, temperature, source)
-    draws = F.greatest(F.ceil(F.col("rate") / MAX_MEAN), F.lit(1)).cast("int")
-    rates = (rates.withColumn("_draws", draws)
-             .select(F.col("source").alias("_source"), F.col("rate"), "_draws",
-                     _thresholds(F.col("rate") / F.col("_draws")).alias("_cdf")))
-    rates = (work or Work(docs.sparkSession, "poisson-mix")).table(rates, "rates")
+    rates = rates.withColumn(draws, F.greatest(F.ceil(F.col("rate") / MAX_MEAN), F.lit(1)).cast("int"))
+    rates = rates.select(F.col("source").alias(its_source), F.col("rate"), draws,
+                         _thresholds(F.col("rate") / F.col(draws)).alias(cdf))
+    rates = (work or Work(spark, "poisson-mix")).table(rates, "rates")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    count = F.aggregate(
-        F.sequence(F.lit(1), F.col("_draws")), F.lit(0),
-        lambda n, j: n + F.size(F.filter("_cdf", lambda c: c <= _hash52(
-            F.lit(seed), ident, j.cast("string")) / F.lit(float(1 << 52)))))
-    out = (docs.join(rates, F.col(source).eqNullSafe(F.col("_source")))
-           .withColumn("n_copies", count)
+    # one hash a draw, held against the thresholds
+    numbers = F.transform(F.sequence(F.lit(1), F.col(draws)), lambda j: _hash52(
+        F.lit(seed), ident, j.cast("string")) / F.lit(float(1 << 52)))
+    count = F.aggregate(F.col(uniform), F.lit(0), lambda n, u: n + F.size(F.filter(cdf, lambda c: c <= u)))
+    out = (docs.join(rates, F.col(source).eqNullSafe(F.col(its_source)))
+           .withColumn(uniform, numbers).withColumn("n_copies", count)
            .filter("n_copies > 0")
            .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
            .withColumn("shuffle_key", _hash52(F.lit(seed + "-order"), ident, F.col("copy").cast("string"))))
-    return (out.select(*docs.columns, "copy", "n_copies", "rate", "shuffle_key")
-            .orderBy("shuffle_key", id_col, "copy"))
+    # keys are uniform, so equal ranges of them are even parts of the global
+    # order, with no pass to sample them
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = out.withColumn(part, F.least(F.floor(F.col("shuffle_key") / F.lit(float(1 << 52)) * parts), F.lit(parts - 1)).cast("int"))
+    columns = [*docs.columns, "copy", "n_copies", "rate", "shuffle_key"]
+    return (out.select(*columns, part).repartitionById(parts, part)
+            .sortWithinPartitions("shuffle_key", id_col, "copy").select(*columns))

@@ -13,7 +13,7 @@ read. The fit uses a bounded sample, about POSITIVES and UNLABELLED documents
 taken by hash (whole texts); scores come from whole texts of all documents.
 
 Defined results: a null or empty text is scored by the properties of an empty
-text; rows with the same id teach once; repeated labels of a document count as
+text; texts are read whole, whatever their length; rows with the same id teach once; repeated labels of a document count as
 their smallest; without any
 trusted positive every score is the prior's (0.5 with no label at all); without
 unlabelled documents the positives' marginal stands in.

@@ -56,8 +56,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op2_substring_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Work(spark, "phrase-dedup")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return phrase_dedup.remove_repeats(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return work.finish(phrase_dedup.remove_repeats(docs, with_text=False, work=work).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
 # Fixed rules of the URL filter: (host, path, verdict).
@@ -65,55 +67,7 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
-def _url_oracle() -> str:
-    by_length = sorted(URL_RULES, key=lambda r: -len(r[0]) - len(r[1]))
-
-    def case(pick, default):
-        return "CASE " + " ".join(
-            f"WHEN (host = '{r[0]}' OR ends_with(host, '.{r[0]}')) AND starts_with(path, '{r[1]}') THEN '{pick(r)}'"
-            for r in by_length) + f" ELSE {default} END"
-
-    d, levels = path_tree.DEPTH, []
-    for k in range(d):
-        levels.append(f"""
-         s{k} AS (SELECT *, parts[{k + 1}] AS seg FROM t{k}),
-         k{k} AS (SELECT host, template, seg, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good FROM s{k}
-                 WHERE seg IS NOT NULL GROUP BY ALL),
-         m{k} AS (SELECT *, count(*) OVER w AS kids, sum(n) OVER w AS all_n, sum(labelled) OVER w AS al,
-                        sum(good) OVER w AS ag FROM k{k} WINDOW w AS (PARTITION BY host, template)),
-         v{k} AS (SELECT *, ag / al * (1 - ag / al) * (1 / labelled + 1 / (al - labelled)) AS spread,
-                        abs(good / labelled - (ag - good) / (al - labelled)) AS gap FROM m{k}),
-         a{k} AS (SELECT host, template, seg, CASE WHEN kids > 1 AND (
-                   (kids > {path_tree.MAX_CHILDREN} AND n < {path_tree.RARE} * all_n) OR labelled = 0 OR al = labelled
-                   OR spread <= 0 OR gap < {path_tree.Z} * sqrt(spread)) THEN '*' ELSE seg END AS name FROM v{k}),
-         t{k + 1} AS (SELECT s{k}.* EXCLUDE (seg, template),
-                        s{k}.template || coalesce('/' || name, '') AS template
-                 FROM s{k} LEFT JOIN a{k} USING (host, template, seg)),""")
-    return f"""
-    WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
-               FROM pages),
-         h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM u),
-         p AS (SELECT page_id, translate(h, '{path_tree.UPPER}', '{path_tree.LOWER}') AS host,
-                      regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM h),
-         g AS (SELECT *, [x FOR x IN string_split(regexp_replace(path, '[0-9]+', '{{n}}', 'g'), '/') IF x <> ''] AS s FROM p),
-         q AS (SELECT * EXCLUDE s, CASE WHEN len(s) <= {d} THEN s
-                 ELSE s[1:{d - 1}] || [array_to_string(s[{d}:], '/')] END AS parts FROM g),
-         l AS (SELECT doc_id, CAST(min(CAST(quality = 1 AND toxic = 0 AS INTEGER)) AS DOUBLE) AS good FROM labels
-               WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
-         t0 AS (SELECT host, parts, '' AS template, CAST(count(*) AS DOUBLE) AS n, CAST(count(l.good) AS DOUBLE) AS labelled,
-                       coalesce(sum(l.good), 0.0) AS good
-                FROM q LEFT JOIN l ON doc_id = TRY_CAST(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT)
-                GROUP BY host, parts),{"".join(levels)}
-         o AS (SELECT host, (sum(good) + {path_tree.WEIGHT} * (SELECT (sum(good) + 1) / (sum(labelled) + 2) FROM t0))
-                      / (sum(labelled) + {path_tree.WEIGHT}) AS hp FROM t0 GROUP BY host),
-         r AS (SELECT host, template, (sum(good) + {path_tree.WEIGHT} * any_value(hp)) / (sum(labelled) + {path_tree.WEIGHT}) AS purity
-               FROM t{d} JOIN o USING (host) GROUP BY host, template)
-    SELECT page_id, host, path, {case(lambda r: r[0] + r[1], "NULL")} AS rule,
-           {case(lambda r: r[2], f"CASE WHEN purity < {path_tree.LEAST} THEN 'block' ELSE 'allow' END")} AS verdict, template
-    FROM q JOIN t{d} USING (host, parts) JOIN r USING (host, template)"""
-
-
-@register("op3_url_filter", _url_oracle())
+@register("op3_url_filter")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's label is that of the document whose id is the last number of
     its path (good: quality 1 and not toxic)."""
@@ -123,13 +77,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = pages.select("page_id", F.regexp_extract(path, "([0-9]+)[^0-9]*$", 1).alias("n")).select("page_id", number)
     known = labels.filter("quality IS NOT NULL AND toxic IS NOT NULL").select(
         "doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    judged = path_tree.judge(pages, of.join(known, "doc_id").select("page_id", "good"), URL_RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+    work = Work(spark, "path-tree")
+    judged = path_tree.judge(pages, of.join(known, "doc_id").select("page_id", "good"), URL_RULES, work=work)
+    return work.finish(judged.select("page_id", "host", "path", "rule", "verdict", "template"))
 
 
 @register("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return swap_pack.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    work = Work(spark, "swap-pack")
+    return work.finish(swap_pack.pack(table(spark, sf_dir, "documents"), tokenizer_path(), work=work))
 
 
 @register("op5_topk_search", """
@@ -213,8 +169,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages carry no time of capture; page n is taken n seconds after 2020 began."""
     at = F.timestamp_seconds(F.lit(1577836800) + F.coalesce(F.col("page_id"), F.lit(0)))
-    return warc_index.archive_and_index(table(spark, sf_dir, "pages"), at).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    work = Work(spark, "warc")
+    return work.finish(warc_index.archive_and_index(table(spark, sf_dir, "pages"), at, work=work).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 @register("op10_minhash_near_dedup")
@@ -277,4 +234,4 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark, "token-files")
     path = work.path("files")
     rank_codec.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), work=work)
-    return rank_codec.read_ids(spark, path, with_ids=False, work=work)
+    return work.finish(rank_codec.read_ids(spark, path, with_ids=False, work=work))

@@ -16,7 +16,9 @@ ranges in order are the global capture history.
 Defined results: a null html is an empty payload; a null url is a record
 without a target; a null id is a record of its own that is never the smallest
 of a group unless all ids are null (then all are responses); rows with the same
-smallest id are all responses; an empty table gives no rows.
+smallest id are all responses; a very large payload makes archives of fewer
+records (each is read back as one value, so one page may have up to 1 GB); an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,10 @@ from pyspark.sql import functions as F
 from callsift.llm.work import Work
 
 MIN_BYTES = 100
+# An archive holds at most so many records, and fewer if the largest of them
+# could make it larger than ARCHIVE_BYTES: files are read back as one value.
 RECORDS_PER_FILE = 10_000
+ARCHIVE_BYTES = 1 << 30
 RANGE_CAPTURES = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = ("url_key string, captured_at string, page_id long, url string, record_type string, payload_digest string, "
@@ -71,6 +76,9 @@ def records(pages: DataFrame, captured_at: Column) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, captured_at: Column, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+    largest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")) + 3 * F.coalesce(
+        F.octet_length(F.col("url").cast("string")), F.lit(0)))).first()[0] or 0
+    records_per_file = max(1, min(records_per_file, ARCHIVE_BYTES // (largest + 2048)))
     (records(pages, captured_at).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
      .option("maxRecordsPerFile", records_per_file).text(path))
 

@@ -136,6 +136,116 @@ def test_risk_gradient():
         p[at] += 1e-6
 
 
+def plain_ftrl(rows, classes, seed=1):
+    """FTRL-proximal over dictionaries, one coordinate after the other."""
+    import math
+
+    z, n = [{} for _ in range(classes)], [{} for _ in range(classes)]
+    L = ftrl_langid
+
+    def weight(k, j):
+        a = z[k].get(j, 0.0)
+        l1 = 0.0 if j == "bias" else L.L1
+        if abs(a) <= l1:
+            return 0.0
+        return -math.copysign(abs(a) - l1, a) / ((L.BETA + math.sqrt(n[k].get(j, 0.0))) / L.ALPHA + L.L2)
+
+    rng = np.random.default_rng(seed)
+    for _ in range(L.EPOCHS):
+        for i in rng.permutation(len(rows)).tolist():
+            x, truth = {**rows[i][0], "bias": 1.0}, rows[i][1]
+            w = [{j: weight(k, j) for j in x} for k in range(classes)]
+            s = [sum(w[k][j] * v for j, v in x.items()) for k in range(classes)]
+            e = [math.exp(v - max(s)) for v in s]
+            for k in range(classes):
+                p = e[k] / sum(e) - (k == truth)
+                for j, v in x.items():
+                    g, old = p * v, n[k].get(j, 0.0)
+                    z[k][j] = z[k].get(j, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / L.ALPHA * w[k][j]
+                    n[k][j] = old + g * g
+    return weight
+
+
+def test_language_model_equals_plain_ftrl(frame):
+    """TF-IDF and training of the array version against dictionaries."""
+    import math
+
+    rng = random.Random(8)
+    rows = [(text_of(rng, lang, rng.randrange(3, 12)), lang) for lang in rng.choices(list(SYLLABLES), k=60)]
+    model = ftrl_langid.fit(frame(rows, "text string, lang string"))
+    counted = [dict(zip(*(x.tolist() for x in ftrl_langid.char_ngrams(t)))) for t, _ in rows]
+    df = {}
+    for g in counted:
+        for j in g:
+            df[j] = df.get(j, 0) + 1
+
+    def features(g):
+        x = {j: (1 + math.log(c)) * (math.log((1 + len(rows)) / (1 + df[j])) + 1) for j, c in g.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {j: v / size for j, v in x.items()}
+
+    names = sorted(SYLLABLES)
+    plain = [(features(g), names.index(lang)) for g, (_, lang) in zip(counted, rows)]
+    arrays = []
+    for (t, lang), (x, k) in zip(rows, plain):
+        at, n = ftrl_langid.char_ngrams(t)
+        arrays.append((at, ftrl_langid.tf_idf(at, n, model.idf), k))
+        assert arrays[-1][1] == pytest.approx([x[j] for j in at.tolist()])
+    w, bias = ftrl_langid.ftrl(arrays, 3, 1 << ftrl_langid.BITS)
+    weight = plain_ftrl(plain, 3)
+    for (at, x, _), (own, _) in zip(arrays, plain):
+        for k in range(3):
+            assert w[k, at] @ x + bias[k] == pytest.approx(sum(weight(k, j) * v for j, v in own.items()) + weight(k, "bias"), abs=1e-9)
+    assert [model.predict(t)[0] for t, _ in rows] == [lang for _, lang in rows]
+
+
+def test_quality_training_equals_a_plain_risk():
+    """Adam on finite differences of the risk, written out over lists."""
+    import math
+
+    rng = np.random.default_rng(4)
+    pos, unl, prior = rng.normal(1, 1, (12, 3)), rng.normal(0, 1, (20, 3)), 0.6
+    steps = 6
+
+    def scores(net, x):
+        return net.hidden(x)[1] @ net.p[2] + net.p[3][0]
+
+    def parts(net):
+        loss = lambda g: math.log1p(math.exp(-g))
+        up = prior * sum(loss(g) for g in scores(net, pos)) / len(pos)
+        down = sum(loss(-g) for g in scores(net, unl)) / len(unl) - prior * sum(loss(-g) for g in scores(net, pos)) / len(pos)
+        return up, down
+
+    def risk(net, negative):
+        up, down = parts(net)
+        return up + down if negative >= 0 else -down
+
+    every = np.concatenate([pos, unl])
+    net = pu_quality.Network(every.mean(axis=0), every.std(axis=0) + 1e-3)
+    m, v = ([np.zeros_like(p) for p in net.p] for _ in range(2))
+    for t in range(1, steps + 1):
+        negative, grads = parts(net)[1], []
+        for p in net.p:
+            g = np.zeros_like(p)
+            for at in np.ndindex(p.shape):
+                old = p[at]
+                p[at] = old + 1e-5
+                high = risk(net, negative)
+                p[at] = old - 1e-5
+                g[at] = (high - risk(net, negative)) / 2e-5
+                p[at] = old
+            grads.append(g + pu_quality.DECAY * p)
+        for k, g in enumerate(grads):
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+            net.p[k] = net.p[k] - pu_quality.RATE * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(v[k] / (1 - 0.999 ** t)) + 1e-8)
+    before, pu_quality.STEPS = pu_quality.STEPS, steps
+    try:
+        own = pu_quality.train(pos, unl, prior)
+    finally:
+        pu_quality.STEPS = before
+    assert np.abs(own.score(every) - net.score(every)).max() < 1e-4
+
+
 def test_remainder_of_ids(frame):
     got = frame([(5,), (None,)], "doc_id long").select(id_remainder().alias("r")).collect()
     assert [r.r for r in got] == [zlib.crc32(b"5") % 5, 0]

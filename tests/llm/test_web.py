@@ -160,6 +160,28 @@ def test_every_level_of_a_path_is_judged(frame):
     assert dates == {("spam", "/{n}/{n}/{n}/spam/*", "block"), ("good", "/{n}/{n}/{n}/good/*", "allow")}
 
 
+def test_names_of_columns_do_not_clash(frame):
+    rows = [(i, f"http://h.net/{'ab'[i % 2]}/{i}", f"x{i}") for i in range(40)]
+    df = frame(rows, PAGES).selectExpr("*", "html AS _parts", "html AS _labelled", "html AS _good", "html AS parts", "html AS template")
+    got = path_tree.judge(df, frame([(i, i % 2 == 0) for i in range(40)], "page_id long, good boolean"), URL_RULES).collect()
+    assert len(got) == 40
+    for r in got:
+        assert r._parts == r._labelled == r._good == r.parts == r.template_input == r.html == f"x{r.page_id}"
+        assert r.verdict == ("allow" if r.page_id % 2 == 0 else "block")
+
+
+def test_a_trap_url_of_300_segments_needs_few_rounds(frame, spark):
+    # an endless path beside the host's others, and its neighbour that leaves it late
+    trap = [f"http://h.net/{'/'.join(f'cal{k % 7}' for k in range(300))}"]
+    trap.append(trap[0][:-5] + "/end")
+    rows = [(i, u, None) for i, u in enumerate(trap + [f"http://h.net/a/{k}" for k in range(20)])]
+    work = Work(spark, "trap")
+    got = path_tree.judge(frame(rows, PAGES), frame([], "page_id long, good boolean"), work=work).collect()
+    assert len(got) == 22 and {len(r.template.split("/")) for r in got if r.page_id < 2} == {301}
+    fs, p = work._folder(work.root)
+    assert sum(f.getPath().getName().startswith("level") for f in fs.listStatus(p)) < 8
+
+
 def test_no_pages_to_judge(frame):
     assert path_tree.judge(frame([], PAGES), frame([], "page_id long, good boolean"), URL_RULES).collect() == []
 
