@@ -117,10 +117,14 @@ def lean(run):
 
 
 def slices(batches, rows: int = 512):
-    """The batches in pieces of few rows, so that what is made of one stays small."""
+    """The batches in pieces of few rows, so that what is made of one stays
+    small. Pieces are copies: some array functions go wrong on a part of an array."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        if b.num_rows <= rows:
+            yield b
+        else:
+            for at in range(0, b.num_rows, rows):
+                yield b.take(pa.array(range(at, min(at + rows, b.num_rows)), pa.int64()))
 
 
 def id_remainder(col: str = "doc_id", mod: int = 5):

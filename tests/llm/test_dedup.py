@@ -77,6 +77,17 @@ def test_shards_hold_a_bounded_number_of_words(frame, monkeypatch):
     assert sum(sizes) == 40 * 2040 and max(sizes) <= 25_000
 
 
+def test_more_rows_than_are_looked_at_together(frame):
+    rng = random.Random(12)
+    shared = [passage(rng, n) for n in (40, 90)]
+    rows = [row(i, None if i % 50 == 7 else " ".join([passage(rng, 20), shared[i % 2] if i % 9 == 0 else "end", passage(rng, 20)]))
+            for i in range(1300)]
+    got = phrase_dedup.remove_repeats(frame(rows, DOCS).coalesce(1)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter(brute_repeats(rows, 35))
+    before = {r[0]: r[1] for r in rows}
+    assert all(r.kept_text == before[r.doc_id] for r in got if not r.n_removed)
+
+
 def test_repeats_of_an_empty_table(frame):
     assert phrase_dedup.remove_repeats(frame([], DOCS)).collect() == []
 
