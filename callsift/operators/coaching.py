@@ -85,7 +85,8 @@ def coaching_bundle(df: DataFrame, texts: DataFrame, max_samples: int = MAX_SAMP
     # ranks, metrics): write the five needed columns once to the shared
     # folder instead of scoring the transcripts three times.
     df = write_table(df.select("transcript_id", "agent_name", "category", "subcategory", "confidence"), "coached")
-    cats = agent_categories(df)
+    # at most ten rows an agent, read by the size check, the samples and the result
+    cats = write_table(agent_categories(df), "agent-categories")
     samples = broadcast_if_small(cats.filter(F.col("rank") <= max_samples).select("sample_id").distinct())
     t = texts.withColumnRenamed("transcript_id", "sample_id").join(samples, "sample_id", "left_semi")
     if prepare_fn is not None:

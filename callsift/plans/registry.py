@@ -331,6 +331,12 @@ def q_map_columns(spark, sf):
                           agent="source", transcript_id="doc_id")
 
 
+@register("preview", "SELECT doc_id, lang, source, n_chars, text FROM documents LIMIT 10")
+def q_preview(spark, sf):
+    """The first rows of the file (both engines read it in its order)."""
+    return TR.preview(TR.table(spark, sf, "documents")).select("doc_id", "lang", "source", "n_chars", "text")
+
+
 # --------------------------------------------------------------------------
 # Proximity rules
 # --------------------------------------------------------------------------

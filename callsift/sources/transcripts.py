@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_transcripts_csv(spark: SparkSession, path: str,
-                         schema: T.StructType | str | None = None) -> DataFrame:
+                         schema: T.StructType | str | None = None, line_breaks: bool = True) -> DataFrame:
     """CSV with a header row. Pass an explicit schema at scale; without one
-    every column is read as a string (no inference pass over the data)."""
-    r = (spark.read.option("header", True).option("multiLine", True)
+    every column is read as a string (no inference pass over the data).
+
+    Values may hold line breaks, so a file is read by one task; of uploads
+    known to have none (``line_breaks`` off), large files are split."""
+    r = (spark.read.option("header", True).option("multiLine", line_breaks)
          .option("escape", '"').option("mode", "PERMISSIVE"))
     if schema is not None:
         r = r.schema(schema)
@@ -38,6 +41,12 @@ def with_order(df: DataFrame, name: str = "row_order") -> DataFrame:
     return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
 
 
+def preview(df: DataFrame, n: int = 10) -> DataFrame:
+    """The first n rows of a table read from Parquet files, in file order (a
+    top-k: every task hands on n rows at most)."""
+    return with_order(df).orderBy("row_order").limit(n).drop("row_order")
+
+
 def detect_transcript_column(columns: list[str]) -> str:
     """First column whose lower-cased name contains transcript/text/
     conversation, else the first column (metadata only, no job)."""

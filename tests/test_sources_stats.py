@@ -53,6 +53,29 @@ def test_rule_csv_scan_and_missing_file(spark):
     assert empty.count() == 0 and "rule_id" in empty.columns
 
 
+def test_preview_follows_file_order(spark, tmp_path):
+    for name, ids in (("b", [9, 8]), ("a", [5, 7, 6]), ("c", [1])):
+        spark.createDataFrame([(i, "x" * i) for i in ids], "i long, t string").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    df = spark.read.parquet(f"{tmp_path}/*")
+    assert [r.i for r in TR.preview(df, 4).collect()] == [5, 7, 6, 9] and TR.preview(df).count() == 6
+    assert TR.preview(df).columns == ["i", "t"]
+
+
+def test_csv_without_line_breaks_is_split(spark, tmp_path):
+    rows = [(str(i), f"text {i}", "a") for i in range(20_000)]
+    _write_csv(str(tmp_path / "in"), ["call_id", "transcript", "agent"], rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        whole = TR.read_transcripts_csv(spark, str(tmp_path / "in"))
+        parts = TR.read_transcripts_csv(spark, str(tmp_path / "in"), line_breaks=False)
+        # one task against many
+        tasks = [df.select(F.spark_partition_id().alias("p")).distinct().count() for df in (whole, parts)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tasks[0] == 1 and tasks[1] > 3
+    assert sorted(parts.collect()) == sorted(whole.collect()) and parts.count() == 20_000
+
+
 def test_rules_of_several_files_keep_file_order(spark, tmp_path):
     names = R.KEYWORD_RULE_SCHEMA.fieldNames()
     for name, rows in (("b.csv", [("B1", "c", "s", '[["x"]]', "")]),
