@@ -22,6 +22,7 @@ columns are not read; an empty table gives no blocks and no rows.
 
 from __future__ import annotations
 
+import functools
 import re
 import string
 import struct
@@ -37,7 +38,7 @@ from callsift.llm.bytepairs import Known, pieces
 from callsift.llm.work import Work, lean, slices
 
 END_ID = 2
-# Chunks of text whose ids a task remembers (about 200 bytes each).
+# Chunks of text whose ids a worker remembers (about 200 bytes each).
 CACHE_CHUNKS = 1_200_000
 # Documents fill a block up to this many codes (one of more is a block by itself).
 BLOCK_CODES = 1 << 18
@@ -88,11 +89,17 @@ class ByteTokenizer:
         return out
 
 
+@functools.cache
+def tokenizer(path: str) -> ByteTokenizer:
+    """A worker's tasks share what the memory of chunks holds."""
+    return ByteTokenizer(path)
+
+
 def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, n, ids): little-endian ids with the end id, of two bytes each
     if the vocabulary fits (see ``id_type``)."""
     def run(batches):
-        tok = ByteTokenizer(tokenizer_path)
+        tok = tokenizer(tokenizer_path)
         end, kind = np.array([end_id], "<u4").tobytes(), id_type(tok.pieces.vocabulary, end_id)
         for b in slices(batches):
             ids = [np.frombuffer(body + end, "<u4").astype(kind).tobytes() for body in tok.encode(b.column("text").to_pylist())]
@@ -112,12 +119,11 @@ def frequency_ranks(tokens: DataFrame, kind: str) -> np.ndarray:
     count for themselves; what meets is at most a row for each id and task."""
     def run(batches):
         total = np.zeros(0, np.int64)
-        for b in batches:
-            for ids in b.column("ids"):
-                own = np.bincount(np.frombuffer(ids.as_buffer(), kind))
-                if len(own) > len(total):
-                    own, total = total, own
-                total[:len(own)] += own
+        for b in slices(batches, 4096):
+            own = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), kind))
+            if len(own) > len(total):
+                own, total = total, own
+            total[:len(own)] += own
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -135,8 +141,14 @@ def pack_codes(codes: np.ndarray) -> tuple[bytes, bytes]:
     slots[:len(codes)] = size - 1
     four = slots.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    used = np.arange(4, dtype=np.uint8) < size[:, None]
-    return control.tobytes(), codes.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    end = np.cumsum(size, dtype=np.int64)
+    at = end - size
+    data = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
+    data[at] = codes & np.uint32(0xFF)
+    for k in range(1, int(size.max(initial=1))):
+        more = np.flatnonzero(size > k)
+        data[at[more] + k] = codes[more] >> np.uint32(8 * k) & np.uint32(0xFF)
+    return control.tobytes(), data.tobytes()
 
 
 # Control byte -> the lengths of its four codes.
