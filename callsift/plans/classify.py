@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsift.functions.pii import RedactionStats, redact
-from callsift.functions.text import clean_transcript, normalize_text
+from callsift.functions.text import clean_transcript
 from callsift.operators.keyword import RuleBase, score_texts
 from callsift.plans.dims import read_configuration
 from callsift.sources.rules import hierarchy_lookup, parse_keyword_rules
@@ -31,7 +31,9 @@ def prepare(transcripts: DataFrame, pii: bool = True, stats: RedactionStats | No
         redacted = stats.redact(cleaned, "redacted_transcript", "redacted_transcript")
     else:
         redacted = cleaned.withColumn("redacted_transcript", redact("redacted_transcript", enabled=pii))
-    return (redacted.withColumn("norm_text", normalize_text("redacted_transcript")))
+    # a cleaned text is trimmed and single-spaced, and the redaction puts in no
+    # white space: its marks in lower case are all that normalizing would change
+    return redacted.withColumn("norm_text", F.lower("redacted_transcript"))
 
 
 def ccre_result(j: DataFrame) -> DataFrame:
