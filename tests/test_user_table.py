@@ -82,6 +82,32 @@ def test_replace_append_delete_and_evict(spark):
     assert len(glob.glob(f"{t.root}/pointer/*")) == 1
 
 
+def test_commits_of_many_users_share_folders(spark, monkeypatch):
+    from callsift.sources import user_table
+    monkeypatch.setattr(user_table, "MAX_FOLDERS", 20)
+    many = [(f"u{i}", k, i, 1 + 8 * (i % 2)) for i in range(3 * user_table.BUCKETS) for k in ("x", "y")]
+    t = table_of(spark, many)
+    want = {(u, k): v for u, k, v, _ in many}
+    assert values(t.read()) == sorted((*k, v) for k, v in want.items())
+    assert len(glob.glob(f"{t.root}/*/version=1/*=*")) <= user_table.BUCKETS < len({u for u, *_ in many})
+    assert values(t.read("u5")) == [("u5", "x", 5), ("u5", "y", 5)] and t.read("nobody").count() == 0
+    plan = t.read("u5")._jdf.queryExecution().executedPlan().toString()
+    assert "(_bucket" in plan.split("PartitionFilters")[1]
+    # a commit of few users beside it, in folders of their own, after one that failed in the other layout
+    incoming(spark, [("u5", "x", 99, 5)]).withColumn("_bucket", user_table._bucket(F.col("user_id"))).write.partitionBy(
+        "_bucket").parquet(f"{t.root}/packed/version=2")
+    t.merge(incoming(spark, [("u5", "x", 7, 20), ("new", "x", 8, 20)]), ["user_id", "k"])
+    want |= {("u5", "x"): 7, ("new", "x"): 8}
+    assert values(t.read()) == sorted((*k, v) for k, v in want.items())
+    assert values(t.read("u5")) == [("u5", "x", 7), ("u5", "y", 5)] and values(t.read("u6")) == [("u6", "x", 6), ("u6", "y", 6)]
+    t.evict("2024-01-10 00:00:00")  # half of the users: packed again
+    day = {f"u{i}": 1 + 8 * (i % 2) for i in range(3 * user_table.BUCKETS)} | {"new": 20}
+    want = {k: v for k, v in want.items() if day[k[0]] + 7 >= 10 or k == ("u5", "x")}
+    assert values(t.read()) == sorted((*k, v) for k, v in want.items()) and t.read("u6").count() == 0
+    t.vacuum()
+    assert values(t.read()) == sorted((*k, v) for k, v in want.items())
+
+
 def test_an_unfinished_commit_is_not_seen_and_is_overwritten(spark):
     t = table_of(spark, [("a", "x", 1, 1)])
     os.makedirs(f"{t.root}/pointer/2")  # a writer died before its pointer was complete
