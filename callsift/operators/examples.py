@@ -13,9 +13,13 @@ ones. Three bounds keep pairs from difflib, none of them loses one:
 
 Plan: examples up to a checked size are read by the driver, and one Arrow pass
 appends each text's scoring examples; no row is regrouped. Beyond it (examples
-grow with every correction) they are dealt into parts by length, and texts
-meet, in cells of bounded bytes, the parts whose phrases they could contain or
-resemble; nothing of either side reaches the driver. Both ways give the same.
+grow with every correction) texts are dealt into cells of bounded bytes, and
+each cell receives the examples, so a text is shuffled once and the copies of
+the examples are no more than the texts (examples beyond a cell's bytes are
+dealt by length, and texts meet those they could contain or resemble). In a
+cell one look-up per character, whatever the number of phrases, finds the
+contained ones; the index of similar ones is made part by part. Nothing of
+either side reaches the driver. Both ways give the same.
 """
 
 from __future__ import annotations
@@ -38,8 +42,8 @@ DEFAULT_CONFIDENCE = 0.95
 FIELDS = [("example_ord", T.LongType()), ("similarity", T.DoubleType())]
 # Examples that the driver reads and every task receives: rows, and characters of phrases.
 LOCAL_EXAMPLES, LOCAL_CHARS = 20_000, 8 << 20
-# Beyond: phrases of a part, and characters of texts in a cell.
-PART_EXAMPLES, CELL_CHARS = 20_000, 32 << 20
+# Beyond: phrases of a part, characters of texts in a cell, and of phrases in it.
+PART_EXAMPLES, CELL_CHARS, GROUP_CHARS = 20_000, 32 << 20, 64 << 20
 
 
 def prepare_examples(examples: DataFrame) -> DataFrame:
@@ -104,6 +108,61 @@ class BigramIndex:
         return [self.phrases[low + i] for i in np.flatnonzero(self.shared(text, low, high) >= least).tolist()]
 
 
+class Anchors:
+    """The contained ones of very many phrases. A phrase of some length is
+    looked for at one of its pieces of ``SIZE`` characters, the one that fewest
+    phrases have; shorter ones go to an automaton. Hashes choose, texts decide."""
+
+    SIZE, STEP = 32, 16  # SIZE: a power of two
+    SEEN = 22  # bits of the first look-up
+
+    def __init__(self, phrases: list[str]):
+        self.short = Phrases([p for p in phrases if len(p) < self.SIZE])
+        self.phrases = sorted({p for p in phrases if len(p) >= self.SIZE})
+        owner, place, piece = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for at in range(0, len(self.phrases), 1024):
+            own = [self.hashes(p)[::self.STEP] for p in self.phrases[at:at + 1024]]
+            owner.append(np.repeat(np.arange(at, at + len(own)), [len(h) for h in own]))
+            place.append(np.concatenate([np.arange(len(h)) for h in own]) * self.STEP)
+            piece.append(np.concatenate(own))
+        owner, place, piece = np.concatenate(owner), np.concatenate(place), np.concatenate(piece)
+        _, number, count = np.unique(piece, return_inverse=True, return_counts=True)
+        order = np.lexsort((place, count[number], owner))
+        first = order[np.diff(owner[order], prepend=-1) != 0]
+        first = first[np.argsort(piece[first], kind="stable")]
+        self.owner, self.place, self.piece = owner[first], place[first], piece[first]
+        self.seen = np.zeros(1 << self.SEEN, bool)
+        self.seen[self.piece >> np.uint64(64 - self.SEEN)] = True
+
+    @classmethod
+    def hashes(cls, text: str) -> np.ndarray:
+        """A hash of the ``SIZE`` characters from each place on."""
+        h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        size = 1
+        while size < cls.SIZE:
+            if len(h) <= size:
+                return h[:0]
+            h = (h[:-size] * np.uint64(0x9E3779B97F4A7C15) ^ (h[size:] + np.uint64(size))) * np.uint64(0xC2B2AE3D27D4EB4F)
+            h ^= h >> np.uint64(29)
+            size *= 2
+        return h * np.uint64(0x9E3779B97F4A7C15)
+
+    def find(self, text: str) -> set[str]:
+        found = {self.short.phrases[i] for i in self.short.find(text)}
+        if not len(self.piece) or len(text) < self.SIZE:
+            return found
+        h = self.hashes(text)
+        at = np.flatnonzero(self.seen[h >> np.uint64(64 - self.SEEN)])
+        h = h[at]
+        low, high = np.searchsorted(self.piece, h), np.searchsorted(self.piece, h, side="right")
+        for k in np.flatnonzero(high > low).tolist():
+            for e in range(int(low[k]), int(high[k])):
+                phrase, start = self.phrases[self.owner[e]], int(at[k]) - int(self.place[e])
+                if start >= 0 and phrase not in found and text.startswith(phrase, start):
+                    found.add(phrase)
+        return found
+
+
 class ExampleMatcher:
     """(example, similarity) of each example that scores ``threshold`` or more;
     with ``best``, of the best one alone (the first of equals)."""
@@ -124,59 +183,115 @@ class ExampleMatcher:
         if t > 1.0:
             return []
         if self.index is None:
-            # difflib sees lower case: phrases may differ in it and be alike there
-            self.lower: dict[str, list[str]] = {}
-            for p in filter(None, self.of):
-                self.lower.setdefault(p.lower(), []).append(p)
+            self.lower = _by_lower(self.of)
             self.index = BigramIndex(list(self.lower), t)
         contained = {self.phrases.phrases[i] for i in self.phrases.find(text)}
         score = dict.fromkeys(contained, 1.0)
         if not (self.best and contained):
-            low = text.lower()
-            for q in self.index.near(low):
-                if contained.issuperset(self.lower[q]) or 2.0 * min(len(low), len(q)) / (len(low) + len(q)) < t:
+            score |= _similar(text.lower(), self.index.near, self.lower, contained, t)
+        return _scored(score, self.of, self.best)
+
+
+def _by_lower(phrases) -> dict[str, list[str]]:
+    """difflib sees lower case: phrases may differ in it and be alike there."""
+    lower: dict[str, list[str]] = {}
+    for p in filter(None, phrases):
+        lower.setdefault(p.lower(), []).append(p)
+    return lower
+
+
+def _similar(low: str, near, lower: dict[str, list[str]], contained: set[str], t: float) -> dict[str, float]:
+    """The ratio of each phrase that is not contained and reaches the threshold."""
+    score = {}
+    for q in near(low):
+        if contained.issuperset(lower[q]) or 2.0 * min(len(low), len(q)) / (len(low) + len(q)) < t:
+            continue
+        m = difflib.SequenceMatcher(None, low, q)
+        if m.quick_ratio() >= t and (r := m.ratio()) >= t:
+            score.update((p, r) for p in lower[q] if p not in contained)
+    return score
+
+
+def _scored(score: dict[str, float], of: dict[str, list[int]], best: bool) -> list[tuple]:
+    found = [(o, s) for p, s in score.items() for o in of[p]]
+    return [max(found, key=lambda f: (f[1], -f[0]))] if best and found else found
+
+
+def _cell_matches(texts: list[str], examples: list[tuple[int, str]], t: float, best: bool, part: int) -> list[list[tuple]]:
+    """What an ``ExampleMatcher`` gives for each text, the phrases looked at in
+    parts of neighbouring lengths where they need an index."""
+    if t > 1.0:
+        return [[] for _ in texts]
+    of: dict[str, list[int]] = {}
+    for o, p in examples:
+        of.setdefault(p, []).append(o)
+    anchors = Anchors(list(of))
+    scores = [dict.fromkeys(anchors.find(x), 1.0) for x in texts]
+    lower = _by_lower(of)
+    if t == 1.0:  # only a phrase equal to the text has all its characters matched
+        for x, score in zip(texts, scores, strict=True):
+            if (low := x.lower()) in lower and not (best and score):
+                score |= _similar(low, lambda q: [q], lower, set(score), t)
+    else:
+        contained = [set(s) for s in scores]
+        phrases = sorted(lower, key=len)
+        lows = [(i, x.lower()) for i, x in enumerate(texts) if not (best and contained[i])]
+        for at in range(0, len(phrases), part):
+            some = phrases[at:at + part]
+            index = None
+            for i, low in lows:
+                # 2 min / (n + m) >= t holds for no phrase of the part
+                if t > 0.0 and not (len(some[0]) * t / (2.0 - t) - 1 <= len(low) <= len(some[-1]) * (2.0 - t) / t + 1):
                     continue
-                m = difflib.SequenceMatcher(None, low, q)
-                if m.quick_ratio() >= t and (r := m.ratio()) >= t:
-                    score.update((p, r) for p in self.lower[q] if p not in contained)
-        found = [(o, s) for p, s in score.items() for o in self.of[p]]
-        return [max(found, key=lambda f: (f[1], -f[0]))] if self.best and found else found
+                index = index or BigramIndex(some, t)
+                scores[i] |= _similar(low, index.near, lower, contained[i], t)
+    return [_scored(s, of, best) for s in scores]
 
 
 def _normal(texts: DataFrame, text_col: str) -> DataFrame:
     return texts.select("transcript_id", collapse_ws(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("_norm"))
 
 
-def _dealt(own: DataFrame, examples: DataFrame, threshold: float, best: bool, part_examples: int,
-           cell_chars: int) -> tuple[DataFrame, DataFrame]:
-    """((_row, example_ord, similarity) by cells, rows (_row, transcript_id)).
-    Parts hold phrases of neighbouring lengths, so a text goes to the parts
-    from the shortest phrases up to those it may resemble."""
+def _cells(own: DataFrame, examples: DataFrame, threshold: float, cell_chars: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts by cell, phrases by cell, rows (_row, transcript_id)).
+    Groups hold phrases of neighbouring lengths, so a text goes to the groups
+    from the shortest phrases up to those it may resemble: as a rule one."""
     rows = write_table(own.withColumn("_row", F.monotonically_increasing_id()), "example-texts")
     n = F.length("phrase_norm").cast("long")
     # as many rows as there are different lengths
     sizes = examples.groupBy(n.alias("n")).agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.col("before") + F.pmod(F.xxhash64("example_ord", "phrase_norm"), F.col("c"))
+    before = F.coalesce(F.sum(F.col("c") * (F.col("n") + 1)).over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("before") + F.pmod(F.xxhash64("example_ord", "phrase_norm"), F.col("c")) * (F.col("n") + 1)
     parted = write_table(
         examples.withColumn("n", n).join(sizes.withColumn("before", before), "n")
-        .select("example_ord", "phrase_norm", "n", F.floor(place / part_examples).cast("int").alias("part")), "example-parts")
-    ranges = parted.groupBy("part").agg(F.min("n").alias("n")).orderBy("n", "part").collect()  # two numbers a part
+        .select("example_ord", "phrase_norm", "n", F.floor(place / GROUP_CHARS).cast("int").alias("part")), "example-parts")
+    ranges = parted.groupBy("part").agg(F.min("n").alias("n"), F.sum("n").alias("chars")).orderBy("n", "part").collect()  # three numbers a group
     parts, shortest = F.lit([r.part for r in ranges]).cast("array<int>"), F.lit([r.n for r in ranges]).cast("array<long>")
     t = float(threshold)
     reach = F.length("_norm") * F.lit((2.0 - t) / t) + 1 if t > 0.0 else F.lit(float("inf"))
     met = F.size(F.filter(shortest, lambda x: x <= reach))
-    salts = max(1, -(-(rows.agg(F.sum(F.length("_norm"))).first()[0] or 0) // cell_chars))
+    # every cell receives its group's phrases: no more of them in all than of the texts
+    chars = rows.agg(F.sum(F.length("_norm"))).first()[0] or 0
+    salts = max(1, -(-chars // max(cell_chars, *(r.chars for r in ranges), 1)))
     left = (rows.withColumn("part", F.explode(F.slice(parts, F.lit(1), met)))
             .select("part", F.pmod(F.xxhash64("_row"), F.lit(salts)).alias("salt"), "_row", "_norm"))
     right = parted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).select(
         F.col("part").alias("p"), F.col("salt").alias("s"), "example_ord", "phrase_norm")
+    return left, right, rows.select("_row", "transcript_id")
+
+
+def _dealt(own: DataFrame, examples: DataFrame, threshold: float, best: bool, part_examples: int,
+           cell_chars: int) -> tuple[DataFrame, DataFrame]:
+    """((_row, example_ord, similarity) by cells, rows (_row, transcript_id))."""
+    left, right, rows = _cells(own, examples, threshold, cell_chars)
+    t = float(threshold)
 
     def meet(texts: pa.Table, phrases: pa.Table) -> pa.Table:
-        match = ExampleMatcher(list(zip(phrases["example_ord"].to_pylist(), phrases["phrase_norm"].to_pylist())), t, best)
+        examples = list(zip(phrases["example_ord"].to_pylist(), phrases["phrase_norm"].to_pylist()))
         row, ords, sims = [], [], []
-        for r, text in zip(texts["_row"].to_pylist(), texts["_norm"].to_pylist()):
-            for o, s in match(text):
+        for r, found in zip(texts["_row"].to_pylist(),
+                            _cell_matches(texts["_norm"].to_pylist(), examples, t, best, part_examples), strict=True):
+            for o, s in found:
                 row.append(r)
                 ords.append(o)
                 sims.append(s)
@@ -185,7 +300,7 @@ def _dealt(own: DataFrame, examples: DataFrame, threshold: float, best: bool, pa
 
     found = left.groupBy("part", "salt").cogroup(right.groupBy("p", "s")).applyInArrow(
         meet, "_row long, example_ord long, similarity double")
-    return found, rows.select("_row", "transcript_id")
+    return found, rows
 
 
 def _matches(texts: DataFrame, examples: DataFrame, text_col: str, threshold: float, best: bool, local_examples: int,

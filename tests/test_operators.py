@@ -315,6 +315,40 @@ def test_example_pairs_random(spark):
             assert {r.transcript_id: (" ".join(r.matched_phrase.split()), round(r.similarity, 12)) for r in own} == best
 
 
+def test_anchors_find_every_contained_phrase():
+    """Against ``in``, over phrases about the pieces' size, with pieces that many phrases share."""
+    import random
+    rnd = random.Random(5)
+    text = "".join(rnd.choice("abcde \U0001f600\u00fc") for _ in range(3000)) + "ab" * 200
+    texts = [text, text[40:700], text[::-1], "ab" * 60, "", "a", text[7:39], text[7:40]]
+    phrases = [text[i:i + n] for i in range(0, 300, 7) for n in (0, 1, 5, 31, 32, 33, 47, 48, 90, 200)]
+    phrases += ["ab" * n for n in (3, 16, 17, 40, 100)] + [p[:-1] + "#" for p in phrases if p] + ["#" + p for p in phrases]
+    anchors = examples.Anchors(phrases)
+    for x in texts:
+        assert anchors.find(x) == {p for p in phrases if p in x}
+
+
+def test_dealt_texts_are_not_copied_for_each_part(spark, monkeypatch):
+    """Rows that meet in cells: each text once, and no more phrases than texts, by characters."""
+    texts = spark.createDataFrame([(i, f"text number {i} " + "and so on " * 40) for i in range(60)],
+                                  "transcript_id long, transcript string")
+    ex = R.user_examples(spark, [(f"number {i} and so on", "C", None, None, None) for i in range(60)])
+    own, prepared = examples._normal(texts, "transcript"), examples.prepare_examples(ex).select("example_ord", "phrase_norm")
+    left, right, _ = examples._cells(own, prepared, 1.0, 1)
+
+    def size(df, column):
+        return df.selectExpr("count(*)", f"sum(length({column}))").first()
+
+    assert size(left, "_norm")[0] == 60 and size(right, "phrase_norm")[1] <= size(left, "_norm")[1] + size(prepared, "phrase_norm")[1]
+    kw = {"threshold": 1.0, "local_examples": 0, "part_examples": 2, "cell_chars": 5000}
+    whole = {r.transcript_id: r.matched_phrase for r in examples.example_classify(texts, ex, **kw).collect()}
+    assert whole == {i: f"number {i} and so on" for i in range(60)}
+    # phrases beyond a cell's characters are dealt into groups, with the same result
+    monkeypatch.setattr(examples, "GROUP_CHARS", 300)
+    assert examples._cells(own, prepared, 1.0, 5000)[0].select("part").distinct().count() > 2
+    assert {r.transcript_id: r.matched_phrase for r in examples.example_classify(texts, ex, **kw).collect()} == whole
+
+
 def test_bounds_keep_every_similar_phrase():
     """Phrases of 150 to 260 characters (difflib leaves popular letters out
     from 200 on) with edits, against difflib over all pairs."""
