@@ -1120,15 +1120,21 @@ def q_export_csv(spark, sf):
 from callsift.streaming import classify_stream as ST  # noqa: E402
 
 
+ARRIVALS = 4
+
+
 def _stream(spark, sf):
-    """Documents arrive as four files, one per micro-batch."""
+    """Documents arrive in four lots, one per micro-batch; a lot of a large
+    table is as many files as the table is read in parts."""
     docs = TR.table(spark, sf, "documents")
     landing = scratch_path(spark, "stream-landing")
-    docs.repartition(4, "doc_id").write.parquet(landing)
+    parts = max(1, min(docs.rdd.getNumPartitions(), docs.count() // 1000))  # few rows: no part without any
+    docs.repartition(ARRIVALS * parts, "doc_id").write.parquet(landing)
+    files = len(spark.read.schema(docs.schema).parquet(landing).inputFiles())
     to_t = lambda b: TR.map_columns(b.select("doc_id", "text", "source"), transcript="text",
                                     agent="source", transcript_id="doc_id")
     return ST.run_classification_stream(spark, landing, docs.schema, to_t, R.keyword_rules(spark), R.hierarchy(spark),
-                                        file_glob="*.parquet")
+                                        max_files_per_trigger=max(1, -(-files // ARRIVALS)), file_glob="*.parquet")
 
 
 @register("stream_classify", W(
@@ -1153,18 +1159,22 @@ def q_stream_stats(spark, sf):
 
 
 def _stateful(spark, sf):
-    """Documents arrive in four files and one of these a second time; the
-    stream is run after two files and again after the rest."""
+    """Documents arrive in four lots and one of these a second time; the
+    stream is run after two lots and again after the rest, about a lot per
+    micro-batch however many files it is."""
     docs = TR.table(spark, sf, "documents").withColumn("ts", F.timestamp_seconds(F.lit(1577836800) + F.coalesce("doc_id", F.lit(0))))
     files, landing, out = (scratch_path(spark, n) for n in ("stream-files", "stream-landing", "stream-state"))
     docs.withColumn("file", F.pmod(F.xxhash64("doc_id"), F.lit(4))).write.partitionBy("file").parquet(files)
     to_t = lambda b: TR.map_columns(b.select("doc_id", "text", "source", "ts"), transcript="text", agent="source",
                                     transcript_id="doc_id", timestamp="ts")
+    landed = 0
     for part in ((0, 1), (2, 0, 3)):
         for f in part:
             spark.read.schema(docs.schema).parquet(f"{files}/file={f}").write.mode("append").parquet(landing)
+        before, landed = landed, len(spark.read.schema(docs.schema).parquet(landing).inputFiles())
         paths = ST.run_stateful_stream(spark, landing, docs.schema, to_t, R.keyword_rules(spark), R.hierarchy(spark), out,
-                                       lateness="3650 days", file_glob="*.parquet")
+                                       lateness="3650 days", max_files_per_trigger=max(1, -(-(landed - before) // len(part))),
+                                       file_glob="*.parquet")
     return paths
 
 
