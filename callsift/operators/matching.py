@@ -8,6 +8,9 @@ regrouped by the caller's ids afterwards.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +20,33 @@ _ARROW = {T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.DoubleType: pa.fl
           T.BooleanType: pa.bool_(), T.StringType: pa.string()}
 
 
+# Rows looked at together: what is made of them stays small, however many an Arrow batch holds.
+SLICE_ROWS = 256
+
+
+def _slices(batches):
+    """The batches in pieces of few rows (copies, so that no piece holds its
+    batch); free memory goes back to the system after each batch and task, as
+    an executor's workers live on between tasks and share its memory."""
+    try:
+        for b in batches:
+            if b.num_rows <= SLICE_ROWS:
+                yield b
+                continue
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                yield b.take(pa.array(range(at, min(at + SLICE_ROWS, b.num_rows)), pa.int64()))
+            del b
+            _release()
+    finally:
+        _release()
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def append_structs(df: DataFrame, text_col: str, name: str, fields: list[tuple[str, T.DataType]],
                    matcher) -> DataFrame:
     """``df`` with an array-of-structs column: ``matcher(text)`` gives each
@@ -29,7 +59,7 @@ def append_structs(df: DataFrame, text_col: str, name: str, fields: list[tuple[s
 
     def run(batches):
         match = shared.value
-        for b in batches:
+        for b in _slices(batches):
             ends, cols = [0], [[] for _ in names]
             for text in b.column(text_col).to_pylist():
                 rows = match(text or "")
@@ -52,7 +82,7 @@ def append_columns(df: DataFrame, text_col: str, new: T.StructType, matcher, met
 
     def run(batches):
         columns = getattr(shared.value, method)
-        for b in batches:
+        for b in _slices(batches):
             if not b.num_rows:
                 continue
             kept = [b.column(f.name) for f in own]

@@ -191,3 +191,15 @@ def test_scoring_in_small_batches_is_the_same(monkeypatch):
     monkeypatch.setattr(keyword, "BATCH_SLOTS", 10)
     assert [c.to_pylist() for c in matcher.winners(texts)] == whole
     assert any(whole[1])
+
+
+def test_texts_are_looked_at_in_small_pieces():
+    """A large Arrow batch is matched a few rows at a time, in order and whole."""
+    import pyarrow as pa
+    from callsift.operators import matching
+    batches = [pa.RecordBatch.from_pydict({"i": list(range(at, at + n)), "t": [None if k % 7 == 0 else "x" * (k % 50) for k in range(n)]},
+                                          schema=pa.schema([("i", pa.int64()), ("t", pa.string())]))
+               for at, n in ((0, 1000), (1000, 0), (1000, 3), (1003, matching.SLICE_ROWS), (5000, matching.SLICE_ROWS + 1))]
+    got = list(matching._slices(iter(batches)))
+    assert max(b.num_rows for b in got) == matching.SLICE_ROWS
+    assert pa.Table.from_batches(got).to_pydict() == pa.Table.from_batches(batches).to_pydict()
