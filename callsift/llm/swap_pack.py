@@ -16,31 +16,35 @@ no pieces.
 
 from __future__ import annotations
 
+import functools
 import string
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callsift.llm.bytepairs import Known, pieces
-from callsift.llm.work import Work, lean, slices
+from callsift.llm.work import Work, lean
 
 CAPACITY = 4096
 END_ID = 1
 # Pieces packed together in one task: bounds its memory and time.
 GROUP_PIECES = 32_768
-# Words and parts of words whose ids a task remembers.
+# Words and parts of words whose ids a worker remembers.
 CACHE_WORDS = 800_000
+# Bytes of text encoded together (a longer text is encoded by itself).
+BATCH_BYTES = 4 << 20
 
 
 class WordTokenizer:
     """Ids of a text as little-endian uint32 bytes, equal to the tokenizer's
     own for vocabularies that drop white space and never merge across it.
 
-    Text is cut at ASCII white space; each distinct word is encoded once and
-    remembered. A tail of ASCII punctuation after a letter is encoded apart
+    Text is cut at ASCII white space; the distinct words of a batch are looked
+    up together, each is encoded once and remembered. A tail of ASCII punctuation after a letter is encoded apart
     (the tokenizer splits there) and an ASCII word in lower case (it lowers
     case). Texts that hold a special token's opening go to the tokenizer
     whole."""
@@ -50,18 +54,18 @@ class WordTokenizer:
         self.known = Known(self._word, CACHE_WORDS)
 
     def _normal(self, text: str) -> str:
-        return self.pieces.tok.normalizer.normalize_str(text)
+        # below U+0300 nothing composes, and lower case goes letter by letter
+        return text.lower() if text and max(text) < "\u0300" else self.pieces.tok.normalizer.normalize_str(text)
 
-    def _word(self, word: bytes) -> bytes:
-        s = word.decode("utf-8", "replace")
+    def _word(self, s: str) -> bytes:
         body = s.rstrip(string.punctuation)
         # a last letter may become a letter and a mark
         if body and body != s and not (body if body.isascii() else self._normal(body))[-1:].isalpha():
             body = s
         if body and body != s:
-            return self.known[body.encode()] + self.known[s[len(body):].encode()]
+            return self.known[body] + self.known[s[len(body):]]
         low = s.lower() if s.isascii() else s
-        return self._part(s) if low == s else self.known[low.encode()]
+        return self._part(s) if low == s else self.known[low]
 
     def _part(self, part: str) -> bytes:
         """A part of letters is not split; of letters beyond ASCII, after the
@@ -71,13 +75,40 @@ class WordTokenizer:
         plain = self._normal(part)
         return self.pieces.word(plain) if plain.isalpha() else self.pieces.alone(part)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out, get = [], self.known.__getitem__
-        for t in texts:
-            self.known.turn()
-            t = t or ""
-            out.append(self.pieces.alone(t) if "<|" in t else b"".join(map(get, t.encode().split())))
-        return out
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        self.known.turn()
+        texts = texts.fill_null("")
+        whole = pc.match_substring(texts, "<|")
+        words = pc.ascii_split_whitespace(pc.if_else(whole, "", texts))
+        place = words.values.dictionary_encode()
+        ids = list(map(self.known.__getitem__, place.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, at = np.cumsum(n) - n, place.indices.to_numpy()
+        n = n[at]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = pool[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        ends = 4 * ends[words.offsets.to_numpy()]
+        return [self.pieces.alone(t.as_py()) if w else ids[a:b]
+                for t, w, a, b in zip(texts, whole.to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+@functools.cache
+def tokenizer(path: str) -> WordTokenizer:
+    """A worker's tasks share what the memory of words holds."""
+    return WordTokenizer(path)
+
+
+def text_slices(batches, size: int = BATCH_BYTES):
+    """The batches in pieces of at most ``size`` bytes of text, or of one row.
+    Pieces are copies: some array functions go wrong on a part of an array."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, done = 0, 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+            yield b.take(pa.array(range(at, to), pa.int64()))
+            at, done = to, int(ends[to - 1])
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -88,10 +119,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tok = WordTokenizer(tokenizer_path)
-        for b in slices(batches):
+        tok = tokenizer(tokenizer_path)
+        for b in text_slices(batches):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, body in enumerate(tok.encode(b.column("text").to_pylist())):
+            for i, body in enumerate(tok.encode(b.column("text"))):
                 body += end
                 for k, s in enumerate(range(0, len(body), 4 * capacity)):
                     part = body[s:s + 4 * capacity]

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from callsift.llm import poisson_mix, swap_pack
@@ -43,6 +44,38 @@ def test_pieces_equal_the_tokenizer_and_sequences_are_gapless(frame):
     assert len(seqs) == math.ceil(sum(r.length for r in got) / 4096)
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+@pytest.mark.parametrize("texts", [TEXTS, ["", None], [" \t", "a"], ["<|", None, "École ÉCOLE J\u030c\u0300 ǰ ẞß\u0301 ŉ' Ǆ!"]])
+def test_batches_of_texts_equal_the_tokenizer(texts, kind):
+    batch = pa.record_batch({"text": pa.array(texts, kind)})
+    for size in (1, 60, 1 << 20):
+        got = [ids for b in swap_pack.text_slices([batch, batch.slice(0, 0)], size)
+               for ids in swap_pack.WordTokenizer(tokenizer_path()).encode(b.column("text"))]
+        assert [[*np.frombuffer(ids, "<u4"), 1] for ids in got] == [plain_ids(t) for t in texts]
+
+
+def test_a_batch_looks_each_word_up_once_and_tasks_share_what_is_known():
+    tok = swap_pack.WordTokenizer(tokenizer_path())
+    asked = []
+
+    class Asked(type(tok.known)):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    tok.known = Asked(tok._word, 100)
+    tok.encode(pa.array(["one two two", None, "two one " * 500]))
+    assert sorted(w for w in asked if w) == ["one", "two"]
+    assert swap_pack.tokenizer(tokenizer_path()) is swap_pack.tokenizer(tokenizer_path())
+
+
+def test_lower_case_is_the_tokenizers_normal_form_of_latin_letters():
+    tok = swap_pack.WordTokenizer(tokenizer_path())
+    letters = [chr(c) for c in range(0x80, 0x300) if chr(c).isalpha()]
+    words = letters + [a + b for a in "aZİßΣ" for b in letters] + ["ΣΑΣ", "J\u030c"]
+    assert [tok._normal(w) for w in words] == [tok.pieces.tok.normalizer.normalize_str(w) for w in words]
+
+
 def test_no_pieces_of_an_empty_table(frame):
     assert swap_pack.pack(frame([], DOCS), tokenizer_path()).collect() == []
 
